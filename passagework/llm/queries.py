@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from passagework.llm import byte_bpe, secret_scan
 from passagework.llm.minhash_dedup import near_duplicates
 
 
@@ -18,7 +20,51 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=4)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_minhash_dedup": op1_minhash_dedup}
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents, and digests of their ids and of the ids' bytes."""
+    return byte_bpe.round_trip_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of all documents."""
+    return secret_scan.secret_report(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_dedup, op5_byte_bpe, op6_secret_scan)}
+
+def _secret_sql() -> str:
+    kinds = [*secret_scan.BASE_KINDS, ("entropy", secret_scan.CANDIDATE.replace("(?<![A-Za-z0-9+/_-])", ""), 0, 20)]
+    q = lambda p: "'" + p.replace("'", "''") + "'"
+    found = " UNION ALL ".join(
+        f"""SELECT doc_id, {i} AS kind, t, h, g, v FROM (SELECT doc_id, t, regexp_extract_all(t, {q(p)}) AS h, string_split_regex(t, {q(p)}) AS g, regexp_extract_all(t, {q(p)}, {group}) AS v FROM d WHERE regexp_matches(t, {q(p)}))"""
+        for i, (_, p, group, _) in enumerate(kinds)
+    )
+    least = "[" + ", ".join(str(x[3]) for x in kinds) + "]"
+    allowed = " OR ".join(f"regexp_matches(v, {q(p)})" for p in secret_scan.ALLOWED if "\\1" not in p)
+    classes = " ".join(f"WHEN regexp_matches(v, {q(p)}) THEN {bits}" for p, bits in secret_scan.CLASSES[:-1])
+    joined = "coalesce(string_agg(['assign', 'access', 'hex', 'entropy'][kind + 1] || ':' || b || ':' || e, ',' ORDER BY b, kind) {}, '')"
+    return f"""
+WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS MATERIALIZED ({found}),
+s AS MATERIALIZED (
+  SELECT doc_id, kind, v[i] AS v, b, b + length(h[i]) AS e FROM (
+    SELECT *, list_sum(list_transform(g[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0)::BIGINT AS b
+    FROM (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM m)) WHERE length(v[i]) >= {least}[kind + 1]),
+w AS (SELECT DISTINCT v, unnest(range(1, length(v) - 18)) AS i FROM s WHERE kind = 3),
+c AS (SELECT v, i, x, count(*) AS n FROM (SELECT v, i, unnest(string_split(substring(v, i, 20), '')) AS x FROM w) GROUP BY ALL),
+bits AS (SELECT v, max(bits) AS bits FROM (SELECT v, i, log2(20) - sum(n * log2(n)) / 20 AS bits FROM c GROUP BY ALL) GROUP BY v),
+extra AS (SELECT s.* FROM s JOIN bits USING (v) WHERE kind = 3 AND NOT ({allowed}) AND bits >= CASE {classes} ELSE {secret_scan.CLASSES[-1][1]} END
+  AND NOT EXISTS (SELECT 1 FROM s o WHERE o.doc_id = s.doc_id AND o.kind < 3 AND o.b < s.e AND s.b < o.e)),
+every AS (SELECT * FROM s WHERE kind < 3 UNION ALL SELECT * FROM extra),
+r AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+  {joined.format("FILTER (kind < 3)")} AS base, {joined.format("")} AS spans FROM every GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN r USING (doc_id)
+"""
+
+
+_SECRET_SQL = _secret_sql()
+
 
 ORACLE_SQL: dict[str, str] = {
     "op1_minhash_dedup": r"""
@@ -42,4 +88,5 @@ FROM words d LEFT JOIN sized s USING (doc_id) JOIN (SELECT x AS doc_id, min(y) A
 JOIN (SELECT d.doc_id, CASE WHEN k.k IS NULL THEN d.doc_id ELSE min(d.doc_id) OVER (PARTITION BY k.k) END AS class_id
       FROM words d LEFT JOIN (SELECT doc_id, list_sort(list(s)) AS k FROM shingled GROUP BY doc_id) k USING (doc_id)) e USING (doc_id)
 """,
+    "op6_secret_scan": _SECRET_SQL,
 }
