@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from passagework.llm import byte_bpe, secret_scan
+from passagework.llm import byte_bpe, license_scan, secret_scan
 from passagework.llm.minhash_dedup import near_duplicates
 
 
@@ -20,6 +20,11 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=4)
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License labels of all documents."""
+    return license_scan.license_labels(_table(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents, and digests of their ids and of the ids' bytes."""
     return byte_bpe.round_trip_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -30,7 +35,7 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_dedup, op5_byte_bpe, op6_secret_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_dedup, op3_license_scan, op5_byte_bpe, op6_secret_scan)}
 
 def _secret_sql() -> str:
     kinds = [*secret_scan.BASE_KINDS, ("entropy", secret_scan.CANDIDATE.replace("(?<![A-Za-z0-9+/_-])", ""), 0, 20)]
@@ -63,6 +68,29 @@ FROM d LEFT JOIN r USING (doc_id)
 """
 
 
+def _license_sql() -> str:
+    """Brute force: every block against every template."""
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x{7F}]+"
+    phrases = " UNION ALL ".join(f"SELECT '{p}' AS p, '{label}' AS label" for p, label in license_scan.PHRASES.items())
+    templates = ", ".join(f"('{t}', '{label}')" for t, label in license_scan.TEMPLATES.items())
+    step, size = license_scan.STEP, license_scan.BLOCK
+    return f"""
+WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{word}') AS w FROM documents),
+p AS (SELECT label, string_split(p, ' ') AS p FROM ({phrases})),
+hit AS (SELECT doc_id, label, i - 1 AS place FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d), p WHERE w[i] = p[1] AND w[i:i + len(p) - 1] = p),
+base AS (SELECT doc_id, count(*) AS n, min(place) AS lo, max(place) AS hi, list(DISTINCT label) AS labels FROM hit GROUP BY doc_id),
+t AS (SELECT t, label, list_distinct(string_split(t, ' ')) AS s FROM (VALUES {templates}) v(t, label)),
+b AS MATERIALIZED (SELECT doc_id, list_distinct(w[k * {step} + 1 : k * {step} + {size}]) AS s FROM (SELECT doc_id, w, unnest(range(0, (len(w) + {step - 1}) // {step})) AS k FROM d)),
+m AS (SELECT doc_id, label, len(list_intersect(b.s, t.s)) AS n, len(t.s) AS size FROM b, t WHERE 100 * len(list_intersect(b.s, t.s)) >= 80 * len(t.s)),
+found AS (SELECT doc_id, list(DISTINCT label) AS labels, max(n / size) AS score FROM m GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(base.n, 0)::BIGINT AS n_base, lo AS first_word, hi AS last_word,
+  coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(base.labels, found.labels))), ','), '') AS labels,
+  CASE WHEN base.n > 0 THEN 1.0 ELSE coalesce(found.score, 0) END::DOUBLE AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+
 _SECRET_SQL = _secret_sql()
 
 
@@ -88,5 +116,6 @@ FROM words d LEFT JOIN sized s USING (doc_id) JOIN (SELECT x AS doc_id, min(y) A
 JOIN (SELECT d.doc_id, CASE WHEN k.k IS NULL THEN d.doc_id ELSE min(d.doc_id) OVER (PARTITION BY k.k) END AS class_id
       FROM words d LEFT JOIN (SELECT doc_id, list_sort(list(s)) AS k FROM shingled GROUP BY doc_id) k USING (doc_id)) e USING (doc_id)
 """,
+    "op3_license_scan": _license_sql(),
     "op6_secret_scan": _SECRET_SQL,
 }
