@@ -88,6 +88,8 @@ def _window_batches(shingle: int, places: list[tuple[int, int, int]]) -> Callabl
                 words = Words(data, bounds, NON_ALPHANUMERIC)
                 hashes, at = words.shingles(shingle)
                 place, row = anchors(hashes)
+                if not len(place):
+                    continue
                 text = np.searchsorted(at, place, side="right") - 1
                 length = np.minimum(anchors.length[row], words.per_text[text])
                 start = np.clip(place - at[text] - anchors.offset[row], 0, words.per_text[text] - length)
@@ -129,10 +131,8 @@ def contaminated(
     items = scratch.save(benchmark_items(benchmark, shingle, item_id_col, item_text_col).where("item_id is not null"), "items")
     anchored = items.select("n_words", F.posexplode("item_shingles").alias("offset", "shingle")).select("shingle", "n_words", "offset").distinct()
     places = [tuple(r) for r in anchored.collect()]
-    schema = "doc_id long, start_word long, n_words long, similarity double"
     if not places:
         return spark.createDataFrame([], "doc_id long, item_id long, start_word long, n_words long, similarity double")
-    del schema
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     windows = rows.mapInArrow(_window_batches(shingle, places), "doc_id long, start_word long, n_words long, print long, shingles array<long>, keys array<long>")
     windows = scratch.save(windows, "windows")
