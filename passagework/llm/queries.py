@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from passagework.llm import byte_bpe, decontaminate, license_scan, secret_scan
+from passagework.llm import byte_bpe, decontaminate, license_scan, quality, secret_scan, toxicity, url_filter
 from passagework.llm.minhash_dedup import near_duplicates
 
 
@@ -30,6 +30,11 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_labels(_table(spark, sf_dir, "documents"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all pages' urls."""
+    return url_filter.url_verdicts(_table(spark, sf_dir, "pages"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents, and digests of their ids and of the ids' bytes."""
     return byte_bpe.round_trip_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -40,7 +45,19 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_dedup, op2_decontaminate, op3_license_scan, op5_byte_bpe, op6_secret_scan)}
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents; a document's source is its host and its language the path there."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    return quality.quality_scores(docs, quality.fit_quality(docs, labels), F.col("source"), F.col("lang"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    return toxicity.toxicity_scores(docs, toxicity.fit_toxicity(docs, labels))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_dedup, op2_decontaminate, op3_license_scan, op4_url_filter, op5_byte_bpe, op6_secret_scan, op7_quality, op9_toxicity)}
 
 def _secret_sql() -> str:
     kinds = [*secret_scan.BASE_KINDS, ("entropy", secret_scan.CANDIDATE.replace("(?<![A-Za-z0-9+/_-])", ""), 0, 20)]
@@ -96,7 +113,38 @@ FROM d LEFT JOIN base USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
 
-_SECRET_SQL = _secret_sql()
+def _url_sql(rounds: int = 12, damping: float = 0.85, parent_weight: float = 0.1, threshold: float = 0.5) -> str:
+    """The rounds of both rankings, written out."""
+    fits = "(host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '{1}')"
+    rules = sorted(url_filter.RULES, key=lambda r: -len(r[0] + r[1]))
+    case = lambda value: "CASE " + " ".join(f"WHEN {fits.format(*r)} THEN '{value(r)}'" for r in rules) + " END"
+    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    host = lambda c: lower.format(f"regexp_extract(coalesce({c}, ''), '(?s)^.*?://([^/?#]*)', 1)")
+    ctes = []
+    for name, seed, edges in (("trust", "allow", "edges"), ("distrust", "block", "back")):
+        ctes.append(f"{name}_0 AS MATERIALIZED (SELECT host, {seed} / (SELECT sum({seed}) FROM counts) AS rank FROM counts WHERE {seed} > 0)")
+        for i in range(1, rounds + 1):
+            ctes.append(
+                f"{name}_{i} AS MATERIALIZED (SELECT host, sum(rank) AS rank FROM (SELECT dst AS host, {damping} * rank * share AS rank FROM {name}_{i - 1} JOIN {edges} ON src = host"
+                f" UNION ALL SELECT host, {1 - damping} * rank FROM {name}_0) GROUP BY host)"
+            )
+    return rf"""
+WITH p AS MATERIALIZED (SELECT page_id, {host("url")} AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, html FROM pages),
+j AS MATERIALIZED (SELECT page_id, host, path, {case(lambda r: r[0] + r[1])} AS rule, {case(lambda r: r[2])} AS ruled FROM p),
+counts AS MATERIALIZED (SELECT host, count(*) FILTER (ruled = 'allow') AS allow, count(*) FILTER (ruled = 'block') AS block FROM j WHERE host <> '' GROUP BY host),
+parent AS (SELECT host AS src, regexp_replace(host, '^[^.]*\.', '') AS dst FROM counts),
+near AS (SELECT src, dst, {parent_weight} AS weight FROM parent WHERE dst LIKE '%.%' AND dst <> src),
+links AS (SELECT host AS src, {host("link")} AS dst FROM (SELECT host, unnest(regexp_extract_all(coalesce(html, ''), '(?i)(?:href|src)\s*=\s*["'']?([a-z][a-z0-9+.-]*://[^"''\s<>]+)', 1)) AS link FROM p)),
+linked AS (SELECT src, dst, count(*) AS weight FROM links WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY ALL),
+raw AS MATERIALIZED (SELECT src, dst, sum(weight)::DOUBLE AS weight FROM (SELECT * FROM linked UNION ALL SELECT * FROM near UNION ALL SELECT dst, src, weight FROM near) GROUP BY ALL),
+edges AS MATERIALIZED (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM raw),
+back AS MATERIALIZED (SELECT dst AS src, src AS dst, weight / sum(weight) OVER (PARTITION BY dst) AS share FROM raw),
+{", ".join(ctes)},
+hosts AS (SELECT host, sum(t) AS t, sum(d) AS d FROM (SELECT host, rank AS t, 0 AS d FROM trust_{rounds} UNION ALL SELECT host, 0, rank FROM distrust_{rounds}) GROUP BY host),
+scored AS (SELECT j.*, round(coalesce(t / nullif(t + d, 0), 1), 9) AS host_score FROM j LEFT JOIN hosts USING (host))
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN host_score < {threshold} THEN 'block' ELSE 'allow' END) AS verdict, host_score FROM scored
+"""
+
 
 
 ORACLE_SQL: dict[str, str] = {
@@ -122,5 +170,6 @@ JOIN (SELECT d.doc_id, CASE WHEN k.k IS NULL THEN d.doc_id ELSE min(d.doc_id) OV
       FROM words d LEFT JOIN (SELECT doc_id, list_sort(list(s)) AS k FROM shingled GROUP BY doc_id) k USING (doc_id)) e USING (doc_id)
 """,
     "op3_license_scan": _license_sql(),
-    "op6_secret_scan": _SECRET_SQL,
+    "op4_url_filter": _url_sql(),
+    "op6_secret_scan": _secret_sql(),
 }

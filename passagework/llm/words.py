@@ -70,8 +70,16 @@ class Words:
         powers, inverses = _powers(n)
         sums = np.zeros(len(data) + 1, dtype=np.uint64)
         np.cumsum(_byte_values()[data] * powers[: len(data)], out=sums[1:])
-        raw = (sums[self.end] - sums[self.start]) * inverses[self.start]
-        self.hash = mix(raw + (self.end - self.start).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+        self._sums, self._inverses = sums, inverses
+        self.hash = self._hash(self.end)
+
+    def _hash(self, end: np.ndarray) -> np.ndarray:
+        raw = (self._sums[end] - self._sums[self.start]) * self._inverses[self.start]
+        return mix(raw + (end - self.start).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+
+    def stem_hash(self, size: int) -> np.ndarray:
+        """A hash of each word's first ``size`` bytes, unlike any word's own."""
+        return mix(self._hash(np.minimum(self.start + size, self.end)) + np.uint64(size))
 
     def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(hashes, bounds by text) of all runs of k words in order; a text of 1 to k-1 words gives its whole sequence."""
