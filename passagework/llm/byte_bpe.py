@@ -340,7 +340,11 @@ def _encode_batches(ranks_path: str) -> Callable:
         for batch in batches:
             for a, b, data, bounds in text_chunks(batch.column(1)):
                 ids, at = bpe.encode(data, bounds)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))], names=["doc_id", "ids"])
+                raw, ends = bpe.decode(ids, at)
+                whole, given = raw.tobytes(), data.tobytes()
+                exact = [whole[i:j] == given[x:y] for i, j, x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                columns = [batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids)), pa.array(exact, pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "exact"])
 
     return run
 
@@ -380,13 +384,13 @@ def _pairs(df: DataFrame, id_col: str, value_col: str) -> DataFrame:
 
 
 def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids) of each row: its whole text's token ids, without special tokens.
+    """(doc_id, ids, exact) of each row: its whole text's token ids, without special tokens, and whether they decode to it.
 
     Texts are cut into pieces by the pre-tokeniser's pattern. Distinct pieces are put into padded matrices by length;
     each round every row merges its leftmost pair of least rank. A null or empty text has no ids; null ids and repeated
     rows are kept; an empty table gives no rows; other columns are ignored. Rows need no others: nothing is shuffled.
     """
-    return _pairs(docs, id_col, text_col).mapInArrow(_encode_batches(ranks_path), "doc_id long, ids array<int>")
+    return _pairs(docs, id_col, text_col).mapInArrow(_encode_batches(ranks_path), "doc_id long, ids array<int>, exact boolean")
 
 
 def decode(tokens: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

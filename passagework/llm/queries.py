@@ -7,8 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from passagework.llm import byte_bpe, decontaminate, license_scan, quality, secret_scan, toxicity, url_filter
+from passagework.llm import byte_bpe, decontaminate, embedding_dedup, license_scan, quality, secret_scan, token_counts, toxicity, url_filter
 from passagework.llm.minhash_dedup import near_duplicates
+from passagework.llm.scratch import Scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,13 +52,24 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(docs, quality.fit_quality(docs, labels), F.col("source"), F.col("lang"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate vectors within each label."""
+    return embedding_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     return toxicity.toxicity_scores(docs, toxicity.fit_toxicity(docs, labels))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_dedup, op2_decontaminate, op3_license_scan, op4_url_filter, op5_byte_bpe, op6_secret_scan, op7_quality, op9_toxicity)}
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents, from the flat token files that they are written to first."""
+    files = token_counts.flat_token_files(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return token_counts.document_token_counts(Scratch(spark).save(files, "tokens"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_dedup, op2_decontaminate, op3_license_scan, op4_url_filter, op5_byte_bpe, op6_secret_scan, op7_quality, op8_embedding_dedup, op9_toxicity, op10_token_counts)}
 
 def _secret_sql() -> str:
     kinds = [*secret_scan.BASE_KINDS, ("entropy", secret_scan.CANDIDATE.replace("(?<![A-Za-z0-9+/_-])", ""), 0, 20)]
@@ -172,4 +184,17 @@ JOIN (SELECT d.doc_id, CASE WHEN k.k IS NULL THEN d.doc_id ELSE min(d.doc_id) OV
     "op3_license_scan": _license_sql(),
     "op4_url_filter": _url_sql(),
     "op6_secret_scan": _secret_sql(),
+    "op8_embedding_dedup": r"""
+WITH RECURSIVE v AS MATERIALIZED (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e, embedding IS NOT NULL AND len(embedding) > 0 AND label IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS sound FROM embeddings
+), linked AS MATERIALIZED (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND a.sound AND b.sound AND len(a.e) = len(b.e)
+  WHERE list_inner_product(a.e, b.e) / (sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e))) >= 0.98
+), reach(x, y) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.x, l.y FROM reach r JOIN linked l ON l.x = r.y)
+SELECT v.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept, class_id
+FROM v LEFT JOIN (SELECT x AS vec_id, count(*) AS n FROM linked GROUP BY x) USING (vec_id)
+JOIN (SELECT x AS vec_id, min(y) AS component_id FROM reach GROUP BY x) USING (vec_id)
+JOIN (SELECT vec_id, CASE WHEN sound THEN min(vec_id) OVER (PARTITION BY sound, label, e) ELSE vec_id END AS class_id FROM v) USING (vec_id)
+""",
 }
