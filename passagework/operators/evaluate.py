@@ -98,4 +98,4 @@ def fit_platt(rows: DataFrame, score: str, truth: str, epochs: int = 2000, rate:
     for _ in range(epochs):
         gap = n / (1 + np.exp(-(a * x + b))) - y
         a, b = a - rate * ((gap * x).sum() / total + l2 * a), b - rate * gap.sum() / total
-    return a, b
+    return float(a), float(b)

@@ -30,10 +30,11 @@ def floor_percentiles(rows: DataFrame, group: list[str], value: str, at: dict[st
     """
     held = rows.where(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("_v"))
     edges = held.groupBy(*group).agg(F.count("*").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    edges = edges.select(*(F.col(g).alias(f"_e{i}") for i, g in enumerate(group)), "_n", "_low", "_high")
     width = F.col("_high") - F.col("_low")
     cell = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_low")) / width * 1024), F.lit(1023))).otherwise(F.lit(0)).cast("int")
-    join = [held[g].eqNullSafe(edges[g]) for g in group]
-    placed = (held.join(F.broadcast(edges), join) if group else held.crossJoin(F.broadcast(edges))).select(*(held[g] for g in group), "_v", "_n", cell.alias("_cell"))
+    met = held.join(edges, [F.col(g).eqNullSafe(F.col(f"_e{i}")) for i, g in enumerate(group)]) if group else held.crossJoin(F.broadcast(edges))
+    placed = met.select(*group, "_v", "_n", cell.alias("_cell"))
     values = placed.groupBy(*group, "_cell", "_v").agg(F.count("*").alias("_c"), F.max("_n").alias("_n"))
     cells = values.groupBy(*group, "_cell").agg(F.sum("_c").alias("_in"), F.max("_n").alias("_n"))
     before = F.sum("_in").over(Window.partitionBy(*group).orderBy("_cell")) - F.col("_in")
@@ -41,7 +42,7 @@ def floor_percentiles(rows: DataFrame, group: list[str], value: str, at: dict[st
     target = cells.withColumn("_before", before).select("*", wanted.alias("_w")).withColumn("_place", F.floor(F.col("_n") * F.col("_w.p")) - F.col("_before")).where("_place >= 0 and _place < _in")
     target = target.select(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(group)), F.col("_cell").alias("_at"), F.col("_w.name").alias("_name"), "_place")
     same = [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)] + [F.col("_cell") == F.col("_at")]
-    near = values.join(F.broadcast(target), same)
+    near = values.join(target, same)
     ordered = Window.partitionBy(*group, "_name").orderBy("_v")
     found = near.withColumn("_to", F.sum("_c").over(ordered)).where("_to > _place and _to - _c <= _place")
     picks = [F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in at]

@@ -484,7 +484,7 @@ def hourly_series(spark, sf_dir):
 
 @register(
     f"""WITH {ROUTING}, c AS (SELECT least(trunc(confidence / (1.0::DOUBLE / 20))::INT, 19) AS bin, count(*) AS n FROM routing GROUP BY ALL)
-    SELECT b.bin::INT AS bin, round(b.bin * 0.05, 3) AS low, round((b.bin + 1) * 0.05, 3) AS high, coalesce(n, 0) AS n FROM range(20) b(bin) LEFT JOIN c USING (bin)"""
+    SELECT b.bin::INT AS bin, round(b.bin * 0.05::DOUBLE, 3) AS low, round((b.bin + 1) * 0.05::DOUBLE, 3) AS high, coalesce(n, 0) AS n FROM range(20) b(bin) LEFT JOIN c USING (bin)"""
 )
 def confidence_histogram(spark, sf_dir):
     return telemetry.confidence_histogram(routing(spark, sf_dir))
@@ -525,10 +525,10 @@ def sliding_load(spark, sf_dir):
 
 @register(
     f"""WITH {BM25_BASE}, {bm25_cte("hits", 10)}, got AS (SELECT query_id, list(chunk_id ORDER BY rank) AS l FROM hits GROUP BY ALL), gold AS (SELECT item_id AS query_id, list(doc_id) AS g FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY ALL),
-    j AS (SELECT query_id, l, coalesce(g, []) AS g, list_filter(list_transform(l, lambda x, i: CASE WHEN list_contains(g, x) THEN i END), lambda i: i IS NOT NULL) AS at FROM got LEFT JOIN gold USING (query_id))
-    SELECT query_id, (len(at) > 0)::INT::DOUBLE AS hit, round(coalesce(1.0 / list_min(at), 0), 6) AS reciprocal_rank, round(len(list_filter(at, lambda i: i <= 5)) / 5, 6) AS precision_at_k,
-      round(CASE WHEN len(g) = 0 THEN 1 ELSE len(list_filter(at, lambda i: i <= len(g))) / len(g) END, 6) AS precision_at_r, round(CASE WHEN len(g) = 0 THEN 1 ELSE len(list_intersect(g, l)) / len(g) END, 6) AS recall FROM
-      (SELECT query_id, l, g, coalesce(at, []) AS at FROM j)"""
+    j AS (SELECT query_id, l, coalesce(g, []) AS g, list_filter(list_transform(l, lambda x, i: CASE WHEN list_contains(g, x) THEN i END), lambda i: i IS NOT NULL) AS spots FROM got LEFT JOIN gold USING (query_id))
+    SELECT query_id, (len(spots) > 0)::INT::DOUBLE AS hit, round(coalesce(1.0::DOUBLE / list_min(spots), 0), 6) AS reciprocal_rank, round(len(list_filter(spots, lambda i: i <= 5)) / 5, 6) AS precision_at_k,
+      round(CASE WHEN len(g) = 0 THEN 1 ELSE len(list_filter(spots, lambda i: i <= len(g))) / len(g) END, 6) AS precision_at_r, round(CASE WHEN len(g) = 0 THEN 1 ELSE len(list_intersect(g, l)) / len(g) END, 6) AS recall FROM
+      (SELECT query_id, l, g, coalesce(spots, []) AS spots FROM j)"""
 )
 def retrieval_metrics(spark, sf_dir):
     """BM25's ten best chunks of each question against the documents that hold it word for word."""
@@ -638,7 +638,7 @@ def evidence_scores(spark, sf_dir):
 def best_passages(spark, sf_dir):
     """The sentence of each page that answers a common question best."""
     rows = table(spark, sf_dir, "pages").select("page_id", F.lit("what is the").alias("query"), readers.html_text_builtin(F.col("html")).alias("text"))
-    return evidence.best_passages(rows.withColumn("query", F.lit("which that with from have they")))
+    return evidence.best_passages(rows)
 
 
 # -- trees and streams
