@@ -124,7 +124,8 @@ def near_vectors(
     n_links needs every linked pair of classes: a dense group of unequal vectors costs its number of links, no more.
     """
     scratch = Scratch(vectors.sparkSession)
-    named = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), F.col(label_col).alias("label"))
+    kept = "array<float>" if dict(vectors.dtypes)[vector_col] == "array<float>" else "array<double>"  # as narrow as given; compared in double
+    named = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kept).alias("vector"), F.col(label_col).alias("label"))
     sound = F.expr("""id is not null and label is not null and vector is not null and size(vector) > 0
         and forall(vector, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(vector, x -> x <> 0)""")
     same = ["label", "print_a", "print_b"]
@@ -134,7 +135,7 @@ def near_vectors(
     resident = keys.select("label", F.col("rep").alias("b"), F.explode("own").alias("key"))
     prober = keys.select("label", F.col("rep").alias("a"), F.explode(F.concat("own", "probed")).alias("key"))
     met = prober.join(resident, ["label", "key"]).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    sides = met.join(classes.select(F.col("rep").alias("a"), F.col("vector").alias("x"), F.col("copies").alias("copies_a")), "a")
+    sides = met.join(classes.select(F.col("rep").alias("a"), F.col("vector").alias("x")), "a")
     sides = sides.join(classes.select(F.col("rep").alias("b"), F.col("vector").alias("y")), "b").where("size(x) = size(y)").select("a", "b", "x", "y")
     links = scratch.save(sides.mapInArrow(_cosine_batches, "a long, b long, cosine double").where(F.col("cosine") >= cosine).select("a", "b"), "links")
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
