@@ -105,7 +105,7 @@ def html_text_builtin(html: Column) -> Column:
     """The same by built-in functions, for well-formed pages: tags go, the five common entities are resolved."""
     t = F.coalesce(html, F.lit(""))
     for name in DROPPED_ELEMENTS:
-        t = F.regexp_replace(t, rf"(?is)<{name}\b[^>]*>.*?</{name}\s*>", " ")
+        t = F.regexp_replace(t, rf"(?is)<{name}\b[^>]*>.*?</{name}\s*>", "\x00")
     t = F.regexp_replace(F.regexp_replace(t, r"(?s)<!--.*?-->|<!DOCTYPE[^>]*>", ""), r"(?s)<[^>]+>", "\x00")
     for entity, mark in (("&nbsp;", "\xa0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"), ("&#39;", "'"), ("&amp;", "&")):
         t = F.replace(t, F.lit(entity), F.lit(mark))
