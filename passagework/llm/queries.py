@@ -10,62 +10,59 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from passagework.llm import byte_bpe, decontaminate, embedding_dedup, license_scan, quality, secret_scan, token_counts, toxicity, url_filter
 from passagework.llm.minhash_dedup import near_duplicates
 from passagework.llm.scratch import Scratch
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from passagework.plans.tables import texts
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents on 4-word shingles."""
-    return near_duplicates(_table(spark, sf_dir, "documents"), shingle=4)
+    return near_duplicates(texts(spark, sf_dir, "documents"), shingle=4)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items that documents hold."""
-    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return decontaminate.contaminated(texts(spark, sf_dir, "documents"), texts(spark, sf_dir, "benchmark"))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License labels of all documents."""
-    return license_scan.license_labels(_table(spark, sf_dir, "documents"))
+    return license_scan.license_labels(texts(spark, sf_dir, "documents"))
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts on all pages' urls."""
-    return url_filter.url_verdicts(_table(spark, sf_dir, "pages"))
+    return url_filter.url_verdicts(texts(spark, sf_dir, "pages"))
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents, and digests of their ids and of the ids' bytes."""
-    return byte_bpe.round_trip_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return byte_bpe.round_trip_digests(texts(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret spans of all documents."""
-    return secret_scan.secret_report(_table(spark, sf_dir, "documents"))
+    return secret_scan.secret_report(texts(spark, sf_dir, "documents"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents; a document's source is its host and its language the path there."""
-    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    docs, labels = texts(spark, sf_dir, "documents"), texts(spark, sf_dir, "labels")
     return quality.quality_scores(docs, quality.fit_quality(docs, labels), F.col("source"), F.col("lang"))
 
 
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate vectors within each label."""
-    return embedding_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
+    return embedding_dedup.near_vectors(texts(spark, sf_dir, "embeddings"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents."""
-    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    docs, labels = texts(spark, sf_dir, "documents"), texts(spark, sf_dir, "labels")
     return toxicity.toxicity_scores(docs, toxicity.fit_toxicity(docs, labels))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents, from the flat token files that they are written to first."""
-    files = token_counts.flat_token_files(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    files = token_counts.flat_token_files(texts(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return token_counts.document_token_counts(Scratch(spark).save(files, "tokens"))
 
 
