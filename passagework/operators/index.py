@@ -23,9 +23,17 @@ def corpus_stats(lengths: DataFrame) -> DataFrame:
     return lengths.agg(F.count("*").alias("n_chunks"), F.avg("length").alias("mean_length"))
 
 
+def document_frequencies(chunks: DataFrame, text_col: str = "text") -> DataFrame:
+    """(term, df). A task sums its chunks' distinct words before the shuffle, which then has a row for each task and term."""
+    return chunks.select(F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
 def term_stats(posting_rows: DataFrame, lengths: DataFrame, epsilon: float = 0.25) -> DataFrame:
-    """(term, df, idf). idf = ln(N - df + 0.5) - ln(df + 0.5); where negative, ``epsilon`` times the mean over all terms."""
-    df = posting_rows.groupBy("term").agg(F.count("*").alias("df"))
+    """(term, df, idf) from postings, or from (term, df).
+
+    idf = ln(N - df + 0.5) - ln(df + 0.5); where negative, ``epsilon`` times the mean over all terms.
+    """
+    df = posting_rows if "df" in posting_rows.columns else posting_rows.groupBy("term").agg(F.count("*").alias("df"))
     raw = df.crossJoin(F.broadcast(corpus_stats(lengths).select("n_chunks"))).withColumn("raw", F.expr("ln(n_chunks - df + 0.5) - ln(df + 0.5)"))
     mean = raw.agg(F.avg("raw").alias("mean_idf"))
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from passagework.functions.text import tokens
-from passagework.operators.index import chunk_lengths, corpus_stats, postings, term_stats
+from passagework.operators.index import chunk_lengths, corpus_stats, document_frequencies, term_stats
 
 #: The vectors of so many queries go to the tasks at once; a larger batch is to be given in parts.
 MOST_QUERIES = 20_000
@@ -21,24 +21,42 @@ def ranked(scored: DataFrame, k: int, *order: Column) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
+def _weights(queries: DataFrame, terms: DataFrame) -> DataFrame:
+    """(query_id, term, weight): idf times how often a query has the word."""
+    asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    return asked.join(terms, "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("weight"))
+
+
+def _best(counted: DataFrame, weighted: DataFrame, world: DataFrame, k: int, k1: float, b: float) -> DataFrame:
+    """The k best of (chunk_id, term, tf, length) by the queries' weights."""
+    parts = counted.join(weighted, "term").crossJoin(F.broadcast(world.select("mean_length")))
+    score = F.expr(f"weight * tf * ({k1} + 1) / (tf + {k1} * (1 - {b} + {b} * length / mean_length))")
+    scored = parts.withColumn("part", score).groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"))
+    return ranked(scored, k, F.desc(F.round("score", 9)), F.asc("chunk_id")).where("score > 0").select("query_id", "chunk_id", "score", "rank")
+
+
 def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, kinds: list[str] | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank): the k best chunks of each query (columns query_id, query) by Okapi BM25.
 
     A query's repeated words count as often as they stand. Statistics cover all chunks; ``kinds`` restricts the
-    candidates before the cut. Ties: the smaller chunk_id. Scores of 0 or less are dropped after the cut. Only postings
-    of the queries' words meet the queries, whose words are grouped first.
+    candidates before the cut. Ties: the smaller chunk_id. Scores of 0 or less are dropped after the cut. Words that no
+    query has are dropped where the chunks are read; counts and lengths of the others are all that is shuffled.
     """
     lengths = chunk_lengths(chunks)
-    every = postings(chunks)
-    terms = term_stats(every, lengths)
-    asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    weighted = asked.join(terms, "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("weight"))
-    if kinds is not None:
-        every = every.join(chunks.where(F.col("node_type").isin(kinds)).select("chunk_id"), "chunk_id", "left_semi")
-    parts = every.join(weighted, "term").join(lengths, "chunk_id").crossJoin(F.broadcast(corpus_stats(lengths).select("mean_length")))
-    score = F.expr(f"weight * tf * ({k1} + 1) / (tf + {k1} * (1 - {b} + {b} * length / mean_length))")
-    scored = parts.withColumn("part", score).groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"))
-    return ranked(scored, k, F.desc(F.round("score", 9)), F.asc("chunk_id")).where("score > 0").select("query_id", "chunk_id", "score", "rank")
+    weighted = _weights(queries, term_stats(document_frequencies(chunks), lengths))
+    candidates = chunks if kinds is None else chunks.where(F.col("node_type").isin(kinds))
+    # the length is a column of its own before the explode, or it would be counted anew for each word
+    held = candidates.select("chunk_id", tokens(F.col("text")).alias("words")).select("chunk_id", F.size("words").alias("length"), "words")
+    words = held.select("chunk_id", "length", F.explode("words").alias("term"))
+    asked = queries.select(F.explode(F.array_distinct(tokens(F.col("query")))).alias("term")).distinct()
+    counted = words.join(asked, "term").groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    return _best(counted, weighted, corpus_stats(lengths), k, k1, b)
+
+
+def bm25_topk_indexed(index: dict[str, DataFrame], queries: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """bm25_topk() from the tables of load_index(): only the queries' words' postings are read on."""
+    counted = index["postings"].join(index["lengths"], "chunk_id")
+    return _best(counted, _weights(queries, index["terms"]), corpus_stats(index["lengths"]), k, k1, b)
 
 
 def _matrix(lists: pa.Array) -> np.ndarray:

@@ -10,7 +10,7 @@ from passagework.functions import detectors as D, display, evidence, queries as
 from passagework.operators import chunk, conversation, evaluate, index, pack, providers, rank, search, telemetry, tree
 from passagework.plans import retrieval
 from passagework.plans.shared import shared_folder
-from passagework.plans.tables import chunks, executions, questions, routing, table, turns
+from passagework.plans.tables import chunks, executions, questions, routing, table, texts, turns
 from passagework.sources import readers
 from passagework.streaming import live
 
@@ -84,12 +84,12 @@ def two_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(f"SELECT doc_id, md5({CLEAN.format('text')}) AS cleaned, length({CLEAN.format('text')})::BIGINT AS n_chars FROM documents")
 def clean_text(spark, sf_dir):
     cleaned = T.clean_text(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(cleaned).alias("cleaned"), F.length(cleaned).cast("long").alias("n_chars"))
+    return texts(spark, sf_dir, "documents").select("doc_id", F.md5(cleaned).alias("cleaned"), F.length(cleaned).cast("long").alias("n_chars"))
 
 
 @register(f"SELECT doc_id, len({WORDS.format('text')})::BIGINT AS n_words, CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, ceil(length(text) / 4.0)) END::BIGINT AS n_tokens FROM documents")
 def token_estimates(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("n_words"), T.token_estimate(F.col("text")).alias("n_tokens"))
+    return texts(spark, sf_dir, "documents").select("doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("n_words"), T.token_estimate(F.col("text")).alias("n_tokens"))
 
 
 @register(
@@ -98,7 +98,7 @@ def token_estimates(spark, sf_dir):
 )
 def sentence_units(spark, sf_dir):
     units = T.units(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(units).cast("long").alias("n_units"), F.md5(F.array_join(units, "|")).alias("units"))
+    return texts(spark, sf_dir, "documents").select("doc_id", F.size(units).cast("long").alias("n_units"), F.md5(F.array_join(units, "|")).alias("units"))
 
 
 def _page_sql() -> str:
@@ -109,7 +109,7 @@ def _page_sql() -> str:
 
 @register(_page_sql())
 def printed_pages(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.printed_page(F.col("text"), (F.col("doc_id") % 500 + 1).cast("int")).alias("page"))
+    return texts(spark, sf_dir, "documents").select("doc_id", T.printed_page(F.col("text"), (F.col("doc_id") % 500 + 1).cast("int")).alias("page"))
 
 
 def _shape_sql() -> str:
@@ -122,13 +122,13 @@ def _shape_sql() -> str:
 
 @register(_shape_sql())
 def text_shapes(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.text_shape(F.col("text")).alias("shape"))
+    return texts(spark, sf_dir, "documents").select("doc_id", T.text_shape(F.col("text")).alias("shape"))
 
 
 @register()
 def chunked_pages(spark, sf_dir):
     """Parent and child chunks of all documents."""
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "documents")
     return chunk.chunk_pages(docs.select(F.col("doc_id").alias("document_id"), F.col("source").alias("source_file"), F.lit(1).alias("physical_page"), "text"))
 
 
@@ -147,7 +147,7 @@ def page_windows(spark, sf_dir):
 def html_texts(spark, sf_dir):
     """Pages' visible text by built-in functions."""
     text = readers.html_text_builtin(F.col("html"))
-    return table(spark, sf_dir, "pages").select("page_id", F.length(text).cast("long").alias("n_chars"), F.md5(text).alias("text"))
+    return texts(spark, sf_dir, "pages").select("page_id", F.length(text).cast("long").alias("n_chars"), F.md5(text).alias("text"))
 
 
 @register(
@@ -532,7 +532,7 @@ def sliding_load(spark, sf_dir):
 )
 def retrieval_metrics(spark, sf_dir):
     """BM25's ten best chunks of each question against the documents that hold it word for word."""
-    asked, docs = questions(spark, sf_dir), table(spark, sf_dir, "documents")
+    asked, docs = questions(spark, sf_dir), texts(spark, sf_dir, "documents")
     got = search.bm25_topk(chunks(spark, sf_dir), asked, 10).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))).alias("l")).select("query_id", F.transform("l", lambda x: x["chunk_id"].cast("string")).alias("retrieved"))
     gold = docs.join(F.broadcast(asked), F.col("text").contains(F.col("query"))).groupBy("query_id").agg(F.collect_set(F.col("doc_id").cast("string")).alias("relevant"))
     out = evaluate.retrieval_metrics(got.join(gold, "query_id", "left"))
@@ -631,13 +631,13 @@ def _evidence_sql() -> str:
 def evidence_scores(spark, sf_dir):
     intent = F.element_at(F.array(*(F.lit(x) for x in ("definition", "comparison", "troubleshooting", "research"))), (F.col("page_id") % 4 + 1).cast("int"))
     concepts = F.array(F.lit("the page"), F.lit("der and"))
-    return table(spark, sf_dir, "pages").select("page_id", evidence.evidence_score(concepts, intent, F.left("html", F.lit(600)), F.col("url")).alias("score"))
+    return texts(spark, sf_dir, "pages").select("page_id", evidence.evidence_score(concepts, intent, F.left("html", F.lit(600)), F.col("url")).alias("score"))
 
 
 @register()
 def best_passages(spark, sf_dir):
     """The sentence of each page that answers a common question best."""
-    rows = table(spark, sf_dir, "pages").select("page_id", F.lit("what is the").alias("query"), readers.html_text_builtin(F.col("html")).alias("text"))
+    rows = texts(spark, sf_dir, "pages").select("page_id", F.lit("what is the").alias("query"), readers.html_text_builtin(F.col("html")).alias("text"))
     return evidence.best_passages(rows)
 
 

@@ -5,13 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over all cores where the files give fewer tasks than there are; larger inputs stay as they are read."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows take long to work on, as texts do."""
+    return spread(table(spark, sf_dir, name))
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as chunks: the source is the document, source and language the parent; a third of them are parents, a third summaries."""
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "documents")
     kind = F.when(F.col("doc_id") % 3 == 0, "raw").when(F.col("doc_id") % 3 == 1, "parent").otherwise("summary")
     return docs.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_id"), F.concat("source", F.lit("/"), "lang").alias("parent_id"), kind.alias("node_type"), (F.col("doc_id") % 2).cast("int").alias("level"), "text")
 

@@ -42,6 +42,9 @@ def test_index_tables(spark, tmp_path):
     held = index.load_index(spark, str(tmp_path))
     assert {(r.term, r.chunk_id, r.tf) for r in held["postings"].collect()} == {("x", "a", 2), ("y", "a", 1), ("y", "b", 1)}
     assert {r.term: r.df for r in held["terms"].collect()} == {"x": 1, "y": 2}
+    asked = spark.createDataFrame([(0, "x y"), (1, "z")], "query_id long, query string")
+    plain, indexed = search.bm25_topk(rows, asked, 5), search.bm25_topk_indexed(held, asked, 5)
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, indexed.collect()))
 
 
 def test_rrf_floor(spark):
