@@ -13,6 +13,8 @@ from passagework.llm.scratch import Scratch
 from passagework.llm.words import SPACES, Words, distinct_by_text, lists, mix, text_chunks
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+#: Buckets of more than LARGE classes are also dealt by each of the FINER next bands.
+LARGE, FINER = 32, 6
 _SALTS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344], dtype=np.uint64)
 
 
@@ -110,12 +112,26 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int, s
     return counted.where(F.expr(f"100 * n_both >= {percent} * n_union")).select("a", "b").distinct()
 
 
-def _members(classes: DataFrame) -> DataFrame:
-    """(key, doc, n, size) of buckets that hold more than one class."""
-    rows = classes.select("doc", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
+def _shared(rows: DataFrame) -> DataFrame:
+    """(key, doc, n, size) of the buckets that hold more than one class."""
     return rows.join(rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key")
 
 
+def _members(classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, doc, n, size) of shared buckets, and of the finer buckets of large ones.
+
+    A passage that many texts hold can fill a bucket with texts that share nothing else. Members of a bucket of more
+    than LARGE classes also meet in FINER buckets, each of which asks for one of the next bands besides: near
+    duplicates agree on most of these, others part.
+    """
+    rows = classes.select("doc", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
+    coarse = scratch.save(_shared(rows), "members-coarse")
+    large = coarse.where(F.col("size") > LARGE).select("key", "doc").join(classes.select("doc", F.col("n_shingles").alias("n"), "bands"), "doc")
+    place = F.array_position("bands", F.col("key")) - 1
+    finer = F.transform(F.sequence(F.lit(1), F.lit(FINER)), lambda j: F.xxhash64("key", F.get("bands", ((place + j) % F.size("bands")).cast("int"))))
+    return coarse.unionByName(_shared(large.select("doc", "n", F.explode(finer).alias("key"))))
+
+
 def _first_stars(members: DataFrame) -> DataFrame:
     meets = members.groupBy("doc").agg(F.sum("size").alias("meets"))
     hubs = members.join(meets, "doc").groupBy("key").agg(
@@ -127,7 +143,7 @@ def _first_stars(members: DataFrame) -> DataFrame:
 
 def _further_stars(members: DataFrame, component: DataFrame, turn: int) -> DataFrame:
     rows = members.where("size > 2").join(component.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    hubs = rows.groupBy("key").agg(F.max(F.struct(F.xxhash64("doc", F.lit(turn)).alias("order"), "doc", "n", "component")).alias("hub"), F.min("component").alias("low"), F.max("component").alias("high"))
+    hubs = rows.groupBy("key").agg(F.max(F.struct(F.xxhash64("doc", "key", F.lit(turn)).alias("order"), "doc", "n", "component")).alias("hub"), F.min("component").alias("low"), F.max("component").alias("high"))
     return rows.join(hubs.where("low < high").select("key", "hub"), "key").where("component <> hub.component")
 
 
@@ -139,7 +155,7 @@ def _candidate_pairs(stars: DataFrame, percent: int) -> DataFrame:
 
 def _linked(classes: DataFrame, texts: DataFrame, scratch: Scratch, shingle: int, percent: int, separators: bytes) -> DataFrame:
     """(node, component) of the classes that have links."""
-    members = scratch.save(_members(classes), "members")
+    members = scratch.save(_members(classes, scratch), "members")
     pairs = scratch.save(_candidate_pairs(_first_stars(members), percent), "pairs-0")
     tested, links, turn = pairs, scratch.save(_confirmed(pairs, texts, shingle, percent, separators), "links-0"), 0
     while True:
@@ -172,8 +188,8 @@ def near_duplicates(
     (class_id: its smallest id), compared once. Classes meet in ``bands`` buckets of bins / bands rows each: with 32
     bands of 4, a pair at 0.8 shares no bucket with probability 5e-8. In a bucket, edges form stars instead of all
     pairs: the hubs are the class that meets most others over all buckets (the source of a group of altered copies)
-    and the smallest id. Buckets that still hold more than one component get further stars with other hubs, for as
-    long as that joins any components.
+    and the smallest id. Members of large buckets also meet in finer ones (see _members). Buckets that still hold more
+    than one component get further stars with other hubs, for as long as that joins any components.
 
     Null, empty or wordless texts have no shingles and are their own components. A null id is linked with nothing:
     component_id and class_id are null and kept is true. Repeated rows are one class. If one id has several texts,
