@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from passagework.functions import detectors as D, display, evidence, queries as Q, text as T
+from passagework.functions import answers, detectors as D, display, evidence, queries as Q, text as T
 from passagework.operators import chunk, conversation, evaluate, index, pack, providers, rank, search, telemetry, tree
 from passagework.plans import retrieval
 from passagework.plans.shared import shared_folder
@@ -206,11 +206,12 @@ def kind_filter_after_search(spark, sf_dir):
     return search.filter_after_search(hits, ["raw"], 8).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
-@register("SELECT doc_id AS chunk_id, lang AS batch FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'new' FROM documents WHERE doc_id % 3 = 0 AND doc_id % 2 <> 0")
+@register("SELECT doc_id AS chunk_id, CASE WHEN lang = 'en' THEN 'old' ELSE 'new' END AS batch FROM documents")
 def insert_if_absent(spark, sf_dir):
+    """All documents put into an index that has the English ones."""
     docs = table(spark, sf_dir, "documents")
-    held = docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("chunk_id"), F.col("lang").alias("batch"))
-    return index.insert_if_absent(held, docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("chunk_id"), F.lit("new").alias("batch")))
+    held = docs.where("lang = 'en'").select(F.col("doc_id").alias("chunk_id"), F.lit("old").alias("batch"))
+    return index.insert_if_absent(held, docs.select(F.col("doc_id").alias("chunk_id"), F.lit("new").alias("batch")))
 
 
 @register("SELECT user_id, max_by(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY user_id")
@@ -584,6 +585,38 @@ def threshold_sweep(spark, sf_dir):
     return evaluate.threshold_sweep(rows, "said", "p", "gold", [i / 10 for i in range(1, 10)]).withColumn("accuracy", F.round("accuracy", 6))
 
 
+@register(
+    f"""WITH {BM25_BASE}, {bm25_cte("hits", 10)}, got AS (SELECT query_id, list((chunk_id % 40)::INT ORDER BY rank) AS l FROM hits GROUP BY ALL), j AS (SELECT query_id, l, [(query_id % 40)::INT, (query_id % 7)::INT] AS gold FROM got),
+    s AS (SELECT *, list_distinct(gold) AS g, list_filter(list_transform(l, lambda x, i: CASE WHEN list_contains(gold, x) THEN i END), lambda i: i IS NOT NULL) AS spots, list_filter(l, lambda x, i: list_position(l, x) = i) AS pages FROM j)
+    SELECT query_id, (len(spots) > 0)::INT::DOUBLE AS page_hit, round(coalesce(1.0::DOUBLE / list_min(spots), 0), 6) AS page_reciprocal_rank, round(len(list_intersect(pages[1:len(g)], g)) / len(g), 6) AS page_precision_at_r,
+      round(len(list_intersect(pages, g)) / len(g), 6) AS page_recall FROM s"""
+)
+def page_metrics(spark, sf_dir):
+    """BM25's ten best chunks as pages, against two pages a question."""
+    got = search.bm25_topk(chunks(spark, sf_dir), questions(spark, sf_dir), 10).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))).alias("l"))
+    rows = got.select("query_id", F.transform("l", lambda x: (x["chunk_id"] % 40).cast("int")).alias("pages"), F.array((F.col("query_id") % 40).cast("int"), (F.col("query_id") % 7).cast("int")).alias("relevant_pages"))
+    out = evaluate.page_metrics(rows)
+    return out.select("query_id", "page_hit", *(F.round(c, 6).alias(c) for c in ("page_reciprocal_rank", "page_precision_at_r", "page_recall")))
+
+
+@register(
+    f"""WITH {TURNS}, g AS (SELECT conv_id, turn, q, lead(q) OVER (PARTITION BY conv_id ORDER BY turn) AS report FROM t)
+    SELECT conv_id, turn, len(list_filter(regexp_split_to_array(lower(q), '[.!?]'), lambda s: len(list_filter(regexp_split_to_array(s, '\\s+'), lambda w: length(w) > 4 AND contains(lower(coalesce(report, '')), w))) = 0))::INT AS n_gaps FROM g"""
+)
+def report_gaps(spark, sf_dir):
+    """How many sentences of a turn the next turn says nothing of."""
+    told = turns(spark, sf_dir).withColumn("report", F.lead("query").over(Window.partitionBy("conv_id").orderBy("turn")))
+    return told.select("conv_id", "turn", F.size(answers.gaps(F.split(F.lower("query"), "[.!?]", -1), F.col("report"))).alias("n_gaps"))
+
+
+@register()
+def prompt_contexts(spark, sf_dir):
+    """Contexts and sources for prompts, of all questions."""
+    held = chunks(spark, sf_dir).select(F.col("chunk_id").cast("string").alias("chunk_id"), (F.col("chunk_id") % 40).alias("page"), F.col("document_id").alias("source"), "text")
+    out = answers.prompt_contexts(packed_context(spark, sf_dir).join(held, "chunk_id"))
+    return out.select("query_id", F.length("context").alias("n_chars"), F.array_join("sources", ",").alias("sources"))
+
+
 @register()
 def stratified_split(spark, sf_dir):
     return evaluate.stratified_split(table(spark, sf_dir, "labels"), "toxic", "doc_id")
@@ -619,7 +652,7 @@ def source_credibility(spark, sf_dir):
 
 def _evidence_sql() -> str:
     overlap = lambda c: f"CASE WHEN contains(low, lower({c})) THEN 1.0 ELSE len(list_filter({WORDS.format(c)}, lambda w: contains(low, w))) / len({WORDS.format(c)}) END"
-    return f"""WITH p AS (SELECT page_id, lower(left(html, 600)) AS low, lower(url) AS link, ['definition', 'comparison', 'troubleshooting', 'research'][page_id % 4 + 1] AS intent FROM pages),
+    return f"""WITH p AS (SELECT page_id, lower(html) AS low, lower(url) AS link, ['definition', 'comparison', 'troubleshooting', 'research'][page_id % 4 + 1] AS intent FROM pages),
     s AS (SELECT *, {overlap("'the page'")} AS one, {overlap("'der and'")} AS two FROM p)
     SELECT page_id, greatest(0, least(100, least(floor(20 * one) + floor(20 * two), 40) + CASE WHEN {has("link", evidence.GOOD_DOMAINS)} THEN 30 ELSE 10 END + CASE
       WHEN intent = 'definition' THEN CASE WHEN {has("low", evidence.DEFINING)} THEN 30 ELSE 10 END
@@ -631,7 +664,7 @@ def _evidence_sql() -> str:
 def evidence_scores(spark, sf_dir):
     intent = F.element_at(F.array(*(F.lit(x) for x in ("definition", "comparison", "troubleshooting", "research"))), (F.col("page_id") % 4 + 1).cast("int"))
     concepts = F.array(F.lit("the page"), F.lit("der and"))
-    return texts(spark, sf_dir, "pages").select("page_id", evidence.evidence_score(concepts, intent, F.left("html", F.lit(600)), F.col("url")).alias("score"))
+    return texts(spark, sf_dir, "pages").select("page_id", evidence.evidence_score(concepts, intent, F.col("html"), F.col("url")).alias("score"))
 
 
 @register()
