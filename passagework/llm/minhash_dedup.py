@@ -13,8 +13,8 @@ from passagework.llm.scratch import Scratch
 from passagework.llm.words import SPACES, Words, distinct_by_text, lists, mix, text_chunks
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-#: Buckets of more than LARGE classes are also dealt by each of the FINER next bands.
-LARGE, FINER = 32, 6
+#: Strays of buckets of more than LARGE classes are also dealt by each of the FINER next bands. FURTHER: rounds of stars after the first.
+LARGE, FINER, FURTHER = 32, 6, 1
 _SALTS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344], dtype=np.uint64)
 
 
@@ -113,38 +113,46 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int, s
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """(key, doc, n, size) of the buckets that hold more than one class."""
+    """``rows`` (key, doc, n) of the buckets that hold more than one class, with their sizes."""
     return rows.join(rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key")
 
 
-def _members(classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, doc, n, size) of shared buckets, and of the finer buckets of large ones.
-
-    A passage that many texts hold can fill a bucket with texts that share nothing else. Members of a bucket of more
-    than LARGE classes also meet in FINER buckets, each of which asks for one of the next bands besides: near
-    duplicates agree on most of these, others part.
-    """
-    rows = classes.select("doc", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    coarse = scratch.save(_shared(rows), "members-coarse")
-    large = coarse.where(F.col("size") > LARGE).select("key", "doc").join(classes.select("doc", F.col("n_shingles").alias("n"), "bands"), "doc")
-    place = F.array_position("bands", F.col("key")) - 1
-    finer = F.transform(F.sequence(F.lit(1), F.lit(FINER)), lambda j: F.xxhash64("key", F.get("bands", ((place + j) % F.size("bands")).cast("int"))))
-    return coarse.unionByName(_shared(large.select("doc", "n", F.explode(finer).alias("key"))))
+def _members(classes: DataFrame) -> DataFrame:
+    """(key, doc, n, size, meets) of shared buckets; meets: how many classes a class meets over all of its buckets."""
+    rows = _shared(classes.select("doc", F.col("n_shingles").alias("n"), F.explode("bands").alias("key")))
+    return rows.join(rows.groupBy("doc").agg(F.sum("size").alias("meets")), "doc")
 
 
 def _first_stars(members: DataFrame) -> DataFrame:
-    meets = members.groupBy("doc").agg(F.sum("size").alias("meets"))
-    hubs = members.join(meets, "doc").groupBy("key").agg(
-        F.max(F.struct("meets", (-F.col("doc")).alias("order"), "doc", "n")).alias("central"), F.min(F.struct("doc", "n")).alias("least")
-    )
+    """Each member with the bucket's hubs: the class that meets most others, and the smallest."""
+    hubs = members.groupBy("key").agg(F.max(F.struct("meets", (-F.col("doc")).alias("order"), "doc", "n")).alias("central"), F.min(F.struct("doc", "n")).alias("least"))
     hub = F.explode(F.array_distinct(F.array(*(F.struct(f"{x}.doc", f"{x}.n") for x in ("central", "least")))))
     return members.join(hubs.select("key", hub.alias("hub")), "key")
 
 
-def _further_stars(members: DataFrame, component: DataFrame, turn: int) -> DataFrame:
-    rows = members.where("size > 2").join(component.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    hubs = rows.groupBy("key").agg(F.max(F.struct(F.xxhash64("doc", "key", F.lit(turn)).alias("order"), "doc", "n", "component")).alias("hub"), F.min("component").alias("low"), F.max("component").alias("high"))
-    return rows.join(hubs.where("low < high").select("key", "hub"), "key").where("component <> hub.component")
+def _random_stars(rows: DataFrame, turn: int, hubs: int = 3) -> DataFrame:
+    """Members with random hubs of their bucket that lie in other components; every bucket has hubs of its own."""
+    picks = [F.max(F.struct(F.xxhash64("doc", "key", F.lit(turn * hubs + i)).alias("order"), "doc", "n", "component")).alias(f"h{i}") for i in range(hubs)]
+    chosen = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), *picks).where("low < high")
+    return rows.join(chosen.select("key", F.explode(F.array(*(f"h{i}" for i in range(hubs)))).alias("hub")), "key").where("component <> hub.component").select("doc", "n", "hub")
+
+
+def _further_stars(members: DataFrame, classes: DataFrame, component: DataFrame, scratch: Scratch, turn: int) -> DataFrame:
+    """Stars of buckets that hold several components, and of the strays of large ones.
+
+    A passage that many texts hold, or a group of copies around one source, can fill a bucket so that two texts close
+    to each other alone never are hub and member. Members of a bucket of more than LARGE classes outside its central
+    class's component, the strays, are dealt by the FINER next bands besides: near duplicates agree on most of these.
+    """
+    labels = component.select(F.col("node").alias("doc"), "component")
+    rows = scratch.save(members.where("size > 2").join(labels, "doc", "left").withColumn("component", F.coalesce("component", "doc")), f"labelled-{turn}")
+    central = rows.where(F.col("size") > LARGE).groupBy("key").agg(F.max(F.struct("meets", (-F.col("doc")).alias("order"), "component")).alias("central"))
+    strays = rows.join(central, "key").where("component <> central.component").select("key", "doc", "component")
+    placed = strays.join(classes.select("doc", F.col("n_shingles").alias("n"), "bands"), "doc")
+    place = F.array_position("bands", F.col("key")) - 1
+    finer = F.transform(F.sequence(F.lit(1), F.lit(FINER)), lambda j: F.xxhash64("key", F.get("bands", ((place + j) % F.size("bands")).cast("int"))))
+    near = scratch.save(_shared(placed.select("doc", "n", "component", F.explode(finer).alias("key"))), f"strays-{turn}")
+    return _random_stars(rows, turn).unionByName(_random_stars(near, turn))
 
 
 def _candidate_pairs(stars: DataFrame, percent: int) -> DataFrame:
@@ -155,20 +163,19 @@ def _candidate_pairs(stars: DataFrame, percent: int) -> DataFrame:
 
 def _linked(classes: DataFrame, texts: DataFrame, scratch: Scratch, shingle: int, percent: int, separators: bytes) -> DataFrame:
     """(node, component) of the classes that have links."""
-    members = scratch.save(_members(classes, scratch), "members")
-    pairs = scratch.save(_candidate_pairs(_first_stars(members), percent), "pairs-0")
-    tested, links, turn = pairs, scratch.save(_confirmed(pairs, texts, shingle, percent, separators), "links-0"), 0
-    while True:
-        component = scratch.save(components(links, scratch), f"component-{turn}")
-        turn += 1
-        stars = _candidate_pairs(_further_stars(members, component, turn), percent)
+    members = scratch.save(_members(classes), "members")
+    tested = scratch.save(_candidate_pairs(_first_stars(members), percent), "pairs-0")
+    links = scratch.save(_confirmed(tested, texts, shingle, percent, separators), "links-0")
+    component = scratch.save(components(links, scratch), "component-0")
+    for turn in range(1, FURTHER + 1):
+        stars = _candidate_pairs(_further_stars(members, classes, component, scratch, turn), percent)
         pairs = scratch.save(stars.join(tested, ["a", "b"], "left_anti"), f"pairs-{turn}")
-        if pairs.isEmpty():
-            return component
         more = scratch.save(_confirmed(pairs, texts, shingle, percent, separators), f"links-{turn}")
         if more.isEmpty():
-            return component
+            break
         tested, links = tested.unionByName(pairs), links.unionByName(more)
+        component = scratch.save(components(links, scratch), f"component-{turn}")
+    return component
 
 
 def near_duplicates(
@@ -188,8 +195,8 @@ def near_duplicates(
     (class_id: its smallest id), compared once. Classes meet in ``bands`` buckets of bins / bands rows each: with 32
     bands of 4, a pair at 0.8 shares no bucket with probability 5e-8. In a bucket, edges form stars instead of all
     pairs: the hubs are the class that meets most others over all buckets (the source of a group of altered copies)
-    and the smallest id. Members of large buckets also meet in finer ones (see _members). Buckets that still hold more
-    than one component get further stars with other hubs, for as long as that joins any components.
+    and the smallest id. Buckets that hold several components after that get FURTHER rounds (one) of stars with three
+    random hubs each, and the strays of large ones meet in finer buckets (see _further_stars).
 
     Null, empty or wordless texts have no shingles and are their own components. A null id is linked with nothing:
     component_id and class_id are null and kept is true. Repeated rows are one class. If one id has several texts,
