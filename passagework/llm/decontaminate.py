@@ -14,6 +14,8 @@ from passagework.llm.words import NON_ALPHANUMERIC, Words, lists, mix, text_chun
 #: Fingerprints within RADIUS of 64 bits are found, all of them: of BLOCKS blocks, some block differs in one bit at most
 #: (RADIUS < 2 * BLOCKS). At a similarity of 0.8, 10 bits differ on average, and more than 24 once in some million pairs.
 RADIUS, BLOCKS, BITS = 24, 13, 5
+#: Places of items' shingles that go to the tasks at once.
+MOST_PLACES = 1_000_000
 
 
 def _simhash(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -123,19 +125,27 @@ def contaminated(
 
     An item or text shorter than ``shingle`` words is one run. Null or empty texts and items hold nothing; rows with a
     null id are not reported; repeated rows are reported once; empty tables give no rows; other columns are ignored.
-    The items' shingles go to every task: benchmarks have megabytes, the documents can have any size. Windows with
-    common passages are spread by document; only windows that share a run leave the task.
+    The items' shingles go to every task, MOST_PLACES of them at once; of a larger benchmark, parts of about that size
+    are looked for in turn. Windows with common passages are spread by document; only windows that share a run leave
+    the task.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
     items = scratch.save(benchmark_items(benchmark, shingle, item_id_col, item_text_col).where("item_id is not null"), "items")
-    anchored = items.select("n_words", F.posexplode("item_shingles").alias("offset", "shingle")).select("shingle", "n_words", "offset").distinct()
-    places = [tuple(r) for r in anchored.collect()]
-    if not places:
+    total = items.agg(F.coalesce(F.sum(F.size("item_shingles")), F.lit(0)).alias("n")).first()["n"]
+    if not total:
         return spark.createDataFrame([], "doc_id long, item_id long, start_word long, n_words long, similarity double")
+    parts = -(-total // MOST_PLACES)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    windows = rows.mapInArrow(_window_batches(shingle, places), "doc_id long, start_word long, n_words long, print long, shingles array<long>, keys array<long>")
-    windows = scratch.save(windows, "windows")
+    windows = None
+    for part in range(parts):
+        held = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part)
+        anchored = held.select("n_words", F.posexplode("item_shingles").alias("offset", "shingle")).select("shingle", "n_words", "offset").distinct()
+        places = [tuple(r) for r in anchored.collect()]
+        if places:
+            found = rows.mapInArrow(_window_batches(shingle, places), "doc_id long, start_word long, n_words long, print long, shingles array<long>, keys array<long>")
+            found = scratch.save(found, f"windows-{part}")
+            windows = found if windows is None else windows.unionByName(found)
     probes = items.select("item_id", "n_words", "item_print", F.explode(F.array_distinct("probes")).alias("key"))
     met = windows.select("doc_id", "start_word", "n_words", "print", F.explode("keys").alias("key")).join(probes, ["n_words", "key"])
     near = met.where(f"bit_count(print ^ item_print) <= {RADIUS}").select("doc_id", "start_word", "n_words", "item_id").distinct()

@@ -57,6 +57,14 @@ def test_planted_passages(spark):
     assert rows(contaminated(d, i)) == brute(docs, items)
 
 
+def test_benchmark_in_parts(spark, monkeypatch):
+    monkeypatch.setattr("passagework.llm.decontaminate.MOST_PLACES", 7)
+    docs = [(1, " ".join(["x"] * 9 + A + ["y"] + B)), (2, " ".join(A[:8]))]
+    items = [(i, " ".join(A if i % 2 else B)) for i in range(4)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert rows(contaminated(df, spark.createDataFrame(items, "item_id long, text string"))) == brute(docs, items)
+
+
 def test_empty_tables(spark):
     some = spark.createDataFrame([(1, " ".join(A))], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, item_id long, text string")
