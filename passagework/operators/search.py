@@ -108,8 +108,10 @@ def maxsim_topk(doc_units: DataFrame, query_units: DataFrame, k: int = 10) -> Da
     """(query_id, doc_id, score, rank): the mean over a query's units of the best product with any unit of a document.
 
     ``doc_units``: doc_id, vector; ``query_units``: query_id, unit, vector, of unit length. The best product is taken
-    where the documents' units are read.
+    where the documents' units are read. The queries' units go to all tasks: MOST_QUERIES of them at most.
     """
+    if query_units.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} query units: give them in parts")
     met = doc_units.crossJoin(F.broadcast(query_units.withColumnRenamed("vector", "query_vector"))).select("query_id", "doc_id", "unit", dot("vector", "query_vector").alias("s"))
     best = met.groupBy("query_id", "doc_id", "unit").agg(F.max("s").alias("s"))
     scored = best.groupBy("query_id", "doc_id").agg(F.avg("s").alias("score"))
