@@ -6,15 +6,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from passagework.llm.graph import components
 from passagework.llm.scratch import Scratch
 from passagework.llm.words import SPACES, Words, distinct_by_text, lists, mix, text_chunks
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-#: Strays of buckets of more than LARGE classes are also dealt by each of the FINER next bands. FURTHER: rounds of stars after the first.
-LARGE, FINER, FURTHER = 32, 6, 1
+#: Classes with DENSE candidates or more are compared in blocks of about BLOCK classes; a shingle's sets meet in parts of PART.
+DENSE, BLOCK, PART = 32, 128, 1000
 _SALTS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344], dtype=np.uint64)
 
 
@@ -130,35 +130,99 @@ def _first_stars(members: DataFrame) -> DataFrame:
     return members.join(hubs.select("key", hub.alias("hub")), "key")
 
 
-def _random_stars(rows: DataFrame, turn: int, hubs: int = 3) -> DataFrame:
-    """Members with random hubs of their bucket that lie in other components; every bucket has hubs of its own."""
-    picks = [F.max(F.struct(F.xxhash64("doc", "key", F.lit(turn * hubs + i)).alias("order"), "doc", "n", "component")).alias(f"h{i}") for i in range(hubs)]
-    chosen = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), *picks).where("low < high")
-    return rows.join(chosen.select("key", F.explode(F.array(*(f"h{i}" for i in range(hubs)))).alias("hub")), "key").where("component <> hub.component").select("doc", "n", "hub")
+def _candidate_pairs(stars: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a < b) of members and hubs; sets whose sizes alone rule a link out are left out."""
+    possible = f"doc <> hub.doc and 100 * least(n, hub.n) >= {percent} * greatest(n, hub.n)"
+    return stars.where(possible).select(F.least("doc", "hub.doc").alias("a"), F.greatest("doc", "hub.doc").alias("b")).distinct()
+
+
+def _set_batches(shingle: int, separators: bytes) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, bounds in text_chunks(batch.column(2)):
+                hashes, at = distinct_by_text(*Words(data, bounds, separators).shingles(shingle))
+                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes + _SALTS[0]), dtype=np.uint64)])
+                columns = [*(batch.column(i).slice(a, b - a) for i in range(2)), pa.array(np.diff(at)), pa.array((sums[at[1:]] - sums[at[:-1]]).view(np.int64)), lists(hashes, at)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc", "component", "n", "print", "shingles"])
 
+    return run
 
-def _further_stars(members: DataFrame, classes: DataFrame, component: DataFrame, scratch: Scratch, turn: int) -> DataFrame:
-    """Stars of buckets that hold several components, and of the strays of large ones.
 
-    A passage that many texts hold, or a group of copies around one source, can fill a bucket so that two texts close
-    to each other alone never are hub and member. Members of a bucket of more than LARGE classes outside its central
-    class's component, the strays, are dealt by the FINER next bands besides: near duplicates agree on most of these.
-    """
+def _unresolved(members: DataFrame, component: DataFrame) -> DataFrame:
+    """(id, component) of the classes in buckets that hold several components. Buckets of two are compared by their star."""
     labels = component.select(F.col("node").alias("doc"), "component")
-    rows = scratch.save(members.where("size > 2").join(labels, "doc", "left").withColumn("component", F.coalesce("component", "doc")), f"labelled-{turn}")
-    central = rows.where(F.col("size") > LARGE).groupBy("key").agg(F.max(F.struct("meets", (-F.col("doc")).alias("order"), "component")).alias("central"))
-    strays = rows.join(central, "key").where("component <> central.component").select("key", "doc", "component")
-    placed = strays.join(classes.select("doc", F.col("n_shingles").alias("n"), "bands"), "doc")
-    place = F.array_position("bands", F.col("key")) - 1
-    finer = F.transform(F.sequence(F.lit(1), F.lit(FINER)), lambda j: F.xxhash64("key", F.get("bands", ((place + j) % F.size("bands")).cast("int"))))
-    near = scratch.save(_shared(placed.select("doc", "n", "component", F.explode(finer).alias("key"))), f"strays-{turn}")
-    return _random_stars(rows, turn).unionByName(_random_stars(near, turn))
+    rows = members.where("size > 2").select("key", "doc").join(labels, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    mixed = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    return rows.join(mixed.select("key"), "key").select(F.col("doc").alias("id"), "component").distinct()
 
 
-def _candidate_pairs(stars: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a < b) of members and hubs; sets whose sizes alone rule a link out are left out."""
-    possible = f"doc <> hub.doc and 100 * least(n, hub.n) >= {percent} * greatest(n, hub.n)"
-    return stars.where(possible).select(F.least("doc", "hub.doc").alias("a"), F.greatest("doc", "hub.doc").alias("b")).distinct()
+def _prefix_pairs(unresolved: DataFrame, texts: DataFrame, scratch: Scratch, shingle: int, percent: int, separators: bytes) -> DataFrame:
+    """Every pair (a < b) of other components that can be linked: their sets share a shingle among each one's first.
+
+    Sets are ordered by how many hold a shingle, rare ones first. Of two linked sets, of n shingles each at least
+    ``percent`` % are common, so the first n - ceil(percent * n / 100) + 1 share one. Shingles of one set only come
+    first and pair nothing. Repeated rows of a class have equal ranks.
+    """
+    held = unresolved.join(texts, "id").select("id", "component", "text")
+    rows = held.mapInArrow(_set_batches(shingle, separators), "doc long, component long, n long, print long, shingles array<long>")
+    rows = scratch.save(rows.select("doc", "component", "n", "print", F.explode("shingles").alias("shingle")), "sets")
+    common = rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    of_set = Window.partitionBy("doc", "print")
+    ranks = rows.join(common, "shingle").withColumn("rank", F.dense_rank().over(of_set.orderBy("df", "shingle"))).withColumn("last", F.max("rank").over(of_set))
+    first = ranks.where(F.expr(f"n - last + rank <= n - ({percent} * n + 99) div 100 + 1")).select("shingle", "df", "doc", "component", "n").distinct()
+    first = scratch.save(first.withColumn("parts", F.expr(f"(df + {PART - 1}) div {PART}")).withColumn("own", F.pmod(F.xxhash64("doc"), "parts")), "prefixes")
+    others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    one = first.select("shingle", F.col("own").alias("i"), others.alias("j"), F.col("doc").alias("a"), F.col("component").alias("c_a"), F.col("n").alias("n_a"))
+    two = first.select("shingle", others.alias("i"), F.col("own").alias("j"), F.col("doc").alias("b"), F.col("component").alias("c_b"), F.col("n").alias("n_b"))
+    met = one.join(two, ["shingle", "i", "j"]).where(f"a < b and c_a <> c_b and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    return met.select("a", "b").distinct()
+
+
+def _block_links(shingle: int, percent: int, separators: bytes) -> Callable:
+    """Of a block of pairs, those whose full sets overlap enough. Each text is cut once; one pass marks a set in all others."""
+
+    def run(pairs: pa.Table, texts: pa.Table) -> pa.Table:
+        docs, sets = texts.column("doc").to_numpy(), []
+        for _, _, data, bounds in text_chunks(texts.column("text")):
+            hashes, at = distinct_by_text(*Words(data, bounds, separators).shingles(shingle))
+            sets += [hashes[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
+        size = np.array([len(x) for x in sets], dtype=np.int64)
+        at = np.concatenate([[0], np.cumsum(size)])
+        values, number = np.unique(np.concatenate(sets), return_inverse=True)
+        a, b = pairs.column("a").to_numpy(), pairs.column("b").to_numpy()
+        out: set[tuple[int, int]] = set()
+        for doc in np.unique(a):
+            wanted = b[a == doc]
+            for row in np.flatnonzero(docs == doc):
+                marked = np.zeros(len(values), dtype=bool)
+                marked[number[at[row] : at[row + 1]]] = True
+                sums = np.concatenate([[0], np.cumsum(marked[number])])
+                both = sums[at[1:]] - sums[at[:-1]]
+                near = docs[100 * both >= percent * (size[row] + size - both)]
+                out.update((int(doc), int(x)) for x in wanted[np.isin(wanted, near)])
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return run
+
+
+def _confirmed_dense(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int, separators: bytes) -> DataFrame:
+    """_confirmed() of pairs (a, b, i, j) by block, where a text goes once to each pair of blocks, not to each of its pairs."""
+    need = pairs.select(F.col("i").alias("k"), F.col("j").alias("l"), F.explode(F.array("a", "b")).alias("doc")).distinct()
+    held = need.join(texts.select(F.col("id").alias("doc"), "text"), "doc")
+    return pairs.groupBy("i", "j").cogroup(held.groupBy("k", "l")).applyInArrow(_block_links(shingle, percent, separators), "a long, b long")
+
+
+def _confirmed_all(pairs: DataFrame, texts: DataFrame, scratch: Scratch, shingle: int, percent: int, separators: bytes) -> DataFrame:
+    """_confirmed() where some classes may have very many pairs: those between two such classes are compared in blocks."""
+    dense = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count("*").alias("n")).where(f"n >= {DENSE}").select("doc"), "dense")
+    blocks = -(-dense.count() // BLOCK)
+    if not blocks:
+        return _confirmed(pairs, texts, shingle, percent, separators)
+    block = F.pmod(F.xxhash64("doc"), F.lit(blocks))
+    placed = pairs.join(dense.select(F.col("doc").alias("a"), block.alias("i")), "a", "left").join(dense.select(F.col("doc").alias("b"), block.alias("j")), "b", "left")
+    placed = scratch.save(placed.select("a", "b", "i", "j"), "placed")
+    sparse = _confirmed(placed.where("i is null or j is null").select("a", "b"), texts, shingle, percent, separators)
+    return sparse.unionByName(_confirmed_dense(placed.where("i is not null and j is not null"), texts, shingle, percent, separators))
 
 
 def _linked(classes: DataFrame, texts: DataFrame, scratch: Scratch, shingle: int, percent: int, separators: bytes) -> DataFrame:
@@ -167,15 +231,12 @@ def _linked(classes: DataFrame, texts: DataFrame, scratch: Scratch, shingle: int
     tested = scratch.save(_candidate_pairs(_first_stars(members), percent), "pairs-0")
     links = scratch.save(_confirmed(tested, texts, shingle, percent, separators), "links-0")
     component = scratch.save(components(links, scratch), "component-0")
-    for turn in range(1, FURTHER + 1):
-        stars = _candidate_pairs(_further_stars(members, classes, component, scratch, turn), percent)
-        pairs = scratch.save(stars.join(tested, ["a", "b"], "left_anti"), f"pairs-{turn}")
-        more = scratch.save(_confirmed(pairs, texts, shingle, percent, separators), f"links-{turn}")
-        if more.isEmpty():
-            break
-        tested, links = tested.unionByName(pairs), links.unionByName(more)
-        component = scratch.save(components(links, scratch), f"component-{turn}")
-    return component
+    unresolved = scratch.save(_unresolved(members, component), "unresolved")
+    pairs = scratch.save(_prefix_pairs(unresolved, texts, scratch, shingle, percent, separators).join(tested, ["a", "b"], "left_anti"), "pairs-1")
+    more = scratch.save(_confirmed_all(pairs, texts, scratch, shingle, percent, separators), "links-1")
+    if more.isEmpty():
+        return component
+    return scratch.save(components(links.unionByName(more), scratch), "component-1")
 
 
 def near_duplicates(
@@ -195,8 +256,9 @@ def near_duplicates(
     (class_id: its smallest id), compared once. Classes meet in ``bands`` buckets of bins / bands rows each: with 32
     bands of 4, a pair at 0.8 shares no bucket with probability 5e-8. In a bucket, edges form stars instead of all
     pairs: the hubs are the class that meets most others over all buckets (the source of a group of altered copies)
-    and the smallest id. Buckets that hold several components after that get FURTHER rounds (one) of stars with three
-    random hubs each, and the strays of large ones meet in finer buckets (see _further_stars).
+    and the smallest id. The classes of buckets that hold several components after that are joined exactly: every pair
+    of other components whose sets share a shingle of their prefixes is compared (see _prefix_pairs), so that no link
+    between classes that share a bucket is lost.
 
     Null, empty or wordless texts have no shingles and are their own components. A null id is linked with nothing:
     component_id and class_id are null and kept is true. Repeated rows are one class. If one id has several texts,

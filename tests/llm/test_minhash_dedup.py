@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from passagework.llm.graph import components
 from passagework.llm.minhash_dedup import _band_keys, _bin_minima, _densify, near_duplicates
@@ -61,6 +62,28 @@ def test_chain_of_copies(spark):
     assert result(near_duplicates(df, shingle=4)) == brute(docs, 4)
 
 
+@pytest.mark.parametrize("dense", [1, 1000])
+def test_pairs_far_from_every_hub(spark, monkeypatch, dense):
+    """Copies of one source that share too little with it and with each other, and pairs among them that share enough."""
+    monkeypatch.setattr("passagework.llm.minhash_dedup.DENSE", dense, raising=False)
+    monkeypatch.setattr("passagework.llm.minhash_dedup.PART", 50, raising=False)
+    rng = random.Random(11)
+    source = [f"s{i}" for i in range(120)]
+    docs = []
+    for group in range(240):
+        text = list(source)
+        for i in range(rng.randrange(8), 120, 13):
+            text[i] = f"own{group}-{i}"
+        docs.append((len(docs), " ".join(text)))
+        if group % 4 == 0:  # a near copy of this one only
+            docs.append((len(docs), " ".join(text[:-1] + [f"end{group}"])))
+    rng.shuffle(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    wanted = brute(docs, 4)
+    assert sum(kept for _, _, kept in wanted.values()) == 240
+    assert result(near_duplicates(df, shingle=4, bins=2, bands=1)) == wanted
+
+
 def test_odd_rows(spark):
     long = " ".join(f"x{i}" for i in range(30000))
     docs = [(1, None), (2, ""), (3, " \t\n"), (4, "One two"), (5, "one TWO"), (6, "one two three"), (7, long), (8, long + " end"), (9, "É é"), (10, "é é")]
