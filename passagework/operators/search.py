@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from passagework.functions.text import tokens
 from passagework.operators.index import chunk_lengths, corpus_stats, document_frequencies, term_stats
+from passagework.plans.shared import shared_folder
 
-#: The vectors of so many queries go to the tasks at once; a larger batch is to be given in parts.
+#: The vectors of about so many queries go to the tasks at once; of a larger batch, hash parts are searched in turn.
 MOST_QUERIES = 20_000
 
 
@@ -82,21 +83,39 @@ def _nearest_batches(ids: np.ndarray, vectors: np.ndarray, k: int) -> Callable:
     return run
 
 
+def _in_parts(queries: DataFrame, by: list[str], search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``search`` of hash parts of about MOST_QUERIES rows, each written to the shared folder; a small batch is one part."""
+    parts = -(-queries.count() // MOST_QUERIES)
+    if parts <= 1:
+        return search(queries)
+    spark, folder = queries.sparkSession, shared_folder(queries.sparkSession, "search")
+    out = None
+    for part in range(parts):
+        found = search(queries.where(F.pmod(F.xxhash64(*by), F.lit(parts)) == part))
+        found.write.parquet(f"{folder}/{part}")
+        found = spark.read.schema(found.schema).parquet(f"{folder}/{part}")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, chunk_id, score, rank): the k nearest vectors of each query by squared distance; score = 1 / (1 + d).
 
     ``vectors``: chunk_id, vector; ``queries``: query_id, vector; ids are long. Exact: every query meets every row, a
-    block at a time. Null vectors are left out. Ties (to 9 places): the smaller chunk_id.
+    block at a time, and about MOST_QUERIES queries at once. Null vectors are left out. Ties (to 9 places): the smaller
+    chunk_id.
     """
-    rows = queries.where("vector is not null").select("query_id", "vector").limit(MOST_QUERIES + 1).collect()
-    if len(rows) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries: give them in parts")
-    if not rows:
-        return queries.sparkSession.createDataFrame([], "query_id long, chunk_id long, score double, rank int")
-    ids, matrix = np.array([r["query_id"] for r in rows], dtype=np.int64), np.array([r["vector"] for r in rows], dtype=np.float64)
-    near = vectors.where("vector is not null").select(F.col("chunk_id").cast("long"), "vector").mapInArrow(_nearest_batches(ids, matrix, k), "query_id long, chunk_id long, distance double")
-    scored = near.withColumn("score", 1 / (1 + F.col("distance")))
-    return ranked(scored, k, F.desc(F.round("score", 9)), F.asc("chunk_id")).select("query_id", "chunk_id", "score", "rank")
+
+    def search(part: DataFrame) -> DataFrame:
+        rows = part.collect()
+        if not rows:
+            return part.sparkSession.createDataFrame([], "query_id long, chunk_id long, score double, rank int")
+        ids, matrix = np.array([r["query_id"] for r in rows], dtype=np.int64), np.array([r["vector"] for r in rows], dtype=np.float64)
+        near = vectors.where("vector is not null").select(F.col("chunk_id").cast("long"), "vector").mapInArrow(_nearest_batches(ids, matrix, k), "query_id long, chunk_id long, distance double")
+        scored = near.withColumn("score", 1 / (1 + F.col("distance")))
+        return ranked(scored, k, F.desc(F.round("score", 9)), F.asc("chunk_id")).select("query_id", "chunk_id", "score", "rank")
+
+    return _in_parts(queries.where("vector is not null").select("query_id", "vector"), ["query_id"], search)
 
 
 def dot(a: str, b: str) -> Column:
@@ -108,14 +127,17 @@ def maxsim_topk(doc_units: DataFrame, query_units: DataFrame, k: int = 10) -> Da
     """(query_id, doc_id, score, rank): the mean over a query's units of the best product with any unit of a document.
 
     ``doc_units``: doc_id, vector; ``query_units``: query_id, unit, vector, of unit length. The best product is taken
-    where the documents' units are read. The queries' units go to all tasks: MOST_QUERIES of them at most.
+    where the documents' units are read. About MOST_QUERIES of the queries' units go to all tasks at once; a query's
+    units may lie in several parts, which give sums.
     """
-    if query_units.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} query units: give them in parts")
-    met = doc_units.crossJoin(F.broadcast(query_units.withColumnRenamed("vector", "query_vector"))).select("query_id", "doc_id", "unit", dot("vector", "query_vector").alias("s"))
-    best = met.groupBy("query_id", "doc_id", "unit").agg(F.max("s").alias("s"))
-    scored = best.groupBy("query_id", "doc_id").agg(F.avg("s").alias("score"))
-    return ranked(scored, k, F.desc(F.round("score", 9)), F.asc("doc_id")).select("query_id", "doc_id", "score", "rank")
+
+    def search(part: DataFrame) -> DataFrame:
+        met = doc_units.crossJoin(F.broadcast(part.withColumnRenamed("vector", "query_vector"))).select("query_id", "doc_id", "unit", dot("vector", "query_vector").alias("s"))
+        best = met.groupBy("query_id", "doc_id", "unit").agg(F.max("s").alias("s"))
+        return best.groupBy("query_id", "doc_id").agg(F.sum("s").alias("total"), F.count("s").alias("n"))
+
+    sums = _in_parts(query_units, ["query_id", "unit"], search).groupBy("query_id", "doc_id").agg((F.sum("total") / F.nullif(F.sum("n"), F.lit(0))).alias("score"))
+    return ranked(sums, k, F.desc(F.round("score", 9)), F.asc("doc_id")).select("query_id", "doc_id", "score", "rank")
 
 
 def filter_after_search(hits: DataFrame, kinds: list[str], k: int) -> DataFrame:

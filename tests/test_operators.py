@@ -28,6 +28,21 @@ def test_bm25_formula(spark):
     assert [(r.chunk_id, pytest.approx(r.score)) for r in got] == [(-i, s) for s, i in wanted if s > 0]
 
 
+def test_many_queries_go_in_parts(spark, monkeypatch):
+    monkeypatch.setattr("passagework.operators.search.MOST_QUERIES", 4)
+    x = np.random.default_rng(5).normal(size=(30, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    held = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "chunk_id long, vector array<double>")
+    got = {(r.query_id, r["rank"]): r.chunk_id for r in search.dense_topk(held, held.where("chunk_id < 15").withColumnRenamed("chunk_id", "query_id"), 3).collect()}
+    near = ((x[:15, None] - x[None]) ** 2).sum(axis=2).argsort(axis=1)
+    assert got == {(q, i + 1): near[q, i] for q in range(15) for i in range(3)}
+    units = spark.createDataFrame([(i % 2, i, v.tolist()) for i, v in enumerate(x[:15])], "query_id long, unit long, vector array<double>")
+    docs = spark.createDataFrame([(i % 5, v.tolist()) for i, v in enumerate(x)], "doc_id long, vector array<double>")
+    score = lambda q, d: (x[q:15:2] @ x[d::5].T).max(axis=1).mean()
+    found = {(r.query_id, r.doc_id): r.score for r in search.maxsim_topk(docs, units, 5).collect()}
+    assert found == {(q, d): pytest.approx(score(q, d)) for q in range(2) for d in range(5)}
+
+
 def test_insert_twice_is_once(spark):
     rows = spark.createDataFrame([("a", 1), ("b", 2)], "chunk_id string, n int")
     once = index.insert_if_absent(rows.limit(0), rows)
