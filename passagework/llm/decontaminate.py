@@ -82,31 +82,47 @@ class _Anchors:
         return np.repeat(place, size), np.repeat(self.begin[at] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
+def _windows(words: Words, k: int, anchors: _Anchors, short: bool) -> tuple[np.ndarray, ...] | None:
+    """(text, first word, item's length, run hashes, their bounds) of the windows that share a run of ``k`` words with an item.
+
+    ``short``: items are one run, so that all windows with it are equal, and a text's first is its best.
+    """
+    hashes, at = words.shingles(k)
+    place, row = anchors(hashes)
+    if not len(place):
+        return None
+    text = np.searchsorted(at, place, side="right") - 1
+    if short:
+        first = np.unique(np.stack([text, row], axis=1), axis=0, return_index=True)[1]
+        place, row, text = place[first], row[first], text[first]
+    length = np.minimum(anchors.length[row], words.per_text[text])
+    start = np.clip(place - at[text] - anchors.offset[row], 0, words.per_text[text] - length)
+    window = np.unique(np.stack([text, start, length, anchors.length[row]], axis=1), axis=0)
+    text, start, length = window[:, 0], window[:, 1], window[:, 2]
+    size = np.maximum(length - k + 1, 1)
+    begin = at[text] + start
+    ends = np.cumsum(size)
+    inside = hashes[np.repeat(begin - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+    return text, start, window[:, 3], inside, np.concatenate([[0], ends])
+
+
 def _window_batches(shingle: int, places: list[tuple[int, int, int]]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchors = _Anchors(places)
+        sizes = sorted({min(length, shingle) for _, length, _ in places})  # items shorter than a shingle are runs of their own size
+        anchors = {k: _Anchors([p for p in places if min(p[1], shingle) == k]) for k in sizes}
         for batch in batches:
             for a, _, data, bounds in text_chunks(batch.column(1)):
                 words = Words(data, bounds, NON_ALPHANUMERIC)
-                hashes, at = words.shingles(shingle)
-                place, row = anchors(hashes)
-                if not len(place):
-                    continue
-                text = np.searchsorted(at, place, side="right") - 1
-                length = np.minimum(anchors.length[row], words.per_text[text])
-                start = np.clip(place - at[text] - anchors.offset[row], 0, words.per_text[text] - length)
-                window = np.unique(np.stack([text, start, length, anchors.length[row]], axis=1), axis=0)
-                text, start, length = window[:, 0], window[:, 1], window[:, 2]
-                size = np.maximum(length - shingle + 1, 1)
-                begin = at[text] + start
-                ends = np.cumsum(size)
-                inside = hashes[np.repeat(begin - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
-                window_bounds = np.concatenate([[0], ends])
-                prints = _simhash(inside, window_bounds)
-                keys = _block_keys(prints)
-                key_lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BLOCKS), pa.array(keys.ravel()))
-                columns = [batch.column(0).slice(a).take(pa.array(text)), pa.array(start), pa.array(window[:, 3]), pa.array(prints.view(np.int64)), lists(inside, window_bounds), key_lists]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start_word", "n_words", "print", "shingles", "keys"])
+                for k in sizes:
+                    windows = _windows(words, k, anchors[k], k < shingle)
+                    if windows is None:
+                        continue
+                    text, start, wanted, inside, window_bounds = windows
+                    prints = _simhash(inside, window_bounds)
+                    keys = _block_keys(prints)
+                    key_lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BLOCKS), pa.array(keys.ravel()))
+                    columns = [batch.column(0).slice(a).take(pa.array(text)), pa.array(start), pa.array(wanted), pa.array(prints.view(np.int64)), lists(inside, window_bounds), key_lists]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start_word", "n_words", "print", "shingles", "keys"])
 
     return run
 
@@ -123,7 +139,8 @@ def contaminated(
     fingerprints meet the items' of equal length in Hamming blocks, which finds every pair within RADIUS; what meets is
     compared in full. Ties of similarity: the first place.
 
-    An item or text shorter than ``shingle`` words is one run. Null or empty texts and items hold nothing; rows with a
+    An item or text shorter than ``shingle`` words is one run; such an item is looked for among all runs of its length.
+    Null or empty texts and items hold nothing; rows with a
     null id are not reported; repeated rows are reported once; empty tables give no rows; other columns are ignored.
     The items' shingles go to every task, MOST_PLACES of them at once; of a larger benchmark, parts of about that size
     are looked for in turn. Windows with common passages are spread by document; only windows that share a run leave

@@ -57,6 +57,13 @@ def test_planted_passages(spark):
     assert rows(contaminated(d, i)) == brute(docs, items)
 
 
+def test_short_items_in_longer_texts(spark):
+    docs = [(1, "so it is one two three and one two three"), (2, "one two three four"), (3, "two three"), (4, "yes " * 40), (5, "one two, Three"), (6, "x y z u v w four")]
+    items = [(1, "one two three"), (2, "yes"), (3, "two three four five"), (4, "u v w four"), (5, "it is"), (6, " ".join(A))]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert rows(contaminated(d, i)) == brute(docs, items)
+
+
 def test_benchmark_in_parts(spark, monkeypatch):
     monkeypatch.setattr("passagework.llm.decontaminate.MOST_PLACES", 7)
     docs = [(1, " ".join(["x"] * 9 + A + ["y"] + B)), (2, " ".join(A[:8]))]
