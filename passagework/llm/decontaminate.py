@@ -141,7 +141,8 @@ def contaminated(
 
     An item or text shorter than ``shingle`` words is one run; such an item is looked for among all runs of its length.
     Null or empty texts and items hold nothing; rows with a
-    null id are not reported; repeated rows are reported once; empty tables give no rows; other columns are ignored.
+    null id are not reported; repeated rows are reported once; of several texts with one id
+    the best place counts; empty tables give no rows; other columns are ignored.
     The items' shingles go to every task, MOST_PLACES of them at once; of a larger benchmark, parts of about that size
     are looked for in turn. Windows with common passages are spread by document; only windows that share a run leave
     the task.
@@ -163,10 +164,12 @@ def contaminated(
             found = rows.mapInArrow(_window_batches(shingle, places), "doc_id long, start_word long, n_words long, print long, shingles array<long>, keys array<long>")
             found = scratch.save(found, f"windows-{part}")
             windows = found if windows is None else windows.unionByName(found)
+    windows = windows.withColumn("held", F.xxhash64("shingles"))  # one id may have several texts
+    place = ["doc_id", "start_word", "n_words", "print", "held"]
     probes = items.select("item_id", "n_words", "item_print", F.explode(F.array_distinct("probes")).alias("key"))
-    met = windows.select("doc_id", "start_word", "n_words", "print", F.explode("keys").alias("key")).join(probes, ["n_words", "key"])
-    near = met.where(f"bit_count(print ^ item_print) <= {RADIUS}").select("doc_id", "start_word", "n_words", "item_id").distinct()
-    compared = near.join(windows.select("doc_id", "start_word", "n_words", "shingles").dropDuplicates(["doc_id", "start_word", "n_words"]), ["doc_id", "start_word", "n_words"])
+    met = windows.select(*place, F.explode("keys").alias("key")).join(probes, ["n_words", "key"])
+    near = met.where(f"bit_count(print ^ item_print) <= {RADIUS}").select(*place, "item_id").distinct()
+    compared = near.join(windows.select(*place, "shingles").dropDuplicates(place), place)
     compared = compared.join(items.select("item_id", "item_shingles"), "item_id")
     both = F.expr("""aggregate(array_distinct(array_intersect(shingles, item_shingles)), 0,
         (n, x) -> n + least(size(filter(shingles, y -> y = x)), size(filter(item_shingles, y -> y = x))))""")

@@ -64,6 +64,14 @@ def test_short_items_in_longer_texts(spark):
     assert rows(contaminated(d, i)) == brute(docs, items)
 
 
+def test_several_texts_of_one_id(spark):
+    """Both share a run with the item at the same place; only one of them holds it."""
+    clean = " ".join(A[:5] + [f"other{i}" for i in range(15)])
+    docs = [(d, t) for d in range(20) for t in ((clean, " ".join(A)) if d % 2 else (" ".join(A), clean))]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), spark.createDataFrame([(1, " ".join(A))], "item_id long, text string")
+    assert rows(contaminated(d, i)) == {(d, 1): (0, 1.0) for d in range(20)}
+
+
 def test_benchmark_in_parts(spark, monkeypatch):
     monkeypatch.setattr("passagework.llm.decontaminate.MOST_PLACES", 7)
     docs = [(1, " ".join(["x"] * 9 + A + ["y"] + B)), (2, " ".join(A[:8]))]
