@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from passagework.functions.queries import squeeze
 from passagework.operators.providers import Embedder, Summarizer, first_texts, hash_embedder
+from passagework.plans.shared import shared_folder
 
 # Limits of clustering and of the tree.
 MOST_CLUSTERS, LEAST_PER_CLUSTER, LEAST_NODES, SHARE, MOST_LEVELS = 12, 4, 4, 0.15, 3
-#: Rows of a document that a mixture is fitted on at most, those of the least hashes; all rows are assigned.
+#: A document of up to so many rows is fitted in one task. Larger ones are fitted on all rows in rounds over the table,
+#: which start from a fit on so many.
 FIT_ROWS = 2000
 #: More members than a summary's characters can show.
 SHOWN = 256
@@ -52,13 +54,77 @@ def fit_mixture(x: np.ndarray, k: int, seed: int = 42, steps: int = 100, toleran
     return weights, means, variances, (k * x.shape[1] + 2 * k - 1) * np.log(len(x)) - 2 * likelihood
 
 
-def _fit_document(frame: pd.DataFrame) -> pd.DataFrame:
-    x = np.stack(frame["vector"].to_numpy()).astype(float)
+def _fits(x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, float]]:
     most = max(1, min(MOST_CLUSTERS, len(x) // 2, len(x) // LEAST_PER_CLUSTER, len(x) - 1)) if len(x) >= LEAST_NODES else 1
-    best = min((fit_mixture(x, k) for k in range(1, most + 1)), key=lambda m: m[3])
+    return [fit_mixture(x, k) for k in range(1, most + 1)]
+
+
+def _fit_document(frame: pd.DataFrame) -> pd.DataFrame:
+    best = min(_fits(np.stack(frame["vector"].to_numpy()).astype(float)), key=lambda m: m[3])
     return pd.DataFrame({"document_id": [frame["document_id"].iloc[0]], "weights": [best[0].tolist()], "means": [best[1].tolist()], "variances": [best[2].tolist()]})
 
 
+def _start_document(frame: pd.DataFrame) -> pd.DataFrame:
+    fits = _fits(np.stack(frame["vector"].to_numpy()).astype(float))
+    return pd.DataFrame({"document_id": frame["document_id"].iloc[0], "weights": [m[0].tolist() for m in fits], "means": [m[1].tolist() for m in fits], "variances": [m[2].tolist() for m in fits]})
+
+
+def _sum_batches(models: dict[tuple[str, int], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Callable:
+    """Each task's sums for each model: rows, log-likelihood, and each cluster's shares, shares * |x|^2 and shares * x."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple[str, int], np.ndarray] = {}
+        of_document: dict[str, list[int]] = {}
+        for name, k in models:
+            of_document.setdefault(name, []).append(k)
+        for whole in frames:
+            for name, frame in whole.groupby("document_id"):
+                x = np.stack(frame["vector"].to_numpy()).astype(float)
+                for k in of_document.get(name, []):
+                    logs = _densities(x, *models[name, k])
+                    total = _log_sum(logs)
+                    share = np.exp(logs - total[:, None])
+                    row = np.concatenate([[len(x), total.sum()], share.sum(axis=0), share.T @ (x**2).sum(axis=1), (share.T @ x).ravel()])
+                    sums[name, k] = sums.get((name, k), 0) + row
+        yield pd.DataFrame({"document_id": [n for n, _ in sums], "k": [k for _, k in sums], "sums": [v.tolist() for v in sums.values()]})
+
+    return run
+
+
+def _fit_large(nodes: DataFrame, steps: int = 100, tolerance: float = 1e-3) -> list[tuple[str, list, list, list]]:
+    """The mixtures of least BIC of large documents, by EM over all of their rows: a round over the table for each step.
+
+    All numbers of clusters go through a round together. A round starts from the parameters of the round before, the
+    first from a fit on FIT_ROWS rows of the least hashes; likelihood, parameters and BIC are those of all rows.
+    """
+    order = Window.partitionBy("document_id").orderBy(F.xxhash64("chunk_id"), "chunk_id")
+    sample = nodes.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= FIT_ROWS).drop("_n")
+    starts = sample.groupBy("document_id").applyInPandas(_start_document, "document_id string, weights array<double>, means array<array<double>>, variances array<double>")
+    models = {(r["document_id"], len(r["weights"])): (np.array(r["weights"]), np.array(r["means"]), np.array(r["variances"])) for r in starts.collect()}
+    before = dict.fromkeys(models, -np.inf)
+    best: dict[str, tuple] = {}
+    for step in range(steps + 1):
+        parts = nodes.select("document_id", "vector").mapInPandas(_sum_batches(models), "document_id string, k int, sums array<double>")
+        added = parts.select("document_id", "k", F.posexplode("sums").alias("at", "value")).groupBy("document_id", "k", "at").agg(F.sum("value").alias("value"))
+        for r in added.groupBy("document_id", "k").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("held")).collect():
+            key, k, v = (r["document_id"], r["k"]), r["k"], np.array([x["value"] for x in r["held"]])
+            rows, likelihood, n, square, first = v[0], v[1], v[2 : 2 + k] + 1e-9, v[2 + k : 2 + 2 * k], v[2 + 2 * k :].reshape(k, -1)
+            if likelihood / rows - before[key] < tolerance or step == steps:
+                bic = (k * first.shape[1] + 2 * k - 1) * np.log(rows) - 2 * likelihood
+                held = best.get(key[0])
+                if held is None or (bic, k) < held[:2]:
+                    best[key[0]] = (bic, k, *models[key])
+                del models[key]
+                continue
+            before[key] = likelihood / rows
+            means = first / n[:, None]
+            spread = np.maximum(square - 2 * (means * first).sum(axis=1) + (means**2).sum(axis=1) * n, 0)
+            models[key] = (n / n.sum(), means, spread / (n * first.shape[1]) + 1e-6)
+        if not models:
+            break
+    return [(name, m[2].tolist(), m[3].tolist(), m[4].tolist()) for name, m in best.items()]
+
+
 def _assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         clusters = []
@@ -73,11 +139,18 @@ def _assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def soft_clusters(nodes: DataFrame) -> DataFrame:
     """(document_id, chunk_id, cluster) of nodes (document_id, chunk_id, vector): every cluster that a node has a share of.
 
-    The number of clusters has the least BIC. Mixtures are fitted on FIT_ROWS rows of a document at most.
+    The number of clusters has the least BIC. Mixtures are fitted on all rows: those of documents of more than FIT_ROWS
+    rows in rounds over the table (see _fit_large).
     """
-    order = Window.partitionBy("document_id").orderBy(F.xxhash64("chunk_id"), "chunk_id")
-    sample = nodes.select("document_id", "chunk_id", "vector").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= FIT_ROWS).drop("_n")
-    models = sample.groupBy("document_id").applyInPandas(_fit_document, "document_id string, weights array<double>, means array<array<double>>, variances array<double>")
+    spark, schema = nodes.sparkSession, "document_id string, weights array<double>, means array<array<double>>, variances array<double>"
+    counts = nodes.groupBy("document_id").agg(F.count("*").alias("_n"))
+    large = counts.where(F.col("_n") > FIT_ROWS).select("document_id")
+    rows = nodes.select("document_id", "chunk_id", "vector")
+    models = rows.join(large, "document_id", "left_anti").groupBy("document_id").applyInPandas(_fit_document, schema)
+    if not large.isEmpty():
+        path = shared_folder(spark, "mixtures")
+        rows.join(large, "document_id", "left_semi").write.parquet(path)
+        models = models.unionByName(spark.createDataFrame(_fit_large(spark.read.parquet(path)), schema))
     joined = nodes.select("document_id", "chunk_id", "vector").join(models, "document_id")
     return joined.mapInPandas(_assign, "document_id string, chunk_id string, cluster array<int>").select("document_id", "chunk_id", F.explode("cluster").alias("cluster"))
 

@@ -216,6 +216,21 @@ def test_tree(spark, tmp_path):
     assert tree.render_dot(built).count() == 2
 
 
+def test_mixtures_of_all_rows(spark, monkeypatch):
+    """A far group that the rows of least hashes miss is a cluster of its own, as in a fit on all rows."""
+    rng = np.random.default_rng(4)
+    ids = [r.i for r in spark.range(400).select(F.format_string("c%03d", "id").alias("i")).orderBy(F.xxhash64("i"), "i").collect()]
+    x = rng.normal(size=(400, 3)) * 0.1
+    x[200:, 0] += 5.0
+    x[300:, 1] += 9.0
+    nodes = spark.createDataFrame([("d", i, v.tolist()) for i, v in zip(ids, x, strict=True)], "document_id string, chunk_id string, vector array<double>")
+    groups = lambda: sorted(sorted(r.c) for r in tree.soft_clusters(nodes).groupBy("cluster").agg(F.collect_list("chunk_id").alias("c")).collect())
+    whole = groups()
+    assert whole == sorted(map(sorted, (ids[:200], ids[200:300], ids[300:])))
+    monkeypatch.setattr(tree, "FIT_ROWS", 260)
+    assert groups() == whole
+
+
 def test_retrieval_paths(spark):
     rows = [(i, "d", None if i % 3 else f"p{i}", "raw", 0, f"topic{i} alpha beta word{i}") for i in range(30)] + [(100, "d", None, "summary", 2, "topic3 overall view"), (101, "d", None, "summary", 1, "topic3 details")]
     chunks = spark.createDataFrame(rows, "chunk_id long, document_id string, parent_id string, node_type string, level int, text string")
