@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from passagework.functions.queries import squeeze
@@ -155,10 +157,29 @@ def soft_clusters(nodes: DataFrame) -> DataFrame:
     return joined.mapInPandas(_assign, "document_id string, chunk_id string, cluster array<int>").select("document_id", "chunk_id", F.explode("cluster").alias("cluster"))
 
 
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One digest of each document's rows, which come together and in order; a batch at a time is held."""
+    name, digest = None, None
+    make = lambda: pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([digest.hexdigest()[:24]])], names=["document_id", "fingerprint"])
+    for batch in batches:
+        for document, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if digest is None or document != name:
+                if digest is not None:
+                    yield make()
+                name, digest = document, hashlib.sha256(row.encode())
+            else:
+                digest.update(b"," + row.encode())
+    if digest is not None:
+        yield make()
+
+
 def fingerprint(nodes: DataFrame) -> DataFrame:
-    """(document_id, fingerprint): 24 hex digits of the document's chunks, whatever their order in the table."""
-    row = F.sha2(F.concat_ws("\x00", "chunk_id", squeeze(F.col("text"))), 256)
-    return nodes.groupBy("document_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(row)), ","), 256).substr(1, 24).alias("fingerprint"))
+    """(document_id, fingerprint): 24 hex digits of the document's chunks, whatever their order in the table.
+
+    A document's rows are sorted on disk and digested as they come, never gathered.
+    """
+    rows = nodes.select("document_id", F.sha2(F.concat_ws("\x00", "chunk_id", squeeze(F.col("text"))), 256).alias("row"))
+    return rows.repartition("document_id").sortWithinPartitions("document_id", "row").mapInArrow(_digests, "document_id string, fingerprint string")
 
 
 def _summaries(nodes: DataFrame, clusters: DataFrame, level: int, summarize: Summarizer) -> DataFrame:

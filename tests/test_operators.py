@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 from collections import Counter, defaultdict
@@ -216,6 +217,14 @@ def test_tree(spark, tmp_path):
     assert tree.render_dot(built).count() == 2
 
 
+def test_fingerprint_gathers_no_rows(spark):
+    rows = spark.createDataFrame([(f"d{i % 3}", f"c{i}", f"text  {i}") for i in range(50)], "document_id string, chunk_id string, text string")
+    got = tree.fingerprint(rows)
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+    held = {d: sorted(hashlib.sha256(f"c{i}\x00text {i}".encode()).hexdigest() for i in range(50) if i % 3 == d) for d in range(3)}
+    assert {r.document_id: r.fingerprint for r in got.collect()} == {f"d{d}": hashlib.sha256(",".join(v).encode()).hexdigest()[:24] for d, v in held.items()}
+
+
 def test_mixtures_of_all_rows(spark, monkeypatch):
     """A far group that the rows of least hashes miss is a cluster of its own, as in a fit on all rows."""
     rng = np.random.default_rng(4)
