@@ -76,7 +76,7 @@ def _secret_sql() -> str:
         for i, (_, p, group, _) in enumerate(kinds)
     )
     least = "[" + ", ".join(str(x[3]) for x in kinds) + "]"
-    allowed = " OR ".join(f"regexp_matches(v, {q(p)})" for p in secret_scan.ALLOWED if "\\1" not in p)
+    allowed = " OR ".join(f"regexp_matches(v, {q(p)})" for p in secret_scan.ALLOWED if "\\1" not in p) + f" OR NOT regexp_matches(v, {q(secret_scan.UNLIKE_WORDS)})"
     classes = " ".join(f"WHEN regexp_matches(v, {q(p)}) THEN {bits}" for p, bits in secret_scan.CLASSES[:-1])
     joined = "coalesce(string_agg(['assign', 'access', 'hex', 'entropy'][kind + 1] || ':' || b || ':' || e, ',' ORDER BY b, kind) {}, '')"
     return f"""
