@@ -103,17 +103,19 @@ def _license_sql() -> str:
     """Brute force: every block against every template."""
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x{7F}]+"
     phrases = " UNION ALL ".join(f"SELECT '{p}' AS p, '{label}' AS label" for p, label in license_scan.PHRASES.items())
-    templates = ", ".join(f"('{t}', '{label}')" for t, label in license_scan.TEMPLATES.items())
+    templates = ", ".join(f"({i}, '{t.text}', '{t.label}', '{t.must}')" for i, t in enumerate(license_scan.TEMPLATES))
     step, size = license_scan.STEP, license_scan.BLOCK
     return f"""
 WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{word}') AS w FROM documents),
 p AS (SELECT label, string_split(p, ' ') AS p FROM ({phrases})),
 hit AS (SELECT doc_id, label, i - 1 AS place FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d), p WHERE w[i] = p[1] AND w[i:i + len(p) - 1] = p),
 base AS (SELECT doc_id, count(*) AS n, min(place) AS lo, max(place) AS hi, list(DISTINCT label) AS labels FROM hit GROUP BY doc_id),
-t AS (SELECT t, label, list_distinct(string_split(t, ' ')) AS s FROM (VALUES {templates}) v(t, label)),
-b AS MATERIALIZED (SELECT doc_id, list_distinct(w[k * {step} + 1 : k * {step} + {size}]) AS s FROM (SELECT doc_id, w, unnest(range(0, (len(w) + {step - 1}) // {step})) AS k FROM d)),
-m AS (SELECT doc_id, label, len(list_intersect(b.s, t.s)) AS n, len(t.s) AS size FROM b, t WHERE 100 * len(list_intersect(b.s, t.s)) >= 80 * len(t.s)),
-found AS (SELECT doc_id, list(DISTINCT label) AS labels, max(n / size) AS score FROM m GROUP BY doc_id)
+t AS (SELECT i, label, list_distinct(string_split(t, ' ')) AS s, string_split(must, ' ') AS must FROM (VALUES {templates}) v(i, t, label, must)),
+beaten AS (SELECT x.i AS winner, y.i AS loser FROM t x, t y WHERE list_has_all(x.must, y.must) AND NOT list_has_all(y.must, x.must)),
+b AS MATERIALIZED (SELECT doc_id, k, list_distinct(w[k * {step} + 1 : k * {step} + {size}]) AS s FROM (SELECT doc_id, w, unnest(range(0, (len(w) + {step - 1}) // {step})) AS k FROM d)),
+m AS MATERIALIZED (SELECT doc_id, k, i, label, len(list_intersect(b.s, t.s)) AS n, len(t.s) AS size FROM b, t WHERE list_has_all(b.s, t.must) AND 100 * len(list_intersect(b.s, t.s)) >= 80 * len(t.s)),
+lost AS (SELECT DISTINCT m.doc_id, m.k, loser AS i FROM m JOIN beaten ON winner = m.i),
+found AS (SELECT doc_id, list(DISTINCT label) AS labels, max(n / size) AS score FROM m ANTI JOIN lost USING (doc_id, k, i) GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(base.n, 0)::BIGINT AS n_base, lo AS first_word, hi AS last_word,
   coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(base.labels, found.labels))), ','), '') AS labels,
