@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +15,8 @@ from passagework.llm.words import NON_ALPHANUMERIC, Words, lists, mix, text_chun
 #: Fingerprints within RADIUS of 64 bits are found, all of them: of BLOCKS blocks, some block differs in one bit at most
 #: (RADIUS < 2 * BLOCKS). At a similarity of 0.8, 10 bits differ on average, and more than 24 once in some million pairs.
 RADIUS, BLOCKS, BITS = 24, 13, 5
-#: Places of items' shingles that go to the tasks at once.
-MOST_PLACES = 1_000_000
+#: Shingles of items that one index holds, in a task's memory at about 40 bytes each, and shingles of windows held at a time.
+MOST_SHINGLES, STEP = 2_000_000, 1 << 20
 
 
 def _simhash(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -30,9 +31,13 @@ def _simhash(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def _block_keys(prints: np.ndarray) -> np.ndarray:
-    """(print, block): the block's number and its bits in one number. The last block has the bits that are left."""
-    return np.stack([((prints >> np.uint64(BITS * i)) & np.uint64(2**BITS - 1)).astype(np.int64) + (i << BITS) for i in range(BLOCKS)], axis=1)
+def _near(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Which pairs of fingerprints differ in RADIUS bits at most: those with a near block, then counted in full."""
+    differ = one ^ two
+    near = np.zeros(len(differ), dtype=bool)
+    for i in range(BLOCKS):
+        near |= np.bitwise_count((differ >> np.uint64(BITS * i)) & np.uint64(2**BITS - 1)) <= 1
+    return near & (np.bitwise_count(differ) <= RADIUS)
 
 
 def _item_batches(shingle: int) -> Callable:
@@ -41,92 +46,193 @@ def _item_batches(shingle: int) -> Callable:
             for a, b, data, bounds in text_chunks(batch.column(1)):
                 words = Words(data, bounds, NON_ALPHANUMERIC)
                 hashes, at = words.shingles(shingle)
-                prints = _simhash(hashes, at)
-                keys = _block_keys(prints)
-                near = np.concatenate([keys[:, :, None], keys[:, :, None] ^ (1 << np.arange(BITS))], axis=2).reshape(len(keys), -1)
-                probes = pa.ListArray.from_arrays(pa.array(np.arange(len(near) + 1, dtype=np.int32) * near.shape[1]), pa.array(near.ravel()))
-                columns = [batch.column(0).slice(a, b - a), pa.array(words.per_text), pa.array(prints.view(np.int64)), lists(hashes, at), probes]
-                yield pa.RecordBatch.from_arrays(columns, names=["item_id", "n_words", "item_print", "item_shingles", "probes"])
+                columns = [batch.column(0).slice(a, b - a), pa.array(words.per_text), pa.array(_simhash(hashes, at).view(np.int64)), lists(hashes, at)]
+                yield pa.RecordBatch.from_arrays(columns, names=["item_id", "n_words", "item_print", "item_shingles"])
 
     return run
 
 
 def benchmark_items(benchmark: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """(item_id, n_words, item_print, item_shingles, probes) of the items that have words."""
+    """(item_id, n_words, item_print, item_shingles) of the items that have words."""
     rows = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text"))
-    schema = "item_id long, n_words long, item_print long, item_shingles array<long>, probes array<long>"
-    return rows.mapInArrow(_item_batches(shingle), schema).where("n_words > 0")
+    return rows.mapInArrow(_item_batches(shingle), "item_id long, n_words long, item_print long, item_shingles array<long>").where("n_words > 0")
 
 
-class _Anchors:
-    """Where items' shingles stand: for a shingle hash, the (item length, offset) pairs of its places."""
+@dataclass(frozen=True)
+class _Items:
+    """A part of the benchmark. Item i has the shingles ``shingles[bounds[i]:bounds[i + 1]]``, in order."""
 
-    def __init__(self, places: list[tuple[int, int, int]]):
-        rows = np.array(sorted(set(places)), dtype=np.int64).reshape(-1, 3)
-        order = np.argsort(rows[:, 0].view(np.uint64), kind="stable")
-        rows = rows[order]
-        hashes = rows[:, 0].copy().view(np.uint64)
-        self.hashes, self.begin, self.count = np.unique(hashes, return_index=True, return_counts=True)
-        self.length, self.offset = rows[:, 1], rows[:, 2]
+    item_id: pa.Array
+    n_words: np.ndarray
+    prints: np.ndarray
+    shingles: np.ndarray
+    bounds: np.ndarray
+
+    @staticmethod
+    def of(table: pa.Table) -> _Items:
+        table = table.combine_chunks()
+        column = lambda name: table.column(name).combine_chunks()
+        held = column("item_shingles")
+        sizes = np.diff(held.offsets.to_numpy())
+        return _Items(column("item_id"), column("n_words").to_numpy(), column("item_print").to_numpy().view(np.uint64), held.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(sizes)]))
+
+
+class _Index:
+    """Where the shingles of items stand, for the items whose runs have ``k`` words; and these shingles, sorted by item."""
+
+    def __init__(self, items: _Items, chosen: np.ndarray, k: int):
+        self.k, self.items, self.chosen = k, items, chosen
+        self.sizes = np.diff(items.bounds)[chosen]
+        item = np.repeat(np.arange(len(chosen)), self.sizes)
+        self.begin_of = np.concatenate([[0], np.cumsum(self.sizes)])
+        offset = np.arange(len(item)) - self.begin_of[item]
+        hashes = items.shingles[items.bounds[chosen][item] + offset]
+        order = np.argsort(hashes, kind="stable")
+        self.item, self.offset = item[order], offset[order]
+        self.hashes, self.begin, self.count = np.unique(hashes[order], return_index=True, return_counts=True)
+        self.cost = np.add.reduceat(self.sizes[self.item], self.begin)  # shingles of the windows that a meeting asks for
         self.maybe = np.zeros(1 << 20, dtype=bool)
         self.maybe[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
+        self.n_words, self.prints = items.n_words[chosen], items.prints[chosen]
+        by_item = np.lexsort((hashes, item))
+        new = np.ones(len(item), dtype=bool)
+        new[1:] = (item[by_item][1:] != item[by_item][:-1]) | (hashes[by_item][1:] != hashes[by_item][:-1])
+        first = np.flatnonzero(new)
+        self.values, self.times = hashes[by_item][first], np.diff(np.append(first, len(item)))
+        self.distinct = np.searchsorted(item[by_item][first], np.arange(len(chosen) + 1))
 
-    def __call__(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place among ``hashes``, row of length and offset) of each meeting."""
+    def meetings(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place among ``hashes``, number of the shingle) of those that items have."""
         place = np.flatnonzero(self.maybe[(hashes >> np.uint64(44)).astype(np.int64)])
         at = np.minimum(np.searchsorted(self.hashes, hashes[place]), len(self.hashes) - 1)
         hit = self.hashes[at] == hashes[place]
-        place, at = place[hit], at[hit]
-        size = self.count[at]
+        return place[hit], at[hit]
+
+    def overlaps(self, window: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """Sums of the least counts of a window's shingles and each wanted item's."""
+        values, times = np.unique(window, return_counts=True)
+        size = self.distinct[wanted + 1] - self.distinct[wanted]
         ends = np.cumsum(size)
-        return np.repeat(place, size), np.repeat(self.begin[at] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
+        own = np.repeat(self.distinct[wanted] - (ends - size), size) + np.arange(int(ends[-1]))
+        at = np.minimum(np.searchsorted(values, self.values[own]), len(values) - 1)
+        both = np.where(values[at] == self.values[own], np.minimum(times[at], self.times[own]), 0)
+        return np.add.reduceat(both, ends - size)
+
+
+def _indexes(items: _Items, shingle: int) -> list[_Index]:
+    """One index for each length of runs: items shorter than a shingle are runs of their own size."""
+    k = np.minimum(items.n_words, shingle)
+    return [_Index(items, np.flatnonzero(k == size), int(size)) for size in np.unique(k)]
+
 
+def _best(found: np.ndarray) -> np.ndarray:
+    """Of rows (text, item, -similarity, first word, words), the best of each text and item; ties: the first place."""
+    found = found[np.lexsort(found.T[::-1])]
+    keep = np.ones(len(found), dtype=bool)
+    keep[1:] = (found[1:, :2] != found[:-1, :2]).any(axis=1)
+    return found[keep]
 
-def _windows(words: Words, k: int, anchors: _Anchors, short: bool) -> tuple[np.ndarray, ...] | None:
-    """(text, first word, item's length, run hashes, their bounds) of the windows that share a run of ``k`` words with an item.
 
-    ``short``: items are one run, so that all windows with it are equal, and a text's first is its best.
+def candidate_steps(words: Words, index: _Index, shingle: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(pairs, hashes, size, begin) by steps of about STEP shingles: pairs (text, first word, words, item) of windows and
+    items that share a run at the same place, the texts' run hashes, and each pair's window in them.
+
+    Where items are one run, all windows with it are equal, and a text's first is its best.
     """
-    hashes, at = words.shingles(k)
-    place, row = anchors(hashes)
-    if not len(place):
-        return None
+    hashes, at = words.shingles(index.k)
+    place, shared = index.meetings(hashes)
     text = np.searchsorted(at, place, side="right") - 1
-    if short:
-        first = np.unique(np.stack([text, row], axis=1), axis=0, return_index=True)[1]
-        place, row, text = place[first], row[first], text[first]
-    length = np.minimum(anchors.length[row], words.per_text[text])
-    start = np.clip(place - at[text] - anchors.offset[row], 0, words.per_text[text] - length)
-    window = np.unique(np.stack([text, start, length, anchors.length[row]], axis=1), axis=0)
-    text, start, length = window[:, 0], window[:, 1], window[:, 2]
-    size = np.maximum(length - k + 1, 1)
-    begin = at[text] + start
-    ends = np.cumsum(size)
-    inside = hashes[np.repeat(begin - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
-    return text, start, window[:, 3], inside, np.concatenate([[0], ends])
-
-
-def _window_batches(shingle: int, places: list[tuple[int, int, int]]) -> Callable:
+    if index.k < shingle and len(place):
+        first = np.unique(np.stack([text, shared], axis=1), axis=0, return_index=True)[1]
+        place, shared, text = place[first], shared[first], text[first]
+    step = np.cumsum(index.cost[shared]) // STEP if len(place) else np.zeros(0, np.int64)
+    for rows in np.split(np.arange(len(place)), np.flatnonzero(np.diff(step)) + 1):
+        if not len(rows):
+            continue
+        size = index.count[shared[rows]]
+        ends = np.cumsum(size)
+        spot = np.repeat(index.begin[shared[rows]] - (ends - size), size) + np.arange(int(ends[-1]))
+        item, of = index.item[spot], np.repeat(text[rows], size)
+        length = np.minimum(index.n_words[item], words.per_text[of])
+        start = np.clip(np.repeat(place[rows], size) - at[of] - index.offset[spot], 0, words.per_text[of] - length)
+        pairs = np.unique(np.stack([of, start, length, item], axis=1), axis=0)
+        yield pairs, hashes, np.maximum(pairs[:, 2] - index.k + 1, 1), at[pairs[:, 0]] + pairs[:, 1]
+
+
+def _search(words: Words, indexes: list[_Index], shingle: int, percent: int) -> Iterator[tuple[_Index, np.ndarray]]:
+    """(index, rows of _best()) of the items that the texts hold."""
+    for index in indexes:
+        found = np.zeros((0, 5))
+        for pairs, hashes, size, begin in candidate_steps(words, index, shingle):
+            new = np.ones(len(pairs), dtype=bool)  # pairs are sorted by window
+            new[1:] = (pairs[1:, :3] != pairs[:-1, :3]).any(axis=1)
+            window, number = np.flatnonzero(new), np.cumsum(new) - 1
+            ends = np.cumsum(size[window])
+            inside = hashes[np.repeat(begin[window] - (ends - size[window]), size[window]) + np.arange(int(ends[-1]))]
+            prints = _simhash(inside, np.concatenate([[0], ends]))
+            near = np.flatnonzero(_near(prints[number], index.prints[pairs[:, 3]]))
+            for rows in np.split(near, np.flatnonzero(np.diff(number[near])) + 1):
+                if len(rows):
+                    item, n = pairs[rows, 3], size[rows[0]]
+                    both = index.overlaps(hashes[begin[rows[0]] : begin[rows[0]] + n], item)
+                    either = n + index.sizes[item] - both
+                    good = 100 * both >= percent * either
+                    hits = pairs[rows[good]]
+                    found = np.concatenate([found, np.stack([hits[:, 0], hits[:, 3], -both[good] / either[good], hits[:, 1], hits[:, 2]], axis=1)])
+            found = _best(found)
+        if len(found):
+            yield index, found
+
+
+def _report_batches(items: _Items, shingle: int, percent: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = sorted({min(length, shingle) for _, length, _ in places})  # items shorter than a shingle are runs of their own size
-        anchors = {k: _Anchors([p for p in places if min(p[1], shingle) == k]) for k in sizes}
+        indexes = _indexes(items, shingle)
         for batch in batches:
             for a, _, data, bounds in text_chunks(batch.column(1)):
-                words = Words(data, bounds, NON_ALPHANUMERIC)
-                for k in sizes:
-                    windows = _windows(words, k, anchors[k], k < shingle)
-                    if windows is None:
-                        continue
-                    text, start, wanted, inside, window_bounds = windows
-                    prints = _simhash(inside, window_bounds)
-                    keys = _block_keys(prints)
-                    key_lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BLOCKS), pa.array(keys.ravel()))
-                    columns = [batch.column(0).slice(a).take(pa.array(text)), pa.array(start), pa.array(wanted), pa.array(prints.view(np.int64)), lists(inside, window_bounds), key_lists]
-                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start_word", "n_words", "print", "shingles", "keys"])
+                for index, found in _search(Words(data, bounds, NON_ALPHANUMERIC), indexes, shingle, percent):
+                    text, item, less, start, _ = found.T
+                    item = index.chosen[item.astype(np.int64)]
+                    columns = [batch.column(0).slice(a).take(pa.array(text.astype(np.int64))), items.item_id.take(pa.array(item)), pa.array(start.astype(np.int64)), pa.array(items.n_words[item]), pa.array(-less)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "start_word", "n_words", "similarity"])
+
+    return run
+
+
+def _filter_batches(items: _Items, text_col: str, shingle: int, percent: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        indexes = _indexes(items, shingle)
+        for batch in batches:
+            keep = np.ones(batch.num_rows, dtype=bool)
+            for a, _, data, bounds in text_chunks(batch.column(batch.schema.get_field_index(text_col))):
+                for _, found in _search(Words(data, bounds, NON_ALPHANUMERIC), indexes, shingle, percent):
+                    keep[a + found[:, 0].astype(np.int64)] = False
+            yield batch.filter(pa.array(keep))
 
     return run
 
 
+def _parts(benchmark: DataFrame, id_col: str, text_col: str, shingle: int) -> Iterator[_Items]:
+    """The benchmark in parts of about MOST_SHINGLES, by hashes of the items' shingles. The driver holds one at a time."""
+    items = Scratch(benchmark.sparkSession).save(benchmark_items(benchmark, shingle, id_col, text_col), "items")
+    total = items.agg(F.coalesce(F.sum(F.size("item_shingles")), F.lit(0)).alias("n")).first()["n"]
+    parts = -(-total // MOST_SHINGLES)
+    for part in range(parts):
+        held = items.where(F.pmod(F.xxhash64("item_id", "item_shingles"), F.lit(parts)) == part).toArrow()
+        if held.num_rows:
+            yield _Items.of(held)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` whose text holds no benchmark item (see contaminated()), with all their columns.
+
+    Each row is judged by its own text, so that rows of a null id and several texts of one id are told apart; repeated
+    rows have one fate. Items of a null id count. Null and empty texts hold nothing and stay. Nothing is shuffled.
+    """
+    for items in _parts(benchmark, item_id_col, item_text_col, shingle):
+        docs = docs.mapInArrow(_filter_batches(items, text_col, shingle, percent), docs.schema)
+    return docs
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", shingle: int = 5, percent: int = 80
 ) -> DataFrame:
@@ -134,46 +240,24 @@ def contaminated(
 
     Words: runs of letters, digits and non-ASCII, A-Z lower-cased. Windows of an item's number of words (or the whole
     text, if shorter) are compared by the weighted Jaccard similarity of their ``shingle``-word runs: the sum of least
-    counts over the sum of greatest counts, at least ``percent``. Windows start wherever a run that the item shares
-    would stand at the same place in both: a window that shares no run can't be similar. Their 64-bit SimHash
-    fingerprints meet the items' of equal length in Hamming blocks, which finds every pair within RADIUS; what meets is
-    compared in full. Ties of similarity: the first place.
+    counts over the sum of greatest counts, at least ``percent``. A window and an item are a candidate pair if they
+    share a run at the same place in both: a pair that shares none in any window can't be similar. So a window's
+    candidates don't grow with the benchmark, but with the items that share its runs. The 64-bit SimHash fingerprints of
+    a pair are tested by Hamming blocks, which let pass every pair within RADIUS, and what passes is compared in full.
+    Ties of similarity: the first place.
 
     An item or text shorter than ``shingle`` words is one run; such an item is looked for among all runs of its length.
-    Null or empty texts and items hold nothing; rows with a
-    null id are not reported; repeated rows are reported once; of several texts with one id
-    the best place counts; empty tables give no rows; other columns are ignored.
-    The items' shingles go to every task, MOST_PLACES of them at once; of a larger benchmark, parts of about that size
-    are looked for in turn. Windows with common passages are spread by document; only windows that share a run leave
-    the task.
+    Null or empty texts and items hold nothing; rows with a null id on either side are not reported (drop_contaminated()
+    judges them); repeated rows are reported once; of several texts with one id the best place counts; very long texts are
+    searched in steps; empty tables give no rows; other columns are ignored.
+
+    The documents are not shuffled: each task holds an index of the benchmark, of MOST_SHINGLES shingles or of one longer
+    item at most. A larger benchmark is searched in parts, each with a scan of the documents. Only places found are grouped.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
-    items = scratch.save(benchmark_items(benchmark, shingle, item_id_col, item_text_col).where("item_id is not null"), "items")
-    total = items.agg(F.coalesce(F.sum(F.size("item_shingles")), F.lit(0)).alias("n")).first()["n"]
-    if not total:
-        return spark.createDataFrame([], "doc_id long, item_id long, start_word long, n_words long, similarity double")
-    parts = -(-total // MOST_PLACES)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    windows = None
-    for part in range(parts):
-        held = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part)
-        anchored = held.select("n_words", F.posexplode("item_shingles").alias("offset", "shingle")).select("shingle", "n_words", "offset").distinct()
-        places = [tuple(r) for r in anchored.collect()]
-        if places:
-            found = rows.mapInArrow(_window_batches(shingle, places), "doc_id long, start_word long, n_words long, print long, shingles array<long>, keys array<long>")
-            found = scratch.save(found, f"windows-{part}")
-            windows = found if windows is None else windows.unionByName(found)
-    windows = windows.withColumn("held", F.xxhash64("shingles"))  # one id may have several texts
-    place = ["doc_id", "start_word", "n_words", "print", "held"]
-    probes = items.select("item_id", "n_words", "item_print", F.explode(F.array_distinct("probes")).alias("key"))
-    met = windows.select(*place, F.explode("keys").alias("key")).join(probes, ["n_words", "key"])
-    near = met.where(f"bit_count(print ^ item_print) <= {RADIUS}").select(*place, "item_id").distinct()
-    compared = near.join(windows.select(*place, "shingles").dropDuplicates(place), place)
-    compared = compared.join(items.select("item_id", "item_shingles"), "item_id")
-    both = F.expr("""aggregate(array_distinct(array_intersect(shingles, item_shingles)), 0,
-        (n, x) -> n + least(size(filter(shingles, y -> y = x)), size(filter(item_shingles, y -> y = x))))""")
-    compared = compared.withColumn("both", both).withColumn("either", F.expr("size(shingles) + size(item_shingles) - both"))
-    found = compared.where(f"100 * both >= {percent} * either").withColumn("similarity", F.expr("both / either"))
-    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start_word")).alias("first"), "n_words")).alias("best"))
+    schema = "doc_id long, item_id long, start_word long, n_words long, similarity double"
+    found = docs.sparkSession.createDataFrame([], schema)
+    for items in _parts(benchmark, item_id_col, item_text_col, shingle):
+        found = found.unionByName(rows.mapInArrow(_report_batches(items, shingle, percent), schema))
+    best = found.where("item_id is not null").groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start_word")).alias("first"), "n_words")).alias("best"))
     return best.select("doc_id", "item_id", (-F.col("best.first")).alias("start_word"), "best.n_words", "best.similarity")

@@ -1,9 +1,11 @@
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from passagework.llm.decontaminate import contaminated
+from passagework.llm.decontaminate import _indexes, _Items, benchmark_items, candidate_steps, contaminated, drop_contaminated
+from passagework.llm.words import NON_ALPHANUMERIC, Words
 
 A = [f"alpha{i}" for i in range(20)]
 B = [f"beta{i}" for i in range(14)]
@@ -73,13 +75,50 @@ def test_several_texts_of_one_id(spark):
 
 
 def test_benchmark_in_parts(spark, monkeypatch):
-    monkeypatch.setattr("passagework.llm.decontaminate.MOST_PLACES", 7)
+    monkeypatch.setattr("passagework.llm.decontaminate.MOST_SHINGLES", 7)
     docs = [(1, " ".join(["x"] * 9 + A + ["y"] + B)), (2, " ".join(A[:8]))]
     items = [(i, " ".join(A if i % 2 else B)) for i in range(4)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert rows(contaminated(df, spark.createDataFrame(items, "item_id long, text string"))) == brute(docs, items)
 
 
+def test_windows_in_steps(spark, monkeypatch):
+    monkeypatch.setattr("passagework.llm.decontaminate.STEP", 40)
+    docs = [(1, " ".join(["x"] * 9 + A + ["y"] + B + A)), (2, " ".join(A[:8])), (3, "same " * 200), (4, " ".join(A[:19] + ["z"]))]
+    items = [(i, " ".join(A if i % 2 else B)) for i in range(4)] + [(9, "same " * 30)]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert rows(contaminated(d, i)) == brute(docs, items)
+
+
+def test_very_long_text_of_one_word(spark):
+    d = spark.createDataFrame([(1, "same " * 200_000), (2, "x " * 300_000 + " ".join(A))], "doc_id long, text string")
+    i = spark.createDataFrame([(1, "same " * 30), (2, " ".join(A))], "item_id long, text string")
+    assert rows(contaminated(d, i)) == {(1, 1): (0, 1.0), (2, 2): (300_000, 1.0)}
+    assert drop_contaminated(d, i).count() == 0
+
+
+def test_candidates_follow_shared_runs_not_the_benchmark(spark):
+    """The candidate pairs of some texts stay the same as the benchmark grows tenfold."""
+    rng = np.random.default_rng(3)
+    item = lambda i: " ".join(f"q{x}" for x in rng.integers(0, 50_000, 30)) if i else " ".join(A)
+    texts = [item(i) for i in range(500)]
+    doc = (" ".join(["x"] * 50 + A + ["y"] * 50 + texts[40].split()[:28])).encode()
+    words, counts = Words(np.frombuffer(doc, np.uint8), np.array([0, len(doc)]), NON_ALPHANUMERIC), []
+    for n in (50, 500):
+        items = _Items.of(benchmark_items(spark.createDataFrame(list(enumerate(texts[:n])), "item_id long, text string"), 5, "item_id", "text").toArrow())
+        counts.append([len(pairs) for index in _indexes(items, 5) for pairs, *_ in candidate_steps(words, index, 5)])
+    assert counts[0] == counts[1] == [2]
+
+
+def test_rows_are_dropped_by_their_own_text(spark):
+    leak, fine = " ".join(["x"] * 4 + A), "nothing to see here at all"
+    docs = [(None, leak, 1), (None, fine, 2), (7, leak, 3), (7, fine, 4), (8, leak, 5), (8, leak, 6), (9, None, 7), (10, "", 8)]
+    items = [(None, " ".join(A)), (1, " ".join(B)), (2, None), (3, "")]
+    d = spark.createDataFrame(docs, "doc_id long, text string, item_id int")
+    assert {r.item_id for r in drop_contaminated(d, spark.createDataFrame(items, "item_id long, text string")).collect()} == {2, 4, 7, 8}
+    assert drop_contaminated(d, spark.createDataFrame([], "item_id long, text string")).count() == 8
+
+
 def test_empty_tables(spark):
     some = spark.createDataFrame([(1, " ".join(A))], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, item_id long, text string")
