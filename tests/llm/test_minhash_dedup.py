@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from passagework.llm.graph import components
-from passagework.llm.minhash_dedup import _band_keys, _bin_minima, _densify, near_duplicates
+from passagework.llm.minhash_dedup import _band_keys, _bin_minima, _densify, drop_near_duplicates, near_duplicates
 from passagework.llm.scratch import Scratch
 from passagework.llm.words import distinct_by_text, mix
 
@@ -62,11 +62,12 @@ def test_chain_of_copies(spark):
     assert result(near_duplicates(df, shingle=4)) == brute(docs, 4)
 
 
-@pytest.mark.parametrize("dense", [1, 1000])
-def test_pairs_far_from_every_hub(spark, monkeypatch, dense):
+@pytest.mark.parametrize("light", [1, 8, 1000])
+def test_pairs_far_from_every_hub(spark, monkeypatch, light):
     """Copies of one source that share too little with it and with each other, and pairs among them that share enough."""
-    monkeypatch.setattr("passagework.llm.minhash_dedup.DENSE", dense, raising=False)
-    monkeypatch.setattr("passagework.llm.minhash_dedup.PART", 50, raising=False)
+    monkeypatch.setattr("passagework.llm.minhash_dedup.LIGHT", light)
+    monkeypatch.setattr("passagework.llm.minhash_dedup.PART", 3)
+    monkeypatch.setattr("passagework.llm.minhash_dedup.BLOCK", 2000)
     rng = random.Random(11)
     source = [f"s{i}" for i in range(120)]
     docs = []
@@ -96,6 +97,25 @@ def test_odd_rows(spark):
     assert {(r.doc_id, r.component_id) for r in rows if r.doc_id} == {(d, c) for d, (_, c, _) in brute(docs, 4).items()}
 
 
+def test_several_texts_of_one_id(spark):
+    """Id 5 has two unlike texts, each with near copies; neither group joins the other."""
+    x, y = ([f"{c}{i}" for i in range(60)] for c in "xy")
+    docs = [(5, " ".join(x)), (5, " ".join(y)), (7, " ".join([*x, "more"])), (8, " ".join([*y, "more"])), (3, " ".join([*y, "other"])), (9, " ".join(x))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = sorted((r.doc_id, r.component_id, r.kept) for r in near_duplicates(df, shingle=4).collect())
+    assert found == [(3, 3, True), (5, 3, False), (5, 5, True), (7, 5, False), (8, 3, False), (9, 5, False)]
+    assert sorted((r.doc_id, r.text) for r in drop_near_duplicates(df).collect()) == [(3, docs[4][1]), (5, docs[0][1])]
+
+
+def test_dropped_rows(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    docs = [(1, a, 1), (1, a, 1), (1, a, 2), (2, a + " end", 3), (None, a, 4), (None, a, 4), (3, None, 5), (3, None, 5), (4, "", 6), (5, b, 7), (6, b, 8)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, _did int")
+    kept = sorted((r.doc_id, r.text) for r in drop_near_duplicates(df).collect() if r.doc_id)
+    assert kept == sorted([(1, a), (3, None), (3, None), (4, ""), (5, b)], key=lambda x: (x[0], x[1] or ""))
+    assert drop_near_duplicates(df).columns == df.columns and drop_near_duplicates(df).where("doc_id is null").count() == 2
+
+
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
