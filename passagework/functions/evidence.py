@@ -63,12 +63,13 @@ def is_fetchable(url: Column) -> Column:
     return ~contains_any(F.coalesce(host(url), F.lit("")), UNFETCHED_HOSTS)
 
 
-def diverse_sources(results: DataFrame, most: int, key: str = "query_id") -> DataFrame:
-    """The first ``most`` results (key, rank, url): each host's first, then the others by rank."""
+def diverse_sources(results: DataFrame, most: int | None, key: str = "query_id") -> DataFrame:
+    """The first ``most`` results (key, rank, url), or all: each host's first, then the others by rank."""
     order = Window.partitionBy(key, host(F.col("url"))).orderBy("rank")
     first = results.withColumn("_n", F.row_number().over(order))
     picked = Window.partitionBy(key).orderBy(F.col("_n") > 1, "rank")
-    return first.withColumn("position", F.row_number().over(picked)).where(F.col("position") <= most).drop("_n")
+    placed = first.withColumn("position", F.row_number().over(picked)).drop("_n")
+    return placed if most is None else placed.where(F.col("position") <= most)
 
 
 def asked_concept(query: Column) -> Column:

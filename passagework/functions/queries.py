@@ -34,6 +34,9 @@ CLAUSE_JOINTS = [
 ]
 NEVER_SIMPLE = ["how long", "how many", "which branch", "which amendment", "which article", "what power", "what right"]
 SIMPLE_STARTS = ["what is ", "who is ", "when is ", "where is ", "define ", "what does "]
+LEGAL_HINTS = [
+    "what right", "which branch", "what branch", "what does article", "what senate vote", "vote threshold", "inferior federal courts", "prohibit", "apportion", "succession", "treaty", "ratification",
+]
 CONCEPT_STARTS = ["what is a", "what is an", "what is", "who is", "when is", "where is", "define ", "what does"]
 ABOUT_DOCUMENT = r"\b(document|file|text|pdf|upload|this|it)\b"
 COMPARATIVE = [" compare ", " comparison", " difference", " vs ", " versus ", " better ", " which one"]
@@ -96,6 +99,12 @@ def complexity(query: Column) -> Column:
     return F.when(q.rlike(any_case(GLOBAL)), "global").when(q.rlike(any_case(MULTI_HOP)) | is_negative(q) | is_legal(q) | joined, "multi_hop").otherwise("simple")
 
 
+def needs_standard(query: Column) -> Column:
+    """Whether a question that looks simple needs exact clauses: negative or legal wording, or a hint of it."""
+    q = F.lower(F.trim(F.coalesce(query, F.lit(""))))
+    return (q != "") & (is_negative(q) | is_legal(q) | contains_any(q, LEGAL_HINTS))
+
+
 def features(query: Column) -> Column:
     """A struct of what a query's wording shows."""
     q = F.coalesce(query, F.lit(""))

@@ -6,9 +6,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from passagework.functions.text import clean_text, structural_units, text_shape
+from passagework.operators.numbering import numbered
 
 
 @dataclass(frozen=True)
@@ -123,9 +124,10 @@ def page_windows(pages: DataFrame, width: int = 3, shortest: int = 200, most: in
         F.min("physical_page").alias("first_page"), F.max("physical_page").alias("last_page"), F.array_sort(F.collect_list(F.struct("physical_page", "text"))).alias("held")
     )
     joined = grouped.withColumn("text", F.array_join(F.transform("held", lambda p: p["text"]), "\n\n")).where(F.length("text") >= shortest).drop("held")
-    numbered = joined.withColumn("window", F.row_number().over(Window.partitionBy("document_id").orderBy("slot")) - 1)
+    windows = numbered(joined, ["document_id"], [F.col("slot")], F.floor(F.col("slot") / 1000), "window").withColumn("window", F.col("window") - 1)
     if most is not None:
-        numbered = numbered.withColumn("_n", F.count("*").over(Window.partitionBy("document_id")))
+        sizes = windows.groupBy(F.col("document_id").alias("_document")).agg(F.count("*").alias("_n"))
         step = F.greatest(F.col("_n") / most, F.lit(1.0))
-        numbered = numbered.where(F.exists(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.floor(i * step) == F.col("window"))).drop("_n")
-    return numbered.drop("slot")
+        windows = windows.join(sizes, F.col("document_id").eqNullSafe(F.col("_document")))
+        windows = windows.where(F.exists(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.floor(i * step) == F.col("window"))).drop("_n", "_document")
+    return windows.drop("slot")

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from passagework.functions.text import tokens
+from passagework.operators.numbering import numbered
 
 
 def _share(n: Column, of: Column, empty: float) -> Column:
@@ -79,10 +82,36 @@ def threshold_sweep(rows: DataFrame, predicted: str, score: str, gold: str, thre
 
 
 def stratified_split(rows: DataFrame, label: str, key: str, share: float = 0.25, seed: int = 42) -> DataFrame:
-    """``rows`` with is_test: a fixed random ``share`` of each label's rows, one at least."""
-    order = Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), key), key)
-    counted = rows.withColumn("_n", F.count("*").over(Window.partitionBy(label))).withColumn("_i", F.row_number().over(order))
-    return counted.withColumn("is_test", F.col("_i") <= F.greatest(F.lit(1), F.round(F.col("_n") * share))).drop("_n", "_i")
+    """``rows`` with is_test: a fixed random ``share`` of each label's rows, one at least.
+
+    They are those of the least hashes of ``key`` (ties: the key). Labels are few and large, so that hashes are counted by
+    ranges, and only rows within a range are ordered.
+    """
+    hashed = rows.withColumn("_h", F.xxhash64(F.lit(seed), key))
+    sizes = rows.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_n"))
+    placed = numbered(hashed, [label], [F.col("_h"), F.col(key)], F.shiftright("_h", 48), "_i").join(sizes, F.col(label).eqNullSafe(F.col("_label")))
+    return placed.select(*(F.col(f"`{c}`") for c in rows.columns), (F.col("_i") <= F.greatest(F.lit(1), F.round(F.col("_n") * share))).alias("is_test"))
+
+
+def route_match_rate(rows: DataFrame, actual: str, expected: str) -> DataFrame:
+    """One row (n, match_rate): the share of rows whose route is the expected one; a route that failed (null) matches nothing."""
+    return rows.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.coalesce(F.col(actual) == F.col(expected), F.lit(False)).cast("double")), F.lit(0.0)).alias("match_rate"))
+
+
+def verbatim_gold(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query_id, doc_id) of ``docs`` (doc_id, text) that hold a query of ``asked`` (query_id, query) word for word.
+
+    A text that holds a query holds its inner words whole. So texts meet the queries by the rarest inner word, and only these
+    pairs are compared. Queries without inner words, of two words or less, are compared with all texts.
+    """
+    words = asked.select("query_id", "query", tokens(F.col("query")).alias("w")).withColumn("inner", F.expr("if(size(w) > 2, slice(w, 2, size(w) - 2), cast(array() AS array<string>))"))
+    held = docs.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    inner = words.select("query_id", F.explode(F.array_distinct("inner")).alias("term"))
+    frequency = held.join(inner.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    rarest = inner.join(frequency, "term", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("r")).select("query_id", "r.term")
+    met = held.join(rarest, "term").select("doc_id", "query_id").join(docs.select("doc_id", "text"), "doc_id").join(asked, "query_id")
+    short = words.where("size(inner) = 0 and query is not null").select("query_id", "query")
+    return met.unionByName(docs.select("doc_id", "text").join(short, F.col("text").contains(F.col("query")))).where(F.col("text").contains(F.col("query"))).select("query_id", "doc_id")
 
 
 def fit_platt(rows: DataFrame, score: str, truth: str, epochs: int = 2000, rate: float = 0.1, l2: float = 1e-4) -> tuple[float, float]:

@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, NGram, VectorAssembler
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from passagework.functions.text import tokens
+from passagework.operators.numbering import numbered
 
 
 def assign_ids(new: DataFrame, existing: DataFrame, prefix: str) -> DataFrame:
     """``new`` (position, ...) with ids ``prefix``_q<n>, going on from the largest number that ends an id of ``existing``.
 
-    Questions are written by hand or by a model, so that they are few; they are numbered in one task.
+    Positions are whole numbers; rows are ordered within thousands of them.
     """
     last = existing.agg(F.coalesce(F.max(F.regexp_extract("id", r"(\d+)$", 1).try_cast("int")), F.lit(0)).alias("_last"))
-    numbered = new.withColumn("_n", F.row_number().over(Window.orderBy("position")))
-    return numbered.crossJoin(F.broadcast(last)).withColumn("id", F.concat(F.lit(f"{prefix}_q"), F.col("_last") + F.col("_n"))).drop("_n", "_last")
+    placed = numbered(new, [], [F.col("position")], F.floor(F.col("position") / 1000), "_n")
+    return placed.crossJoin(F.broadcast(last)).withColumn("id", F.concat(F.lit(f"{prefix}_q"), F.col("_last") + F.col("_n"))).drop("_n", "_last")
 
 
 def _with_words(rows: DataFrame, text_col: str) -> DataFrame:

@@ -23,18 +23,25 @@ def corpus_stats(lengths: DataFrame) -> DataFrame:
     return lengths.agg(F.count("*").alias("n_chunks"), F.avg("length").alias("mean_length"))
 
 
-def document_frequencies(chunks: DataFrame, text_col: str = "text") -> DataFrame:
-    """(term, df). A task sums its chunks' distinct words before the shuffle, which then has a row for each task and term."""
-    return chunks.select(F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+def statistics(held: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((term, df), one row of n_chunks and mean_length) of (words, length), in one pass.
+
+    A chunk counts once for each distinct word, and once for no word, which carries its length. A task sums its chunks before
+    the shuffle, which then has a row for each task and term.
+    """
+    rows = held.select(F.explode(F.concat(F.array_distinct("words"), F.array(F.lit(None).cast("string")))).alias("term"), "length")
+    counted = rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("length").alias("length"))
+    world = counted.where("term is null").agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n_chunks"), (F.sum("length") / F.sum("df")).alias("mean_length"))
+    return counted.where("term is not null").select("term", "df"), world
 
 
-def term_stats(posting_rows: DataFrame, lengths: DataFrame, epsilon: float = 0.25) -> DataFrame:
-    """(term, df, idf) from postings, or from (term, df).
+def term_stats(posting_rows: DataFrame, world: DataFrame, epsilon: float = 0.25) -> DataFrame:
+    """(term, df, idf) from postings, or from (term, df); ``world`` is corpus_stats().
 
     idf = ln(N - df + 0.5) - ln(df + 0.5); where negative, ``epsilon`` times the mean over all terms.
     """
     df = posting_rows if "df" in posting_rows.columns else posting_rows.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.crossJoin(F.broadcast(corpus_stats(lengths).select("n_chunks"))).withColumn("raw", F.expr("ln(n_chunks - df + 0.5) - ln(df + 0.5)"))
+    raw = df.crossJoin(F.broadcast(world.select("n_chunks"))).withColumn("raw", F.expr("ln(n_chunks - df + 0.5) - ln(df + 0.5)"))
     mean = raw.agg(F.avg("raw").alias("mean_idf"))
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
 
@@ -68,7 +75,7 @@ def save_index(folder: str, chunks: DataFrame) -> None:
     held = spark.read.parquet(f"{folder}/chunks")
     chunk_lengths(held).write.mode("overwrite").parquet(f"{folder}/lengths")
     postings(held).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/postings")
-    term_stats(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/lengths")).write.mode("overwrite").parquet(f"{folder}/terms")
+    term_stats(spark.read.parquet(f"{folder}/postings"), corpus_stats(spark.read.parquet(f"{folder}/lengths"))).write.mode("overwrite").parquet(f"{folder}/terms")
 
 
 def load_index(spark: SparkSession, folder: str) -> dict[str, DataFrame]:

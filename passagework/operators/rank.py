@@ -58,7 +58,7 @@ def diversify(hits: DataFrame, k: int, per_document: int = PER_DOCUMENT, per_par
     return marked.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k).drop("_p", "_d", "rank").withColumnRenamed("_rank", "rank")
 
 
-def expand_parents(hits: DataFrame, parents: DataFrame, prefer_parent: bool = True) -> DataFrame:
+def expand_parents(hits: DataFrame, parents: DataFrame, prefer_parent: bool | Column = True) -> DataFrame:
     """``hits`` (chunk_id, text, node_type, parent_id) with context_text: a raw chunk's parent's text if wanted and there is one, else its own."""
     found = parents.select(F.col("chunk_id").alias("parent_id"), F.col("text").alias("_parent_text"))
     joined = hits.join(found, "parent_id", "left")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from passagework.functions.text import tokens
-from passagework.operators.index import chunk_lengths, corpus_stats, document_frequencies, term_stats
+from passagework.operators.index import corpus_stats, statistics, term_stats
 from passagework.plans.shared import shared_folder
 
 #: The vectors of about so many queries go to the tasks at once; of a larger batch, hash parts are searched in turn.
@@ -28,36 +28,44 @@ def _weights(queries: DataFrame, terms: DataFrame) -> DataFrame:
     return asked.join(terms, "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("weight"))
 
 
-def _best(counted: DataFrame, weighted: DataFrame, world: DataFrame, k: int, k1: float, b: float) -> DataFrame:
-    """The k best of (chunk_id, term, tf, length) by the queries' weights."""
+def _best(counted: DataFrame, weighted: DataFrame, world: DataFrame, k: int, forms: dict[str, tuple[float, float]]) -> DataFrame:
+    """(list_id, query_id, chunk_id, score, rank): the k best of (chunk_id, term, tf, length) by the queries' weights, for each (k1, b) of ``forms``."""
     parts = counted.join(weighted, "term").crossJoin(F.broadcast(world.select("mean_length")))
-    score = F.expr(f"weight * tf * ({k1} + 1) / (tf + {k1} * (1 - {b} + {b} * length / mean_length))")
-    scored = parts.withColumn("part", score).groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"))
-    return ranked(scored, k, F.desc(F.round("score", 9)), F.asc("chunk_id")).where("score > 0").select("query_id", "chunk_id", "score", "rank")
+    sums = [F.sum(F.expr(f"weight * tf * ({k1} + 1) / (tf + {k1} * (1 - {b} + {b} * length / mean_length))")).alias(name) for name, (k1, b) in forms.items()]
+    scored = parts.groupBy("query_id", "chunk_id").agg(*sums)
+    scored = scored.select("query_id", "chunk_id", F.explode(F.array(*(F.struct(F.lit(name).alias("list_id"), F.col(name).alias("score")) for name in forms))).alias("x")).select("query_id", "chunk_id", "x.*")
+    by = Window.partitionBy("query_id", "list_id").orderBy(F.desc(F.round("score", 9)), F.asc("chunk_id"))
+    return scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).where("score > 0").select("list_id", "query_id", "chunk_id", "score", "rank")
+
+
+def bm25_lists(chunks: DataFrame, queries: DataFrame, k: int, forms: dict[str, tuple[float, float]], kinds: list[str] | None = None) -> DataFrame:
+    """(list_id, query_id, chunk_id, score, rank): bm25_topk() for several (k1, b), by name, in the same two passes over the chunks."""
+    # the length is a column of its own before the explode, or it would be counted anew for each word
+    held = chunks.select("chunk_id", "node_type", tokens(F.col("text")).alias("words")) if kinds else chunks.select("chunk_id", tokens(F.col("text")).alias("words"))
+    held = held.withColumn("length", F.size("words"))
+    df, world = statistics(held)
+    weighted = _weights(queries, term_stats(df, world))
+    candidates = held.where(F.col("node_type").isin(kinds)) if kinds else held
+    words = candidates.select("chunk_id", "length", F.explode("words").alias("term"))
+    asked = queries.select(F.explode(F.array_distinct(tokens(F.col("query")))).alias("term")).distinct()
+    counted = words.join(asked, "term").groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    return _best(counted, weighted, world, k, forms)
 
 
 def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, kinds: list[str] | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank): the k best chunks of each query (columns query_id, query) by Okapi BM25.
 
     A query's repeated words count as often as they stand. Statistics cover all chunks; ``kinds`` restricts the
-    candidates before the cut. Ties: the smaller chunk_id. Scores of 0 or less are dropped after the cut. Words that no
-    query has are dropped where the chunks are read; counts and lengths of the others are all that is shuffled.
+    candidates before the cut. Ties: the smaller chunk_id. Scores of 0 or less are dropped after the cut. The chunks are
+    read twice: for document frequencies and lengths, and for the queries' words, whose counts are all that is shuffled.
     """
-    lengths = chunk_lengths(chunks)
-    weighted = _weights(queries, term_stats(document_frequencies(chunks), lengths))
-    candidates = chunks if kinds is None else chunks.where(F.col("node_type").isin(kinds))
-    # the length is a column of its own before the explode, or it would be counted anew for each word
-    held = candidates.select("chunk_id", tokens(F.col("text")).alias("words")).select("chunk_id", F.size("words").alias("length"), "words")
-    words = held.select("chunk_id", "length", F.explode("words").alias("term"))
-    asked = queries.select(F.explode(F.array_distinct(tokens(F.col("query")))).alias("term")).distinct()
-    counted = words.join(asked, "term").groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-    return _best(counted, weighted, corpus_stats(lengths), k, k1, b)
+    return bm25_lists(chunks, queries, k, {"bm25": (k1, b)}, kinds).drop("list_id")
 
 
 def bm25_topk_indexed(index: dict[str, DataFrame], queries: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """bm25_topk() from the tables of load_index(): only the queries' words' postings are read on."""
     counted = index["postings"].join(index["lengths"], "chunk_id")
-    return _best(counted, _weights(queries, index["terms"]), corpus_stats(index["lengths"]), k, k1, b)
+    return _best(counted, _weights(queries, index["terms"]), corpus_stats(index["lengths"]), k, {"bm25": (k1, b)}).drop("list_id")
 
 
 def _matrix(lists: pa.Array) -> np.ndarray:

@@ -25,28 +25,21 @@ def agent_or_fallback() -> Column:
 def floor_percentiles(rows: DataFrame, group: list[str], value: str, at: dict[str, float]) -> DataFrame:
     """(group, name, ...): the value at place int(n * p) of each group's sorted values, for each name and p of ``at``.
 
-    Exact, without sorting or gathering a group: counts in 1024 ranges tell the range that holds a place; only the
-    distinct values of that range are ordered. Nulls don't count. Groups of no values have no row.
+    Exact, without sorting or gathering a group, whatever the values: a sketch with a sure error gives two values that
+    the place lies between, half a percent of the rows to each side; only the distinct values between them are ordered,
+    and those below are counted. Nulls don't count. Groups of no values have no row.
     """
     held = rows.where(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("_v"))
-    edges = held.groupBy(*group).agg(F.count("*").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
-    edges = edges.select(*(F.col(g).alias(f"_e{i}") for i, g in enumerate(group)), "_n", "_low", "_high")
-    width = F.col("_high") - F.col("_low")
-    cell = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_low")) / width * 1024), F.lit(1023))).otherwise(F.lit(0)).cast("int")
+    bounds = [F.percentile_approx("_v", [min(1.0, max(0.0, p + side)) for p in at.values()], 10_000).alias(name) for name, side in (("_lows", -0.005), ("_highs", 0.005))]
+    edges = held.groupBy(*group).agg(F.count("*").alias("_n"), *bounds)
+    wanted = F.array(*(F.struct(F.lit(name).alias("name"), F.floor(F.col("_n") * F.lit(p)).alias("place"), F.col("_lows")[i].alias("low"), F.col("_highs")[i].alias("high")) for i, (name, p) in enumerate(at.items())))
+    edges = edges.select(*(F.col(g).alias(f"_e{i}") for i, g in enumerate(group)), wanted.alias("_wanted"))
     met = held.join(edges, [F.col(g).eqNullSafe(F.col(f"_e{i}")) for i, g in enumerate(group)]) if group else held.crossJoin(F.broadcast(edges))
-    placed = met.select(*group, "_v", "_n", cell.alias("_cell"))
-    values = placed.groupBy(*group, "_cell", "_v").agg(F.count("*").alias("_c"), F.max("_n").alias("_n"))
-    cells = values.groupBy(*group, "_cell").agg(F.sum("_c").alias("_in"), F.max("_n").alias("_n"))
-    before = F.sum("_in").over(Window.partitionBy(*group).orderBy("_cell")) - F.col("_in")
-    wanted = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), F.lit(p).alias("p")) for name, p in at.items())))
-    target = cells.withColumn("_before", before).select("*", wanted.alias("_w")).withColumn("_place", F.floor(F.col("_n") * F.col("_w.p")) - F.col("_before")).where("_place >= 0 and _place < _in")
-    target = target.select(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(group)), F.col("_cell").alias("_at"), F.col("_w.name").alias("_name"), "_place")
-    same = [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)] + [F.col("_cell") == F.col("_at")]
-    near = values.join(target, same)
-    ordered = Window.partitionBy(*group, "_name").orderBy("_v")
-    found = near.withColumn("_to", F.sum("_c").over(ordered)).where("_to > _place and _to - _c <= _place")
-    picks = [F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in at]
-    return found.groupBy(*group).agg(*picks)
+    near = met.select(*group, "_v", F.explode("_wanted").alias("_w")).where("_v <= _w.high")
+    values = near.groupBy(*group, "_w.name", "_w.place", F.when(F.col("_v") >= F.col("_w.low"), F.col("_v")).alias("_v")).agg(F.count("*").alias("_c"))
+    ordered = Window.partitionBy(*group, "name").orderBy(F.asc_nulls_first("_v"))  # null: all below
+    found = values.withColumn("_to", F.sum("_c").over(ordered)).where("_v is not null and _to > place and _to - _c <= place")
+    return found.groupBy(*group).agg(*(F.max(F.when(F.col("name") == name, F.col("_v"))).alias(name) for name in at))
 
 
 def routing_summary(routing: DataFrame) -> DataFrame:

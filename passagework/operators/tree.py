@@ -8,7 +8,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from passagework.functions.queries import squeeze
 from passagework.operators.providers import Embedder, Summarizer, first_texts, hash_embedder
@@ -19,7 +20,7 @@ MOST_CLUSTERS, LEAST_PER_CLUSTER, LEAST_NODES, SHARE, MOST_LEVELS = 12, 4, 4, 0.
 #: A document of up to so many rows is fitted in one task. Larger ones are fitted on all rows in rounds over the table,
 #: which start from a fit on so many.
 FIT_ROWS = 2000
-#: More members than a summary's characters can show.
+#: How many of a cluster's members a summarizer is given, unless it asks for more; the plain one shows fewer.
 SHOWN = 256
 
 
@@ -182,24 +183,25 @@ def fingerprint(nodes: DataFrame) -> DataFrame:
     return rows.repartition("document_id").sortWithinPartitions("document_id", "row").mapInArrow(_digests, "document_id string, fingerprint string")
 
 
-def _summaries(nodes: DataFrame, clusters: DataFrame, level: int, summarize: Summarizer) -> DataFrame:
+def _summaries(nodes: DataFrame, clusters: DataFrame, level: int, summarize: Summarizer, shown: int) -> DataFrame:
     """A summary node for each cluster; its text shows the first members by chunk_id, its children are all of them."""
     members = clusters.join(nodes.select("document_id", "chunk_id", "text"), ["document_id", "chunk_id"])
     order = Window.partitionBy("document_id", "cluster").orderBy("chunk_id")
-    shown = members.withColumn("_n", F.row_number().over(order))
-    grouped = shown.groupBy("document_id", "cluster").agg(
-        F.array_sort(F.collect_list(F.when(F.col("_n") <= SHOWN, F.struct("_n", "text")))).alias("held"), F.array_sort(F.collect_list("chunk_id")).alias("child_chunk_ids")
+    placed = members.withColumn("_n", F.row_number().over(order))
+    grouped = placed.groupBy("document_id", "cluster").agg(
+        F.array_sort(F.collect_list(F.when(F.col("_n") <= shown, F.struct("_n", "text")))).alias("held"), F.array_sort(F.collect_list("chunk_id")).alias("child_chunk_ids")
     )
     text = summarize(F.transform("held", lambda x: x["text"]))
     node = F.concat(F.col("document_id"), F.lit(f"_summary_{level}_"), F.sha2(F.array_join("child_chunk_ids", ","), 256).substr(1, 10))
     return grouped.select("document_id", node.alias("chunk_id"), F.lit("summary").alias("node_type"), F.lit(level).alias("level"), text.alias("text"), "child_chunk_ids")
 
 
-def build_tree(chunks: DataFrame, folder: str, embed: Embedder = hash_embedder, summarize: Summarizer = first_texts, most_levels: int = MOST_LEVELS) -> DataFrame:
+def build_tree(chunks: DataFrame, folder: str, embed: Embedder = hash_embedder, summarize: Summarizer = first_texts, most_levels: int = MOST_LEVELS, shown: int = SHOWN) -> DataFrame:
     """(document_id, chunk_id, node_type, level, text, child_chunk_ids): chunks at level 0 and the summaries above them.
 
     A document goes on while it has LEAST_NODES nodes; one cluster makes its top node. ``folder``: where levels are
-    written, shared by all executors. Three levels at most, so that the driver's loop is bounded.
+    written, shared by all executors. Three levels at most, so that the driver's loop is bounded. ``summarize`` is given
+    the first ``shown`` texts of a cluster, by chunk_id, as a model reads so many at most; the children are all members.
     """
     spark = chunks.sparkSession
     empty = F.array().cast("array<string>")
@@ -209,7 +211,7 @@ def build_tree(chunks: DataFrame, folder: str, embed: Embedder = hash_embedder,
         size = nodes.groupBy("document_id").agg(F.count("*").alias("_n")).where(F.col("_n") >= LEAST_NODES).select("document_id")
         nodes = nodes.join(size, "document_id")
         path = f"{folder}/level-{level}"
-        _summaries(nodes, soft_clusters(embed(nodes.select("document_id", "chunk_id", "text"), "text")), level, summarize).write.mode("overwrite").parquet(path)
+        _summaries(nodes, soft_clusters(embed(nodes.select("document_id", "chunk_id", "text"), "text")), level, summarize, shown).write.mode("overwrite").parquet(path)
         nodes = spark.read.parquet(path)
         tree = tree.unionByName(nodes)
         if nodes.isEmpty():
@@ -217,6 +219,48 @@ def build_tree(chunks: DataFrame, folder: str, embed: Embedder = hash_embedder,
     return tree
 
 
+def cached_tree(chunks: DataFrame, folder: str, embed: Embedder = hash_embedder, summarize: Summarizer = first_texts, most_levels: int = MOST_LEVELS, shown: int = SHOWN) -> DataFrame:
+    """build_tree(), where documents whose chunks have not changed keep the tree that ``folder`` has of them.
+
+    ``folder`` holds a manifest (document_id, fingerprint, built_at, nodes, levels) and the trees, by fingerprint. New trees
+    are added; old ones stay, so that a document may have several.
+    """
+    spark = chunks.sparkSession
+    now = fingerprint(chunks.withColumn("chunk_id", F.col("chunk_id").cast("string"))).withColumn("document_id", F.col("document_id").cast("string"))
+    held = read_manifest(spark, folder)
+    fresh = now if held is None else now.join(held.select("document_id", "fingerprint"), ["document_id", "fingerprint"], "left_anti")
+    path = shared_folder(spark, "tree")
+    now.write.parquet(f"{path}/now")
+    fresh.write.parquet(f"{path}/fresh")
+    now, fresh = (spark.read.parquet(f"{path}/{x}") for x in ("now", "fresh"))
+    if not fresh.isEmpty():
+        asked = chunks.join(fresh, chunks["document_id"].cast("string").eqNullSafe(fresh["document_id"]), "left_semi")
+        built = build_tree(asked, path, embed, summarize, most_levels, shown).join(fresh, "document_id")
+        built.write.mode("append").parquet(f"{folder}/trees")
+        counted = spark.read.parquet(f"{folder}/trees").join(fresh, ["document_id", "fingerprint"], "left_semi").groupBy("document_id", "fingerprint").agg(F.count("*").alias("nodes"), F.max("level").alias("levels"))
+        counted.select("document_id", "fingerprint", F.current_timestamp().alias("built_at"), "nodes", "levels").write.mode("append").parquet(f"{folder}/manifest")
+    return spark.read.parquet(f"{folder}/trees").join(now, ["document_id", "fingerprint"], "left_semi").drop("fingerprint") if now.limit(1).count() else build_tree(chunks, path, embed, summarize, 0)
+
+
+def read_manifest(spark: SparkSession, folder: str) -> DataFrame | None:
+    """(document_id, fingerprint, built_at, nodes, levels) of the trees that a folder holds; None before the first."""
+    try:
+        return spark.read.parquet(f"{folder}/manifest")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def newest_trees(spark: SparkSession, folder: str, fingerprints: DataFrame | None = None) -> DataFrame:
+    """The trees of ``fingerprints`` (document_id, fingerprint), or each document's newest one, from the folder of cached_tree()."""
+    held = read_manifest(spark, folder)
+    if held is None:
+        raise ValueError(f"{folder} holds no trees")
+    chosen = fingerprints or held.groupBy("document_id").agg(F.max_by("fingerprint", F.struct("built_at", "fingerprint")).alias("fingerprint"))
+    return spark.read.parquet(f"{folder}/trees").join(chosen.select("document_id", "fingerprint"), ["document_id", "fingerprint"], "left_semi").drop("fingerprint")
+
+
 def tree_edges(tree: DataFrame) -> DataFrame:
     """(document_id, parent, child)."""
     return tree.select("document_id", F.col("chunk_id").alias("parent"), F.explode("child_chunk_ids").alias("child"))

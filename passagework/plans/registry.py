@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from passagework.functions import answers, detectors as D, display, evidence, queries as Q, text as T
-from passagework.operators import chunk, conversation, evaluate, index, pack, providers, rank, search, telemetry, tree
+from passagework.operators import chunk, conversation, evaluate, index, numbering, pack, providers, rank, search, telemetry, tree
 from passagework.plans import retrieval
 from passagework.plans.shared import shared_folder
 from passagework.plans.tables import chunks, executions, questions, routing, table, texts, turns
@@ -72,10 +72,8 @@ fused AS MATERIALIZED (SELECT query_id, chunk_id, score, row_number() OVER (PART
 
 
 def two_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held, asked = chunks(spark, sf_dir), questions(spark, sf_dir)
-    one = search.bm25_topk(held, asked, 20).select("query_id", F.lit("one").alias("list_id"), F.lit(1.25).alias("weight"), "rank", "chunk_id", "score")
-    two = search.bm25_topk(held, asked, 20, k1=0.9, b=0.4).select("query_id", F.lit("two").alias("list_id"), F.lit(1.0).alias("weight"), "rank", "chunk_id", "score")
-    return one.unionByName(two)
+    lists = search.bm25_lists(chunks(spark, sf_dir), questions(spark, sf_dir), 20, {"one": (1.5, 0.75), "two": (0.9, 0.4)})
+    return lists.select("query_id", "list_id", F.when(F.col("list_id") == "one", 1.25).otherwise(1.0).alias("weight"), "rank", "chunk_id", "score")
 
 
 # -- text
@@ -138,7 +136,7 @@ def chunked_pages(spark, sf_dir):
     SELECT source AS document_id, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS window_no, first_page, last_page, length(text)::BIGINT AS n_chars FROM w WHERE length(text) >= 200"""
 )
 def page_windows(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").withColumn("physical_page", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("long"))
+    docs = numbering.numbered(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), ["source"], [F.col("doc_id")], F.floor(F.col("doc_id") / 1000), "physical_page")
     windows = chunk.page_windows(docs.select(F.col("source").alias("document_id"), "physical_page", "text"))
     return windows.select("document_id", F.col("window").cast("long").alias("window_no"), "first_page", "last_page", F.length("text").cast("long").alias("n_chars"))
 
@@ -163,8 +161,8 @@ def candidate_pages(spark, sf_dir):
 
 @register(f"WITH {BM25_BASE} SELECT term, df, round(idf, 6) AS idf FROM terms")
 def bm25_term_stats(spark, sf_dir):
-    held = chunks(spark, sf_dir)
-    return index.term_stats(index.postings(held), index.chunk_lengths(held)).select("term", "df", F.round("idf", 6).alias("idf"))
+    words = chunks(spark, sf_dir).select(T.tokens(F.col("text")).alias("words"))
+    return index.term_stats(*index.statistics(words.withColumn("length", F.size("words")))).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @register(f"WITH {BM25_BASE}, {bm25_cte('hits', 10)} SELECT query_id, chunk_id, round(score, 6) AS score, rank::INT AS rank FROM hits")
@@ -300,8 +298,8 @@ def packed_context(spark, sf_dir):
 
 @register()
 def routed_retrieval(spark, sf_dir):
-    """All questions by their complexity, over all documents as chunks and their hashed vectors."""
-    held = chunks(spark, sf_dir)
+    """All questions by their complexity, over all documents as chunks and their hashed vectors. Documents of ten ids in a row are a section; the parent among the first two is their parent."""
+    held = chunks(spark, sf_dir).withColumn("parent_id", F.col("chunk_id") - F.col("chunk_id") % 10 + 1)
     vectors = providers.hash_embedder(held.select("chunk_id", "text"), "text").select("chunk_id", "vector")
     return retrieval.retrieve(retrieval.Corpus(held, vectors), questions(spark, sf_dir)).drop("context_text")
 
@@ -535,7 +533,7 @@ def retrieval_metrics(spark, sf_dir):
     """BM25's ten best chunks of each question against the documents that hold it word for word."""
     asked, docs = questions(spark, sf_dir), texts(spark, sf_dir, "documents")
     got = search.bm25_topk(chunks(spark, sf_dir), asked, 10).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))).alias("l")).select("query_id", F.transform("l", lambda x: x["chunk_id"].cast("string")).alias("retrieved"))
-    gold = docs.join(F.broadcast(asked), F.col("text").contains(F.col("query"))).groupBy("query_id").agg(F.collect_set(F.col("doc_id").cast("string")).alias("relevant"))
+    gold = evaluate.verbatim_gold(docs, asked).groupBy("query_id").agg(F.collect_set(F.col("doc_id").cast("string")).alias("relevant"))
     out = evaluate.retrieval_metrics(got.join(gold, "query_id", "left"))
     return out.select("query_id", "hit", *(F.round(c, 6).alias(c) for c in ("reciprocal_rank", "precision_at_k", "precision_at_r", "recall")))
 

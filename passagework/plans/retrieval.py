@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from passagework.functions import queries as Q
+from passagework.functions.text import chunk_kind
 from passagework.operators import rank
 from passagework.operators.providers import Embedder, hash_embedder
 from passagework.operators.search import bm25_topk, dense_topk
+from passagework.plans.shared import shared_folder
 
 PARENT_FLOOR = 0.0063
 
@@ -27,11 +29,17 @@ class Corpus:
         return Corpus(kept, self.vectors.join(kept.select("chunk_id"), "chunk_id", "left_semi"), self.embed)
 
 
-def _arms(corpus: Corpus, asked: DataFrame, bm25_k: int, dense_k: int, kinds: list[str]) -> DataFrame:
-    """(query_id, list_id, rank, chunk_id): the lexical and the dense list of each row of (query_id, query)."""
+def _kept(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """``df``, written and read again: later steps read hits, not searches."""
+    df.write.mode("overwrite").parquet(f"{folder}/{name}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+
+def _arms(corpus: Corpus, asked: DataFrame, bm25_k: int, dense_k: int, kinds: list[str] | None = None) -> DataFrame:
+    """(query_id, list_id, rank, chunk_id): the lexical and the dense list of each row of (query_id, query). ``kinds`` restricts both before the cut."""
     lexical = bm25_topk(corpus.chunks, asked, bm25_k, kinds=kinds).select("query_id", F.lit("a_bm25").alias("list_id"), "rank", "chunk_id")
     vectors = corpus.embed(asked.select("query_id", "query"), "query").select("query_id", "vector")
-    dense = dense_topk(corpus.of(kinds).vectors, vectors, dense_k).select("query_id", F.lit("b_dense").alias("list_id"), "rank", "chunk_id")
+    dense = dense_topk((corpus.of(kinds) if kinds else corpus).vectors, vectors, dense_k).select("query_id", F.lit("b_dense").alias("list_id"), "rank", "chunk_id")
     return lexical.unionByName(dense)
 
 
@@ -39,43 +47,107 @@ def _with_text(corpus: Corpus, hits: DataFrame) -> DataFrame:
     return hits.join(corpus.chunks.select("chunk_id", "document_id", "parent_id", "node_type", "text"), "chunk_id")
 
 
+def _raw_or_all(lists: DataFrame, *by: str) -> DataFrame:
+    """The raw chunks of each list (columns ``by`` and kind); a list without any stays whole."""
+    has_raw = F.max(F.col("kind") == "raw").over(Window.partitionBy(*by))
+    return lists.withColumn("_has_raw", has_raw).where("kind = 'raw' or not _has_raw").drop("_has_raw")
+
+
+def _kinds(corpus: Corpus, lists: DataFrame) -> DataFrame:
+    return lists.join(corpus.chunks.select("chunk_id", chunk_kind(F.col("node_type")).alias("kind"), F.coalesce("level", F.lit(0)).alias("level")), "chunk_id")
+
+
 def retrieve_simple(corpus: Corpus, asked: DataFrame, k: int = 5) -> DataFrame:
-    """Raw chunks of both lists, fused; the chunks' own text."""
-    lists = _arms(corpus, asked, max(3 * k, 12), max(3 * k, 12), ["raw"]).withColumn("weight", F.lit(1.0))
-    fused = rank.weighted_rrf(lists, floor=0.0).where(F.col("rank") <= k)
+    """Raw chunks of both lists, or all chunks of a list without raw ones, fused; the chunks' own text."""
+    lists = _raw_or_all(_kinds(corpus, _arms(corpus, asked, max(3 * k, 12), max(3 * k, 12))), "query_id", "list_id")
+    fused = rank.weighted_rrf(lists.withColumn("weight", F.lit(1.0)), floor=0.0).where(F.col("rank") <= k)
     return _with_text(corpus, fused).withColumn("context_text", F.col("text"))
 
 
-def retrieve_global(corpus: Corpus, asked: DataFrame, k: int = 5) -> DataFrame:
-    """Summaries of both lists, fused, higher levels first."""
-    lists = _arms(corpus, asked, max(4 * k, 12), max(4 * k, 12), ["summary"]).withColumn("weight", F.lit(1.0))
+def _highest(corpus: Corpus, asked: DataFrame, kind: str, k: int) -> DataFrame:
+    """Chunks of one kind in both lists, fused, higher levels first."""
+    lists = _arms(corpus, asked, max(4 * k, 12), max(4 * k, 12), [kind]).withColumn("weight", F.lit(1.0))
     fused = rank.weighted_rrf(lists, floor=0.0).join(corpus.chunks.select("chunk_id", "level"), "chunk_id")
-    return _with_text(corpus, rank.reserve_summaries(fused.limit(0), fused, 2 * k, k)).withColumn("context_text", F.col("text"))
+    return rank.reserve_summaries(fused.limit(0), fused, 2 * k, k)
+
+
+def retrieve_global(corpus: Corpus, asked: DataFrame, k: int = 5) -> DataFrame:
+    """Summaries, else parents, else the standard path, for each query that the step before has no hit for."""
+    folder = shared_folder(asked.sparkSession, "global")
+    out, left = None, asked
+    for kind in ("summary", "parent"):
+        found = _kept(_highest(corpus, left, kind, k), folder, kind)
+        out = found if out is None else out.unionByName(found)
+        left = _kept(left.join(found.select("query_id"), "query_id", "left_anti"), folder, f"without-{kind}")
+        if left.isEmpty():
+            break
+    columns = ["query_id", "chunk_id", "rank", "score", "document_id", "context_text"]
+    out = _with_text(corpus, out).withColumn("context_text", F.col("text")).select(columns)
+    return out if left.isEmpty() else out.unionByName(retrieve_standard(corpus, left.withColumn("how", F.lit("global")), k).select(columns))
+
+
+def _searched_lists(corpus: Corpus, told: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """(lists of all kinds, lists of summaries): (query_id, v, list_id, rank, chunk_id, kind, level, and the query's columns).
+
+    The variants of all queries are one batch of searches to the largest budget; a query's own budget cuts its lists.
+    The arm that is not the route's own gets half.
+    """
+    variants = told.select("query_id", F.posexplode(Q.variants(F.col("query"))).alias("v", "text"))
+    searched = variants.select((F.col("query_id") * 8 + F.col("v")).alias("query_id"), F.col("text").alias("query"))
+    most = max(4 * k, 12)
+    half = lambda x: F.greatest(F.floor(x / 2), F.lit(6))
+    bm25, dense = F.col("budget.bm25"), F.col("budget.dense")
+    own = F.when(F.col("list_id") == "a_bm25", F.when(F.col("route") == "dense", half(bm25)).otherwise(bm25)).otherwise(F.when(F.col("route") == "bm25", half(dense)).otherwise(dense))
+
+    def cut(lists: DataFrame, budget: Column) -> DataFrame:
+        lists = lists.withColumn("v", (F.col("query_id") % 8).cast("int")).withColumn("query_id", F.floor(F.col("query_id") / 8))
+        return lists.join(told.drop("query", "f"), "query_id").where(F.col("rank") <= budget)
+
+    summaries = searched.join(told.where("summaries").select("query_id"), F.floor(searched["query_id"] / 8) == told["query_id"], "left_semi")
+    by_kind = cut(_arms(corpus, searched, most, most), own)
+    of_summaries = cut(_arms(corpus, summaries, most, most, ["summary"]), half(F.when(F.col("list_id") == "a_bm25", bm25).otherwise(dense)))
+    return _kinds(corpus, by_kind), _kinds(corpus, of_summaries)
 
 
 def retrieve_standard(corpus: Corpus, asked: DataFrame, k: int = 5) -> DataFrame:
-    """Every variant of a query against both lists by its route's weights; fused, reranked, diversified, with parents' text.
+    """Every variant of a query against both lists by its route's weights and budgets; fused, reranked, diversified, with parents' text.
 
-    asked: query_id (long), query. The variants of all queries are one batch of searches.
+    asked: query_id (long), query, and how it is to be searched if known. Raw chunks (all of a list without raw ones) and,
+    where the query asks for context, parents are fused apart, raw ones first. Without any over the floors, all
+    candidates stand in the order found. Queries that want summaries have the best of these in front. 30 candidates
+    are reranked.
     """
-    told = asked.select("query_id", "query", Q.features(F.col("query")).alias("f"), Q.route(F.col("query")).alias("route"))
-    told = told.withColumn("weights", Q.arm_weights(F.col("route"), F.col("f")))
-    variants = told.select("query_id", "weights", F.posexplode(Q.variants(F.col("query"))).alias("v", "text"))
-    searched = variants.select((F.col("query_id") * 8 + F.col("v")).alias("query_id"), F.col("text").alias("query"))
-    budget = max(4 * k, 12)
-    lists = _arms(corpus, searched, budget, budget, ["raw"])
-    lists = lists.withColumn("v", (F.col("query_id") % 8).cast("int")).withColumn("query_id", F.floor(F.col("query_id") / 8))
-    weight = F.when(F.col("list_id") == "a_bm25", F.col("weights.bm25")).otherwise(F.col("weights.dense")) * rank.variant_weight(F.col("v"))
-    weighted = lists.join(told.select("query_id", "weights"), "query_id").select("query_id", F.concat("v", F.lit("_"), "list_id").alias("list_id"), weight.alias("weight"), "rank", "chunk_id")
-    fused = rank.weighted_rrf(weighted).where(F.col("rank") <= rank.MOST_FUSED)
-    hits = _with_text(corpus, fused).join(asked.select("query_id", "query"), "query_id")
-    diverse = rank.diversify(rank.rerank(hits, max(rank.RERANK_POOL, k)), k)
-    return rank.expand_parents(diverse, corpus.chunks.where("node_type = 'parent'"))
+    folder, how = shared_folder(asked.sparkSession, "standard"), F.col("how") if "how" in asked.columns else F.lit("multi_hop")
+    told = asked.select("query_id", "query", Q.features(F.col("query")).alias("f"), Q.route(F.col("query")).alias("route"), how.alias("how"))
+    told = told.withColumn("weights", Q.arm_weights(F.col("route"), F.col("f"))).withColumn("budget", Q.budgets(F.col("route"), k))
+    wide = F.col("how").isin("multi_hop", "global") | F.col("f.is_comparative") | F.col("f.has_negation") | (F.col("f.word_count") >= 12)
+    told = told.withColumn("parents", wide).withColumn("summaries", Q.wants_summaries(F.col("route"), F.col("f"), F.col("how")))
+    told = _kept(told, folder, "told")
+    lists, summary_lists = (_kept(x, folder, name) for x, name in zip(_searched_lists(corpus, told, k), ("lists", "summary-lists"), strict=True))
+
+    arm = F.when(F.col("list_id") == "a_bm25", F.col("weights.bm25")).otherwise(F.col("weights.dense")) * rank.variant_weight(F.col("v"))
+    raw = _raw_or_all(lists, "query_id", "v", "list_id").withColumn("weight", arm).withColumn("pool", F.lit(0))
+    parents = lists.where("parents and kind = 'parent'").withColumn("weight", arm * rank.PARENT_WEIGHT).withColumn("pool", F.lit(1))
+    named = lambda df: df.select("query_id", F.concat("v", F.lit("_"), "list_id").alias("list_id"), "weight", "rank", "chunk_id")
+    fused = rank.weighted_rrf(named(raw)).withColumn("list_id", F.lit(0)).unionByName(rank.weighted_rrf(named(parents), floor=PARENT_FLOOR).withColumn("list_id", F.lit(1)))
+    pool = raw.unionByName(parents).select("query_id", F.concat("v", "pool", "list_id").alias("list_id"), "rank", "chunk_id", F.lit(0.0).alias("score"))
+    ordered = rank.merge_first(fused).select("query_id", "chunk_id", "score", "rank")
+    ordered = _kept(ordered.unionByName(rank.merge_first(pool).join(fused.select("query_id").distinct(), "query_id", "left_anti").select("query_id", "chunk_id", "score", "rank")), folder, "ordered")
+    ordered = ordered.where(F.col("rank") <= rank.MOST_FUSED)
+    weight = F.col("weights.dense") * rank.variant_weight(F.col("v")) * rank.SUMMARY_WEIGHT
+    summaries = rank.weighted_rrf(named(summary_lists.withColumn("weight", weight)), floor=0.0).join(corpus.chunks.select("chunk_id", F.coalesce("level", F.lit(0)).alias("level")), "chunk_id")
+    hits = _with_text(corpus, rank.reserve_summaries(ordered, summaries, k)).join(told.select("query_id", "query", "parents", "summaries"), "query_id")
+    diverse = rank.diversify(rank.rerank(hits, max(rank.RERANK_POOL, k), pool=rank.MOST_FUSED), max(k, 1))
+    return rank.expand_parents(diverse, corpus.chunks.where("node_type = 'parent'"), F.col("parents") | F.col("summaries"))
 
 
 def retrieve(corpus: Corpus, asked: DataFrame, k: int = 5) -> DataFrame:
-    """Each query by its complexity: simple ones by the short path, global ones by summaries, others by the standard path."""
-    how = asked.withColumn("how", Q.complexity(F.col("query")))
+    """Each query by its complexity: simple ones by the short path, global ones by summaries, others by the standard path.
+
+    Simple questions of legal or negative wording take the standard path.
+    """
+    how = Q.complexity(F.col("query"))
+    how = asked.withColumn("how", F.when((how == "simple") & Q.needs_standard(F.col("query")), "multi_hop").otherwise(how))
     paths = (("simple", retrieve_simple), ("global", retrieve_global), ("multi_hop", retrieve_standard))
     out = [path(corpus, how.where(F.col("how") == name).drop("how"), k).select("query_id", "chunk_id", "rank", "score", "document_id", "context_text", F.lit(name).alias("path")) for name, path in paths]
     return out[0].unionByName(out[1]).unionByName(out[2])

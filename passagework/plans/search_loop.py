@@ -43,7 +43,7 @@ def gather_evidence(plans: DataFrame, search: Searcher, save: Callable[[DataFram
         taken = good if taken is None else taken.unionByName(good)
         enough = taken.groupBy("query_id").agg(F.count("*").alias("n"), F.max("max_sources").alias("most")).where("n >= most").select("query_id")
         open_ = plans.join(enough, "query_id", "left_anti")
-    picked = diverse_sources(taken, 1000).where("position <= max_sources")
+    picked = diverse_sources(taken, None).where("position <= max_sources")
     return picked.select("query_id", "url", "snippet", "evidence", "position")
 
 

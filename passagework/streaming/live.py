@@ -31,19 +31,21 @@ def sliding_load(requests: DataFrame, late: str = "10 minutes", size: str = "60
 
 
 def _topics(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    topic = state.get[0] if state.exists else None
-    for frame in frames:
-        rows = []
-        for row in frame.sort_values("turn").itertuples(index=False):
-            asks = bool(topic) and any(w in PRONOUNS for w in row.query.lower().split())
-            rows.append((key[0], row.turn, topic, f"{row.query} (context: {topic})" if asks else row.query))
-            topic = row.concept or topic
-        yield pd.DataFrame(rows, columns=["conv_id", "turn", "topic", "resolved"])
+    topic, rows = state.get[0] if state.exists else None, []
+    for row in pd.concat(list(frames)).sort_values("turn").itertuples(index=False):
+        asks = bool(topic) and any(w in PRONOUNS for w in row.query.lower().split())
+        rows.append((key[0], row.turn, topic, f"{row.query} (context: {topic})" if asks else row.query))
+        topic = row.concept or topic
     state.update((topic,))
+    yield pd.DataFrame(rows, columns=["conv_id", "turn", "topic", "resolved"])
 
 
 def topics(turns: DataFrame) -> DataFrame:
-    """(conv_id, turn, topic, resolved) of a stream (conv_id, turn, query, concept): each conversation's topic is its state."""
+    """(conv_id, turn, topic, resolved) of a stream (conv_id, turn, query, concept): each conversation's topic is its state.
+
+    A conversation's new turns come in several Arrow batches in any order; they are put in order together, so that a task
+    holds those of one conversation and micro-batch.
+    """
     return turns.groupBy("conv_id").applyInPandasWithState(_topics, "conv_id long, turn long, topic string, resolved string", "topic string", "append", GroupStateTimeout.NoTimeout)
 
 
@@ -51,23 +53,22 @@ def _kept(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iter
     if state.hasTimedOut:
         state.remove()
         return
-    written = state.get[0] if state.exists else None
-    for frame in frames:
-        rows = []
-        for row in frame.sort_values("ts").itertuples(index=False):
-            at = row.ts.timestamp()
-            hit = written is not None and at - written <= KEPT_FOR
-            written = written if hit else at
-            rows.append((row.request_id, key[0], key[1], hit))
-        yield pd.DataFrame(rows, columns=["request_id", "key", "generation", "hit"])
+    written, rows = state.get[0] if state.exists else None, []
+    for row in pd.concat(list(frames)).sort_values(["ts", "request_id"]).itertuples(index=False):
+        at = row.ts.timestamp()
+        hit = written is not None and 0 <= at - written <= KEPT_FOR
+        written = written if hit or (written is not None and at < written) else at
+        rows.append((row.request_id, key[0], key[1], hit))
     state.update((written,))
+    yield pd.DataFrame(rows, columns=["request_id", "key", "generation", "hit"])
     state.setTimeoutTimestamp(max(int(written * 1000) + KEPT_FOR * 1000, state.getCurrentWatermarkMs() + 1))
 
 
 def kept_answers(requests: DataFrame, late: str = "10 minutes") -> DataFrame:
     """(request_id, key, generation, hit) of a stream (request_id, key, generation, ts): whether an answer is still kept.
 
-    Entries leave the state when the watermark has passed their time.
+    Entries leave the state when the watermark has passed their time. A request from before the entry was written, which
+    comes late, is no hit and doesn't move the entry. A key's new requests are put in order together.
     """
     grouped = requests.withWatermark("ts", late).groupBy("key", "generation")
     return grouped.applyInPandasWithState(_kept, "request_id long, key string, generation long, hit boolean", "written double", "append", GroupStateTimeout.EventTimeTimeout)

@@ -69,5 +69,37 @@ def test_display(spark):
     assert [(f.format, f.confidence) for f in formats] == [("comparison", 1.0), ("steps", 1.0), ("prose", 0.0), ("prose", 0.0)]
     assert value(spark, display.compared_entities, "AWS vs Azure and GCP?", "compare tea, milk and water in detail", "difference between XY and ZW for 3 points", "hello") == [["AWS", "Azure", "GCP"], ["tea", "milk", "water"], ["XY", "ZW"], []]
     assert value(spark, display.fix_typos, "Comapre  the procs, now") == ["compare the pros now"]
-    rows = spark.range(1).select(display.comparison_rows(F.lit("A and B differ. " + "word " * 40 + ". Only A."), F.array(F.lit("a"), F.lit("b"))).alias("r")).first().r
-    assert rows[0].text == "A and B differ."
+    assert value(spark, display.compared_entities, None, "compare tea, milk and 3 points", "TEA versus water. and wine") == [[], ["tea", "milk"], ["TEA", "water", "wine"]]
+
+
+def test_continued_comparisons(spark):
+    cases = [("Now with GCP and AWS", ["AWS", "Azure"], "comparison"), ("and Oracle?", ["AWS"], "recommend"), ("as a table please", ["tea", "milk"], "pros_cons"), ("why is that", [], None), (None, None, None)]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, q string, prior array<string>, f string").orderBy("i")
+    got = [(r.c.entities, r.c.kind, r.c.query) for r in df.select(display.continued_comparison(F.col("q"), F.col("prior"), F.col("f")).alias("c")).collect()]
+    assert got == [
+        (["AWS", "Azure", "GCP"], "add_entity", "Compare AWS, Azure, and GCP in detail"), (["AWS", "Oracle"], "add_entity", "Compare AWS and Oracle"),
+        (["tea", "milk"], "reformat", "Compare tea and milk in detail"), ([], "clarify", "why is that"), ([], "clarify", ""),
+    ]
+
+
+def test_answers_shaped_for_display(spark):
+    pad = "word " * 40
+    cases = [
+        ("comparison", f"A and B differ. {pad}. Only A. A and B differ.", None), ("comparison", f"Nothing named. {pad}", None), ("comparison", "A and B differ.", None), ("pros_cons", f"It has a benefit. However it is bad. A good drawback. {pad}", None),
+        ("steps", f"1. Open it\n2) \nthen rest\nFinally, close it {pad}", None), ("summary", f"One. Two. {pad}. Last!", None), ("timeline", pad, None), ("comparison", f"A and B differ. {pad}", "step_list"), (None, None, None), ("definition", "short", "definition_block"),
+    ]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, f string, a string, g string").orderBy("i")
+    got = [r.d for r in df.select(display.shaped_display(F.col("a"), F.col("f"), F.array(F.lit("a"), F.lit("b")), F.col("g")).alias("d")).collect()]
+    assert [d.type for d in got] == ["comparison_table", "prose", "prose", "pros_cons_table", "step_list", "summary_block", "prose", "step_list", "prose", "definition_block"]
+    assert [(r.name, r.cells) for r in got[0].rows] == [("A and B differ", ["A and B differ."] * 2)] and got[7].rows is None
+    assert (got[3].pros, got[3].cons) == (["It has a benefit.", "A good drawback."], ["However it is bad."])
+    assert [(x.number, x.detail) for x in got[4].steps] == [(1, "Open it"), (3, f"Finally, close it {pad.strip()}")]
+    assert got[5].tldr == "One." and got[5].key_points[0] == "Two." and got[5].conclusion == "Last!"
+
+
+def test_given_displays_are_validated(spark):
+    schema = "i int, d struct<type:string,features:array<string>,entities:array<string>,pros:array<string>,cons:array<string>,steps:array<string>>"
+    cases = [("comparison_table", ["f"], ["e"], None, None, None), ("comparison_table", ["f"], [], None, None, None), ("pros_cons_table", None, None, [], ["c"], None), ("step_list", None, None, None, None, []), ("stats_table", None, None, None, None, None), ("other", None, None, None, None, None), (None, None, None, None, None, None)]
+    df = spark.createDataFrame(list(enumerate(cases)), schema).orderBy("i")
+    fields = {x: x for x in ("features", "entities", "pros", "cons", "steps")}
+    assert [r.v for r in df.select(display.is_valid_display(F.col("d"), fields).alias("v")).collect()] == [True, False, True, False, True, False, False]
