@@ -52,22 +52,22 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html", p
     return linked.unionByName(both).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def personalised_rank(edges: DataFrame, seeds: DataFrame, scratch: Scratch, name: str, damping: float = 0.85, rounds: int = 12) -> DataFrame:
-    """(host, rank): PageRank that restarts at ``seeds`` (host, mass; masses sum to 1).
+def personalised_ranks(edges: DataFrame, seeds: DataFrame, scratch: Scratch, damping: float = 0.85, rounds: int = 12) -> DataFrame:
+    """(kind, host, rank): for each kind, PageRank over its edges (kind, src, dst, weight) that restarts at its ``seeds`` (kind, host, mass; masses sum to 1).
 
-    A round is a join on the source and a sum by target; hosts without edges keep only what restarts there. The edges
-    are one row for each pair of hosts, so that a hot host has as many rows as hosts it meets. Every fourth round is a
-    written table.
+    All kinds go through a round together: a join on the source and one sum by target. Hosts without edges keep only what
+    restarts there. The edges are one row for each pair of hosts, so that a hot host has as many rows as hosts it meets, which
+    a skewed join splits. Every fourth round is a written table.
     """
-    out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
-    shares = scratch.save(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")), f"{name}-shares")
-    restart = seeds.select("host", F.col("mass").alias("rank"))
-    rank = restart
+    out = edges.groupBy("kind", "src").agg(F.sum("weight").alias("total"))
+    shares = scratch.save(edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (damping * F.col("weight") / F.col("total")).alias("share")), "shares")
+    seeds = scratch.save(seeds, "seeds")
+    rank, restart = seeds.select("kind", "host", F.col("mass").alias("rank")), seeds.select("kind", "host", ((1 - damping) * F.col("mass")).alias("rank"))
     for i in range(1, rounds + 1):
-        moved = rank.join(shares, rank["host"] == shares["src"]).groupBy(F.col("dst").alias("host")).agg((damping * F.sum(F.col("rank") * F.col("share"))).alias("rank"))
-        rank = moved.unionByName(restart.withColumn("rank", (1 - damping) * F.col("rank"))).groupBy("host").agg(F.sum("rank").alias("rank"))
+        moved = rank.join(shares, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("share")).alias("rank"))
+        rank = moved.unionByName(restart).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
         if i % 4 == 0:
-            rank = scratch.save(rank, f"{name}-{i}")
+            rank = scratch.save(rank, f"rank-{i}")
     return rank
 
 
@@ -89,15 +89,13 @@ def url_verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     judged = judged.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"))
     counts = scratch.save(judged.where("host <> ''").groupBy("host").agg(F.count_if(F.col("ruled") == "allow").alias("allow"), F.count_if(F.col("ruled") == "block").alias("block")), "counts")
-    totals = counts.agg(F.sum("allow").alias("allow_total"), F.sum("block").alias("block_total"))
-    seeds = counts.crossJoin(F.broadcast(totals))
-    trusted = seeds.where("allow > 0").select("host", F.expr("allow / allow_total").alias("mass"))
-    blocked = seeds.where("block > 0").select("host", F.expr("block / block_total").alias("mass"))
-    trust = personalised_rank(edges, trusted, scratch, "trust").withColumnRenamed("rank", "trust")
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    distrust = personalised_rank(back, blocked, scratch, "distrust").withColumnRenamed("rank", "distrust")
-    reached = trust.withColumn("distrust", F.lit(0.0)).unionByName(distrust.withColumn("trust", F.lit(0.0)))
-    hosts = reached.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
+    told = counts.select("host", F.explode(F.array(F.struct(F.lit("trust").alias("kind"), F.col("allow").alias("n")), F.struct(F.lit("distrust").alias("kind"), F.col("block").alias("n")))).alias("t")).select("host", "t.*").where("n > 0")
+    totals = told.groupBy("kind").agg(F.sum("n").alias("total"))  # two rows
+    seeds = told.join(F.broadcast(totals), "kind").select("kind", "host", (F.col("n") / F.col("total")).alias("mass"))
+    back = edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
+    ranks = personalised_ranks(edges.select(F.lit("trust").alias("kind"), "src", "dst", "weight").unionByName(back), seeds, scratch)
+    of_kind = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("rank")).otherwise(0.0)).alias(kind)
+    hosts = ranks.groupBy("host").agg(of_kind("trust"), of_kind("distrust"))
     out = judged.join(hosts, "host", "left").withColumn("host_score", F.expr("round(coalesce(trust / nullif(trust + distrust, 0D), 1D), 9)"))
     said = F.coalesce("ruled", F.when(F.col("host_score") < threshold, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", said.alias("verdict"), "host_score")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from passagework.llm.scratch import Scratch
-from passagework.llm.url_filter import host_of, path_of, personalised_rank, url_verdicts
+from passagework.llm.url_filter import host_of, path_of, personalised_ranks, url_verdicts
 
 URLS = {
     "https://Example.COM/en/71?x": ("example.com", "/en/71", "example.com/en/7", "allow"), "http://a.example.com/en/8": ("a.example.com", "/en/8", "com/en/", "block"),
@@ -40,8 +40,17 @@ def test_rank_against_dense_iteration(spark):
         for s, t, w in edges:
             new[t] += 0.85 * rank.get(s, 0) * w / sum(x for a, _, x in edges if a == s)
         rank = new
-    df = personalised_rank(spark.createDataFrame(edges, "src string, dst string, weight double"), spark.createDataFrame([("a", 1.0)], "host string, mass double"), Scratch(spark), "t")
-    assert {r.host: pytest.approx(r["rank"]) for r in df.collect()} == dict(rank)
+    df = spark.createDataFrame(edges, "src string, dst string, weight double").selectExpr("'one' as kind", "*").unionByName(spark.createDataFrame([("two", "c", "b", 1.0)], "kind string, src string, dst string, weight double"))
+    found = personalised_ranks(df, spark.createDataFrame([("one", "a", 1.0), ("two", "c", 1.0)], "kind string, host string, mass double"), Scratch(spark)).collect()
+    assert {r.host: pytest.approx(r["rank"]) for r in found if r.kind == "one"} == dict(rank)
+    assert {r.host: pytest.approx(r["rank"]) for r in found if r.kind == "two"} == {"c": 0.15, "b": 0.85 * 0.15}
+
+
+def test_very_long_urls_and_pages(spark):
+    long = "x" * 2_000_000
+    rows = [(1, f"http://good.net/de/{long}", None), (2, f"http://{long}.info/", f"<a href='http://q.org/{long}'>" + "<p> " * 300_000), (3, "http://q.org/es/1", "<a href=" * 200_000)]
+    said = {r.page_id: (r.verdict, len(r.host), len(r.path)) for r in url_verdicts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert said == {1: ("allow", 8, len(long) + 4), 2: ("block", len(long) + 5, 1), 3: ("block", 5, 5)}
 
 
 def test_host_and_path(spark):
