@@ -62,8 +62,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents, from the flat token files that they are written to first."""
-    files = token_counts.flat_token_files(texts(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return token_counts.document_token_counts(Scratch(spark).save(files, "tokens"))
+    files, documents = token_counts.flat_token_files(texts(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), Scratch(spark))
+    return token_counts.document_token_counts(files).join(documents, ["file", "doc_no"]).select("doc_id", "n_tokens")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_dedup, op2_decontaminate, op3_license_scan, op4_url_filter, op5_byte_bpe, op6_secret_scan, op7_quality, op8_embedding_dedup, op9_toxicity, op10_token_counts)}

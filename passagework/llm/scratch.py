@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset (local runs), a new temporary folder that is then set."""
+    """``spark.checkpoint.dir``; where it is unset, a new temporary folder on a local master, which is then set, and an error elsewhere."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not folder and not re.match(r"local(\[|$)", context.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not folder:
         folder = tempfile.mkdtemp(prefix="passagework-")
         context.setCheckpointDir(folder)

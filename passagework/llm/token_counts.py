@@ -10,6 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from passagework.llm.byte_bpe import tokenizer
+from passagework.llm.scratch import Scratch
 from passagework.llm.words import text_chunks
 
 END_OF_DOCUMENT = 50256
@@ -22,12 +23,18 @@ def _file_batches(ranks_path: str, block_tokens: int, end: int) -> Callable:
         bpe, file = tokenizer(ranks_path), TaskContext.get().partitionId()
         block, rest = 0, np.zeros(0, np.uint16)
 
+        names, done = ["file", "block", "tokens", "doc_no", "doc_id"], 0
+
         def rows(stream: np.ndarray) -> pa.RecordBatch:
             parts = [stream[i : i + block_tokens].tobytes() for i in range(0, len(stream), block_tokens)]
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(parts), file, np.int64)), pa.array(np.arange(block, block + len(parts))), pa.array(parts, pa.binary())], names=["file", "block", "tokens"])
+            n = len(parts)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, file, np.int64)), pa.array(np.arange(block, block + n)), pa.array(parts, pa.binary()), *[pa.nulls(n, pa.int64())] * 2], names=names)
 
         for batch in batches:
-            for _, _, data, bounds in text_chunks(batch.column(0)):
+            for a, b, data, bounds in text_chunks(batch.column(0)):
+                n = b - a
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, file, np.int64)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(np.arange(done, done + n)), batch.column(1).slice(a, n)], names=names)
+                done += n
                 ids, at = bpe.encode(data, bounds)
                 stream = np.concatenate([rest, np.insert(ids, at[1:], end).astype("<u2")])
                 whole = len(stream) // block_tokens * block_tokens
@@ -41,15 +48,18 @@ def _file_batches(ranks_path: str, block_tokens: int, end: int) -> Callable:
     return run
 
 
-def flat_token_files(docs: DataFrame, ranks_path: str, text_col: str = "text", block_tokens: int = 1 << 16, end: int = END_OF_DOCUMENT) -> DataFrame:
-    """(file, block, tokens): each task's documents as one stream of little-endian 16-bit ids, cut into blocks anywhere.
+def flat_token_files(docs: DataFrame, ranks_path: str, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = 1 << 16, end: int = END_OF_DOCUMENT) -> tuple[DataFrame, DataFrame]:
+    """((file, block, tokens), (file, doc_no, doc_id)): each task's documents as one stream of little-endian 16-bit ids, cut into blocks anywhere, and which they are.
 
-    Each document's ids are followed by the end identifier. Nothing says where documents begin. A null or empty text
-    is the end identifier alone.
+    Each document's ids are followed by the end identifier. Nothing in the files says where documents begin; the second table
+    only names a file's documents in order. A null or empty text is the end identifier alone; null ids and repeated rows are
+    documents of their own. Both are written in one pass, so that they agree.
     """
     if end > 65535:
         raise ValueError("16-bit files hold identifiers to 65535")
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(_file_batches(ranks_path, block_tokens, end), "file long, block long, tokens binary")
+    rows = docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("doc_id"))
+    rows = scratch.save(rows.mapInArrow(_file_batches(ranks_path, block_tokens, end), "file long, block long, tokens binary, doc_no long, doc_id long"), "tokens")
+    return rows.where("block is not null").select("file", "block", "tokens"), rows.where("doc_no is not null").select("file", "doc_no", "doc_id")
 
 
 def _scan_batches(end: int) -> Callable:
@@ -75,10 +85,12 @@ def document_token_counts(files: DataFrame, end: int = END_OF_DOCUMENT) -> DataF
     blocks of a span, so that no task holds more than the spans of a file. doc_no counts from 0 in each file, start is
     the first token's place in the file; a document may have no tokens. Tokens after a file's last separator are one
     more document with closed false. Null tokens are an empty block; rows with a null file or block don't count;
-    repeated rows are read once; an empty table gives no rows; other columns are ignored.
+    repeated rows are read once, of differing ones of one block the longest (ties: the later separators); an empty table
+    gives no rows; other columns are ignored.
     """
     rows = files.select(F.col("file").cast("long"), F.col("block").cast("long"), F.col("tokens").cast("binary")).where("file is not null and block is not null")
-    blocks = rows.mapInArrow(_scan_batches(end), "file long, block long, n long, ends array<long>").dropDuplicates(["file", "block"])
+    blocks = rows.mapInArrow(_scan_batches(end), "file long, block long, n long, ends array<long>")
+    blocks = blocks.groupBy("file", "block").agg(F.max(F.struct("n", "ends")).alias("b")).select("file", "block", "b.*")
     blocks = blocks.withColumn("span", F.floor(F.col("block") / SPAN))
     inner = Window.partitionBy("file", "span").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     at = F.coalesce(F.sum("n").over(inner), F.lit(0))

@@ -4,6 +4,8 @@ import pytest
 import tiktoken
 
 from passagework.llm.byte_bpe import ByteBpe
+from passagework.llm.queries import op10_token_counts
+from passagework.llm.scratch import Scratch
 from passagework.llm.token_counts import END_OF_DOCUMENT, document_token_counts, flat_token_files
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -46,8 +48,22 @@ def test_odd_rows(spark):
 
 def test_given_documents(spark):
     known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ByteBpe(PATH).ranks, special_tokens={})
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").unionByName(spark.createDataFrame([(None,), ("",)], "text string"))
-    counts = document_token_counts(flat_token_files(docs.repartition(3), PATH, block_tokens=500), END_OF_DOCUMENT)
-    rows = counts.collect()
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (None, "null id"), (-3, "twice"), (-3, "twice")], "doc_id long, text string")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").unionByName(odd)
+    files, documents = flat_token_files(docs.repartition(3), PATH, Scratch(spark), block_tokens=500)
+    rows = document_token_counts(files, END_OF_DOCUMENT).join(documents, ["file", "doc_no"]).collect()
     assert all(r.closed for r in rows)
-    assert sorted(r.n_tokens for r in rows) == sorted(len(known.encode_ordinary(r.text or "")) for r in docs.collect())
+    key = lambda x: (x[0] is None, x)
+    assert sorted(((r.doc_id, r.n_tokens) for r in rows), key=key) == sorted(((r.doc_id, len(known.encode_ordinary(r.text or ""))) for r in docs.collect()), key=key)
+
+
+def test_of_differing_repeated_blocks_the_longest_counts(spark):
+    df = spark.createDataFrame([(0, 0, bytearray(b"\x01\x00\x09\x00")), (0, 0, bytearray(b"\x01\x00\x01\x00\x09\x00")), (0, 0, None)], "file long, block long, tokens binary")
+    assert [tuple(r) for r in document_token_counts(df, 9).collect()] == [(0, 0, 0, 2, True)]
+
+
+def test_query_against_brute_force(spark):
+    known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ByteBpe(PATH).ranks, special_tokens={})
+    folder = "/root/testdata/sf0.001"
+    want = {r.doc_id: len(known.encode_ordinary(r.text or "")) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    assert {r.doc_id: r.n_tokens for r in op10_token_counts(spark, folder).collect()} == want
