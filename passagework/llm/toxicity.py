@@ -80,6 +80,23 @@ def fit_cumulative_link(rows: list[np.ndarray], grades: np.ndarray, weight: np.n
     return w, cut[0] + np.concatenate([[0.0], np.cumsum(np.exp(cut[1:]))])
 
 
+def severity_grades(rows: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray, n_features: int, shares: tuple[float, ...]) -> np.ndarray:
+    """Grades of labelled rows: 0 for clean ones, for toxic ones 1 and one more for each of the quantiles ``shares`` that their evidence is above.
+
+    A row's evidence is its sum of weights in a two-grade model fitted on the other half of the rows. Halves without
+    both labels give no evidence.
+    """
+    evidence = np.zeros(len(rows))
+    for half in (0, 1):
+        own, others = (np.flatnonzero(np.arange(len(rows)) % 2 == (half if mine else 1 - half)) for mine in (True, False))
+        if len(set(toxic[others])) == 2:
+            w, _ = fit_cumulative_link([rows[i] for i in others], toxic[others], weight[others], n_features, steps=200)
+            evidence[own] = [w[rows[i]].sum() for i in own]
+    held = evidence[toxic == 1]
+    above = (evidence[:, None] > np.quantile(held, shares)).sum(axis=1) if len(held) else np.zeros(len(rows), np.int64)
+    return toxic * (1 + above)
+
+
 def labelled_sample(labels: DataFrame, rows_per_class: int, id_col: str, label_col: str) -> DataFrame:
     """(doc_id, label) of at most ``rows_per_class`` rows of each class, those of the least hashes of their ids.
 
@@ -91,14 +108,14 @@ def labelled_sample(labels: DataFrame, rows_per_class: int, id_col: str, label_c
 
 
 def fit_toxicity(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows_per_class: int = 6000, n_features: int = 4096, grade_steps: tuple[int, ...] = (3, 6)
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows_per_class: int = 6000, n_features: int = 4096, grade_shares: tuple[float, ...] = (1 / 3, 2 / 3)
 ) -> OrdinalModel:
     """A model fitted on at most ``rows_per_class`` labelled documents of each class.
 
-    Features: the ``n_features`` of the largest log-odds of toxic documents among those in 5 or more of them. Grades:
-    0 for documents labelled clean; labelled toxic ones have 1, and one more for each of ``grade_steps`` distinct words
-    or stems among the features that they reach. The classes count by their shares among all labels. Without labels
-    of both kinds the model finds nothing toxic.
+    Features: the ``n_features`` of the largest log-odds of toxic documents among those in 5 or more of them. Labels are 0
+    and 1, so that grades above 0 are made by cross-fitting (see severity_grades()): how toxic a document labelled toxic is to a
+    model that was fitted without it. The classes count by their shares among all labels. Without labels of both kinds the
+    model finds nothing toxic.
     """
     scratch = Scratch(docs.sparkSession)
     sample = labelled_sample(labels, rows_per_class, id_col, label_col)
@@ -117,9 +134,8 @@ def fit_toxicity(
     rows = placed.groupBy("doc_id", "toxic").agg(F.collect_list("i").alias("columns")).orderBy("doc_id").collect()  # bounded by the sample
     columns = [np.array(r["columns"], dtype=np.int64) for r in rows]
     toxic = np.array([r["toxic"] for r in rows], dtype=np.int64)
-    words = np.array([len(c) for c in columns])
-    grades = toxic * (1 + sum((words >= step).astype(np.int64) for step in grade_steps))
     weight = np.where(toxic == 1, shares[1] / totals[1], shares[0] / totals[0])
+    grades = severity_grades(columns, toxic, weight, max(1, len(features)), grade_shares)
     weights, cuts = fit_cumulative_link(columns, grades, weight, max(1, len(features)))
     return OrdinalModel(features, weights[: len(features)], cuts)
 
