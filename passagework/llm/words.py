@@ -17,7 +17,8 @@ import pyarrow.compute as pc
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 NON_ALPHANUMERIC = bytes(b for b in range(128) if not (48 <= b <= 57 or 97 <= b <= 122 or 65 <= b <= 90))
 
-CHUNK_BYTES = 1 << 20
+#: Bytes of text that are worked on at once, and rows whose texts are copied at once.
+CHUNK_BYTES, CHUNK_ROWS = 1 << 18, 1024
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -110,19 +111,18 @@ def text_chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int
     """(from, to, bytes, bounds) of runs of rows with about ``limit`` bytes of text, one row at least. Null is empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    n = len(texts)
-    if not n:
-        return
-    _, offsets, data = texts.buffers()
-    bounds = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + n + 1]
-    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
-    a = 0
-    while a < n:
-        b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + limit, side="right")) - 1)
-        b = min(b, n)
-        yield a, b, data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]
-        a = b
+    for start in range(0, len(texts), CHUNK_ROWS):
+        part = pc.fill_null(texts.slice(start, CHUNK_ROWS).cast(pa.large_string()), "")
+        n = len(part)
+        _, offsets, data = part.buffers()
+        bounds = np.frombuffer(offsets, np.int64)[part.offset : part.offset + n + 1]
+        data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+        a = 0
+        while a < n:
+            b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + limit, side="right")) - 1)
+            b = min(b, n)
+            yield start + a, start + b, data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]
+            a = b
 
 
 def distinct_by_text(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
