@@ -6,37 +6,38 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from passagework.llm.byte_bpe import encode
-from passagework.llm.decontaminate import contaminated
-from passagework.llm.minhash_dedup import near_duplicates
+from passagework.llm.decontaminate import drop_contaminated
+from passagework.llm.minhash_dedup import drop_near_duplicates
 from passagework.llm.scratch import Scratch
 from passagework.llm.secret_scan import redact_secrets
 from passagework.llm.toxicity import drop_toxic, fit_toxicity
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents judged toxic by a model fitted on the labels go."""
+    """Documents judged toxic by a model fitted on the labels go, each row by its own text. Null and empty texts stay, as do null ids and repeated rows."""
     return drop_toxic(docs, fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest id stays. Null ids are in no group."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of each group of near duplicates the document of the smallest id stays, and of its repeated rows one.
+
+    Null ids and texts without words are in no group and stay; several texts of one id are judged each by itself.
+    """
+    return drop_near_duplicates(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark go."""
-    gone = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Documents that hold a passage of the benchmark go, each row by its own text, null ids included. Null and empty texts stay."""
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay; their secrets are replaced by a mark, and n_chars follows the text."""
+    """All rows stay; their secrets are replaced by a mark, and n_chars follows the text: null for a null text, which stays null."""
     return redact_secrets(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def byte_bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, ids, exact): each document's token ids, and whether they decode to its text."""
+    """(doc_id, ids, exact): each row's token ids, and whether they decode to its text. Null and empty texts have no ids; null ids and repeated rows stay."""
     return encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
