@@ -72,21 +72,53 @@ def _matrix(lists: pa.Array) -> np.ndarray:
     return np.stack([np.asarray(x, dtype=np.float64) for x in lists.to_pylist()]) if len(lists) else np.zeros((0, 0))
 
 
+def _first(query: np.ndarray, chunk: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query: by score to 9 places, then the smaller chunk."""
+    order = np.lexsort((chunk, -np.round(score, 9), query))
+    query, chunk, score = query[order], chunk[order], score[order]
+    begin = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]])) if len(query) else np.zeros(0, np.int64)
+    keep = np.arange(len(query)) - np.repeat(begin, np.diff(np.append(begin, len(query)))) < k
+    return query[keep], chunk[keep], score[keep]
+
+
 def _nearest_batches(ids: np.ndarray, vectors: np.ndarray, k: int) -> Callable:
-    """The k nearest of each batch for each query, one matrix product for a block of rows."""
+    """The k nearest of a task's rows for each query: one matrix product for a block of rows, and a running best of all queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        norms = (vectors**2).sum(axis=1)
+        norms, least = (vectors**2).sum(axis=1), np.full(len(ids), -np.inf)
+        held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        step = max(k + 1, min(2048, 8_000_000 // max(1, len(ids))))
         for whole in batches:
-            for i in range(0, whole.num_rows, 2048):
-                batch = whole.slice(i, 2048)
+            for i in range(0, whole.num_rows, step):
+                batch = whole.slice(i, step)
                 x = _matrix(batch.column(1))
-                d2 = np.maximum(norms[:, None] + (x**2).sum(axis=1) - 2 * vectors @ x.T, 0)
-                chunk = batch.column(0).to_numpy()
-                for q in range(len(ids)):
-                    edge = np.partition(d2[q], k - 1)[k - 1] if len(x) > k else np.inf
-                    near = np.flatnonzero(d2[q] <= edge + 1e-9)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), ids[q])), pa.array(chunk[near]), pa.array(d2[q][near])], names=["query_id", "chunk_id", "distance"])
+                score = 1 / (1 + np.maximum(norms[:, None] + (x**2).sum(axis=1) - 2 * vectors @ x.T, 0))
+                if len(x) > k:
+                    least = np.maximum(least, np.partition(score, len(x) - k, axis=1)[:, len(x) - k])
+                query, place = np.nonzero(score >= least[:, None] - 1e-9)
+                held.append((query, batch.column(0).to_numpy()[place], score[query, place]))
+                if sum(len(h[0]) for h in held) > 4 * k * len(ids) + 100_000:
+                    held = [_first(*(np.concatenate(part) for part in zip(*held, strict=True)), k)]
+        query, chunk, score = _first(*(np.concatenate(part) for part in zip(*held, strict=True)), k)
+        for i in range(0, len(query), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[query[i : i + 50_000]]), pa.array(chunk[i : i + 50_000]), pa.array(score[i : i + 50_000])], names=["query_id", "chunk_id", "score"])
+
+    return run
+
+
+def _unit_batches(query: np.ndarray, unit: np.ndarray, vectors: np.ndarray) -> Callable:
+    """Each document's best product with each of the queries' units, among the rows of a block: one matrix product a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, min(2048, 4_000_000 // max(1, len(unit))))
+        for whole in batches:
+            for i in range(0, whole.num_rows, step):
+                batch = whole.slice(i, step)
+                doc, at = np.unique(batch.column(0).to_numpy(), return_inverse=True)
+                order = np.argsort(at, kind="stable")
+                best = np.maximum.reduceat((_matrix(batch.column(1)) @ vectors.T)[order], np.searchsorted(at[order], np.arange(len(doc))), axis=0)
+                rows = [np.tile(query, len(doc)), np.repeat(doc, len(unit)), np.tile(unit, len(doc)), best.ravel()]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=["query_id", "doc_id", "unit", "s"])
 
     return run
 
@@ -119,28 +151,27 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame
         if not rows:
             return part.sparkSession.createDataFrame([], "query_id long, chunk_id long, score double, rank int")
         ids, matrix = np.array([r["query_id"] for r in rows], dtype=np.int64), np.array([r["vector"] for r in rows], dtype=np.float64)
-        near = vectors.where("vector is not null").select(F.col("chunk_id").cast("long"), "vector").mapInArrow(_nearest_batches(ids, matrix, k), "query_id long, chunk_id long, distance double")
-        scored = near.withColumn("score", 1 / (1 + F.col("distance")))
-        return ranked(scored, k, F.desc(F.round("score", 9)), F.asc("chunk_id")).select("query_id", "chunk_id", "score", "rank")
+        near = vectors.where("vector is not null").select(F.col("chunk_id").cast("long"), "vector").mapInArrow(_nearest_batches(ids, matrix, k), "query_id long, chunk_id long, score double")
+        return ranked(near, k, F.desc(F.round("score", 9)), F.asc("chunk_id")).select("query_id", "chunk_id", "score", "rank")
 
     return _in_parts(queries.where("vector is not null").select("query_id", "vector"), ["query_id"], search)
 
 
-def dot(a: str, b: str) -> Column:
-    """The scalar product of two array columns, as double."""
-    return F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> cast(x as double) * cast(y as double)), 0D, (s, x) -> s + x)")
-
-
 def maxsim_topk(doc_units: DataFrame, query_units: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, doc_id, score, rank): the mean over a query's units of the best product with any unit of a document.
 
     ``doc_units``: doc_id, vector; ``query_units``: query_id, unit, vector, of unit length. The best product is taken
     where the documents' units are read. About MOST_QUERIES of the queries' units go to all tasks at once; a query's
-    units may lie in several parts, which give sums.
+    units may lie in several parts, which give sums. Null vectors are left out; ids are long.
     """
+    doc_units, query_units = doc_units.where("vector is not null"), query_units.where("vector is not null")
 
     def search(part: DataFrame) -> DataFrame:
-        met = doc_units.crossJoin(F.broadcast(part.withColumnRenamed("vector", "query_vector"))).select("query_id", "doc_id", "unit", dot("vector", "query_vector").alias("s"))
+        rows = part.collect()
+        if not rows:
+            return part.sparkSession.createDataFrame([], "query_id long, doc_id long, total double, n long")
+        query, unit = (np.array([r[c] for r in rows], dtype=np.int64) for c in ("query_id", "unit"))
+        met = doc_units.select(F.col("doc_id").cast("long"), "vector").mapInArrow(_unit_batches(query, unit, np.array([r["vector"] for r in rows], dtype=np.float64)), "query_id long, doc_id long, unit long, s double")
         best = met.groupBy("query_id", "doc_id", "unit").agg(F.max("s").alias("s"))
         return best.groupBy("query_id", "doc_id").agg(F.sum("s").alias("total"), F.count("s").alias("n"))
 

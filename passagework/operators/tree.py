@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -183,63 +184,83 @@ def fingerprint(nodes: DataFrame) -> DataFrame:
     return rows.repartition("document_id").sortWithinPartitions("document_id", "row").mapInArrow(_digests, "document_id string, fingerprint string")
 
 
-def _summaries(nodes: DataFrame, clusters: DataFrame, level: int, summarize: Summarizer, shown: int) -> DataFrame:
-    """A summary node for each cluster; its text shows the first members by chunk_id, its children are all of them."""
-    members = clusters.join(nodes.select("document_id", "chunk_id", "text"), ["document_id", "chunk_id"])
-    order = Window.partitionBy("document_id", "cluster").orderBy("chunk_id")
-    placed = members.withColumn("_n", F.row_number().over(order))
-    grouped = placed.groupBy("document_id", "cluster").agg(
-        F.array_sort(F.collect_list(F.when(F.col("_n") <= shown, F.struct("_n", "text")))).alias("held"), F.array_sort(F.collect_list("chunk_id")).alias("child_chunk_ids")
-    )
+class Tree(NamedTuple):
+    """nodes: document_id, chunk_id, node_type, level, text, n_children; edges: document_id, parent, child."""
+
+    nodes: DataFrame
+    edges: DataFrame
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _summaries(nodes: DataFrame, clusters: DataFrame, level: int, summarize: Summarizer, shown: int, path: str) -> Tree:
+    """A summary node for each cluster, and its edges to all members; its text shows the first ``shown`` members by chunk_id.
+
+    A node is named by sums of hashes of its members, so that no task gathers them; only the shown texts come together.
+    """
+    group = ["document_id", "cluster"]
+    digest = F.sha2(F.concat_ws(",", F.count("*"), F.expr("bit_xor(xxhash64(chunk_id))"), F.sum(F.xxhash64("chunk_id").cast("decimal(38,0)"))), 256).substr(1, 10)
+    named = clusters.groupBy(*group).agg(digest.alias("digest"), F.count("*").alias("n_children"))
+    named = _written(named.select(*group, F.concat("document_id", F.lit(f"_summary_{level}_"), "digest").alias("parent"), "n_children"), f"{path}/named")
+    edges = _written(clusters.join(named, group).select("document_id", "parent", F.col("chunk_id").alias("child")), f"{path}/edges")
+    order = Window.partitionBy(*group).orderBy("chunk_id")
+    first = clusters.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= shown).join(nodes.select("document_id", "chunk_id", "text"), ["document_id", "chunk_id"])
+    held = first.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("_n", "text"))).alias("held"))
     text = summarize(F.transform("held", lambda x: x["text"]))
-    node = F.concat(F.col("document_id"), F.lit(f"_summary_{level}_"), F.sha2(F.array_join("child_chunk_ids", ","), 256).substr(1, 10))
-    return grouped.select("document_id", node.alias("chunk_id"), F.lit("summary").alias("node_type"), F.lit(level).alias("level"), text.alias("text"), "child_chunk_ids")
+    summaries = named.join(held.select(*group, text.alias("text")), group)
+    return Tree(_written(summaries.select("document_id", F.col("parent").alias("chunk_id"), F.lit("summary").alias("node_type"), F.lit(level).alias("level"), "text", "n_children"), f"{path}/nodes"), edges)
 
 
-def build_tree(chunks: DataFrame, folder: str, embed: Embedder = hash_embedder, summarize: Summarizer = first_texts, most_levels: int = MOST_LEVELS, shown: int = SHOWN) -> DataFrame:
-    """(document_id, chunk_id, node_type, level, text, child_chunk_ids): chunks at level 0 and the summaries above them.
+def build_tree(chunks: DataFrame, folder: str, embed: Embedder = hash_embedder, summarize: Summarizer = first_texts, most_levels: int = MOST_LEVELS, shown: int = SHOWN) -> Tree:
+    """Chunks at level 0 and the summaries above them.
 
     A document goes on while it has LEAST_NODES nodes; one cluster makes its top node. ``folder``: where levels are
     written, shared by all executors. Three levels at most, so that the driver's loop is bounded. ``summarize`` is given
-    the first ``shown`` texts of a cluster, by chunk_id, as a model reads so many at most; the children are all members.
+    the first ``shown`` texts of a cluster, by chunk_id, as a model reads so many at most; the edges lead to all members.
     """
-    spark = chunks.sparkSession
-    empty = F.array().cast("array<string>")
-    nodes = chunks.select(F.col("document_id").cast("string").alias("document_id"), F.col("chunk_id").cast("string").alias("chunk_id"), F.lit("raw").alias("node_type"), F.lit(0).alias("level"), "text", empty.alias("child_chunk_ids"))
-    tree = nodes
+    nodes = chunks.select(
+        F.col("document_id").cast("string").alias("document_id"), F.col("chunk_id").cast("string").alias("chunk_id"), F.lit("raw").alias("node_type"), F.lit(0).alias("level"), "text", F.lit(0).cast("long").alias("n_children")
+    )
+    tree = Tree(nodes, chunks.sparkSession.createDataFrame([], "document_id string, parent string, child string"))
     for level in range(1, most_levels + 1):
         size = nodes.groupBy("document_id").agg(F.count("*").alias("_n")).where(F.col("_n") >= LEAST_NODES).select("document_id")
-        nodes = nodes.join(size, "document_id")
-        path = f"{folder}/level-{level}"
-        _summaries(nodes, soft_clusters(embed(nodes.select("document_id", "chunk_id", "text"), "text")), level, summarize, shown).write.mode("overwrite").parquet(path)
-        nodes = spark.read.parquet(path)
-        tree = tree.unionByName(nodes)
+        nodes, path = nodes.join(size, "document_id"), f"{folder}/level-{level}"
+        clusters = _written(soft_clusters(embed(nodes.select("document_id", "chunk_id", "text"), "text")), f"{path}/clusters")
+        above = _summaries(nodes, clusters, level, summarize, shown, path)
+        nodes = above.nodes
+        tree = Tree(tree.nodes.unionByName(nodes), tree.edges.unionByName(above.edges))
         if nodes.isEmpty():
             break
     return tree
 
 
-def cached_tree(chunks: DataFrame, folder: str, embed: Embedder = hash_embedder, summarize: Summarizer = first_texts, most_levels: int = MOST_LEVELS, shown: int = SHOWN) -> DataFrame:
+def cached_tree(chunks: DataFrame, folder: str, embed: Embedder = hash_embedder, summarize: Summarizer = first_texts, most_levels: int = MOST_LEVELS, shown: int = SHOWN) -> Tree:
     """build_tree(), where documents whose chunks have not changed keep the tree that ``folder`` has of them.
 
-    ``folder`` holds a manifest (document_id, fingerprint, built_at, nodes, levels) and the trees, by fingerprint. New trees
-    are added; old ones stay, so that a document may have several.
+    ``folder`` holds a manifest (document_id, fingerprint, built_at, nodes, levels) and the nodes and edges, by fingerprint. New
+    trees are added; old ones stay, so that a document may have several.
     """
     spark = chunks.sparkSession
-    now = fingerprint(chunks.withColumn("chunk_id", F.col("chunk_id").cast("string"))).withColumn("document_id", F.col("document_id").cast("string"))
-    held = read_manifest(spark, folder)
-    fresh = now if held is None else now.join(held.select("document_id", "fingerprint"), ["document_id", "fingerprint"], "left_anti")
-    path = shared_folder(spark, "tree")
-    now.write.parquet(f"{path}/now")
-    fresh.write.parquet(f"{path}/fresh")
-    now, fresh = (spark.read.parquet(f"{path}/{x}") for x in ("now", "fresh"))
-    if not fresh.isEmpty():
-        asked = chunks.join(fresh, chunks["document_id"].cast("string").eqNullSafe(fresh["document_id"]), "left_semi")
-        built = build_tree(asked, path, embed, summarize, most_levels, shown).join(fresh, "document_id")
-        built.write.mode("append").parquet(f"{folder}/trees")
-        counted = spark.read.parquet(f"{folder}/trees").join(fresh, ["document_id", "fingerprint"], "left_semi").groupBy("document_id", "fingerprint").agg(F.count("*").alias("nodes"), F.max("level").alias("levels"))
-        counted.select("document_id", "fingerprint", F.current_timestamp().alias("built_at"), "nodes", "levels").write.mode("append").parquet(f"{folder}/manifest")
-    return spark.read.parquet(f"{folder}/trees").join(now, ["document_id", "fingerprint"], "left_semi").drop("fingerprint") if now.limit(1).count() else build_tree(chunks, path, embed, summarize, 0)
+    path, held = shared_folder(spark, "tree"), read_manifest(spark, folder)
+    now = fingerprint(chunks.select(F.col("document_id").cast("string").alias("document_id"), F.col("chunk_id").cast("string").alias("chunk_id"), "text"))
+    now = _written(now, f"{path}/now")
+    fresh = now if held is None else _written(now.join(held.select("document_id", "fingerprint"), ["document_id", "fingerprint"], "left_anti"), f"{path}/fresh")
+    if held is None or not fresh.isEmpty():
+        asked = chunks.withColumn("document_id", F.col("document_id").cast("string")).join(fresh.select("document_id"), "document_id", "left_semi")
+        built = build_tree(asked, path, embed, summarize, most_levels, shown)
+        nodes, edges = (_written(x.join(fresh, "document_id"), f"{path}/{name}") for x, name in zip(built, built._fields, strict=True))
+        nodes.write.mode("append").parquet(f"{folder}/nodes")
+        edges.write.mode("append").parquet(f"{folder}/edges")
+        counted = nodes.groupBy("document_id", "fingerprint").agg(F.current_timestamp().alias("built_at"), F.count("*").alias("nodes"), F.max("level").alias("levels"))
+        counted.write.mode("append").parquet(f"{folder}/manifest")
+    return _stored(spark, folder, now)
+
+
+def _stored(spark: SparkSession, folder: str, chosen: DataFrame) -> Tree:
+    return Tree(*(spark.read.parquet(f"{folder}/{name}").join(chosen.select("document_id", "fingerprint"), ["document_id", "fingerprint"], "left_semi").drop("fingerprint") for name in Tree._fields))
 
 
 def read_manifest(spark: SparkSession, folder: str) -> DataFrame | None:
@@ -252,37 +273,31 @@ def read_manifest(spark: SparkSession, folder: str) -> DataFrame | None:
         return None
 
 
-def newest_trees(spark: SparkSession, folder: str, fingerprints: DataFrame | None = None) -> DataFrame:
+def newest_trees(spark: SparkSession, folder: str, fingerprints: DataFrame | None = None) -> Tree:
     """The trees of ``fingerprints`` (document_id, fingerprint), or each document's newest one, from the folder of cached_tree()."""
     held = read_manifest(spark, folder)
     if held is None:
         raise ValueError(f"{folder} holds no trees")
-    chosen = fingerprints or held.groupBy("document_id").agg(F.max_by("fingerprint", F.struct("built_at", "fingerprint")).alias("fingerprint"))
-    return spark.read.parquet(f"{folder}/trees").join(chosen.select("document_id", "fingerprint"), ["document_id", "fingerprint"], "left_semi").drop("fingerprint")
-
-
-def tree_edges(tree: DataFrame) -> DataFrame:
-    """(document_id, parent, child)."""
-    return tree.select("document_id", F.col("chunk_id").alias("parent"), F.explode("child_chunk_ids").alias("child"))
+    return _stored(spark, folder, fingerprints or held.groupBy("document_id").agg(F.max_by("fingerprint", F.struct("built_at", "fingerprint")).alias("fingerprint")))
 
 
 def _short(column: str) -> Column:
     return F.concat(F.lit("n"), F.sha2(F.col(column), 256).substr(1, 10))
 
 
-def render_mermaid(tree: DataFrame) -> DataFrame:
+def render_mermaid(tree: Tree) -> DataFrame:
     """(document_id, text): each document's tree as a Mermaid graph, nodes and edges in order."""
     label = F.regexp_replace(F.substring(F.regexp_replace("text", r"\s+", " "), 1, 80), '["\\[\\]]', "'")
-    lines = tree.select("document_id", F.lit(0).alias("part"), F.concat(F.lit("    "), _short("chunk_id"), F.lit('["'), label, F.lit('"]')).alias("line"))
-    lines = lines.unionByName(tree_edges(tree).select("document_id", F.lit(1).alias("part"), F.concat(F.lit("    "), _short("parent"), F.lit(" --> "), _short("child")).alias("line")))
+    lines = tree.nodes.select("document_id", F.lit(0).alias("part"), F.concat(F.lit("    "), _short("chunk_id"), F.lit('["'), label, F.lit('"]')).alias("line"))
+    lines = lines.unionByName(tree.edges.select("document_id", F.lit(1).alias("part"), F.concat(F.lit("    "), _short("parent"), F.lit(" --> "), _short("child")).alias("line")))
     grouped = lines.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("part", "line"))).alias("held"))
     return grouped.select("document_id", F.concat(F.lit("graph TD\n"), F.array_join(F.transform("held", lambda x: x["line"]), "\n")).alias("text"))
 
 
-def render_dot(tree: DataFrame) -> DataFrame:
+def render_dot(tree: Tree) -> DataFrame:
     """(document_id, text): each document's tree in Graphviz's language."""
     label = F.regexp_replace(F.substring(F.regexp_replace("text", r"\s+", " "), 1, 90), r'["\\]', "'")
-    lines = tree.select("document_id", F.lit(0).alias("part"), F.concat(F.lit("  "), _short("chunk_id"), F.lit(' [label="'), label, F.lit('"];')).alias("line"))
-    lines = lines.unionByName(tree_edges(tree).select("document_id", F.lit(1).alias("part"), F.concat(F.lit("  "), _short("parent"), F.lit(" -> "), _short("child"), F.lit(";")).alias("line")))
+    lines = tree.nodes.select("document_id", F.lit(0).alias("part"), F.concat(F.lit("  "), _short("chunk_id"), F.lit(' [label="'), label, F.lit('"];')).alias("line"))
+    lines = lines.unionByName(tree.edges.select("document_id", F.lit(1).alias("part"), F.concat(F.lit("  "), _short("parent"), F.lit(" -> "), _short("child"), F.lit(";")).alias("line")))
     grouped = lines.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("part", "line"))).alias("held"))
     return grouped.select("document_id", F.concat(F.lit("digraph tree {\n"), F.array_join(F.transform("held", lambda x: x["line"]), "\n"), F.lit("\n}")).alias("text"))

@@ -141,7 +141,20 @@ def page_windows(spark, sf_dir):
     return windows.select("document_id", F.col("window").cast("long").alias("window_no"), "first_page", "last_page", F.length("text").cast("long").alias("n_chars"))
 
 
-@register()
+def _html_sql() -> str:
+    t, gap, space = "coalesce(html, '')", "chr(1)", r"[\s\x0b\x{85}\x{a0}\p{Z}]+"
+    for name in readers.DROPPED_ELEMENTS:
+        t = rf"regexp_replace({t}, '(?is)<{name}\b[^>]*>.*?</{name}\s*>', {gap}, 'g')"
+    t = rf"regexp_replace(regexp_replace({t}, '(?s)<!--.*?-->|<!DOCTYPE[^>]*>', '', 'g'), '(?s)<[^>]+>', {gap}, 'g')"
+    for entity, mark in readers.ENTITIES:
+        t = f"replace({t}, {q(entity)}, {q(mark)})"
+    stripped = lambda x: f"regexp_replace({x}, '^{space}|{space}$', '', 'g')"
+    lines = rf"regexp_split_to_array(array_to_string(list_filter(string_split(t, {gap}), lambda x: x <> ''), ' '), '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]')"
+    pieces = f"list_transform(flatten(list_transform({lines}, lambda x: string_split({stripped('x')}, '  '))), lambda x: {stripped('x')})"
+    return f"raw AS (SELECT page_id, {t} AS t FROM pages), html AS (SELECT page_id, array_to_string(list_filter({pieces}, lambda x: x <> ''), chr(10)) AS text FROM raw)"
+
+
+@register(f"WITH {_html_sql()} SELECT page_id, length(text)::BIGINT AS n_chars, md5(text) AS text FROM html")
 def html_texts(spark, sf_dir):
     """Pages' visible text by built-in functions."""
     text = readers.html_text_builtin(F.col("html"))
@@ -288,12 +301,33 @@ def reranked(spark, sf_dir):
     return rank.rerank(hits, 5).select("query_id", "chunk_id", F.round("rerank_score", 6).alias("rerank_score"), "rank")
 
 
-@register()
+def _packed_sql() -> str:
+    points = lambda name: "CASE kind " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in zip(pack.KINDS, pack.BY_QUESTION[name], strict=True)) + " ELSE 0 END"
+    starts = " OR ".join(f"starts_with(low, '{p}')" for p in pack.FACT_STARTS)
+    score = f"""greatest(0, score) + CASE WHEN starts THEN {points("fact")} WHEN joins THEN {points("synthesis")} ELSE {points("other")} END
+      + CASE WHEN regexp_matches(low, {q(Q.NEGATION)}) THEN CASE WHEN kind = 'raw' THEN 0.08 ELSE 0.02 END ELSE 0 END + CASE WHEN regexp_matches(query, '["'']') AND len(list_filter(asked, lambda w: length(w) > 2 AND contains(body, w))) > 0 THEN 0.2 ELSE 0 END
+      + least(1.0, len(list_intersect(asked, words)) / greatest(1.0, sqrt(greatest(len(asked), 1)))) * 0.45 + CASE WHEN low <> '' AND contains(body, low) THEN 1.5 ELSE 0 END
+      + CASE WHEN starts AND kind = 'raw' THEN greatest(0, 0.18 - greatest(len(words), 1) / 2500.0) WHEN NOT starts AND joins AND kind IN ('parent', 'summary') THEN least(0.22, greatest(len(words), 1) / 3000.0) ELSE 0 END"""
+    order = "pack_score DESC, kind <> 'raw', len(words), chunk_id"
+    fits = f"used + n_tokens <= budget AND taken < {pack.MOST_CHUNKS} AND len(list_filter(documents, lambda x: x = document_id)) < {pack.PER_DOCUMENT} AND len(list_filter(parents, lambda x: x = parent_id)) < {pack.PER_PARENT}"
+    return f"""WITH RECURSIVE {CHUNKS}, {FUSED}, shapes AS ({_shape_sql()}),
+    h AS (SELECT query_id, chunk_id, f.score, node_type AS kind, document_id, parent_id, c.text, shape, trim(b.text) AS query FROM fused f JOIN chunks c USING (chunk_id) JOIN shapes ON doc_id = chunk_id JOIN benchmark b ON item_id = query_id),
+    w AS (SELECT *, lower(query) AS low, lower(text) AS body, {WORDS.format("text")} AS words, list_distinct({WORDS.format("query")}) AS asked FROM h), k AS (SELECT *, ({starts}) AS starts, {has("low", pack.SYNTHESIS)} AS joins FROM w),
+    s AS (SELECT *, round({score}, 9) AS pack_score, bool_or(shape IN ('academic_dense', 'numbered_spec_academic')) OVER (PARTITION BY query_id) AS dense, bool_or(shape = 'legal_clause') OVER (PARTITION BY query_id) AS legal FROM k),
+    d AS (SELECT *, CASE WHEN dense THEN 2025 WHEN legal THEN 1725 ELSE 1500 END AS budget, kind = 'raw' AND row_number() OVER (PARTITION BY query_id, kind ORDER BY {order}) = 1 AS seed FROM s),
+    ordered AS MATERIALIZED (SELECT query_id, chunk_id, kind, document_id, parent_id, budget, pack_score, CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, ceil(length(text) / 4.0)) END::BIGINT AS n_tokens, row_number() OVER (PARTITION BY query_id ORDER BY seed DESC, {order}) AS place FROM d),
+    fold AS (SELECT query_id, 0::BIGINT AS place, 0::BIGINT AS used, 0 AS taken, []::VARCHAR[] AS documents, []::VARCHAR[] AS parents, false AS fits FROM (SELECT DISTINCT query_id FROM ordered) UNION ALL
+      SELECT query_id, place, used + CASE WHEN fits THEN n_tokens ELSE 0 END, taken + fits::INT, CASE WHEN fits THEN list_append(documents, document_id) ELSE documents END, CASE WHEN fits THEN list_append(parents, parent_id) ELSE parents END, fits
+      FROM (SELECT o.*, used, taken, documents, parents, {fits} AS fits FROM fold JOIN ordered o ON o.query_id = fold.query_id AND o.place = fold.place + 1)),
+    packed AS (SELECT query_id::VARCHAR AS query_id, chunk_id::VARCHAR AS chunk_id, taken::INT AS packed_rank, round(pack_score, 6) AS score, n_tokens, kind FROM fold JOIN ordered USING (query_id, place) WHERE fits)"""
+
+
+@register(f"{_packed_sql()} SELECT * FROM packed")
 def packed_context(spark, sf_dir):
     """Contexts of all questions from their fused hits."""
     held, asked = chunks(spark, sf_dir), questions(spark, sf_dir)
     hits = rank.weighted_rrf(two_lists(spark, sf_dir)).join(held, "chunk_id").join(asked, "query_id").withColumn("doc_shape", T.text_shape(F.col("text")))
-    return pack.pack_context(hits)
+    return pack.pack_context(hits).withColumn("score", F.round("score", 6))
 
 
 @register()
@@ -379,7 +413,24 @@ def query_features(spark, sf_dir):
     return turns(spark, sf_dir).select("conv_id", "turn", Q.features(F.col("query")).alias("f")).select("conv_id", "turn", "f.*").drop("has_capitalized_tokens")
 
 
-@register()
+SQUEEZE = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
+
+
+def _variants_sql() -> str:
+    swap = lambda c, pattern, to: f"regexp_replace({c}, {q(pattern)}, {q(to)}, 'g')"
+    versus = f"replace(replace({swap('s', r'(?i)\bvs\b', 'versus')}, ' versus ', ' and '), ' compare ', ' comparison ')"
+    difference = swap("s", r"(?i)\b(compare|comparison|difference between|difference)\b", "difference between")
+    plain = SQUEEZE.format(swap("CASE WHEN bare <> '' THEN bare ELSE s END", "[-/]", " "))
+    return rf"""WITH t AS (SELECT conv_id, turn, {SQUEEZE.format("coalesce(text, '')")} AS s FROM conversations),
+    u AS (SELECT *, {ASCII.format("lower(s)")} AS low, {SQUEEZE.format(r"regexp_replace(s, '[^\p{L}\p{M}\p{Nd}_\s]+', ' ', 'g')")} AS bare FROM t),
+    v AS (SELECT conv_id, turn, [s, bare, {plain}, CASE WHEN {NEGATIVE_SQL} THEN {SQUEEZE.format(swap("s", "(?i)" + Q.NEGATION, " "))} END, CASE WHEN {LEGAL_SQL} THEN {SQUEEZE.format(swap("s", Q.LEGAL_FILLER, ""))} END,
+      CASE WHEN {has("low", Q.COMPARATIVE)} THEN {SQUEEZE.format(versus)} END, CASE WHEN {has("low", Q.COMPARATIVE)} THEN {SQUEEZE.format(difference)} END] AS l FROM u),
+    w AS (SELECT conv_id, turn, list_filter(list_transform(l, lambda x: trim(x)), lambda x: x IS NOT NULL AND x <> '') AS l FROM v),
+    k AS (SELECT conv_id, turn, list_filter(l, lambda x, i: list_position(list_transform(l, lambda y: lower(y)), lower(x)) = i)[1:4] AS l FROM w)
+    SELECT conv_id, turn, unnest(range(0, len(l)))::INT AS i, unnest(l) AS variant FROM k"""
+
+
+@register(_variants_sql())
 def query_variants(spark, sf_dir):
     """Ways to ask each turn."""
     told = turns(spark, sf_dir).select("conv_id", "turn", Q.variants(F.col("query")).alias("v"))
@@ -404,13 +455,41 @@ def display_formats(spark, sf_dir):
     return turns(spark, sf_dir).select("conv_id", "turn", display.display_format(F.col("query")).alias("s")).select("conv_id", "turn", "s.format", "s.confidence")
 
 
-@register()
+def _entities_sql() -> str:
+    bare = "list_filter(list_transform({}, lambda x: regexp_replace(trim(x), '[?.,!]+$', '')), lambda x: length(x) > 1)"
+    listed = "coalesce(" + ", ".join(f"nullif(regexp_extract(s, {q(p)}, 1), '')" for p in display.BEFORE_NAMES) + ")"
+    for p in display.AFTER_NAMES:
+        listed = f"regexp_replace({listed}, {q(p)}, '')"
+    known = "MAP {" + ", ".join(f"'{a}': '{b}'" for a, b in display.TYPOS.items()) + "}"
+    words = r"list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda w: w <> '')"
+    return f"""WITH t AS (SELECT conv_id, turn, trim(coalesce(text, '')) AS s, {words} AS w FROM conversations), l AS (SELECT *, {listed} AS listed, regexp_split_to_array(s, {q(display.SIDES)}) AS sides FROM t)
+    SELECT conv_id, turn, CASE WHEN len(sides) > 1 THEN {bare.format("flatten(list_transform(sides, lambda x: regexp_split_to_array(x, '(?i)\\s+and\\s+')))")}
+      WHEN listed IS NOT NULL THEN list_filter({bare.format(f"regexp_split_to_array(listed, {q(display.NAMES)})")}, lambda x: NOT regexp_matches(x, {q(display.NO_NAME)})) ELSE [] END AS entities,
+      md5(array_to_string(list_transform(w, lambda x: coalesce({known}[regexp_replace(lower(x), '[.,!?]+$', '')], x)), ' ')) AS fixed FROM l"""
+
+
+@register(_entities_sql())
 def compared_entities(spark, sf_dir):
     """Entities and typo-free wording of all turns."""
     return turns(spark, sf_dir).select("conv_id", "turn", display.compared_entities(F.col("query")).alias("entities"), F.md5(display.fix_typos(F.col("query"))).alias("fixed"))
 
 
-@register()
+def _understanding_sql() -> str:
+    starts = lambda words: "(" + " OR ".join(f"starts_with(n, {q(w)})" for w in words) + ")"
+    prefix = "CASE " + " ".join(f"WHEN starts_with(n, {q(p)}) THEN {q(p)}" for p in Q.CONCEPT_STARTS) + " ELSE '' END"
+    simple = f"n <> '' AND NOT {NEGATIVE_SQL} AND NOT {LEGAL_SQL} AND NOT {starts(Q.NEVER_SIMPLE)} AND {N_WORDS.format('n')} <= 8 AND {starts(Q.SIMPLE_STARTS)}"
+    plan = lambda i: f"CASE WHEN mode = 'doc_rag' THEN {[1, 5, 4000][i]} " + " ".join(f"WHEN intent = '{k}' THEN {v[i]}" for k, v in Q.BUDGETS.items()) + f" ELSE {[1, 3, 4000][i]} END"
+    strategy = "CASE WHEN mode = 'doc_rag' THEN 'doc_rag' " + " ".join(f"WHEN intent = '{k}' THEN '{v[3]}'" for k, v in Q.BUDGETS.items()) + " ELSE mode END"
+    return rf"""WITH t AS (SELECT conv_id, turn, lower(coalesce(text, '')) AS whole, lower({SQUEEZE.format("coalesce(text, '')")}) AS n FROM conversations), u AS (SELECT *, {ASCII.format("n")} AS low FROM t),
+    s AS (SELECT *, turn % 2 = 0 AND {matches("low", Q.ABOUT_DOCUMENT)} AS document, {simple} AS simple, {prefix} AS prefix FROM u),
+    p AS (SELECT *, CASE WHEN document THEN 'document_lookup' WHEN simple THEN CASE WHEN contains(n, 'what is') OR contains(n, 'define') THEN 'definition' ELSE 'simple_fact' END ELSE 'research' END AS intent,
+      CASE WHEN document THEN 'doc_rag' WHEN simple THEN 'direct_web' ELSE 'web_rag' END AS mode FROM s)
+    SELECT conv_id, turn, intent, mode, CASE WHEN {matches("low", Q.GLOBAL)} THEN 'global' WHEN {matches("low", Q.MULTI_HOP)} OR {NEGATIVE_SQL} OR {LEGAL_SQL} OR {has("n", Q.CLAUSE_JOINTS)} OR length(n) - length(replace(n, '?', '')) >= 2 THEN 'multi_hop' ELSE 'simple' END AS complexity,
+      md5(regexp_replace(trim(substr(n, length(prefix) + 1)), '^\?+|\?+$', '', 'g')) AS concept, {plan(0)} AS passes, {plan(1)} AS sources, {plan(2)} AS tokens, {strategy} AS strategy,
+      CASE WHEN {has("whole", Q.ORDER_MARKERS)} THEN 'ordered' WHEN {has("whole", Q.MECHANISM_MARKERS)} THEN 'legal_mechanism' ELSE 'standard' END AS style FROM p"""
+
+
+@register(_understanding_sql())
 def understanding(spark, sf_dir):
     """Deterministic plans of all turns."""
     told = turns(spark, sf_dir).select("conv_id", "turn", "query", Q.understanding(F.col("query"), F.col("turn") % 2 == 0).alias("u"))
@@ -418,6 +497,32 @@ def understanding(spark, sf_dir):
     return told.select("conv_id", "turn", "intent", "mode", "complexity", F.md5("concept").alias("concept"), "b.passes", "b.sources", "b.tokens", "b.strategy", "p.style")
 
 
+def _displays_sql() -> str:
+    cut = r"string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"
+    naming = "list_filter(s, lambda x: contains(lower(x), e[1]) AND contains(lower(x), e[2]))"
+    names = f"list_distinct(list_transform({naming}, lambda x: regexp_replace(left(x, {display.ROW_KEY}), '[.,]+$', '')))"
+    praises = lambda x: has(f"lower({x})", display.PRAISE)
+    pros, cons = f"list_filter(s, lambda x: {praises('x')})", f"list_filter(s, lambda x: NOT {praises('x')} AND {has('lower(x)', display.BLAME)})"
+    lines = f"list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, {q(display.STEP)}))"
+    steps = f"list_filter(list_transform({lines}, lambda x: regexp_replace(trim(x), {q(display.STEP_NUMBER)}, '')), lambda x: x <> '')"
+    return f"""WITH d AS (SELECT doc_id, text, ['comparison', 'pros_cons', 'steps', 'summary'][doc_id % 4 + 1] AS fmt, {WORDS.format("text")}[1:2] AS e, {cut} AS s FROM documents WHERE text IS NOT NULL),
+    c AS (SELECT *, least(len({names}), {display.MOST_ROWS}) AS n_rows, least(len({pros}), {display.MOST_POINTS}) AS n_pros, least(len({cons}), {display.MOST_POINTS}) AS n_cons, least(len({steps}), {display.MOST_STEPS}) AS n_steps FROM d),
+    k AS (SELECT *, CASE WHEN {N_WORDS.format("text")} < {display.MIN_TABLE_WORDS} THEN 'prose' WHEN fmt = 'comparison' AND n_rows > 0 THEN 'comparison_table' WHEN fmt = 'pros_cons' AND n_pros + n_cons > 0 THEN 'pros_cons_table' WHEN fmt = 'steps' AND n_steps > 0 THEN 'step_list' WHEN fmt = 'summary' THEN 'summary_block' ELSE 'prose' END AS type FROM c)
+    SELECT doc_id, type, CASE type WHEN 'comparison_table' THEN n_rows WHEN 'pros_cons_table' THEN n_pros WHEN 'step_list' THEN n_steps WHEN 'summary_block' THEN len(list_filter(s[2:6], lambda x: trim(x) <> '')) ELSE 0 END::INT AS n_first, CASE WHEN type = 'pros_cons_table' THEN n_cons ELSE 0 END::INT AS n_second,
+      CASE WHEN type = 'summary_block' THEN md5(s[1]) END AS tldr FROM k"""
+
+
+@register(_displays_sql())
+def answer_displays(spark, sf_dir):
+    """All documents as answers, shaped by turns for each format that prose can take; the first two words are what is compared."""
+    docs = texts(spark, sf_dir, "documents").where("text is not null")
+    fmt = F.element_at(F.array(*(F.lit(x) for x in ("comparison", "pros_cons", "steps", "summary"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    shaped = docs.select("doc_id", display.shaped_display(F.col("text"), fmt, F.slice(T.tokens(F.col("text")), 1, 2)).alias("d"))
+    size = lambda name: F.when(F.col(f"d.{name}").isNotNull(), F.size(f"d.{name}"))
+    first = F.coalesce(*(size(x) for x in ("rows", "pros", "steps", "key_points")), F.lit(0))
+    return shaped.select("doc_id", "d.type", first.alias("n_first"), F.coalesce(size("cons"), F.lit(0)).alias("n_second"), F.md5("d.tldr").alias("tldr"))
+
+
 CONCEPTS = r"""c AS (SELECT conv_id, turn, coalesce(text, '') AS query, CASE WHEN role = 'user' THEN nullif(regexp_extract(coalesce(text, ''), '^(\S+)', 1), '') END AS concept FROM conversations)"""
 TOPIC_SQL = rf"""WITH {CONCEPTS}, o AS (SELECT *, last_value(concept IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS topic FROM c)
     SELECT conv_id, turn, topic, md5(CASE WHEN topic IS NOT NULL AND len(list_intersect(regexp_split_to_array(lower(query), '\s+'), {Q.PRONOUNS})) > 0 THEN query || ' (context: ' || topic || ')' ELSE query END) AS resolved FROM o"""
@@ -438,7 +543,12 @@ def last_turns(spark, sf_dir):
     return conversation.last_turns(table(spark, sf_dir, "conversations")).select("conv_id", "turn", F.md5("history").alias("history"))
 
 
-@register()
+@register(
+    f"""WITH RECURSIVE r AS MATERIALIZED (SELECT event_id AS request_id, user_id::VARCHAR AS key, epoch_us(ts) / 1e6 AS timestamp, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+    f AS (SELECT *, false AS hit, timestamp AS written FROM r WHERE rn = 1 UNION ALL
+      SELECT r.*, r.timestamp - f.written <= {conversation.KEPT_FOR}, CASE WHEN r.timestamp - f.written <= {conversation.KEPT_FOR} THEN f.written ELSE r.timestamp END FROM f JOIN r ON r.key = f.key AND r.rn = f.rn + 1)
+    SELECT request_id, key, 0::BIGINT AS generation, timestamp, hit FROM f"""
+)
 def kept_answers(spark, sf_dir):
     """Which events an answer kept for their user would have served."""
     rows = executions(spark, sf_dir).join(table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), "user_id"), "seq")
@@ -607,7 +717,11 @@ def report_gaps(spark, sf_dir):
     return told.select("conv_id", "turn", F.size(answers.gaps(F.split(F.lower("query"), "[.!?]", -1), F.col("report"))).alias("n_gaps"))
 
 
-@register()
+@register(
+    f"""{_packed_sql()}, told AS (SELECT p.query_id, packed_rank, document_id, chr(10) || '--- [Page ' || (c.chunk_id % 40) || '] ---' || chr(10) || text || chr(10) AS block FROM packed p JOIN chunks c ON c.chunk_id::VARCHAR = p.chunk_id),
+    g AS (SELECT query_id, length(string_agg(block, '' ORDER BY packed_rank))::INT AS n_chars, list(document_id ORDER BY packed_rank) AS l FROM told GROUP BY query_id)
+    SELECT query_id, n_chars, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ',') AS sources FROM g"""
+)
 def prompt_contexts(spark, sf_dir):
     """Contexts and sources for prompts, of all questions."""
     held = chunks(spark, sf_dir).select(F.col("chunk_id").cast("string").alias("chunk_id"), (F.col("chunk_id") % 40).alias("page"), F.col("document_id").alias("source"), "text")
@@ -620,11 +734,24 @@ def stratified_split(spark, sf_dir):
     return evaluate.stratified_split(table(spark, sf_dir, "labels"), "toxic", "doc_id")
 
 
-@register()
+@register(
+    f"""WITH RECURSIVE {JUDGED}, s AS (SELECT list(struct_pack(x := x, n := n, y := y)) AS l, sum(n) AS total FROM (SELECT round(least(greatest(p, 0), 1), 4) AS x, count(*) AS n, sum(y) AS y FROM judged GROUP BY 1)),
+    fit AS (SELECT 0 AS i, 1.0::DOUBLE AS a, 0.0::DOUBLE AS b UNION ALL
+      SELECT i + 1, a - 0.1 * (list_sum(list_transform(l, lambda z: (z.n / (1 + exp(-(a * z.x + b))) - z.y) * z.x)) / total + 1e-4 * a), b - 0.1 * list_sum(list_transform(l, lambda z: z.n / (1 + exp(-(a * z.x + b))) - z.y)) / total FROM fit, s WHERE i < 2000)
+    SELECT round(a, 6) AS a, round(b, 6) AS b FROM fit WHERE i = 2000"""
+)
 def platt_fit(spark, sf_dir):
     """Slope and offset of a calibration on all labels."""
     a, b = evaluate.fit_platt(_judged(spark, sf_dir), "p", "y")
-    return spark.createDataFrame([(a, b)], "a double, b double")
+    return spark.createDataFrame([(round(a, 6), round(b, 6))], "a double, b double")
+
+
+@register(f"WITH {JUDGED} SELECT count(*) AS n, round(avg((coalesce(CASE WHEN p >= 0.2 THEN CASE WHEN p >= 0.5 THEN 'toxic' ELSE 'none' END END = CASE WHEN toxic = 1 THEN 'toxic' ELSE 'none' END, false))::INT), 6) AS match_rate FROM judged")
+def route_match_rate(spark, sf_dir):
+    """Labels as expected routes; low scores are routes that failed."""
+    route = F.when(F.col("p") >= 0.2, F.when(F.col("p") >= 0.5, "toxic").otherwise("none"))
+    rows = _judged(spark, sf_dir).select(route.alias("actual"), F.when(F.col("toxic") == 1, "toxic").otherwise("none").alias("expected"))
+    return evaluate.route_match_rate(rows, "actual", "expected").withColumn("match_rate", F.round("match_rate", 6))
 
 
 # -- sources of evidence
@@ -665,7 +792,15 @@ def evidence_scores(spark, sf_dir):
     return texts(spark, sf_dir, "pages").select("page_id", evidence.evidence_score(concepts, intent, F.col("html"), F.col("url")).alias("score"))
 
 
-@register()
+@register(
+    rf"""WITH {_html_sql()}, one AS (SELECT page_id, regexp_replace(text, '[\s\x0b\x{{85}}\x{{a0}}\p{{Z}}]+', ' ', 'g') AS text FROM html), cut AS (SELECT page_id, string_split(regexp_replace(text, '([.!?])[\s\x{{a0}}]+', '\1' || chr(1), 'g'), chr(1)) AS l FROM one),
+    f AS (SELECT page_id, unnest(range(0, len(l))) AS i, unnest(l) AS raw FROM cut), c AS (SELECT *, trim(regexp_replace(raw, '[\x00-\x1f\x7f]', '', 'g')) AS s, lower(trim(raw)) AS low, lead(trim(raw)) OVER (PARTITION BY page_id ORDER BY i) AS next FROM f),
+    r AS (SELECT page_id, i, trim(raw) AS sentence, next, CASE WHEN s <> '' AND NOT regexp_matches(regexp_extract(s, '\p{{L}}', 0), '\p{{Ll}}') AND NOT regexp_matches(s, '^[,;:)}}\]]') AND {N_WORDS.format("s")} BETWEEN 8 AND 60
+      AND NOT (ends_with(s, '?') AND (starts_with(low, 'what') OR starts_with(low, 'how'))) AND contains(low, 'th') THEN contains(low, 'what')::INT + CASE WHEN contains(low, ' is a ') OR contains(low, ' is an ') THEN 10 WHEN contains(low, ' are ') THEN 3 ELSE 0 END ELSE 0 END AS score FROM c),
+    b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, i) AS n FROM r) WHERE n = 1 AND score >= 3),
+    j AS (SELECT page_id, score, CASE WHEN coalesce(regexp_matches(next, '^\p{{Lu}}') AND {N_WORDS.format("next")} BETWEEN 5 AND 40, false) THEN sentence || ' ' || next ELSE sentence END AS joined FROM b)
+    SELECT page_id, CASE WHEN regexp_matches(joined, '[.!?]$') THEN joined ELSE joined || '.' END AS passage, score::BIGINT AS score FROM j"""
+)
 def best_passages(spark, sf_dir):
     """The sentence of each page that answers a common question best."""
     rows = texts(spark, sf_dir, "pages").select("page_id", F.lit("what is the").alias("query"), readers.html_text_builtin(F.col("html")).alias("text"))
@@ -679,8 +814,8 @@ def best_passages(spark, sf_dir):
 def summary_tree(spark, sf_dir):
     """Summary nodes over all documents, one tree a source and language."""
     held = chunks(spark, sf_dir).select(F.col("parent_id").alias("document_id"), F.format_string("c%012d", "chunk_id").alias("chunk_id"), "text")
-    out = tree.build_tree(held, shared_folder(spark, "tree"))
-    return out.select("document_id", "chunk_id", "node_type", "level", F.length("text").alias("n_chars"), F.size("child_chunk_ids").alias("n_children"))
+    nodes = tree.build_tree(held, shared_folder(spark, "tree")).nodes
+    return nodes.select("document_id", "chunk_id", "node_type", "level", F.length("text").alias("n_chars"), "n_children")
 
 
 @register(

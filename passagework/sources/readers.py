@@ -66,6 +66,10 @@ def append_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
+#: Entities that the built-in form resolves, the ampersand last.
+ENTITIES = (("&nbsp;", "\xa0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"), ("&#39;", "'"), ("&amp;", "&"))
+
+
 class _Text(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -102,12 +106,12 @@ def html_text(html: pd.Series) -> pd.Series:
 
 
 def html_text_builtin(html: Column) -> Column:
-    """The same by built-in functions, for well-formed pages: tags go, the five common entities are resolved."""
+    """The same by built-in functions, for well-formed pages: tags go, the common entities are resolved."""
     t = F.coalesce(html, F.lit(""))
     for name in DROPPED_ELEMENTS:
         t = F.regexp_replace(t, rf"(?is)<{name}\b[^>]*>.*?</{name}\s*>", "\x00")
     t = F.regexp_replace(F.regexp_replace(t, r"(?s)<!--.*?-->|<!DOCTYPE[^>]*>", ""), r"(?s)<[^>]+>", "\x00")
-    for entity, mark in (("&nbsp;", "\xa0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"), ("&#39;", "'"), ("&amp;", "&")):
+    for entity, mark in ENTITIES:
         t = F.replace(t, F.lit(entity), F.lit(mark))
     # text stands between tags; neighbours are joined by one space, as a parser's pieces are
     t = F.array_join(F.filter(F.split(t, "\x00"), lambda p: p != ""), " ")

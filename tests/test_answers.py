@@ -67,6 +67,19 @@ def test_sharpness(spark):
     assert text("d" * 60, "n" * 60) == "d" * 60 and text("short", "n" * 60) == "n" * 60 and text(None, "n") is None
 
 
+def test_page_ingest(spark):
+    """Blurred pages go, short descriptions give way to the file's own text, and pages with neither are dropped."""
+    judged = spark.createDataFrame([("d", i, 200.0, i != 2) for i in range(1, 6)] + [("e", 1, 1.0, False)], "document_id string, page_num int, variance double, keep boolean")
+    described = spark.createDataFrame([("d", 1, "x" * 60), ("d", 2, "x" * 60), ("d", 3, "short"), ("d", 4, None)], "document_id string, page_num int, described string")
+    split = lambda content: F.split(F.decode(content, "UTF-8"), "\f")
+    files = spark.createDataFrame([("d", bytearray("\f".join(["", "b" * 60, "n" * 60, "tiny", "m" * 70]).encode()))], "document_id string, content binary")
+    native = images.native_texts(files, split)
+    assert {r.page_num for r in native.collect()} == {2, 3, 4, 5}
+    pages = images.ingested_pages(judged, described, native)
+    assert {r.page_num: (r.text[0], r.source, r.chunk_id) for r in pages.collect()} == {1: ("x", "vlm", "d_vlm_page_1"), 3: ("n", "text_layer_fallback", "d_vlm_page_3"), 5: ("m", "text_layer_fallback", "d_vlm_page_5")}
+    assert {tuple(r) for r in images.ingest_counts(judged, pages).collect()} == {("d", 5, 1, 1, 2, 1), ("e", 1, 1, 0, 0, 0)}
+
+
 def test_search_again(spark, tmp_path):
     pages = {"q one": [("http://a.com/1", "nothing"), ("http://wikipedia.org/x", "tea is a drink")], "tea explanation definition": [("http://b.org/tea", "tea is a plant"), ("http://wikipedia.org/x", "tea is a drink")]}
     rows = [(q, i, u, s) for q, hits in pages.items() for i, (u, s) in enumerate(hits)]

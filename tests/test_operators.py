@@ -207,13 +207,15 @@ def test_packing(spark):
 def test_tree(spark, tmp_path):
     topics = ["apple pear plum fruit juice", "engine wheel brake motor car", "sonnet rhyme verse poem stanza"]
     rows = [("doc", f"c{i:02d}", " ".join(random.Random(i).choices(topics[i % 3].split(), k=30))) for i in range(36)] + [("tiny", "t1", "one"), ("tiny", "t2", "two")]
-    built = tree.build_tree(spark.createDataFrame(rows, "document_id string, chunk_id string, text string"), str(tmp_path)).cache()
-    level1 = built.where("level = 1").collect()
-    assert {len({int(c[1:]) % 3 for c in r.child_chunk_ids}) for r in level1} == {1} and len(level1) >= 3
-    assert {c for r in level1 for c in r.child_chunk_ids} == {f"c{i:02d}" for i in range(36)}
-    assert all(len(r.text) <= providers.SUMMARY_CHARS for r in level1) and built.where("document_id = 'tiny'").count() == 2
+    built = tree.build_tree(spark.createDataFrame(rows, "document_id string, chunk_id string, text string"), str(tmp_path))
+    level1, children = built.nodes.where("level = 1").collect(), {}
+    for e in built.edges.collect():
+        children.setdefault(e.parent, []).append(e.child)
+    assert {len({int(c[1:]) % 3 for c in children[r.chunk_id]}) for r in level1} == {1} and len(level1) >= 3
+    assert {c for r in level1 for c in children[r.chunk_id]} == {f"c{i:02d}" for i in range(36)} and all(r.n_children == len(children[r.chunk_id]) for r in level1)
+    assert all(len(r.text) <= providers.SUMMARY_CHARS for r in level1) and built.nodes.where("document_id = 'tiny'").count() == 2
     shown = {r.document_id: r.text for r in tree.render_mermaid(built).collect()}
-    assert shown["doc"].startswith("graph TD") and shown["doc"].count(" --> ") == tree.tree_edges(built).count()
+    assert shown["doc"].startswith("graph TD") and shown["doc"].count(" --> ") == built.edges.count()
     assert tree.render_dot(built).count() == 2
 
 

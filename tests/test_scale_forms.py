@@ -73,7 +73,7 @@ def test_numbered_questions_and_windows(spark):
 def test_trees_are_reused_by_fingerprint(spark, tmp_path):
     rows = [(f"d{i % 2}", f"c{i:03}", f"text {i} of many words {i % 5}") for i in range(24)]
     df = lambda r: spark.createDataFrame(r, "document_id string, chunk_id string, text string")
-    nodes = lambda t: sorted((r.document_id, r.chunk_id) for r in t.collect())
+    nodes = lambda t: sorted((r.document_id, r.chunk_id) for r in t.nodes.collect())
     built = []
 
     def embed(texts, column):
@@ -89,7 +89,7 @@ def test_trees_are_reused_by_fingerprint(spark, tmp_path):
     again = nodes(tree.cached_tree(df(changed), folder, embed))
     assert built[0] == ["d1"] and [x for x in again if x[0] == "d0"] == [x for x in first if x[0] == "d0"]
     assert tree.read_manifest(spark, folder).count() == 3 and nodes(tree.newest_trees(spark, folder)) == again
-    assert tree.cached_tree(df(rows).limit(0), str(tmp_path / "none")).count() == 0
+    assert tree.cached_tree(df(rows).limit(0), str(tmp_path / "none")).nodes.count() == 0
 
 
 def test_streams_order_a_key_across_arrow_batches(spark, tmp_path):
