@@ -183,6 +183,31 @@ def bm25_topk(spark, sf_dir):
     return search.bm25_topk(chunks(spark, sf_dir), questions(spark, sf_dir), 10).withColumn("score", F.round("score", 6))
 
 
+@register(ORACLE_SQL["bm25_topk"])
+def bm25_topk_saved(spark, sf_dir):
+    """bm25_topk() from an index that is written and loaded again."""
+    folder = shared_folder(spark, "index")
+    index.save_index(folder, chunks(spark, sf_dir))
+    return search.bm25_topk_indexed(index.load_index(spark, folder), questions(spark, sf_dir), 10).withColumn("score", F.round("score", 6))
+
+
+@register(
+    f"""WITH {CHUNKS}, {BM25_BASE}, {bm25_cte("hits", 10**9)}, kept AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM hits JOIN chunks USING (chunk_id) WHERE node_type = 'raw')
+    SELECT query_id, chunk_id, round(score, 6) AS score, rank::INT AS rank FROM kept WHERE rank <= 10"""
+)
+def bm25_topk_raw(spark, sf_dir):
+    """The ten best raw chunks: the kind is chosen before the cut."""
+    return search.bm25_topk(chunks(spark, sf_dir), questions(spark, sf_dir), 10, kinds=["raw"]).withColumn("score", F.round("score", 6))
+
+
+@register(f"WITH {BM25_BASE}, {bm25_cte('hits', 10)} SELECT query_id, chunk_id, rank::INT AS rank, round(score, 6) AS score, left(text, 200) AS preview FROM hits JOIN documents ON doc_id = chunk_id WHERE rank <= 5")
+def trace_summaries(spark, sf_dir):
+    """What a trace shows of each question's first five hits."""
+    held = chunks(spark, sf_dir)
+    hits = search.bm25_topk(held, questions(spark, sf_dir), 10).join(held.select("chunk_id", "text"), "chunk_id")
+    return answers.trace_summary(hits, 5).withColumn("score", F.round("score", 6))
+
+
 @register(
     """WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, 1 / (1 + list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) ** 2))) AS score
       FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0)
@@ -446,6 +471,27 @@ def query_routes(spark, sf_dir):
     return turns(spark, sf_dir).select("conv_id", "turn", Q.route(F.col("query")).alias("route"))
 
 
+def _plans_sql() -> str:
+    capital = r"regexp_matches(coalesce(text, ''), '(^|[^\p{L}\p{M}\p{N}_])[A-Z][a-zA-Z0-9_]+($|[^\p{L}\p{M}\p{N}_])')"
+    add = lambda test, x: f"CASE WHEN {test} THEN {x} ELSE 0 END"
+    bm25 = f"1 + {add('lexical', 0.25)} + {add('is_comparative', 0.1)} + {add('has_negation', 0.2)} + {add(chr(39).join(('route = ', 'bm25', '')), 0.35)}"
+    dense = f"1 + {add('is_semantic', 0.2)} + {add('is_comparative', 0.1)} + {add('has_negation', 0.05)} + {add(chr(39).join(('route = ', 'dense', '')), 0.35)}"
+    return f"""WITH j AS (SELECT *, has_numbers OR has_quotes OR has_code_tokens OR {capital} AS lexical, word_count >= 12 AS long FROM ({ORACLE_SQL["query_features"]}) JOIN ({ORACLE_SQL["query_routes"]}) USING (conv_id, turn)
+      JOIN ({ORACLE_SQL["complexity_classes"]}) USING (conv_id, turn) JOIN conversations USING (conv_id, turn))
+    SELECT conv_id, turn, route, round({bm25}, 6)::DOUBLE AS bm25_weight, round({dense}, 6)::DOUBLE AS dense_weight, 20 AS bm25_budget, CASE WHEN route IN ('bm25', 'dense') THEN 10 ELSE 20 END AS dense_budget,
+      CASE complexity WHEN 'global' THEN true WHEN 'multi_hop' THEN NOT (route = 'bm25' AND NOT (has_negation OR is_comparative)) AND (long OR is_comparative OR (has_negation AND NOT is_semantic)) ELSE route <> 'bm25' AND (long OR is_comparative) END AS summaries FROM j"""
+
+
+@register(_plans_sql())
+def retrieval_plans(spark, sf_dir):
+    """Each turn's route, with its lists' weights and budgets for five hits, and whether summaries join in."""
+    q = F.col("query")
+    told = turns(spark, sf_dir).select("conv_id", "turn", Q.features(q).alias("f"), Q.route(q).alias("route"), Q.complexity(q).alias("how"))
+    told = told.select("conv_id", "turn", "route", Q.arm_weights(F.col("route"), F.col("f")).alias("w"), Q.budgets(F.col("route"), 5).alias("b"), Q.wants_summaries(F.col("route"), F.col("f"), F.col("how")).alias("summaries"))
+    weights = [F.round(f"w.{x}", 6).alias(f"{x}_weight") for x in ("bm25", "dense")]
+    return told.select("conv_id", "turn", "route", *weights, F.col("b.bm25").alias("bm25_budget"), F.col("b.dense").alias("dense_budget"), "summaries")
+
+
 @register(
     f"WITH {TURNS}, f AS (SELECT conv_id, turn, CASE "
     + " ".join(f"WHEN regexp_matches(lower(q), {q(p)}) THEN struct_pack(f := '{name}', c := {1.0 if len(p) > 6 else 0.8})" for name, ps in display.FORMATS.items() for p in ps)
@@ -543,12 +589,23 @@ def last_turns(spark, sf_dir):
     return conversation.last_turns(table(spark, sf_dir, "conversations")).select("conv_id", "turn", F.md5("history").alias("history"))
 
 
-@register(
-    f"""WITH RECURSIVE r AS MATERIALIZED (SELECT event_id AS request_id, user_id::VARCHAR AS key, epoch_us(ts) / 1e6 AS timestamp, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+KEPT = f"""WITH RECURSIVE r AS MATERIALIZED (SELECT event_id AS request_id, user_id::VARCHAR AS key, epoch_us(ts) / 1e6 AS timestamp, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
     f AS (SELECT *, false AS hit, timestamp AS written FROM r WHERE rn = 1 UNION ALL
-      SELECT r.*, r.timestamp - f.written <= {conversation.KEPT_FOR}, CASE WHEN r.timestamp - f.written <= {conversation.KEPT_FOR} THEN f.written ELSE r.timestamp END FROM f JOIN r ON r.key = f.key AND r.rn = f.rn + 1)
-    SELECT request_id, key, 0::BIGINT AS generation, timestamp, hit FROM f"""
+      SELECT r.*, r.timestamp - f.written <= {conversation.KEPT_FOR}, CASE WHEN r.timestamp - f.written <= {conversation.KEPT_FOR} THEN f.written ELSE r.timestamp END FROM f JOIN r ON r.key = f.key AND r.rn = f.rn + 1)"""
+
+
+@register(
+    """WITH s AS (SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN CASE turn % 5 WHEN 1 THEN 'comparison' WHEN 2 THEN 'pros_cons' WHEN 3 THEN 'recommend' END END AS shown FROM conversations)
+    SELECT conv_id, turn, last_value(shown IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior_format FROM s"""
 )
+def prior_formats(spark, sf_dir):
+    """The last structured answer before each turn; how a turn was shown goes by its number."""
+    kinds = F.create_map(*(F.lit(x) for x in (0, "prose", 1, "comparison_table", 2, "pros_cons_table", 3, "recommend_card", 4, "step_list")))
+    told = turns(spark, sf_dir).withColumn("display_type", kinds[(F.col("turn") % 5).cast("int")])
+    return conversation.prior_comparison(told).select("conv_id", "turn", "prior_format")
+
+
+@register(f"{KEPT} SELECT request_id, key, 0::BIGINT AS generation, timestamp, hit FROM f")
 def kept_answers(spark, sf_dir):
     """Which events an answer kept for their user would have served."""
     rows = executions(spark, sf_dir).join(table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), "user_id"), "seq")
@@ -835,6 +892,28 @@ def stream_hourly(spark, sf_dir):
     return out.withColumn("hour", F.col("hour").cast("timestamp_ntz"))
 
 
+def _requests(spark, sf_dir):
+    """The events as a stream of requests of their users."""
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque*")
+    return events.select(F.col("event_id").alias("request_id"), F.col("user_id").cast("string").alias("key"), F.lit(0).cast("long").alias("generation"), F.col("ts").cast("timestamp").alias("ts"), F.floor("value").alias("tokens"))
+
+
+@register(f"{KEPT} SELECT request_id, key, 0::BIGINT AS generation, hit FROM f")
+def stream_kept_answers(spark, sf_dir):
+    """kept_answers() as a stream."""
+    return live.run_available(live.kept_answers(_requests(spark, sf_dir).drop("tokens")), shared_folder(spark, "kept"))
+
+
+@register(
+    """WITH w AS (SELECT user_id::VARCHAR AS key, make_timestamp((floor(epoch_us(ts) / 1e7)::BIGINT - unnest(range(0, 6))) * 10000000) AS start, floor(value)::BIGINT AS tokens FROM events)
+    SELECT key, start, count(*) AS requests, sum(tokens)::BIGINT AS tokens FROM w GROUP BY ALL"""
+)
+def stream_sliding_load(spark, sf_dir):
+    """Requests and tokens of each user in the minute from each tenth second, as a stream."""
+    out = live.run_available(live.sliding_load(_requests(spark, sf_dir)), shared_folder(spark, "load"), "complete")
+    return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
 @register(TOPIC_SQL)
 def stream_topics(spark, sf_dir):
     """Topics of the conversations as a stream."""
