@@ -167,11 +167,12 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sides.mapInArrow(_overlap_batches(percent), "a long, b long").distinct()
 
 
-def _unresolved(members: DataFrame, component: DataFrame) -> DataFrame:
+def _unresolved(members: DataFrame, component: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) of the classes in buckets that hold several components. Buckets of two are compared by their star."""
     rows = members.where("size > 2").select("key", "node").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    return rows.join(mixed.select("key"), "key").select("node", "component").distinct()
+    mixed = scratch.save(mixed.select("key"), "mixed")  # as for common below
+    return rows.join(mixed, "key").select("node", "component").distinct()
 
 
 def _prefixes(held: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
@@ -240,7 +241,7 @@ def _dense_links(dense: DataFrame, sets: DataFrame, scratch: Scratch, percent: i
 
 def _other_links(members: DataFrame, component: DataFrame, sets: DataFrame, tested: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """(a, b): all links between other components of one bucket, by an exact prefix join."""
-    unresolved = scratch.save(_unresolved(members, component), "unresolved")
+    unresolved = scratch.save(_unresolved(members, component, scratch), "unresolved")
     held = scratch.save(sets.join(unresolved, "node").select("node", "component", "n", "shingles"), "held")
     first = scratch.save(_prefixes(held, scratch, percent), "prefixes")
     light = first.where(f"sharers <= {LIGHT}")
