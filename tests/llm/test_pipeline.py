@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline as P
 from passagework.llm.byte_bpe import decode
 from passagework.llm.minhash_dedup import near_duplicates
-from passagework.llm.toxicity import fit_toxicity, toxicity_scores
+from passagework.llm.toxicity import drop_toxic, fit_toxicity, toxicity_scores
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -44,6 +44,28 @@ def test_stages_take_effect(spark, tmp_path):
     assert {r.doc_id: list(r.ids) for r in P.run(spark, str(tmp_path)).collect()} == {r.doc_id: list(r.ids) for r in docs.collect()}
 
 
+def test_odd_rows_of_each_stage(spark, tmp_path):
+    """Null ids, repeated rows, several texts of one id, very long texts: each row has the fate of its own text."""
+    given = _tables(spark, str(tmp_path))
+    text = lambda i: given[i]
+    leak, toxic, long = given[202], given[103], " ".join(f"long{i % 9001}" for i in range(60_000)) + " password=hunter22"
+    rows = [(None, leak), (None, toxic), (None, text(1)), (7, text(1)), (7, text(1)), (7, text(2)), (8, leak), (8, text(4)), (9, long), (10, long), (11, None), (11, None), (12, toxic), (12, text(5)), (13, "token=abcdefg"), (13, "token=abcdefg")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want = [
+        [r for r in rows if r[1] != toxic],
+        [(None, leak), (None, text(1)), (7, text(1)), (7, text(2)), (8, leak), (8, text(4)), (9, long), (11, None), (11, None), (12, text(5)), (13, "token=abcdefg")],
+        [(None, text(1)), (7, text(1)), (7, text(2)), (8, text(4)), (9, long), (11, None), (11, None), (12, text(5)), (13, "token=abcdefg")],
+    ]
+    want.append([(d, t and t.replace("password=hunter22", "[secret]").replace("token=abcdefg", "[secret]")) for d, t in want[-1]])
+    for (name, stage), rows_left in zip(P.STAGES, want, strict=False):
+        before = docs
+        docs = stage(spark, docs, str(tmp_path)) if name != "toxicity" else drop_toxic(docs, fit_toxicity(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet")))
+        docs = spark.createDataFrame(docs.collect(), before.schema)
+        assert sorted(((r.doc_id, r.text) for r in docs.collect()), key=repr) == sorted(rows_left, key=repr), name
+    last = P.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert last.count() == len(want[-1]) and last.where("not exact").count() == 0
+
+
 def test_empty_tables(spark, tmp_path):
     _tables(spark, str(tmp_path))
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0)
