@@ -167,12 +167,11 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sides.mapInArrow(_overlap_batches(percent), "a long, b long").distinct()
 
 
-def _unresolved(members: DataFrame, component: DataFrame, scratch: Scratch) -> DataFrame:
+def _unresolved(members: DataFrame, component: DataFrame) -> DataFrame:
     """(node, component) of the classes in buckets that hold several components. Buckets of two are compared by their star."""
     rows = members.where("size > 2").select("key", "node").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    mixed = scratch.save(mixed.select("key"), "mixed")  # as for common below
-    return rows.join(mixed, "key").select("node", "component").distinct()
+    return rows.join(mixed.select("key"), "key").select("node", "component").distinct()
 
 
 def _prefixes(held: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
@@ -184,12 +183,11 @@ def _prefixes(held: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """
     rows = held.select("node", "component", "n", F.explode("shingles").alias("shingle"))
     common = rows.groupBy("shingle").agg(F.count("*").alias("df"), (F.min("component") < F.max("component")).alias("mixed")).where("df > 1")
-    common = scratch.save(common, "common")  # so that the join below is of two plain exchanges, which a skewed join splits
     of_set = Window.partitionBy("node")
     ranks = rows.join(common, "shingle").withColumn("rank", F.dense_rank().over(of_set.orderBy("df", "shingle"))).withColumn("last", F.max("rank").over(of_set))
     first = ranks.where(F.expr(f"mixed and n - last + rank <= n - ({percent} * n + 99) div 100 + 1")).select("shingle", "node", "component", "n").distinct()
     first = scratch.save(first, "first")
-    return first.join(scratch.save(first.groupBy("shingle").agg(F.count("*").alias("sharers")).where("sharers > 1"), "sharers"), "shingle")
+    return first.join(first.groupBy("shingle").agg(F.count("*").alias("sharers")).where("sharers > 1"), "shingle")
 
 
 def _block_links(percent: int) -> Callable:
@@ -241,7 +239,7 @@ def _dense_links(dense: DataFrame, sets: DataFrame, scratch: Scratch, percent: i
 
 def _other_links(members: DataFrame, component: DataFrame, sets: DataFrame, tested: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """(a, b): all links between other components of one bucket, by an exact prefix join."""
-    unresolved = scratch.save(_unresolved(members, component, scratch), "unresolved")
+    unresolved = scratch.save(_unresolved(members, component), "unresolved")
     held = scratch.save(sets.join(unresolved, "node").select("node", "component", "n", "shingles"), "held")
     first = scratch.save(_prefixes(held, scratch, percent), "prefixes")
     light = first.where(f"sharers <= {LIGHT}")
