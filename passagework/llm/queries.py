@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from passagework.llm import byte_bpe, decontaminate, embedding_dedup, license_scan, quality, secret_scan, token_counts, toxicity, url_filter
+from passagework.llm import byte_bpe, corpus_queries, decontaminate, embedding_dedup, license_scan, quality, secret_scan, token_counts, toxicity, url_filter
 from passagework.llm.minhash_dedup import near_duplicates
 from passagework.llm.scratch import Scratch
 from passagework.plans.tables import texts
@@ -66,7 +66,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.document_token_counts(files).join(documents, ["file", "doc_no"]).select("doc_id", "n_tokens")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_dedup, op2_decontaminate, op3_license_scan, op4_url_filter, op5_byte_bpe, op6_secret_scan, op7_quality, op8_embedding_dedup, op9_toxicity, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_dedup, op2_decontaminate, op3_license_scan, op4_url_filter, op5_byte_bpe, op6_secret_scan, op7_quality, op8_embedding_dedup, op9_toxicity, op10_token_counts)} | corpus_queries.QUERIES
 
 def _secret_sql() -> str:
     kinds = [*secret_scan.BASE_KINDS, ("entropy", secret_scan.CANDIDATE.replace("(?<![A-Za-z0-9+/_-])", ""), 0, 20)]
@@ -196,4 +196,4 @@ FROM v LEFT JOIN (SELECT x AS vec_id, count(*) AS n FROM linked GROUP BY x) USIN
 JOIN (SELECT x AS vec_id, min(y) AS component_id FROM reach GROUP BY x) USING (vec_id)
 JOIN (SELECT vec_id, CASE WHEN sound THEN min(vec_id) OVER (PARTITION BY sound, label, e) ELSE vec_id END AS class_id FROM v) USING (vec_id)
 """,
-}
+} | corpus_queries.ORACLE_SQL

@@ -12,6 +12,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 #: Bytes that separate words: white space only, or everything in ASCII but digits and lower-case letters.
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
@@ -142,3 +143,50 @@ def lists(values: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
     """An Arrow list column; uint64 hashes become long."""
     values = values.view(np.int64) if values.dtype == np.uint64 else values
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))
+
+
+def slices(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.StringArray:
+    """The words at some byte places, A-Z lower-cased."""
+    bounds = np.concatenate([[0], np.cumsum(end - start)])
+    out = data[np.repeat(start - bounds[:-1], end - start) + np.arange(bounds[-1])]
+    out = np.where((out >= 65) & (out <= 90), out + 32, out).astype(np.uint8)
+    return pa.StringArray.from_buffers(len(start), pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(out.tobytes()))
+
+
+#: Bytes of a filter that lets all of some keys pass, whatever their number, and some others; its rows.
+FILTER_BYTES, FILTER_ROWS = 1 << 23, 1 << 10
+
+
+def _places(keys: np.ndarray) -> np.ndarray:
+    return (keys % np.uint64(FILTER_BYTES * 8)).astype(np.int64)
+
+
+def _bit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, bits) of the rows of the filter that a task's keys touch."""
+    bits = np.zeros(FILTER_BYTES * 8, dtype=bool)
+    for batch in batches:
+        bits[_places(batch.column(0).to_numpy().view(np.uint64))] = True
+    table = np.packbits(bits).reshape(FILTER_ROWS, -1)
+    touched = np.flatnonzero(table.any(axis=1))
+    yield pa.RecordBatch.from_arrays([pa.array(touched), pa.array([table[i].tobytes() for i in touched], pa.binary())], names=["row", "bits"])
+
+
+def _either(rows: pa.Table) -> pa.Table:
+    out = np.zeros(FILTER_BYTES // FILTER_ROWS, dtype=np.uint8)
+    for value in rows.column("bits"):
+        out |= np.frombuffer(value.as_py(), np.uint8)
+    return pa.table({"row": rows.column("row").slice(0, 1), "bits": pa.array([out.tobytes()], pa.binary())})
+
+
+def bit_filter(keys: DataFrame) -> np.ndarray:
+    """FILTER_BYTES bytes with a bit set at the place of each key (a column of longs). It grows no larger with more keys, but lets more others pass."""
+    rows = keys.mapInArrow(_bit_batches, "row long, bits binary").groupBy("row").applyInArrow(_either, "row long, bits binary").collect()
+    table = np.zeros((FILTER_ROWS, FILTER_BYTES // FILTER_ROWS), dtype=np.uint8)
+    for row in rows:
+        table[row["row"]] = np.frombuffer(row["bits"], np.uint8)
+    return table.ravel()
+
+
+def passes(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    place = _places(keys)
+    return (table[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 > 0
