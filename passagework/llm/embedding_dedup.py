@@ -76,6 +76,11 @@ def _rows(lists: pa.Array) -> np.ndarray:
     return flat.reshape(n, -1) if n else np.zeros((0, 1))
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two, so that their largest components are about 1: squares neither vanish nor overflow, and directions stay."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0))[1][:, None])
+
+
 def _by_length(lists: pa.Array) -> Iterator[np.ndarray]:
     sizes = np.diff(np.asarray(lists.offsets))
     for size in np.unique(sizes):
@@ -89,7 +94,7 @@ def _key_batches(tables: int, probes: int, scale: float) -> Callable:
                 batch = whole.slice(i, 1024)
                 for rows in _by_length(batch.column(1)):
                     part = batch.take(pa.array(rows))
-                    x = _rows(part.column(1))
+                    x = _scaled(_rows(part.column(1)))
                     own, probed = lattice_keys(x / np.linalg.norm(x, axis=1, keepdims=True), tables, probes, scale)
                     columns = [pa.ListArray.from_arrays(pa.array(np.arange(len(k) + 1, dtype=np.int32) * k.shape[1]), pa.array(k.ravel())) for k in (own, probed)]
                     yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["rep", "own", "probed"])
@@ -103,7 +108,7 @@ def _cosine_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             batch = whole.slice(i, 4096)
             for rows in _by_length(batch.column(2)):
                 part = batch.take(pa.array(rows))
-                x, y = _rows(part.column(2)), _rows(part.column(3))
+                x, y = _scaled(_rows(part.column(2))), _scaled(_rows(part.column(3)))
                 cosine = np.einsum("ij,ij->i", x, y) / (np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("ij,ij->i", y, y)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cosine)], names=["a", "b", "cosine"])
 
@@ -118,7 +123,7 @@ def near_vectors(
     one cell, or in a cell next to the other's, in any of ``tables`` tables are compared in full.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and rows of a null label, link with
-    nothing. A null id: the same, with component_id and class_id null and kept true. Repeated rows count as rows of
+    nothing. Very small and very large components count by their ratios. A null id: the same, with component_id and class_id null and kept true. Repeated rows count as rows of
     their own. An empty table gives no rows; other columns are ignored.
 
     n_links needs every linked pair of classes: a dense group of unequal vectors costs its number of links, no more.
@@ -137,7 +142,7 @@ def near_vectors(
     met = prober.join(resident, ["label", "key"]).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     sides = met.join(classes.select(F.col("rep").alias("a"), F.col("vector").alias("x")), "a")
     sides = sides.join(classes.select(F.col("rep").alias("b"), F.col("vector").alias("y")), "b").where("size(x) = size(y)").select("a", "b", "x", "y")
-    links = scratch.save(sides.mapInArrow(_cosine_batches, "a long, b long, cosine double").where(F.col("cosine") >= cosine).select("a", "b"), "links")
+    links = scratch.save(sides.mapInArrow(_cosine_batches, "a long, b long, cosine double").where((F.col("cosine") >= cosine) & ~F.isnan("cosine")).select("a", "b"), "links")
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = both.join(classes.select(F.col("rep").alias("b"), "copies"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("copies").alias("others"))
     component = components(links, scratch).withColumnRenamed("node", "rep")

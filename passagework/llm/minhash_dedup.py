@@ -90,15 +90,15 @@ def signatures(texts: DataFrame, shingle: int, bins: int, bands: int, separators
 
 
 def _classes(signed: DataFrame, scratch: Scratch) -> DataFrame:
-    """(n_shingles, print_a, print_b, doc, bands, node): the distinct sets, with the smallest id that has one.
+    """(n_shingles, print_a, print_b, doc, text_hash, bands, node): the distinct sets, with the smallest id that has one and a text of it.
 
     node is that id, or a hash where one id has several sets.
     """
     same = ["n_shingles", "print_a", "print_b"]
-    classes = scratch.save(signed.where("n_shingles > 0 and id is not null").groupBy(*same).agg(F.min("id").alias("doc"), F.first("bands").alias("bands")), "sets")
+    classes = scratch.save(signed.where("n_shingles > 0 and id is not null").groupBy(*same).agg(F.min(F.struct("id", "text_hash")).alias("least"), F.first("bands").alias("bands")).select(*same, F.col("least.id").alias("doc"), "least.text_hash", "bands"), "sets")
     several = classes.groupBy("doc").agg(F.count("*").alias("sets")).where("sets > 1").select("doc", F.lit(True).alias("several"))
     node = F.when(F.col("several"), F.xxhash64("doc", "print_a", "print_b")).otherwise(F.col("doc"))
-    return scratch.save(classes.join(several, "doc", "left").select(*same, "doc", "bands", node.alias("node")), "classes")
+    return scratch.save(classes.join(several, "doc", "left").select(*same, "doc", "text_hash", "bands", node.alias("node")), "classes")
 
 
 def _members(classes: DataFrame, scratch: Scratch) -> DataFrame:
@@ -120,9 +120,10 @@ def _set_batches(shingle: int, separators: bytes) -> Callable:
 
 
 def _sets(members: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, separators: bytes) -> DataFrame:
-    """(node, n, shingles) of the classes that meet others: their sets, sorted. Repeated rows of a class give equal rows."""
-    wanted = classes.join(members.select("node").distinct(), "node").select(F.col("doc").alias("id"), "node", "print_a")
-    return texts.join(wanted, "id").select("node", "print_a", "text").mapInArrow(_set_batches(shingle, separators), "node long, n long, shingles array<long>")
+    """(node, n, shingles) of the classes that meet others: their sets, sorted, each once however many rows have its text."""
+    wanted = classes.join(members.select("node").distinct(), "node").select(F.col("doc").alias("id"), "text_hash", "node", "print_a")
+    one = texts.join(wanted, ["id", "text_hash"]).dropDuplicates(["id", "text_hash"])
+    return one.select("node", "print_a", "text").mapInArrow(_set_batches(shingle, separators), "node long, n long, shingles array<long>")
 
 
 def _star_pairs(members: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
@@ -267,14 +268,14 @@ def _linked(classes: DataFrame, texts: DataFrame, scratch: Scratch, shingle: int
 def _resolved(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, bins: int, bands: int, separators: bytes) -> DataFrame:
     """near_duplicates() with a hash of each row's text."""
     scratch = Scratch(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = scratch.save(signatures(texts.select("id", F.xxhash64("text").alias("text_hash"), "text"), shingle, bins, bands, separators), "signed")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    signed = scratch.save(signatures(texts, shingle, bins, bands, separators), "signed")
     same = ["n_shingles", "print_a", "print_b"]
     classes = _classes(signed, scratch)
     component = _linked(classes, texts, scratch, shingle, percent, separators)
     linked = classes.select("node", "doc").join(component, "node")
     smallest = linked.groupBy("component").agg(F.min("doc").alias("least"))
-    of_class = classes.drop("bands").join(linked.join(smallest, "component").select("node", "least"), "node", "left")
+    of_class = classes.drop("bands", "text_hash").join(linked.join(smallest, "component").select("node", "least"), "node", "left")
     of_class = of_class.select(*same, F.col("doc").alias("class_id"), F.coalesce("least", "doc").alias("component_id"))
     out = signed.drop("bands").join(of_class, same, "left").select(
         F.col("id").alias("doc_id"), "text_hash", "n_shingles", *(F.expr(f"if(id is null, null, coalesce({x}, id))").alias(x) for x in ("component_id", "class_id"))

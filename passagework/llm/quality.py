@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from passagework.llm.scratch import Scratch
-from passagework.llm.toxicity import labelled_sample
+from passagework.llm.toxicity import labelled_sample, labelled_texts
 from passagework.llm.words import SPACES, Words, distinct_by_text, text_chunks
 
 #: What a text's features measure, in order.
@@ -85,7 +85,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     The classes count by their shares among all labels. None without labelled documents of both kinds.
     """
     sample = labelled_sample(labels, rows_per_class, id_col, label_col)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label")
+    texts = labelled_texts(docs, sample, id_col, text_col)
     rows = texts.mapInArrow(_feature_batches, "doc_id long, x array<double>, label int").orderBy("doc_id").collect()  # bounded by the sample
     shares = {r["label"]: r["n"] for r in labels.where(f"{label_col} in (0, 1)").groupBy(F.col(label_col).cast("int").alias("label")).agg(F.count("*").alias("n")).collect()}
     y = np.array([r["label"] for r in rows], dtype=float)

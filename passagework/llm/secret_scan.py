@@ -112,7 +112,7 @@ def _entropy_spans(candidates: str, base: str, window: int) -> Column:
 
 
 def secret_spans(docs: DataFrame, text_col: str = "text", window: int = 20, base_col: str = "base_spans", extra_col: str = "extra_spans") -> DataFrame:
-    """``docs`` and two arrays of spans (start, kind, end, value), each sorted; columns of those names are replaced.
+    """``docs`` and two arrays of spans (start, kind, end, value), each sorted; columns of those names, in any case of letters, are replaced.
 
     Kinds 0 to 2 are BASE_KINDS, 3 is entropy. Places are code points, the end exclusive. A null text counts as empty
     and has no spans; nulls elsewhere, repeated rows and other columns stay; an empty table gives no rows. Each row
@@ -122,7 +122,7 @@ def secret_spans(docs: DataFrame, text_col: str = "text", window: int = 20, base
     own = "_s"
     while any(c.lower().startswith(own) for c in docs.columns):
         own += "_"
-    kept = [c for c in docs.columns if c not in (base_col, extra_col)]
+    kept = [c for c in docs.columns if c.lower() not in (base_col.lower(), extra_col.lower())]
     text, base, candidates = f"{own}text", f"{own}base", f"{own}candidates"
     rows = docs.select(*(F.col(f"`{c}`") for c in kept), F.coalesce(F.col(text_col), F.lit("")).alias(text))
     kinds = [_found(text, i, pattern, group, least).alias(f"{own}{name}") for i, (name, pattern, group, least) in enumerate(BASE_KINDS)]
@@ -146,11 +146,12 @@ def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
     """``docs`` with each span of the text replaced by ``mark``; spans that overlap become one mark.
 
-    A null text stays null; all other columns stay. The kept parts are cut from pieces of the text, so that the work grows
+    The text's column is found whatever the case of its name. A null text stays null; all other columns stay. The kept parts are cut from pieces of the text, so that the work grows
     with the text, not with its length times its spans.
     """
+    text_col = text_col if text_col in docs.columns else next((c for c in docs.columns if c.lower() == text_col.lower()), text_col)
     base, extra = "_base_spans", "_extra_spans"
-    while {base, extra} & set(docs.columns):
+    while {base, extra} & {c.lower() for c in docs.columns}:
         base, extra = f"_{base}", f"_{extra}"
     found = secret_spans(docs, text_col, base_col=base, extra_col=extra)
     # each mark's gap before it: from the greatest end so far to a start that is not before it

@@ -107,6 +107,12 @@ def labelled_sample(labels: DataFrame, rows_per_class: int, id_col: str, label_c
     return parts[0].unionByName(parts[1])
 
 
+def labelled_texts(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text, label) of labelled_sample()'s rows: of several texts of one id the least, so that the sample bounds the rows."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id")
+    return rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
+
+
 def fit_toxicity(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows_per_class: int = 6000, n_features: int = 4096, grade_shares: tuple[float, ...] = (1 / 3, 2 / 3)
 ) -> OrdinalModel:
@@ -119,7 +125,7 @@ def fit_toxicity(
     """
     scratch = Scratch(docs.sparkSession)
     sample = labelled_sample(labels, rows_per_class, id_col, label_col)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label")
+    texts = labelled_texts(docs, sample, id_col, text_col)
     held = scratch.save(texts.mapInArrow(_feature_batches, "doc_id long, features array<long>, toxic int"), "features")
     totals = {r["toxic"]: r["n"] for r in held.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     shares = {r["label"]: r["n"] for r in labels.where(f"{label_col} in (0, 1)").groupBy(F.col(label_col).cast("int").alias("label")).agg(F.count("*").alias("n")).collect()}

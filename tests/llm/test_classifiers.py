@@ -140,3 +140,15 @@ def test_odd_rows(spark):
     for a, b in ((none, labels), (df, labels.limit(0))):
         assert toxicity_scores(a, fit_toxicity(a, b)).where("toxic").count() == 0
         assert quality_scores(a, fit_quality(a, b), F.col("host"), F.col("path")).count() == a.count()
+
+
+def test_repeated_rows_of_labelled_ids(spark):
+    """A sample of ids is a sample of rows: repeated rows, and larger texts of the same id, count for nothing."""
+    rows = [(i, ("vile hateful scum " if i % 2 else "mild kind words ") * (1 + i % 3)) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2, 1 - i % 2) for i, _ in rows], "doc_id long, toxic int, quality int")
+    once = spark.createDataFrame(rows, "doc_id long, text string")
+    often = spark.createDataFrame(rows + [r for r in rows for _ in range(1 + 3 * (r[0] % 2))] + [(i, "~" + t) for i, t in rows if i % 2], "doc_id long, text string")
+    one, two = (fit_toxicity(d, labels) for d in (once, often))
+    assert (one.features == two.features).all() and np.allclose(one.weights, two.weights) and np.allclose(one.cuts, two.cuts)
+    one, two = (fit_quality(d, labels) for d in (once, often))
+    assert np.allclose(one.weights, two.weights)

@@ -79,3 +79,10 @@ def test_recall_at_the_threshold(spark):
         rows += [(2 * i, [float(v) for v in x], 0), (2 * i + 1, [float(v) for v in y], 0)]
     found = near_vectors(spark.createDataFrame(rows, SCHEMA)).where("n_links > 0").count()
     assert found >= 0.999 * len(rows)
+
+
+def test_very_small_and_large_components(spark):
+    """Squares that vanish or overflow link nothing that their directions don't."""
+    rows = [(1, [1e-200, 0.0]), (2, [0.0, 1e-200]), (3, [1e-200, 1e-203]), (4, [1e200, 0.0]), (5, [0.0, 1e200]), (6, [1e308, 1e308]), (7, [1e-45, 0.0]), (8, [0.0, 5e-324])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_vectors(spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (3, 1), 3: (3, 1), 4: (3, 1), 7: (3, 1), 2: (2, 2), 5: (2, 2), 8: (2, 2), 6: (0, 6)}

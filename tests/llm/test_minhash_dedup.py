@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 
+from passagework.llm import minhash_dedup as M
 from passagework.llm.graph import components
 from passagework.llm.minhash_dedup import _band_keys, _bin_minima, _densify, drop_near_duplicates, near_duplicates
 from passagework.llm.scratch import Scratch
@@ -138,3 +139,17 @@ def test_components(spark):
     df = spark.createDataFrame(links, "a long, b long")
     found = {r.node: r.component for r in components(df, Scratch(spark)).collect()}
     assert found == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100, 200: 200, 201: 200}
+
+
+def test_repeated_rows_are_read_once(spark):
+    """Two near copies of many rows each: one set a class is compared, whatever its rows; several texts of one id keep their own."""
+    words = [f"w{i}" for i in range(200)]
+    one, two = " ".join(words), " ".join(words[:-3])
+    rows = [(1, one)] * 300 + [(2, two)] * 300 + [(3, " ".join(words[::-1]))] * 50 + [(3, one)] * 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    scratch = Scratch(spark)
+    texts = docs.selectExpr("doc_id as id", "xxhash64(text) as text_hash", "text")
+    classes = M._classes(scratch.save(M.signatures(texts, 5, 128, 32, M.SPACES), "signed"), scratch)
+    assert M._sets(M._members(classes, scratch), classes, texts, 5, M.SPACES).count() == 2
+    got = near_duplicates(docs).groupBy("doc_id", "component_id", "class_id").count().collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 1, 300), (2, 1, 2, 300), (3, 1, 1, 20), (3, 3, 3, 50)]

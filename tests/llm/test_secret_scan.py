@@ -86,3 +86,10 @@ def test_redaction_against_brute_force(spark):
 
 def test_empty_table(spark):
     assert secret_report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_names_in_other_cases(spark):
+    """A further column named like an inner one is kept; a text column is masked whatever the case of its name."""
+    df = spark.createDataFrame([(1, "password=hunter22", "x", "y")], "doc_id long, TEXT string, _BASE_SPANS string, Extra_Spans string")
+    assert redact_secrets(df).collect()[0].asDict() == {"doc_id": 1, "TEXT": "[secret]", "_BASE_SPANS": "x", "Extra_Spans": "y"}
+    assert redact_secrets(df).columns == df.columns
