@@ -123,7 +123,7 @@ def _unit_batches(query: np.ndarray, unit: np.ndarray, vectors: np.ndarray) -> C
     return run
 
 
-def _in_parts(queries: DataFrame, by: list[str], search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def in_parts(queries: DataFrame, by: list[str], search: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``search`` of hash parts of about MOST_QUERIES rows, each written to the shared folder; a small batch is one part."""
     parts = -(-queries.count() // MOST_QUERIES)
     if parts <= 1:
@@ -154,7 +154,7 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame
         near = vectors.where("vector is not null").select(F.col("chunk_id").cast("long"), "vector").mapInArrow(_nearest_batches(ids, matrix, k), "query_id long, chunk_id long, score double")
         return ranked(near, k, F.desc(F.round("score", 9)), F.asc("chunk_id")).select("query_id", "chunk_id", "score", "rank")
 
-    return _in_parts(queries.where("vector is not null").select("query_id", "vector"), ["query_id"], search)
+    return in_parts(queries.where("vector is not null").select("query_id", "vector"), ["query_id"], search)
 
 
 def maxsim_topk(doc_units: DataFrame, query_units: DataFrame, k: int = 10) -> DataFrame:
@@ -175,7 +175,7 @@ def maxsim_topk(doc_units: DataFrame, query_units: DataFrame, k: int = 10) -> Da
         best = met.groupBy("query_id", "doc_id", "unit").agg(F.max("s").alias("s"))
         return best.groupBy("query_id", "doc_id").agg(F.sum("s").alias("total"), F.count("s").alias("n"))
 
-    sums = _in_parts(query_units, ["query_id", "unit"], search).groupBy("query_id", "doc_id").agg((F.sum("total") / F.nullif(F.sum("n"), F.lit(0))).alias("score"))
+    sums = in_parts(query_units, ["query_id", "unit"], search).groupBy("query_id", "doc_id").agg((F.sum("total") / F.nullif(F.sum("n"), F.lit(0))).alias("score"))
     return ranked(sums, k, F.desc(F.round("score", 9)), F.asc("doc_id")).select("query_id", "doc_id", "score", "rank")
 
 
@@ -183,3 +183,52 @@ def filter_after_search(hits: DataFrame, kinds: list[str], k: int) -> DataFrame:
     """Hits of the wanted kinds among the first 3 * max(k, 8), cut to k and ranked anew. There may be fewer than k."""
     pool = hits.where(F.col("rank") <= 3 * max(k, 8)).where(F.col("node_type").isin(kinds))
     return ranked(pool.drop("rank"), k, F.desc(F.round("score", 9)), F.asc("chunk_id"))
+
+
+def _asked(index, queries: DataFrame) -> DataFrame:
+    return _weights(queries, index.terms())
+
+
+def block_plan(index, asked: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(query_id, segment, block, bound): no chunk of a block of a CorpusIndex can score more for the query. asked: (query_id, term, weight)."""
+    n, words = index.world
+    mean = max(words, 1) / max(n, 1)
+    best = F.expr(f"greatest(weight, 0) * most * ({k1} + 1) / (most + {k1} * (1 - {b} + {b} * shortest / {mean!r}D))")
+    return index.table("bounds").join(asked, "term").groupBy("query_id", "segment", "block").agg(F.sum(best).alias("bound"))
+
+
+def _scored_blocks(index, asked: DataFrame, blocks: DataFrame, k1: float, b: float, kinds: list[str] | None) -> DataFrame:
+    """(query_id, segment, row, chunk_id, score) of the chunks in each query's blocks (query_id, segment, block)."""
+    n, words = index.world
+    mean = max(words, 1) / max(n, 1)
+    postings = index.live("postings")
+    postings = postings.where(F.col("node_type").isin(kinds)) if kinds else postings
+    met = postings.join(blocks.join(asked, "query_id"), ["term", "segment", "block"])
+    part = F.expr(f"weight * tf * ({k1} + 1) / (tf + {k1} * (1 - {b} + {b} * length / {mean!r}D))")
+    return met.groupBy("query_id", "segment", "row", "chunk_id").agg(F.sum(part).alias("score"))
+
+
+def bm25_topk_blocks(index, queries: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, kinds: list[str] | None = None, report: list | None = None) -> DataFrame:
+    """bm25_topk() from a saved CorpusIndex: (query_id, chunk_id, score, rank).
+
+    Each block of a term's postings has its greatest frequency and least length, which bound what a chunk in it can
+    score. The blocks of the highest bounds are scored first; others only if their bound reaches the k-th score found
+    there. So a common word alone doesn't make chunks candidates. No text is read. ``report`` receives (pairs of queries
+    and blocks, those scored).
+    """
+    folder, spark = shared_folder(index.spark, "bm25"), index.spark
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    asked = kept(_asked(index, queries), "asked")
+    plan = kept(block_plan(index, asked, k1, b), "plan")
+    first = ranked(plan, max(2, -(-k // 8)), F.desc("bound"), F.asc("segment"), F.asc("block")).select("query_id", "segment", "block")
+    order = (F.desc(F.round("score", 9)), F.asc("chunk_id"))
+    score = kept(ranked(_scored_blocks(index, asked, first, k1, b, kinds), k, *order).where(f"rank = {k}").select("query_id", F.col("score").alias("least")), "least")
+    left = plan.join(score, "query_id", "left").where("bound >= coalesce(least, 0) - 1e-8").select("query_id", "segment", "block")
+    if report is not None:
+        left = kept(left, "left")
+        report.append((plan.count(), left.count()))
+    return ranked(_scored_blocks(index, asked, left, k1, b, kinds), k, *order).where("score > 0").select("query_id", "chunk_id", "score", "rank")

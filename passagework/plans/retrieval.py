@@ -2,31 +2,56 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from passagework.functions import queries as Q
 from passagework.functions.text import chunk_kind
 from passagework.operators import rank
-from passagework.operators.providers import Embedder, hash_embedder
-from passagework.operators.search import bm25_topk, dense_topk
+from passagework.operators.cells import dense_topk_cells
+from passagework.operators.corpus_index import CorpusIndex
+from passagework.operators.providers import Embedder, PairScorer, hash_embedder
+from passagework.operators.search import bm25_topk, bm25_topk_blocks, dense_topk
 from passagework.plans.shared import shared_folder
+from passagework.plans.watched import Watch
 
 PARENT_FLOOR = 0.0063
 
 
 @dataclass(frozen=True)
 class Corpus:
-    """chunks: chunk_id (long), document_id, parent_id, node_type, level, text; vectors: chunk_id, vector."""
+    """chunks: chunk_id (long), document_id, parent_id, node_type, level, text; vectors: chunk_id, vector.
+
+    score: a pair scorer of (query, text) for reranking; None: the share of common words. index: a saved generation that
+    the searches read instead of chunks and vectors. watch: runs each arm and the reranking as jobs of their own; an arm
+    that fails or is late gives an empty list, a failing reranking leaves the order of before, and the watch tells.
+    """
 
     chunks: DataFrame
     vectors: DataFrame
     embed: Embedder = hash_embedder
+    score: PairScorer | None = None
+    index: CorpusIndex | None = None
+    watch: Watch | None = None
+
+    @staticmethod
+    def saved(index: CorpusIndex, embed: Embedder = hash_embedder, score: PairScorer | None = None, watch: Watch | None = None) -> Corpus:
+        """The chunks and vectors of a generation, searched by its postings and cells."""
+        return Corpus(index.chunks, index.live("vectors").select("chunk_id", "vector"), embed, score, index, watch)
 
     def of(self, kinds: list[str]) -> Corpus:
         kept = self.chunks.where(F.col("node_type").isin(kinds))
-        return Corpus(kept, self.vectors.join(kept.select("chunk_id"), "chunk_id", "left_semi"), self.embed)
+        return replace(self, chunks=kept, vectors=self.vectors.join(kept.select("chunk_id"), "chunk_id", "left_semi"))
+
+    def lexical(self, asked: DataFrame, k: int, kinds: list[str] | None) -> DataFrame:
+        return bm25_topk_blocks(self.index, asked, k, kinds=kinds) if self.index else bm25_topk(self.chunks, asked, k, kinds=kinds)
+
+    def dense(self, asked: DataFrame, k: int, kinds: list[str] | None) -> DataFrame:
+        vectors = self.embed(asked.select("query_id", "query"), "query").select("query_id", "vector")
+        if self.index:
+            return dense_topk_cells(self.index, vectors, k, kinds)
+        return dense_topk((self.of(kinds) if kinds else self).vectors, vectors, k)
 
 
 def _kept(df: DataFrame, folder: str, name: str) -> DataFrame:
@@ -37,10 +62,22 @@ def _kept(df: DataFrame, folder: str, name: str) -> DataFrame:
 
 def _arms(corpus: Corpus, asked: DataFrame, bm25_k: int, dense_k: int, kinds: list[str] | None = None) -> DataFrame:
     """(query_id, list_id, rank, chunk_id): the lexical and the dense list of each row of (query_id, query). ``kinds`` restricts both before the cut."""
-    lexical = bm25_topk(corpus.chunks, asked, bm25_k, kinds=kinds).select("query_id", F.lit("a_bm25").alias("list_id"), "rank", "chunk_id")
-    vectors = corpus.embed(asked.select("query_id", "query"), "query").select("query_id", "vector")
-    dense = dense_topk((corpus.of(kinds) if kinds else corpus).vectors, vectors, dense_k).select("query_id", F.lit("b_dense").alias("list_id"), "rank", "chunk_id")
-    return lexical.unionByName(dense)
+    named = lambda df, name: df.select("query_id", F.lit(name).alias("list_id"), "rank", "chunk_id")
+    arms = {"a_bm25": lambda: named(corpus.lexical(asked, bm25_k, kinds), "a_bm25"), "b_dense": lambda: named(corpus.dense(asked, dense_k, kinds), "b_dense")}
+    if corpus.watch is None:
+        return arms["a_bm25"]().unionByName(arms["b_dense"]())
+    spark = asked.sparkSession
+    found = corpus.watch.run(spark, arms, lambda _: spark.createDataFrame([], f"query_id {dict(asked.dtypes)['query_id']}, list_id string, rank int, chunk_id long"))
+    return found["a_bm25"].unionByName(found["b_dense"])
+
+
+def _reranked(corpus: Corpus, hits: DataFrame, k: int, pool: int) -> DataFrame:
+    """rank.rerank() with the corpus' scorer; where that fails under a watch, the first k in the order of before, without scores."""
+    score = corpus.score(F.col("query"), F.col("text")) if corpus.score else None
+    if corpus.watch is None:
+        return rank.rerank(hits, k, score, pool)
+    order = lambda _: hits.where(F.col("rank") <= k).withColumn("rerank_score", F.lit(None).cast("double"))
+    return corpus.watch.run(hits.sparkSession, {"rerank": lambda: rank.rerank(hits, k, score, pool)}, order)["rerank"]
 
 
 def _with_text(corpus: Corpus, hits: DataFrame) -> DataFrame:
@@ -137,7 +174,7 @@ def retrieve_standard(corpus: Corpus, asked: DataFrame, k: int = 5) -> DataFrame
     weight = F.col("weights.dense") * rank.variant_weight(F.col("v")) * rank.SUMMARY_WEIGHT
     summaries = rank.weighted_rrf(named(summary_lists.withColumn("weight", weight)), floor=0.0).join(corpus.chunks.select("chunk_id", F.coalesce("level", F.lit(0)).alias("level")), "chunk_id")
     hits = _with_text(corpus, rank.reserve_summaries(ordered, summaries, k)).join(told.select("query_id", "query", "parents", "summaries"), "query_id")
-    diverse = rank.diversify(rank.rerank(hits, max(rank.RERANK_POOL, k), pool=rank.MOST_FUSED), max(k, 1))
+    diverse = rank.diversify(_reranked(corpus, hits, max(rank.RERANK_POOL, k), rank.MOST_FUSED), max(k, 1))
     return rank.expand_parents(diverse, corpus.chunks.where("node_type = 'parent'"), F.col("parents") | F.col("summaries"))
 
 

@@ -10,11 +10,13 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from passagework.functions.queries import PRONOUNS
 from passagework.operators.conversation import KEPT_FOR
+from passagework.sources.growing import growing_lines, parsed_lines
 
 
-def read_log_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines of new files under ``path``, with ts from timestamp."""
-    return spark.readStream.schema(schema).json(path).withColumn("ts", F.timestamp_seconds("timestamp"))
+def read_log_stream(spark: SparkSession, path: str, schema: str, start: float = 0.0) -> DataFrame:
+    """JSON lines of the logs under ``path`` from ``start`` on, with ts from timestamp; lines that are added to a file later come too."""
+    rows = parsed_lines(growing_lines(spark, path), schema).withColumn("timestamp", F.coalesce("timestamp", F.lit(0.0)))
+    return rows.where(F.col("timestamp") >= start).withColumn("ts", F.timestamp_seconds("timestamp"))
 
 
 def hourly_counts(routing: DataFrame, late: str = "10 minutes") -> DataFrame:
