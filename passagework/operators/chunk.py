@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -86,33 +87,61 @@ CHUNK_SCHEMA = (
 )
 
 
+def _page_chunks(same: dict, units: list[str]) -> Iterator[dict]:
+    """The rows of a page: each parent, then its children."""
+    parent_cut, child_cut = cuts_for(same["doc_shape"])
+    number = count()
+    for i, parent in enumerate(p for unit in units for p in split_text(unit, parent_cut)):
+        parent_id = f"{same['document_id']}_page_{same['physical_page']}_parent_{i}"
+        yield same | {"chunk_id": parent_id, "parent_id": None, "node_type": "parent", "hierarchy_level": 1, "chunk_index": next(number), "parent_index": i, "child_index": None, "text": parent}
+        for j, child in enumerate(split_text(parent, child_cut)):
+            yield same | {"chunk_id": f"{parent_id}_child_{j}", "parent_id": parent_id, "node_type": "raw", "hierarchy_level": 0, "chunk_index": next(number), "parent_index": i, "child_index": j, "text": child}
+
+
 def _chunk_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([(n, pa.int32() if k == "int" else pa.string()) for n, k in (c.split() for c in CHUNK_SCHEMA.split(", "))])
     for batch in batches:
         for page in batch.to_pylist():
-            rows: list[dict] = []
-            parent_cut, child_cut = cuts_for(page["doc_shape"])
-            parents = [p for unit in page["units"] for p in split_text(unit, parent_cut)]
-            same = {k: page[k] for k in ("document_id", "source_file", "physical_page", "doc_shape")}
-            for i, parent in enumerate(parents):
-                parent_id = f"{page['document_id']}_page_{page['physical_page']}_parent_{i}"
-                rows.append(same | {"chunk_id": parent_id, "parent_id": None, "node_type": "parent", "hierarchy_level": 1, "chunk_index": len(rows), "parent_index": i, "child_index": None, "text": parent})
-                for j, child in enumerate(split_text(parent, child_cut)):
-                    rows.append(same | {"chunk_id": f"{parent_id}_child_{j}", "parent_id": parent_id, "node_type": "raw", "hierarchy_level": 0, "chunk_index": len(rows), "parent_index": i, "child_index": j, "text": child})
+            rows = list(_page_chunks({k: page[k] for k in ("document_id", "source_file", "physical_page", "doc_shape")}, page["units"]))
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
+@F.udtf(returnType=CHUNK_SCHEMA, useArrow=True)
+class ChunkUnits:
+    """chunk_units(document_id, source_file, physical_page, doc_shape, units): the chunks of a page, as a table function."""
+
+    def eval(self, document_id: str, source_file: str, physical_page: int, doc_shape: str, units: list[str]) -> Iterator[tuple]:
+        names = [c.split()[0] for c in CHUNK_SCHEMA.split(", ")]
+        same = {"document_id": document_id, "source_file": source_file, "physical_page": physical_page, "doc_shape": doc_shape}
+        for row in _page_chunks(same, [] if units is None else list(units)):
+            yield tuple(row[name] for name in names)
+
+
 def chunk_pages(pages: DataFrame) -> DataFrame:
     """Parent and child chunks of pages (document_id, source_file, physical_page, text), a parent before its children.
 
     Pages are shaped and cut at their headers by column expressions; only the merging of parts runs in Arrow batches,
     a page at a time. Blank and null pages have no chunks.
     """
+    return shaped_pages(pages).mapInArrow(_chunk_batches, CHUNK_SCHEMA)
+
+
+def shaped_pages(pages: DataFrame) -> DataFrame:
+    """(document_id, source_file, physical_page, doc_shape, units) of pages with text: their shape, and their parts between headers."""
     text = clean_text(F.coalesce(F.col("text"), F.lit("")))
     shaped = pages.select(F.col("document_id").cast("string").alias("document_id"), F.col("source_file").cast("string").alias("source_file"), F.col("physical_page").cast("int").alias("physical_page"), text.alias("text"))
     shaped = shaped.where("text <> ''").withColumn("doc_shape", text_shape(F.col("text")))
-    return shaped.select("document_id", "source_file", "physical_page", "doc_shape", structural_units(F.col("text"), F.col("doc_shape")).alias("units")).mapInArrow(_chunk_batches, CHUNK_SCHEMA)
+    return shaped.select("document_id", "source_file", "physical_page", "doc_shape", structural_units(F.col("text"), F.col("doc_shape")).alias("units"))
+
+
+def register_chunker(pages: DataFrame, view: str = "shaped_pages") -> None:
+    """Makes ``chunk_units`` known to SQL, and the shaped pages as a view to call it on:
+
+    ``SELECT c.* FROM shaped_pages p, LATERAL chunk_units(p.document_id, p.source_file, p.physical_page, p.doc_shape, p.units) c``
+    """
+    pages.sparkSession.udtf.register("chunk_units", ChunkUnits)
+    shaped_pages(pages).createOrReplaceTempView(view)
 
 
 def page_windows(pages: DataFrame, width: int = 3, shortest: int = 200, most: int | None = None) -> DataFrame:

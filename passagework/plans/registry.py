@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from passagework.functions import answers, detectors as D, display, evidence, queries as Q, text as T
-from passagework.operators import chunk, conversation, evaluate, index, numbering, pack, providers, rank, search, telemetry, tree
+from passagework.operators import cells, chunk, conversation, corpus_index, evaluate, index, numbering, pack, providers, rank, search, telemetry, tree
 from passagework.plans import retrieval
 from passagework.plans.shared import shared_folder
 from passagework.plans.tables import chunks, executions, questions, routing, table, texts, turns
 from passagework.sources import readers
-from passagework.streaming import live
+from passagework.streaming import live, load
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -130,6 +130,14 @@ def chunked_pages(spark, sf_dir):
     return chunk.chunk_pages(docs.select(F.col("doc_id").alias("document_id"), F.col("source").alias("source_file"), F.lit(1).alias("physical_page"), "text"))
 
 
+@register()
+def chunked_pages_sql(spark, sf_dir):
+    """chunked_pages() as Spark SQL, by a table function."""
+    docs = texts(spark, sf_dir, "documents")
+    chunk.register_chunker(docs.select(F.col("doc_id").alias("document_id"), F.col("source").alias("source_file"), F.lit(1).alias("physical_page"), "text"), "shaped_documents")
+    return spark.sql("SELECT c.* FROM shaped_documents p, LATERAL chunk_units(p.document_id, p.source_file, p.physical_page, p.doc_shape, p.units) c")
+
+
 @register(
     """WITH p AS (SELECT source, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page FROM documents),
     w AS (SELECT source, (page - 1) // 3 AS slot, min(page) AS first_page, max(page) AS last_page, string_agg(text, chr(10) || chr(10) ORDER BY page) AS text FROM p GROUP BY ALL)
@@ -191,6 +199,23 @@ def bm25_topk_saved(spark, sf_dir):
     return search.bm25_topk_indexed(index.load_index(spark, folder), questions(spark, sf_dir), 10).withColumn("score", F.round("score", 6))
 
 
+#: The documents after the changes of bm25_topk_segments().
+_CHANGED = """changed AS MATERIALIZED (SELECT doc_id, CASE WHEN lang = 'de' THEN text || ' ' || source ELSE text END AS text FROM documents WHERE source <> 'src3' OR source IS NULL)"""
+
+
+@register(f"WITH {_CHANGED}, {BM25_BASE.replace('FROM documents', 'FROM changed')}, {bm25_cte('hits', 10)} SELECT query_id, chunk_id, round(score, 6) AS score, rank::INT AS rank FROM hits")
+def bm25_topk_segments(spark, sf_dir):
+    """bm25_topk() from a saved index that grew in steps: the English documents, all that were missing, German ones anew, and one source deleted."""
+    held = chunks(spark, sf_dir)
+    by_lang = texts(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "lang")
+    of = lambda lang: held.join(by_lang.where(F.col("lang") == lang), "chunk_id", "left_semi")
+    saved = corpus_index.insert(corpus_index.open_index(spark, shared_folder(spark, "segments")), of("en"))
+    saved = corpus_index.insert(saved, held)
+    saved = corpus_index.upsert(saved, of("de").withColumn("text", F.concat("text", F.lit(" "), "document_id")))
+    saved = corpus_index.delete_document(saved, "src3")
+    return search.bm25_topk_blocks(saved, questions(spark, sf_dir), 10).withColumn("score", F.round("score", 6))
+
+
 @register(
     f"""WITH {CHUNKS}, {BM25_BASE}, {bm25_cte("hits", 10**9)}, kept AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM hits JOIN chunks USING (chunk_id) WHERE node_type = 'raw')
     SELECT query_id, chunk_id, round(score, 6) AS score, rank::INT AS rank FROM kept WHERE rank <= 10"""
@@ -220,6 +245,16 @@ def dense_topk(spark, sf_dir):
     return search.dense_topk(rows, asked, 10).withColumn("score", F.round("score", 6))
 
 
+@register(ORACLE_SQL["dense_topk"])
+def dense_topk_saved(spark, sf_dir):
+    """dense_topk() from saved vectors, by the cells that distance bounds leave."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), F.col("label").cast("string").alias("document_id"))
+    held = rows.select("chunk_id", "document_id", F.lit(None).cast("string").alias("parent_id"), F.lit("raw").alias("node_type"), F.lit(0).alias("level"), F.lit("").alias("text"))
+    saved = corpus_index.insert(corpus_index.open_index(spark, shared_folder(spark, "cells")), held, rows.select("chunk_id", "vector"))
+    asked = rows.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "vector")
+    return cells.dense_topk_cells(saved, asked, 10).withColumn("score", F.round("score", 6))
+
+
 @register(
     """WITH d AS (SELECT label * 20 + vec_id % 20 AS doc_id, embedding AS e FROM embeddings), u AS (SELECT label AS query_id, vec_id AS unit, embedding AS e FROM embeddings WHERE vec_id % 50 = 0),
     m AS (SELECT query_id, doc_id, unit, max(list_inner_product(d.e::DOUBLE[], u.e::DOUBLE[])) AS s FROM d, u GROUP BY ALL), s AS (SELECT query_id, doc_id, avg(s) AS score FROM m GROUP BY ALL)
@@ -892,6 +927,28 @@ def stream_hourly(spark, sf_dir):
     return out.withColumn("hour", F.col("hour").cast("timestamp_ntz"))
 
 
+@register(ORACLE_SQL["stream_hourly"])
+def stream_log_hourly(spark, sf_dir):
+    """Hourly counts of a log of the routing decisions, followed line by line, half of which is there when the stream first runs."""
+    folder = shared_folder(spark, "log")
+    decisions = routing(spark, sf_dir).select(F.lit("routing").alias("event"), "timestamp", "query", "selected_agent", "confidence")
+    counts = lambda: live.hourly_counts(live.read_log_stream(spark, f"{folder}/log", readers.ROUTING_SCHEMA), "36500 days")
+    for half in (True, False):
+        early = F.col("timestamp") % 7200 < 3600
+        readers.append_log(decisions.where(early if half else ~early), f"{folder}/log")
+        out = live.run_available(counts(), f"{folder}/counts", "complete")
+    return out.withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+
+
+@register(ORACLE_SQL["sliding_load"])
+def stream_request_load(spark, sf_dir):
+    """sliding_load() as a stream: exact at each request."""
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque*")
+    asked = events.select(F.col("event_id").alias("request_id"), F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.length("props").alias("tokens"))
+    out = live.run_available(load.request_load(asked), shared_folder(spark, "request-load"), settings=load.ROCKSDB)
+    return out.select(F.col("request_id").alias("event_id"), "recent_requests", "recent_tokens", "day_requests")
+
+
 def _requests(spark, sf_dir):
     """The events as a stream of requests of their users."""
     events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque*")

@@ -76,11 +76,24 @@ def kept_answers(requests: DataFrame, late: str = "10 minutes") -> DataFrame:
     return grouped.applyInPandasWithState(_kept, "request_id long, key string, generation long, hit boolean", "written double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def run_available(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+def run_available(stream: DataFrame, folder: str, mode: str = "append", settings: dict[str, str] | None = None) -> DataFrame:
     """Runs a stream over what is there and returns what it wrote under ``folder``, which all executors share.
 
     A complete or update stream is written once a batch; the last batch's rows of each are returned for complete.
+    ``settings`` hold for the session while the stream runs.
     """
+    conf = stream.sparkSession.conf
+    before = {key: conf.get(key, None) for key in settings or {}}
+    for key, value in (settings or {}).items():
+        conf.set(key, value)
+    try:
+        return _run_available(stream, folder, mode)
+    finally:
+        for key, value in before.items():
+            conf.unset(key) if value is None else conf.set(key, value)
+
+
+def _run_available(stream: DataFrame, folder: str, mode: str) -> DataFrame:
     out = f"{folder}/out"
     writer = stream.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
     if mode == "append":
