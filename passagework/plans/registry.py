@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from passagework.functions import answers, detectors as D, display, evidence, queries as Q, text as T
-from passagework.operators import cells, chunk, conversation, corpus_index, evaluate, index, numbering, pack, providers, rank, search, telemetry, tree
-from passagework.plans import retrieval
+from passagework.operators import cells, chunk, conversation, corpus_index, evaluate, index, numbering, pack, pair_scorer, providers, rank, search, telemetry, text_classifier, tree
+from passagework.plans import retrieval, search_loop
 from passagework.plans.shared import shared_folder
 from passagework.plans.tables import chunks, executions, questions, routing, table, texts, turns
 from passagework.sources import readers
@@ -981,6 +981,49 @@ def stream_topics(spark, sf_dir):
     return out.select("conv_id", "turn", "topic", F.md5("resolved").alias("resolved"))
 
 
+# -- trained scorers and the search over pages
+
+
+@register()
+def routing_baseline(spark, sf_dir):
+    """The text classifier on the labels' quality: fitted on half of the labelled documents by a hash, and its word on the others."""
+    docs, labels = texts(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality is not null")
+    told = docs.join(labels.select("doc_id", F.col("quality").cast("string").alias("label")), "doc_id").select("doc_id", "text", "label", (F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0).alias("fits"))
+    model = text_classifier.fit_text_classifier(told.where("fits"), vocabulary=1 << 14, steps=25)
+    said = text_classifier.classified(told.where("not fits"), model, "doc_id")
+    return said.join(told.select(F.col("doc_id").alias("id"), "label"), "id").select(F.col("id").alias("doc_id"), "label", "predicted", F.round("probability", 4).alias("probability"))
+
+
+@register()
+def trained_rerank(spark, sf_dir):
+    """Questions kept out by a hash, their twenty best chunks ranked anew by a scorer that learnt from the other questions."""
+    held, asked = chunks(spark, sf_dir), questions(spark, sf_dir)
+    hits = search.bm25_topk(held, asked, 20).select("query_id", "chunk_id", "rank").join(held.select("chunk_id", "document_id", "text"), "chunk_id").join(asked, "query_id")
+    folder = shared_folder(spark, "shortlists")
+    hits.withColumn("relevant", F.coalesce(F.col("text").contains(F.col("query")), F.lit(False))).write.parquet(folder)
+    hits = spark.read.parquet(folder)
+    learns = F.pmod(F.xxhash64("query_id"), F.lit(2)) == 0
+    df, _ = index.statistics(held.select(T.tokens(F.col("text")).alias("words")).withColumn("length", F.size("words")))
+    model = pair_scorer.fit_pair_scorer(hits.where(learns), held, df)
+    return rank.rerank(hits.where(~learns), 20, model(F.col("query"), F.col("text")), 20).select("query_id", "chunk_id", "rank", "relevant")
+
+
+@register()
+def self_corrected_sources(spark, sf_dir):
+    """Sources for the benchmark's items among all pages: searched, judged and searched again."""
+    folder = shared_folder(spark, "pages")
+    searched = search_loop.index_pages(spark, f"{folder}/index", texts(spark, sf_dir, "pages"))
+    words = F.filter(F.array_distinct(T.tokens(F.col("query"))), lambda w: F.length(w) > 4)
+    number = F.pmod(F.xxhash64("query_id"), F.lit(3))
+    plans = questions(spark, sf_dir).select("query_id", "query", F.slice(words, 1, 2).alias("concepts"), F.when(number == 0, "definition").when(number == 1, "comparison").otherwise("explanation").alias("intent"), (number + 1).alias("max_passes"), F.lit(3).alias("max_sources"))
+
+    def save(rows, name):
+        rows.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{folder}/{name}")
+
+    return search_loop.self_corrected_sources(plans, search_loop.page_search(searched), save)
+
+
 # -- tables that the joins and groupings above rest on
 
 

@@ -4,17 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from passagework.functions.answers import is_short
 from passagework.functions.evidence import diverse_sources, evidence_score, rewritten_query
+from passagework.operators import corpus_index
 from passagework.operators.providers import Judge, share_in_context
+from passagework.operators.search import bm25_topk_blocks
+from passagework.sources.readers import html_text_builtin
 
 #: (query_id, query) -> (query_id, rank, url, snippet).
 Searcher = Callable[[DataFrame], DataFrame]
 #: (query_id, query) -> (query_id, answer, context).
 Answerer = Callable[[DataFrame], DataFrame]
 LEAST_EVIDENCE, LEAST_FAITHFUL, MOST_PASSES = 30, 0.45, 3
+#: Results of a search, and characters of a snippet.
+MOST_RESULTS, SNIPPET = 7, 300
 
 
 def corrected_query(concepts, intent):
@@ -47,6 +52,60 @@ def gather_evidence(plans: DataFrame, search: Searcher, save: Callable[[DataFram
     return picked.select("query_id", "url", "snippet", "evidence", "position")
 
 
+def index_pages(spark: SparkSession, folder: str, pages: DataFrame) -> corpus_index.CorpusIndex:
+    """A saved index of pages (page_id, url, html) by their visible text, for page_search()."""
+    text = html_text_builtin(F.col("html"))
+    held = pages.select(F.col("page_id").cast("long").alias("chunk_id"), F.col("url").alias("document_id"), F.lit(None).cast("string").alias("parent_id"), F.lit("raw").alias("node_type"), F.lit(0).alias("level"), text.alias("text"))
+    return corpus_index.insert(corpus_index.open_index(spark, folder), held)
+
+
+def page_search(index: corpus_index.CorpusIndex, most: int = MOST_RESULTS) -> Searcher:
+    """A searcher over indexed pages, best first; a snippet is the start of a page's text."""
+
+    def search(asked: DataFrame) -> DataFrame:
+        pages = index.chunks.select("chunk_id", F.col("document_id").alias("url"), F.substring("text", 1, SNIPPET).alias("snippet"))
+        return bm25_topk_blocks(index, asked, most).join(pages, "chunk_id").select("query_id", "rank", "url", "snippet")
+
+    return search
+
+
+def self_corrected_sources(plans: DataFrame, search: Searcher, save: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """(query_id, url, snippet, evidence, position, passes) of plans (query_id, query, concepts, intent, max_passes, max_sources).
+
+    A pass searches for the queries that are still open, and for no wording twice. Sources rejected before are left out;
+    those of too little evidence are rejected from then on. A query closes with a pass's sources, one host's once before
+    any twice, if they are ``max_sources``, or at least one in its last pass; else its wording is corrected, if it has
+    concepts. A query that doesn't close has no rows. A null intent is none; a null url has no host.
+
+    The memory is two tables, what was asked and what was rejected, to which each pass adds its rows; a pass reads only the
+    open queries' rows of them. ``save`` writes a pass's rows to a shared table. There are MOST_PASSES at most.
+    """
+    fixed = plans.select("query_id", "concepts", "intent", "max_passes", "max_sources")
+    open_, asked_before, rejected, out = plans.select("query_id", "query"), None, None, None
+    for i in range(1, MOST_PASSES + 1):
+        if asked_before is not None:
+            open_ = open_.join(asked_before, ["query_id", "query"], "left_anti")
+        asked = save(open_.join(fixed, "query_id").where(F.col("max_passes") >= i), f"asked-{i}")
+        said = asked.select("query_id", "query")
+        asked_before = said if asked_before is None else asked_before.unionByName(said)
+        found = search(said).join(asked.drop("query"), "query_id")
+        if rejected is not None:
+            found = found.join(rejected.join(said, "query_id", "left_semi"), ["query_id", "url"], "left_anti")
+        scored = found.withColumn("evidence", evidence_score(F.col("concepts"), F.coalesce("intent", F.lit("")), F.col("snippet"), F.col("url")))
+        scored = save(scored.select("query_id", "rank", "url", "snippet", "evidence", "max_passes", "max_sources"), f"scored-{i}")
+        bad = scored.where(F.col("evidence") < LEAST_EVIDENCE).select("query_id", "url")
+        rejected = bad if rejected is None else rejected.unionByName(bad)
+        good = scored.where(F.col("evidence") >= LEAST_EVIDENCE).withColumn("rank", (100 - F.col("evidence")) * 1000 + F.col("rank"))
+        picked = diverse_sources(good, None).where("position <= max_sources")
+        closing = picked.groupBy("query_id").agg(F.count("*").alias("n"), F.max("max_sources").alias("most"), F.max("max_passes").alias("last")).where(f"n >= most or last = {i}")
+        taken = picked.join(closing.select("query_id"), "query_id", "left_semi").select("query_id", "url", "snippet", "evidence", "position", F.lit(i).alias("passes"))
+        taken = save(taken, f"taken-{i}")
+        out = taken if out is None else out.unionByName(taken)
+        left = asked.join(taken.select("query_id").distinct(), "query_id", "left_anti")
+        open_ = left.select("query_id", corrected_query(F.col("concepts"), F.col("intent")).alias("query")).where("query is not null")
+    return out
+
+
 def faithful_answers(asked: DataFrame, answer: Answerer, save: Callable[[DataFrame, str], DataFrame], judge: Judge = share_in_context) -> DataFrame:
     """(query_id, answer, faithfulness, retried): answers judged unfaithful are made once more for a reworded query; the better one stays.
 
