@@ -74,9 +74,23 @@ class _Grams:
             before[at] = key
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Counts or ranks by as many bytes as the largest needs, bytes of equal weight side by side: the high ones are mostly zeros, which compression takes out."""
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + b"".join(((x >> (8 * i)) & 255).astype(np.uint8).tobytes() for i in range(width))
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
+    out = planes[0].astype(np.int64)
+    for i in range(1, len(planes)):
+        out |= planes[i].astype(np.int64) << (8 * i)
+    return out
+
+
 def _row(table: pa.RecordBatch | pa.Table, name: str, i: int = 0) -> np.ndarray:
-    value = table.column(name)[i].values
-    return value.to_numpy(zero_copy_only=False)
+    value = table.column(name)[i]
+    return unpacked(memoryview(value.as_buffer())) if pa.types.is_binary(value.type) else value.values.to_numpy(zero_copy_only=False)
 
 
 def _block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,8 +104,9 @@ def _block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         rank = np.argsort(-times, kind="stable")
         place = np.empty(len(words), dtype=np.int32)
         place[rank] = np.arange(len(words))
-        columns = [pa.concat_arrays(ids), pa.concat_arrays(learns), pa.array(np.concatenate(lens).astype(np.int32)), pa.array(place[number]), pa.array(words[rank].view(np.int64))]
-        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns], names=["doc_ids", "learns", "lens", "sequence", "words"])
+        columns = [pa.concat_arrays(ids), pa.concat_arrays(learns), pa.array(np.concatenate(lens).astype(np.int32)), pa.array(words[rank].view(np.int64))]
+        columns = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([packed(place[number])], pa.binary()), pa.array([len(number)], pa.int64())], names=["doc_ids", "learns", "lens", "words", "sequence", "tokens"])
 
     size = 0
     for batch in batches:
@@ -112,7 +127,7 @@ def _parts(keys: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _ask_batches(k: int, bits: int) -> Callable:
-    """(part, block, keys, counts): a block's k-grams by the part of the table that counts them, and how often documents to learn from hold them here."""
+    """(part, block, keys, counts, histories): a block's k-grams by the part of the table that counts them, how often documents to learn from hold them here, and the histories of those that none holds here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,31 +140,41 @@ def _ask_batches(k: int, bits: int) -> Callable:
                 keys, counts = grams.keys[k][order], counts[order]
                 part, first = np.unique(_parts(keys, bits), return_index=True)
                 bounds = np.append(first, len(keys))
+                none = np.flatnonzero(counts == 0)
+                histories = grams.keys[k - 1][grams.history[k][none]] if k > 1 else np.zeros(0, np.uint64)
+                of_part = np.searchsorted(none, bounds) if k > 1 else np.zeros(len(bounds), np.int64)
                 block = pa.array(np.full(len(part), batch.column("block")[i].as_py()))
-                yield pa.RecordBatch.from_arrays([pa.array(part), block, lists(keys, bounds), lists(counts, bounds)], names=["part", "block", "keys", "counts"])
+                own = pa.array([packed(counts[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(part), block, lists(keys, bounds), own, lists(histories, of_part)], names=["part", "block", "keys", "counts", "histories"])
 
     return run
 
 
 def _count_part(rows: pa.Table) -> pa.Table:
-    """(part, block, counts, owned, figures): each block's k-grams' counts over all, and for which it speaks: one block for each k-gram learnt. A row of no block has the part's figures."""
+    """(part, block, counts, owned, figures, asked): each block's k-grams' counts over all, and for which it speaks: one block for each k-gram learnt.
+
+    A row of no block has the part's figures, and the histories of k-grams that are nowhere learnt.
+    """
     asked = rows.combine_chunks()
-    keys, own = (asked.column(name).combine_chunks() for name in ("keys", "counts"))
+    keys, histories = (asked.column(name).combine_chunks() for name in ("keys", "histories"))
     sizes = np.diff(keys.offsets.to_numpy())
-    keys, own = keys.flatten().to_numpy().view(np.uint64), own.flatten().to_numpy()
+    keys, histories = keys.flatten().to_numpy().view(np.uint64), histories.flatten().to_numpy()
+    own = np.concatenate([unpacked(memoryview(x.as_buffer())) for x in asked.column("counts")])
     distinct, number = np.unique(keys, return_inverse=True)
     totals = np.bincount(number, weights=own, minlength=len(distinct)).astype(np.int64)
     learnt = np.flatnonzero(own > 0)
     owned = np.zeros(len(keys), dtype=bool)
     owned[learnt[np.unique(number[learnt], return_index=True)[1]]] = True
+    new = np.unique(histories[totals[number[own == 0]] == 0]) if len(histories) else histories
     large = totals[totals > MOST_DISCOUNTED].astype(np.float64)
     figures = [float((totals == r).sum()) for r in range(1, MOST_DISCOUNTED + 2)] + [float((large / (large + 1) ** 2).sum()), float(totals.sum()), float((totals > 0).sum())]
-    bounds = np.concatenate([[0], np.cumsum(sizes), [len(keys)]])
-    n = asked.num_rows + 1
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    n, cuts = asked.num_rows, list(zip(bounds, bounds[1:], strict=False))
     return pa.table(
         {
-            "part": pa.array(np.full(n, asked.column("part")[0].as_py())), "block": pa.array([*asked.column("block").to_pylist(), None], pa.int64()), "counts": lists(totals[number], bounds),
-            "owned": pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(owned)), "figures": pa.array([None] * (n - 1) + [figures], pa.list_(pa.float64())),
+            "part": pa.array(np.full(n + 1, asked.column("part")[0].as_py())), "block": pa.array([*asked.column("block").to_pylist(), None], pa.int64()),
+            "counts": pa.array([*(packed(totals[number[a:b]]) for a, b in cuts), None], pa.binary()), "owned": pa.array([*(np.packbits(owned[a:b]).tobytes() for a, b in cuts), None], pa.binary()),
+            "figures": pa.array([None] * n + [figures], pa.list_(pa.float64())), "asked": lists(new, np.array([0] * (n + 1) + [len(new)])),
         }
     )
 
@@ -176,18 +201,44 @@ class _Counted:
         for k in range(1, model.order + 1):
             rows = np.flatnonzero(k_of == k)
             rows = rows[np.argsort(part[rows])]
-            for name, out, kind in (("counts", self.count, np.int64), ("owned", self.owned, bool)):
-                held = np.concatenate([np.zeros(0, kind), *(_row(answers, name, i) for i in rows.tolist())])
-                out[k] = np.empty(len(held), dtype=kind)
-                out[k][np.argsort(self.grams.keys[1]) if k == 1 else slice(None)] = held
+            counts = [_row(answers, "counts", i) for i in rows.tolist()]
+            owned = [np.unpackbits(np.frombuffer(answers.column("owned")[i].as_buffer(), np.uint8), count=len(c)) for i, c in zip(rows.tolist(), counts, strict=True)]
+            for held, out, kind in ((counts, self.count, np.int64), (owned, self.owned, bool)):
+                out[k] = np.empty(sum(map(len, held)), dtype=kind)
+                out[k][np.argsort(self.grams.keys[1]) if k == 1 else slice(None)] = np.concatenate([np.zeros(0, kind), *held])
             count, kept = self.count[k], model.discounts[k].kept(self.count[k])
             base = self.count[k - 1][self.grams.history[k]] if k > 1 else np.full(len(count), max(model.tokens, 1))
             self.seen[k] = np.where(count > 0, kept * count / np.maximum(base, 1), 0.0)
             self.rest[k] = count * (1 - kept)
 
 
-def _score_blocks(model: Model) -> Callable:
-    """(block, i, doc_id, held_out, n_tokens, n_known, base_score, score, asked) of a block's documents. The score lacks the backoff weights of the histories ``asked``."""
+_SCORED = pa.schema(
+    [
+        ("block", pa.int64()), ("i", pa.int32()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("asked", pa.list_(pa.int64())),
+        ("total", pa.list_(pa.int64())), ("rest", pa.list_(pa.float64())), ("below", pa.list_(pa.float64())),
+    ]
+)
+_SCORED_DDL = "block long, i int, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, asked array<long>, total array<long>, rest array<double>, below array<double>"
+
+
+def _masses(has: _Counted, order: int, wanted: np.ndarray) -> list[np.ndarray]:
+    """[key, total, rest, below]: of histories that the filter lets pass, their count, the counts that discounts take from the n-grams this block speaks for, and what those have in the order below."""
+    out = [[np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)]]
+    for k in range(2, order + 1):
+        history, suffix, own = has.grams.history[k], has.grams.suffix[k], has.owned[k]
+        asked = passes(wanted, has.grams.keys[k - 1])[history] & own
+        n = len(has.grams.keys[k - 1])
+        rest, below = (np.bincount(history[asked], weights=w, minlength=n) for w in (has.rest[k][asked], has.seen[k - 1][suffix[asked]]))
+        some = np.flatnonzero(np.bincount(history[asked], minlength=n))
+        out.append([has.grams.keys[k - 1][some], has.count[k - 1][some], rest[some], below[some]])
+    return [np.concatenate(x) for x in zip(*out, strict=True)]
+
+
+def _score_blocks(model: Model, wanted: np.ndarray) -> Callable:
+    """(block, i, doc_id, held_out, n_tokens, n_known, base_score, score, asked) of a block's documents; the score lacks the backoff weights of the histories ``asked``.
+
+    A row without i has _masses() in asked, total, rest and below.
+    """
 
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
         if not block.num_rows:
@@ -217,40 +268,20 @@ def _score_blocks(model: Model) -> Callable:
         order = np.argsort(owner, kind="stable")
         bounds = np.searchsorted(owner[order], np.arange(len(has.lens) + 1))
         sums = [np.add.reduceat(x, begin) for x in ((count > 0).astype(np.int64), np.log10((count + 1) / (model.tokens + model.types + 1)), score)]
-        n = len(has.lens)
-        columns = [pa.array(np.full(n, block.column("block")[0].as_py())), pa.array(np.arange(n, dtype=np.int32)), pa.array(block.column("doc_ids")[0].values), pa.array(~_row(block, "learns").astype(bool)), pa.array(has.lens.astype(np.int64))]
-        return pa.Table.from_arrays([*columns, *map(pa.array, sums), lists(keys[order], bounds)], schema=_SCORED)
-
-    return run
-
-
-_SCORED = pa.schema([("block", pa.int64()), ("i", pa.int32()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("asked", pa.list_(pa.int64()))])
-_SCORED_DDL = "block long, i int, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, asked array<long>"
-
-
-def _mass_blocks(model: Model, wanted: np.ndarray) -> Callable:
-    """(key, total, rest, below): of histories that the filter lets pass, their count, the counts that discounts take from the n-grams this block speaks for, and what those have in the order below."""
-
-    def run(block: pa.Table, answers: pa.Table) -> pa.Table:
-        out = [[np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)]]
-        if block.num_rows:
-            has = _Counted(block, answers, model)
-            for k in range(2, model.order + 1):
-                history, suffix, own = has.grams.history[k], has.grams.suffix[k], has.owned[k]
-                asked = passes(wanted, has.grams.keys[k - 1])[history] & own
-                n = len(has.grams.keys[k - 1])
-                rest, below = (np.bincount(history[asked], weights=w, minlength=n) for w in (has.rest[k][asked], has.seen[k - 1][suffix[asked]]))
-                some = np.flatnonzero(np.bincount(history[asked], minlength=n))
-                out.append([has.grams.keys[k - 1][some], has.count[k - 1][some], rest[some], below[some]])
-        key, total, rest, below = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pa.table({"key": pa.array(key.view(np.int64)), "total": pa.array(total), "rest": pa.array(rest), "below": pa.array(below)})
+        n, none = len(has.lens), pa.nulls(len(has.lens))
+        number = pa.array(np.full(n, block.column("block")[0].as_py()))
+        columns = [number, pa.array(np.arange(n, dtype=np.int32)), block.column("doc_ids")[0].values, pa.array(~_row(block, "learns").astype(bool)), pa.array(has.lens.astype(np.int64))]
+        documents = [*columns, *map(pa.array, sums), lists(keys[order], bounds), *(none.cast(_SCORED.field(i).type) for i in (9, 10, 11))]
+        masses = _masses(has, model.order, wanted)
+        one = [number.slice(0, 1), *(pa.nulls(1, _SCORED.field(i).type) for i in range(1, 8)), *(lists(x, np.array([0, len(x)])) for x in masses)]
+        return pa.concat_tables([pa.Table.from_arrays(documents, schema=_SCORED), pa.Table.from_arrays(one, schema=_SCORED)])
 
     return run
 
 
 def _counts(blocks: DataFrame, k: int, bits: int) -> DataFrame:
-    asked = blocks.select("block", "learns", "lens", "sequence", "words").mapInArrow(_ask_batches(k, bits), "part long, block long, keys array<long>, counts array<int>")
-    return asked.groupBy("part").applyInArrow(_count_part, "part long, block long, counts array<long>, owned array<boolean>, figures array<double>").withColumn("k", F.lit(k))
+    asked = blocks.select("block", "learns", "lens", "sequence", "words").mapInArrow(_ask_batches(k, bits), "part long, block long, keys array<long>, counts binary, histories array<long>")
+    return asked.groupBy("part").applyInArrow(_count_part, "part long, block long, counts binary, owned binary, figures array<double>, asked array<long>").withColumn("k", F.lit(k))
 
 
 def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, learns: Column | None = None) -> DataFrame:
@@ -279,26 +310,27 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if learns is None:
         learns = F.crc32(number.cast("string").cast("binary")) % 7 != 2
     rows = docs.select(number.alias("doc_id"), F.coalesce(learns, F.lit(True)).alias("learns"), F.col(text_col).alias("text"))
-    blocks = rows.mapInArrow(_block_batches, "doc_ids array<long>, learns array<boolean>, lens array<int>, sequence array<int>, words array<long>")
+    blocks = rows.mapInArrow(_block_batches, "doc_ids array<long>, learns array<boolean>, lens array<int>, words array<long>, sequence binary, tokens long")
     blocks = scratch.save(blocks.withColumn("block", F.monotonically_increasing_id()), "blocks", "zstd")
-    tokens = blocks.agg(F.coalesce(F.sum(F.size("sequence")), F.lit(0)).alias("n")).first()["n"]
+    tokens = blocks.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n")).first()["n"]
     bits = max(0, -(-tokens // PART) - 1).bit_length()
-    answers, figures = None, {}
+    counted, figures = None, {}
     for k in range(1, order + 1):
-        counted = scratch.save(_counts(blocks, k, bits), f"counts-{k}", "zstd")
-        sums = counted.where("block is null").select(*(F.sum(F.col("figures")[i]).alias(f"f{i}") for i in range(MOST_DISCOUNTED + 4))).first()
+        part = scratch.save(_counts(blocks, k, bits), f"counts-{k}", "zstd")
+        sums = part.where("block is null").select(*(F.sum(F.col("figures")[i]).alias(f"f{i}") for i in range(MOST_DISCOUNTED + 4))).first()
         figures[k] = [x or 0.0 for x in sums]
-        counted = counted.where("block is not null").select("k", "part", "block", "counts", "owned")
-        answers = counted if answers is None else answers.unionByName(counted)
+        counted = part if counted is None else counted.unionByName(part)
     model = _model(figures)
-    both = blocks.groupBy("block").cogroup(answers.groupBy("block"))
-    scored = scratch.save(both.applyInArrow(_score_blocks(model), _SCORED_DDL), "scored", "zstd")
-    asked = scored.select("block", "i", F.explode("asked").alias("key"))
-    masses = both.applyInArrow(_mass_blocks(model, bit_filter(asked.select("key"))), "key long, total long, rest double, below double")
-    masses = masses.groupBy("key").agg(F.max("total").alias("total"), F.sum("rest").alias("rest"), F.sum("below").alias("below"))
-    weights = scratch.save(masses.select("key", F.expr("log10(rest / total / (1 - below))").alias("weight")), "weights")
+    wanted = bit_filter(counted.where("block is null").select(F.explode("asked").alias("key")))
+    answers = counted.where("block is not null").select("k", "part", "block", "counts", "owned")
+    scored = blocks.drop("tokens").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score_blocks(model, wanted), _SCORED_DDL)
+    scored = scratch.save(scored, "scored", "zstd")
     for name in ("blocks", *(f"counts-{k}" for k in range(1, order + 1))):
         scratch.drop(name)
-    backed = asked.join(weights, "key").groupBy("block", "i").agg(F.sum("weight").alias("weight"))
-    out = scored.drop("asked").join(backed, ["block", "i"], "left")
+    masses = scored.where("i is null").select(F.explode(F.arrays_zip(F.col("asked").alias("key"), "total", "rest", "below")).alias("x")).select("x.*")
+    masses = masses.groupBy("key").agg(F.max("total").alias("total"), F.sum("rest").alias("rest"), F.sum("below").alias("below"))
+    weights = scratch.save(masses.select("key", F.expr("log10(rest / total / (1 - below))").alias("weight")), "weights")
+    scored = scored.where("i is not null")
+    backed = scored.select("block", "i", F.explode("asked").alias("key")).join(weights, "key").groupBy("block", "i").agg(F.sum("weight").alias("weight"))
+    out = scored.drop("asked", "total", "rest", "below").join(backed, ["block", "i"], "left")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", (F.col("score") + F.coalesce("weight", F.lit(0.0))).alias("score"))

@@ -57,17 +57,16 @@ def personalised_ranks(edges: DataFrame, seeds: DataFrame, scratch: Scratch, dam
 
     All kinds go through a round together: a join on the source and one sum by target. Hosts without edges keep only what
     restarts there. The edges are one row for each pair of hosts, so that a hot host has as many rows as hosts it meets, which
-    a skewed join splits. Every fourth round is a written table.
+    a skewed join splits, as both its sides are written tables in every round.
     """
-    out = edges.groupBy("kind", "src").agg(F.sum("weight").alias("total"))
+    out = scratch.save(edges.groupBy("kind", "src").agg(F.sum("weight").alias("total")), "totals")
     shares = scratch.save(edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (damping * F.col("weight") / F.col("total")).alias("share")), "shares")
     seeds = scratch.save(seeds, "seeds")
     rank, restart = seeds.select("kind", "host", F.col("mass").alias("rank")), seeds.select("kind", "host", ((1 - damping) * F.col("mass")).alias("rank"))
     for i in range(1, rounds + 1):
         moved = rank.join(shares, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("share")).alias("rank"))
-        rank = moved.unionByName(restart).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
-        if i % 4 == 0:
-            rank = scratch.save(rank, f"rank-{i}")
+        rank = scratch.save(moved.unionByName(restart).groupBy("kind", "host").agg(F.sum("rank").alias("rank")), f"rank-{i}")
+        scratch.drop(f"rank-{i - 1}")
     return rank
 
 
@@ -80,7 +79,8 @@ def url_verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     trust / (trust + distrust), rounded to 9 places; a host under ``threshold`` is blocked. A host that neither reaches scores 1.
 
     A null url, or one without ://, has an empty host and path and is allowed. Null html has no links; null ids and
-    repeated rows are kept; an empty table gives no rows; other columns are ignored.
+    repeated rows are kept; an empty table gives no rows; other columns are ignored. A host with a large share of the pages
+    is a skewed key of one join with a written table, which is split.
     """
     scratch = Scratch(pages.sparkSession)
     edges = scratch.save(host_edges(pages, url_col, html_col), "edges")
@@ -95,7 +95,7 @@ def url_verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     back = edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
     ranks = personalised_ranks(edges.select(F.lit("trust").alias("kind"), "src", "dst", "weight").unionByName(back), seeds, scratch)
     of_kind = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("rank")).otherwise(0.0)).alias(kind)
-    hosts = ranks.groupBy("host").agg(of_kind("trust"), of_kind("distrust"))
+    hosts = scratch.save(ranks.groupBy("host").agg(of_kind("trust"), of_kind("distrust")), "hosts")
     out = judged.join(hosts, "host", "left").withColumn("host_score", F.expr("round(coalesce(trust / nullif(trust + distrust, 0D), 1D), 9)"))
     said = F.coalesce("ruled", F.when(F.col("host_score") < threshold, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", said.alias("verdict"), "host_score")

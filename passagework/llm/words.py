@@ -154,21 +154,23 @@ def slices(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.StringArr
 
 
 #: Bytes of a filter that lets all of some keys pass, whatever their number, and some others; its rows.
-FILTER_BYTES, FILTER_ROWS = 1 << 23, 1 << 10
+FILTER_BYTES, FILTER_ROWS = 1 << 24, 1 << 10
 
 
-def _places(keys: np.ndarray) -> np.ndarray:
-    return (keys % np.uint64(FILTER_BYTES * 8)).astype(np.int64)
+def _places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return tuple((x % np.uint64(FILTER_BYTES * 8)).astype(np.int64) for x in (keys, mix(keys)))
 
 
 def _bit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(row, bits) of the rows of the filter that a task's keys touch."""
-    bits = np.zeros(FILTER_BYTES * 8, dtype=bool)
+    table = np.zeros(FILTER_BYTES, dtype=np.uint8)
     for batch in batches:
-        bits[_places(batch.column(0).to_numpy().view(np.uint64))] = True
-    table = np.packbits(bits).reshape(FILTER_ROWS, -1)
+        for place in _places(batch.column(0).to_numpy().view(np.uint64)):
+            np.bitwise_or.at(table, place >> 3, np.uint8(128) >> (place & 7).astype(np.uint8))
+    table = table.reshape(FILTER_ROWS, -1)
     touched = np.flatnonzero(table.any(axis=1))
-    yield pa.RecordBatch.from_arrays([pa.array(touched), pa.array([table[i].tobytes() for i in touched], pa.binary())], names=["row", "bits"])
+    for some in np.array_split(touched, 16):
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([table[i].tobytes() for i in some], pa.binary())], names=["row", "bits"])
 
 
 def _either(rows: pa.Table) -> pa.Table:
@@ -179,7 +181,7 @@ def _either(rows: pa.Table) -> pa.Table:
 
 
 def bit_filter(keys: DataFrame) -> np.ndarray:
-    """FILTER_BYTES bytes with a bit set at the place of each key (a column of longs). It grows no larger with more keys, but lets more others pass."""
+    """FILTER_BYTES bytes with two bits set for each key (a column of longs). It grows no larger with more keys, but lets more others pass."""
     rows = keys.mapInArrow(_bit_batches, "row long, bits binary").groupBy("row").applyInArrow(_either, "row long, bits binary").collect()
     table = np.zeros((FILTER_ROWS, FILTER_BYTES // FILTER_ROWS), dtype=np.uint8)
     for row in rows:
@@ -188,5 +190,5 @@ def bit_filter(keys: DataFrame) -> np.ndarray:
 
 
 def passes(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    place = _places(keys)
-    return (table[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 > 0
+    one, two = ((table[place >> 3] << (place & 7).astype(np.uint8)) & np.uint8(128) > 0 for place in _places(keys))
+    return one & two

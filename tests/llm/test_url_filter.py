@@ -56,3 +56,22 @@ def test_very_long_urls_and_pages(spark):
 def test_host_and_path(spark):
     df = spark.createDataFrame([(u,) for u in URLS], "url string")
     assert {r.url: (r.h, r.p) for r in df.select("url", host_of(F.col("url")).alias("h"), path_of(F.col("url")).alias("p")).collect()} == {u: v[:2] for u, v in URLS.items()}
+
+
+def test_a_host_of_half_the_pages_is_split(spark):
+    """The pages of one large host go to several tasks of the join with the hosts' scores."""
+    pages = spark.range(60_000).selectExpr("id as page_id", "concat('http://', if(id % 2 = 0, 'big.info', concat('h', id % 97, '.com')), '/x/', id) as url", "cast(null as string) as html").repartition(8)
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "8",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        out = url_verdicts(pages)
+        sizes = sorted(r["n"] for r in out.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n")).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sum(sizes) == 60_000 and sizes[-1] < 20_000
