@@ -106,19 +106,37 @@ def _nearest_batches(ids: np.ndarray, vectors: np.ndarray, k: int) -> Callable:
     return run
 
 
-def _unit_batches(query: np.ndarray, unit: np.ndarray, vectors: np.ndarray) -> Callable:
-    """Each document's best product with each of the queries' units, among the rows of a block: one matrix product a block."""
+def _maxsim_batches(query: np.ndarray, vectors: np.ndarray, k: int) -> Callable:
+    """The k best documents of a task for each query, whose units lie together, as do the rows of a document: one matrix product a block."""
+    ids, first, counts = np.unique(query, return_index=True, return_counts=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = max(1, min(2048, 4_000_000 // max(1, len(unit))))
+        step = max(1, min(2048, 4_000_000 // max(1, len(query))))
+        last, best = None, np.zeros((0, len(query)))
+        held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+
+        def scored(docs: np.ndarray, products: np.ndarray) -> None:
+            score = np.add.reduceat(products, first, axis=1) / counts
+            held.append((np.tile(np.arange(len(ids)), len(docs)), np.repeat(docs, len(ids)), score.ravel()))
+            if sum(len(h[0]) for h in held) > 4 * k * len(ids) + 1_000_000:
+                held[:] = [_first(*(np.concatenate(part) for part in zip(*held, strict=True)), k)]
+
         for whole in batches:
             for i in range(0, whole.num_rows, step):
                 batch = whole.slice(i, step)
-                doc, at = np.unique(batch.column(0).to_numpy(), return_inverse=True)
-                order = np.argsort(at, kind="stable")
-                best = np.maximum.reduceat((_matrix(batch.column(1)) @ vectors.T)[order], np.searchsorted(at[order], np.arange(len(doc))), axis=0)
-                rows = [np.tile(query, len(doc)), np.repeat(doc, len(unit)), np.tile(unit, len(doc)), best.ravel()]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=["query_id", "doc_id", "unit", "s"])
+                doc = batch.column(0).to_numpy()
+                begin = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+                products, docs = np.maximum.reduceat(_matrix(batch.column(1)) @ vectors.T, begin, axis=0), doc[begin]
+                if last is not None and docs[0] == last:
+                    products[0] = np.maximum(products[0], best[0])
+                elif last is not None:
+                    scored(np.array([last]), best)
+                scored(docs[:-1], products[:-1])
+                last, best = docs[-1], products[-1:]
+        if last is not None:
+            scored(np.array([last]), best)
+        at, doc, score = _first(*(np.concatenate(part) for part in zip(*held, strict=True)), k)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(doc), pa.array(score)], names=["query_id", "doc_id", "score"])
 
     return run
 
@@ -160,23 +178,21 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame
 def maxsim_topk(doc_units: DataFrame, query_units: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, doc_id, score, rank): the mean over a query's units of the best product with any unit of a document.
 
-    ``doc_units``: doc_id, vector; ``query_units``: query_id, unit, vector, of unit length. The best product is taken
-    where the documents' units are read. About MOST_QUERIES of the queries' units go to all tasks at once; a query's
-    units may lie in several parts, which give sums. Null vectors are left out; ids are long.
+    ``doc_units``: doc_id, vector; ``query_units``: query_id, unit, vector, of unit length. A document's units come to one
+    task, each once, which keeps its k best documents of each query. About MOST_QUERIES of the queries' units, those of a
+    query together, go to all tasks at once. Null vectors are left out; ids are long.
     """
-    doc_units, query_units = doc_units.where("vector is not null"), query_units.where("vector is not null")
+    units = doc_units.where("vector is not null").select(F.col("doc_id").cast("long"), "vector").repartition("doc_id").sortWithinPartitions("doc_id")
 
     def search(part: DataFrame) -> DataFrame:
-        rows = part.collect()
+        rows = sorted(part.select("query_id", "unit", "vector").collect(), key=lambda r: (r["query_id"], r["unit"]))
         if not rows:
-            return part.sparkSession.createDataFrame([], "query_id long, doc_id long, total double, n long")
-        query, unit = (np.array([r[c] for r in rows], dtype=np.int64) for c in ("query_id", "unit"))
-        met = doc_units.select(F.col("doc_id").cast("long"), "vector").mapInArrow(_unit_batches(query, unit, np.array([r["vector"] for r in rows], dtype=np.float64)), "query_id long, doc_id long, unit long, s double")
-        best = met.groupBy("query_id", "doc_id", "unit").agg(F.max("s").alias("s"))
-        return best.groupBy("query_id", "doc_id").agg(F.sum("s").alias("total"), F.count("s").alias("n"))
-
-    sums = in_parts(query_units, ["query_id", "unit"], search).groupBy("query_id", "doc_id").agg((F.sum("total") / F.nullif(F.sum("n"), F.lit(0))).alias("score"))
-    return ranked(sums, k, F.desc(F.round("score", 9)), F.asc("doc_id")).select("query_id", "doc_id", "score", "rank")
+            return part.sparkSession.createDataFrame([], "query_id long, doc_id long, score double, rank int")
+        query = np.array([r["query_id"] for r in rows], dtype=np.int64)
+        found = units.mapInArrow(_maxsim_batches(query, np.array([r["vector"] for r in rows], dtype=np.float64), k), "query_id long, doc_id long, score double")
+        return ranked(found, k, F.desc(F.round("score", 9)), F.asc("doc_id")).select("query_id", "doc_id", "score", "rank")
+
+    return in_parts(query_units.where("vector is not null"), ["query_id"], search)
 
 
 def filter_after_search(hits: DataFrame, kinds: list[str], k: int) -> DataFrame:

@@ -18,8 +18,7 @@ from passagework.plans.shared import shared_folder
 
 # Limits of clustering and of the tree.
 MOST_CLUSTERS, LEAST_PER_CLUSTER, LEAST_NODES, SHARE, MOST_LEVELS = 12, 4, 4, 0.15, 3
-#: A document of up to so many rows is fitted in one task. Larger ones are fitted on all rows in rounds over the table,
-#: which start from a fit on so many.
+#: Rows of a block. A document of one block is fitted in one task, a larger one on all rows in rounds over its blocks.
 FIT_ROWS = 2000
 #: How many of a cluster's members a summarizer is given, unless it asks for more; the plain one shows fewer.
 SHOWN = 256
@@ -63,100 +62,111 @@ def _fits(x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, float
     return [fit_mixture(x, k) for k in range(1, most + 1)]
 
 
-def _fit_document(frame: pd.DataFrame) -> pd.DataFrame:
-    best = min(_fits(np.stack(frame["vector"].to_numpy()).astype(float)), key=lambda m: m[3])
-    return pd.DataFrame({"document_id": [frame["document_id"].iloc[0]], "weights": [best[0].tolist()], "means": [best[1].tolist()], "variances": [best[2].tolist()]})
+_MODEL = "weights array<double>, means array<array<double>>, variances array<double>"
 
 
-def _start_document(frame: pd.DataFrame) -> pd.DataFrame:
-    fits = _fits(np.stack(frame["vector"].to_numpy()).astype(float))
-    return pd.DataFrame({"document_id": frame["document_id"].iloc[0], "weights": [m[0].tolist() for m in fits], "means": [m[1].tolist() for m in fits], "variances": [m[2].tolist() for m in fits]})
+def _points(held: np.ndarray) -> np.ndarray:
+    return np.stack([np.asarray(x["vector"], dtype=float) for x in held])
 
 
-def _sum_batches(models: dict[tuple[str, int], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Callable:
-    """Each task's sums for each model: rows, log-likelihood, and each cluster's shares, shares * |x|^2 and shares * x."""
+def _model_rows(frames: Iterator[pd.DataFrame], best_only: bool) -> Iterator[pd.DataFrame]:
+    """Of each block the mixture of least BIC, or those of all numbers of clusters."""
+    for frame in frames:
+        rows = []
+        for document, held in zip(frame["document_id"], frame["held"], strict=True):
+            fits = _fits(_points(held))
+            rows += [(document, len(m[0]), m[0].tolist(), m[1].tolist(), m[2].tolist()) for m in ([min(fits, key=lambda m: m[3])] if best_only else fits)]
+        yield pd.DataFrame(rows, columns=["document_id", "k", "weights", "means", "variances"])
+
+
+def _sum_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A block's sums for a model: rows, log-likelihood, and each cluster's shares, shares * |x|^2 and shares * x."""
+    for frame in frames:
+        rows = []
+        for r in frame.itertuples(index=False):
+            x = _points(r.held)
+            logs = _densities(x, np.asarray(r.weights), np.stack(r.means), np.asarray(r.variances))
+            total = _log_sum(logs)
+            share = np.exp(logs - total[:, None])
+            rows.append((r.document_id, r.k, np.concatenate([[len(x), total.sum()], share.sum(axis=0), share.T @ (x**2).sum(axis=1), (share.T @ x).ravel()])))
+        yield pd.DataFrame(rows, columns=["document_id", "k", "sums"])
+
+
+def _next_rows(last: bool, tolerance: float) -> Callable:
+    """The models after a step, from the models before it and the sums over all blocks; ``done`` ones stay what they were and have their BIC."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[tuple[str, int], np.ndarray] = {}
-        of_document: dict[str, list[int]] = {}
-        for name, k in models:
-            of_document.setdefault(name, []).append(k)
-        for whole in frames:
-            for name, frame in whole.groupby("document_id"):
-                x = np.stack(frame["vector"].to_numpy()).astype(float)
-                for k in of_document.get(name, []):
-                    logs = _densities(x, *models[name, k])
-                    total = _log_sum(logs)
-                    share = np.exp(logs - total[:, None])
-                    row = np.concatenate([[len(x), total.sum()], share.sum(axis=0), share.T @ (x**2).sum(axis=1), (share.T @ x).ravel()])
-                    sums[name, k] = sums.get((name, k), 0) + row
-        yield pd.DataFrame({"document_id": [n for n, _ in sums], "k": [k for _, k in sums], "sums": [v.tolist() for v in sums.values()]})
+        for frame in frames:
+            rows = []
+            for r in frame.itertuples(index=False):
+                v, k = np.array([x["value"] for x in r.sums]), r.k
+                n_rows, likelihood, n, square, first = v[0], v[1], v[2 : 2 + k] + 1e-9, v[2 + k : 2 + 2 * k], v[2 + 2 * k :].reshape(k, -1)
+                done, bic = last or likelihood / n_rows - r.before < tolerance, (k * first.shape[1] + 2 * k - 1) * np.log(n_rows) - 2 * likelihood
+                weights, means, variances = r.weights, [list(m) for m in r.means], r.variances
+                if not done:
+                    centres = first / n[:, None]
+                    spread = np.maximum(square - 2 * (centres * first).sum(axis=1) + (centres**2).sum(axis=1) * n, 0)
+                    weights, means, variances = (n / n.sum()).tolist(), centres.tolist(), (spread / (n * first.shape[1]) + 1e-6).tolist()
+                rows.append((r.document_id, k, list(weights), means, list(variances), likelihood / n_rows, bool(done), float(bic)))
+            yield pd.DataFrame(rows, columns=["document_id", "k", "weights", "means", "variances", "before", "done", "bic"])
 
     return run
 
 
-def _fit_large(nodes: DataFrame, steps: int = 100, tolerance: float = 1e-3) -> list[tuple[str, list, list, list]]:
-    """The mixtures of least BIC of large documents, by EM over all of their rows: a round over the table for each step.
+def _fit_large(blocks: DataFrame, folder: str, steps: int = 100, tolerance: float = 1e-3) -> DataFrame:
+    """The mixtures of least BIC of large documents, by EM over all of their rows: a round over the blocks for each step.
 
-    All numbers of clusters go through a round together. A round starts from the parameters of the round before, the
-    first from a fit on FIT_ROWS rows of the least hashes; likelihood, parameters and BIC are those of all rows.
+    All numbers of clusters go through a round together. The first round starts from a fit on a document's first block;
+    likelihood, parameters and BIC are those of all rows. The models are tables as well, joined to the blocks by document,
+    so that the driver holds none of them.
     """
-    order = Window.partitionBy("document_id").orderBy(F.xxhash64("chunk_id"), "chunk_id")
-    sample = nodes.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= FIT_ROWS).drop("_n")
-    starts = sample.groupBy("document_id").applyInPandas(_start_document, "document_id string, weights array<double>, means array<array<double>>, variances array<double>")
-    models = {(r["document_id"], len(r["weights"])): (np.array(r["weights"]), np.array(r["means"]), np.array(r["variances"])) for r in starts.collect()}
-    before = dict.fromkeys(models, -np.inf)
-    best: dict[str, tuple] = {}
+    first = blocks.join(blocks.groupBy("document_id").agg(F.min("block").alias("block")), ["document_id", "block"])
+    models = first.select("document_id", "held").mapInPandas(lambda frames: _model_rows(frames, False), f"document_id string, k int, {_MODEL}")
+    active, done = _written(models.withColumn("before", F.lit(float("-inf"))), f"{folder}/models-0"), None
     for step in range(steps + 1):
-        parts = nodes.select("document_id", "vector").mapInPandas(_sum_batches(models), "document_id string, k int, sums array<double>")
+        parts = blocks.select("document_id", "held").join(active.drop("before"), "document_id").mapInPandas(_sum_rows, "document_id string, k int, sums array<double>")
         added = parts.select("document_id", "k", F.posexplode("sums").alias("at", "value")).groupBy("document_id", "k", "at").agg(F.sum("value").alias("value"))
-        for r in added.groupBy("document_id", "k").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("held")).collect():
-            key, k, v = (r["document_id"], r["k"]), r["k"], np.array([x["value"] for x in r["held"]])
-            rows, likelihood, n, square, first = v[0], v[1], v[2 : 2 + k] + 1e-9, v[2 + k : 2 + 2 * k], v[2 + 2 * k :].reshape(k, -1)
-            if likelihood / rows - before[key] < tolerance or step == steps:
-                bic = (k * first.shape[1] + 2 * k - 1) * np.log(rows) - 2 * likelihood
-                held = best.get(key[0])
-                if held is None or (bic, k) < held[:2]:
-                    best[key[0]] = (bic, k, *models[key])
-                del models[key]
-                continue
-            before[key] = likelihood / rows
-            means = first / n[:, None]
-            spread = np.maximum(square - 2 * (means * first).sum(axis=1) + (means**2).sum(axis=1) * n, 0)
-            models[key] = (n / n.sum(), means, spread / (n * first.shape[1]) + 1e-6)
-        if not models:
+        sums = added.groupBy("document_id", "k").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("sums"))
+        schema = f"document_id string, k int, {_MODEL}, before double, done boolean, bic double"
+        now = _written(active.join(sums, ["document_id", "k"]).mapInPandas(_next_rows(step == steps, tolerance), schema), f"{folder}/models-{step + 1}")
+        ended, active = now.where("done"), now.where("not done").drop("done", "bic")
+        done = ended if done is None else done.unionByName(ended)
+        if active.isEmpty():
             break
-    return [(name, m[2].tolist(), m[3].tolist(), m[4].tolist()) for name, m in best.items()]
+    best = done.groupBy("document_id").agg(F.min_by(F.struct("weights", "means", "variances"), F.struct("bic", "k")).alias("m"))
+    return best.select("document_id", "m.*")
 
 
-def _assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _assign_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The clusters of a block's rows, all at once."""
     for frame in frames:
-        clusters = []
-        for row in frame.itertuples(index=False):
-            logs = _densities(np.asarray([row.vector], dtype=float), np.asarray(row.weights), np.stack(row.means), np.asarray(row.variances))
-            share = np.exp(logs - _log_sum(logs)[:, None])[0]
-            held = np.flatnonzero(share >= SHARE)
-            clusters.append((held if len(held) else [int(share.argmax())]))
-        yield pd.DataFrame({"document_id": frame["document_id"], "chunk_id": frame["chunk_id"], "cluster": clusters})
+        rows = []
+        for r in frame.itertuples(index=False):
+            logs = _densities(_points(r.held), np.asarray(r.weights), np.stack(r.means), np.asarray(r.variances))
+            share = np.exp(logs - _log_sum(logs)[:, None])
+            has = share >= SHARE
+            none = ~has.any(axis=1)
+            has[none, share[none].argmax(axis=1)] = True
+            node, cluster = np.nonzero(has)
+            rows.append(pd.DataFrame({"document_id": r.document_id, "chunk_id": [r.held[i]["chunk_id"] for i in node], "cluster": cluster.astype(np.int32)}))
+        yield pd.concat(rows) if rows else pd.DataFrame({"document_id": [], "chunk_id": [], "cluster": []})
 
 
 def soft_clusters(nodes: DataFrame) -> DataFrame:
     """(document_id, chunk_id, cluster) of nodes (document_id, chunk_id, vector): every cluster that a node has a share of.
 
-    The number of clusters has the least BIC. Mixtures are fitted on all rows: those of documents of more than FIT_ROWS
-    rows in rounds over the table (see _fit_large).
+    A document's rows lie in blocks of about FIT_ROWS. The number of clusters has the least BIC. Mixtures are fitted on all
+    rows: those of documents of one block in one task, others in rounds over their blocks (see _fit_large).
     """
-    spark, schema = nodes.sparkSession, "document_id string, weights array<double>, means array<array<double>>, variances array<double>"
-    counts = nodes.groupBy("document_id").agg(F.count("*").alias("_n"))
-    large = counts.where(F.col("_n") > FIT_ROWS).select("document_id")
-    rows = nodes.select("document_id", "chunk_id", "vector")
-    models = rows.join(large, "document_id", "left_anti").groupBy("document_id").applyInPandas(_fit_document, schema)
+    folder = shared_folder(nodes.sparkSession, "mixtures")
+    counts = nodes.groupBy("document_id").agg(F.expr(f"(count(*) + {FIT_ROWS - 1}) div {FIT_ROWS}").alias("blocks"))
+    placed = nodes.join(counts, "document_id").withColumn("block", F.pmod(F.xxhash64("chunk_id"), "blocks"))
+    blocks = _written(placed.groupBy("document_id", "blocks", "block").agg(F.collect_list(F.struct("chunk_id", "vector")).alias("held")), f"{folder}/blocks")
+    small, large = blocks.where("blocks = 1"), blocks.where("blocks > 1").drop("blocks")
+    models = small.select("document_id", "held").mapInPandas(lambda frames: _model_rows(frames, True), f"document_id string, k int, {_MODEL}").drop("k")
     if not large.isEmpty():
-        path = shared_folder(spark, "mixtures")
-        rows.join(large, "document_id", "left_semi").write.parquet(path)
-        models = models.unionByName(spark.createDataFrame(_fit_large(spark.read.parquet(path)), schema))
-    joined = nodes.select("document_id", "chunk_id", "vector").join(models, "document_id")
-    return joined.mapInPandas(_assign, "document_id string, chunk_id string, cluster array<int>").select("document_id", "chunk_id", F.explode("cluster").alias("cluster"))
+        models = models.unionByName(_fit_large(large, folder))
+    return blocks.select("document_id", "held").join(_written(models, f"{folder}/models"), "document_id").mapInPandas(_assign_rows, "document_id string, chunk_id string, cluster int")
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

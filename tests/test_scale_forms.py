@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,3 +109,21 @@ def test_streams_order_a_key_across_arrow_batches(spark, tmp_path):
         assert got == {i: i not in (0, 5, 10) for i in range(12)}
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_models_of_many_large_documents_stay_off_the_driver(spark, monkeypatch):
+    """Mixtures of large documents are tables from start to end: the driver collects no rows."""
+    from pyspark.sql.classic.dataframe import DataFrame as Frame
+
+    monkeypatch.setattr(tree, "FIT_ROWS", 16)
+    rng = np.random.default_rng(0)
+    rows = [(f"d{d}", f"d{d}-{i}", [float(v) for v in rng.normal(size=4) + 8 * (i % 3)]) for d in range(30) for i in range(60 if d % 3 else 10)]
+    nodes = spark.createDataFrame(rows, "document_id string, chunk_id string, vector array<double>")
+    with monkeypatch.context() as m:
+        m.setattr(Frame, "collect", lambda self: pytest.fail("collected"))
+        m.setattr(Frame, "toPandas", lambda self: pytest.fail("collected"))
+        out = tree.soft_clusters(nodes)
+    of = {r["chunk_id"]: r["cluster"] for r in out.collect()}
+    assert len(of) == len(rows)
+    large = [d for d in range(30) if d % 3]
+    assert sum(len({of[f"d{d}-{i}"] for i in range(j, 60, 3)}) == 1 for d in large for j in range(3)) >= 0.9 * 3 * len(large)
