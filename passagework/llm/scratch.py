@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +25,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+@contextmanager
+def short_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffles of what runs inside are removed when it ends."""
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 class Scratch:
     """Parquet tables under one new folder. Writing one cuts the lineage, and a lost executor costs a reread only."""
 
@@ -33,12 +46,8 @@ class Scratch:
     def save(self, df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
         """Writes ``df`` and returns the written table. The shuffles behind it, which nothing reads again, are removed."""
         path = f"{self.root}/{name}"
-        before = self.spark.conf.get(CLEANUP)
-        self.spark.conf.set(CLEANUP, "true")
-        try:
+        with short_shuffles(self.spark):
             df.write.mode("overwrite").parquet(path, compression=codec)
-        finally:
-            self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:

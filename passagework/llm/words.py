@@ -14,6 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from passagework.llm.scratch import short_shuffles
+
 #: Bytes that separate words: white space only, or everything in ASCII but digits and lower-case letters.
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 NON_ALPHANUMERIC = bytes(b for b in range(128) if not (48 <= b <= 57 or 97 <= b <= 122 or 65 <= b <= 90))
@@ -182,7 +184,8 @@ def _either(rows: pa.Table) -> pa.Table:
 
 def bit_filter(keys: DataFrame) -> np.ndarray:
     """FILTER_BYTES bytes with two bits set for each key (a column of longs). It grows no larger with more keys, but lets more others pass."""
-    rows = keys.mapInArrow(_bit_batches, "row long, bits binary").groupBy("row").applyInArrow(_either, "row long, bits binary").collect()
+    with short_shuffles(keys.sparkSession):
+        rows = keys.mapInArrow(_bit_batches, "row long, bits binary").groupBy("row").applyInArrow(_either, "row long, bits binary").collect()
     table = np.zeros((FILTER_ROWS, FILTER_BYTES // FILTER_ROWS), dtype=np.uint8)
     for row in rows:
         table[row["row"]] = np.frombuffer(row["bits"], np.uint8)

@@ -1,3 +1,5 @@
+import re
+
 import public_tokenizers
 from pyspark.sql import functions as F
 
@@ -84,3 +86,46 @@ def test_given_documents(spark):
     leaks = {r.doc_id for r in fine.collect() if any(b in r.text.lower() for b in benchmark)}
     out = {r.doc_id for r in P.run(spark, folder).select("doc_id", F.size("ids").alias("n")).collect()}
     assert out <= kept - leaks and len(kept - leaks - out) <= 3
+
+
+def test_whole_pipeline_against_brute_force(spark):
+    """All stages over the given documents, each the long way in plain Python on what the one before it kept: the same rows, with the same token ids."""
+    import numpy as np
+    import tiktoken
+    from tiktoken.load import load_tiktoken_bpe
+
+    from passagework.llm.toxicity import _features
+    from passagework.llm.words import NON_ALPHANUMERIC, Words
+    from test_decontaminate import brute as leaks
+    from test_minhash_dedup import brute as classes
+    from test_secret_scan import brute as secrets
+
+    folder = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
+    model = fit_toxicity(docs, labels)
+    weights = dict(zip(model.features.tolist(), model.weights.tolist(), strict=True))
+
+    def toxic(text):
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        hashes = set(_features(Words(data, np.array([0, len(data)]), NON_ALPHANUMERIC))[0].tolist())
+        return 1 / (1 + np.exp(model.cuts[0] - sum(weights.get(h, 0.0) for h in hashes))) >= 0.5
+
+    left = {r.doc_id: r.text for r in docs.collect()}
+    assert len(left) == docs.count()
+    left = {d: t for d, t in left.items() if not toxic(t)}
+    left = {d: left[d] for d, (_, _, kept) in classes(list(left.items()), 5).items() if kept}
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    runs = lambda t: {tuple(w[i : i + 5]) for w in [re.findall("[0-9a-z\x80-\U0010ffff]+", t.lower())] for i in range(max(1, len(w) - 4))}
+    near = [(d, i) for i, x in enumerate(map(runs, (x for _, x in items))) for d, t in left.items() if x & runs(t or "")]  # others share no run
+    held = {d for d, i in near if leaks([(d, left[d])], [items[i]])}
+    left = {d: t for d, t in left.items() if d not in held}
+    masked = 0
+    for d, text in left.items():
+        out, at = "", 0
+        for a, b in sorted(tuple(map(int, s.split(":")[1:])) for s in secrets(text)[-1].split(",") if s):
+            out, at, masked = out + (text[at:a] + "[secret]" if a >= at else ""), max(at, b), masked + 1
+        left[d] = out + (text or "")[at:]
+    bpe = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_tiktoken_bpe(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    got = {r.doc_id: list(r.ids) for r in P.run(spark, folder).collect()}
+    assert got == {d: bpe.encode_ordinary(t) for d, t in left.items()}
+    assert len(left) < docs.count() - 5
