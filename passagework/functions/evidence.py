@@ -21,6 +21,10 @@ UNFETCHED_HOSTS = ["youtube.com", "reddit.com", "twitter.com", "instagram.com",
 DEFINING = ["is a", "is defined as", "refers to", "stands for"]
 COMPARING = ["difference", "compared to", "vs", "versus", "while", "unlike", "whereas"]
 SOLVING = ["error", "fix", "solution", "resolve"]
+# Most points for concepts; points for a good source and any other, for wording that fits, partly fits, doesn't fit, and for intents without wording.
+MOST_FOUND, GOOD_SOURCE, OTHER_SOURCE, FITS, BOTH_SIDES, UNFIT, NO_WORDING = 40, 30, 10, 30, 25, 10, 20
+# A concept that sources about a software library of a like name are taken for: its name, the mark in the link and in the snippet, and what it costs.
+MISTAKEN = ("eigenvector", "eigen", "c++", 50)
 ASKING = ["what is a ", "what is an ", "what is ", "who is ", "define "]
 
 
@@ -34,17 +38,18 @@ def concept_overlap(concept: Column, low_snippet: Column) -> Column:
 def evidence_score(concepts: Column, intent: Column, snippet: Column, url: Column) -> Column:
     """0 to 100: concepts found (40), the source (30), wording that fits the intent (30)."""
     low, link = F.lower(F.coalesce(snippet, F.lit(""))), F.lower(F.coalesce(url, F.lit("")))
-    share = F.floor(40 / F.greatest(F.size(concepts), F.lit(1)))
+    share = F.floor(MOST_FOUND / F.greatest(F.size(concepts), F.lit(1)))
     found = F.aggregate(concepts, F.lit(0).cast("long"), lambda s, c: s + F.floor(share * concept_overlap(c, low)))
-    source = F.when(contains_any(link, GOOD_DOMAINS), 30).otherwise(10)
+    source = F.when(contains_any(link, GOOD_DOMAINS), GOOD_SOURCE).otherwise(OTHER_SOURCE)
     sides = F.size(F.filter(concepts, lambda c: concept_overlap(c, low) >= 0.5))
     fits = (
-        F.when(intent == "definition", F.when(contains_any(low, DEFINING), 30).otherwise(10))
-        .when(intent == "comparison", F.when(contains_any(low, COMPARING), 30).when((F.size(concepts) >= 2) & (sides >= 2), 25).otherwise(10))
-        .when(intent == "troubleshooting", F.when(contains_any(low, SOLVING), 30).otherwise(10)).otherwise(20)
+        F.when(intent == "definition", F.when(contains_any(low, DEFINING), FITS).otherwise(UNFIT))
+        .when(intent == "comparison", F.when(contains_any(low, COMPARING), FITS).when((F.size(concepts) >= 2) & (sides >= 2), BOTH_SIDES).otherwise(UNFIT))
+        .when(intent == "troubleshooting", F.when(contains_any(low, SOLVING), FITS).otherwise(UNFIT)).otherwise(NO_WORDING)
     )
-    wrong_eigen = F.exists(concepts, lambda c: F.lower(c) == "eigenvector") & link.contains("eigen") & low.contains("c++")
-    return F.greatest(F.lit(0), F.least(F.lit(100), F.least(found, F.lit(40)) + source + fits - F.when(wrong_eigen, 50).otherwise(0))).cast("long")
+    concept, in_link, in_text, cost = MISTAKEN
+    mistaken = F.exists(concepts, lambda c: F.lower(c) == concept) & link.contains(in_link) & low.contains(in_text)
+    return F.greatest(F.lit(0), F.least(F.lit(100), F.least(found, F.lit(MOST_FOUND)) + source + fits - F.when(mistaken, cost).otherwise(0))).cast("long")
 
 
 def credibility(url: Column) -> Column:

@@ -148,26 +148,33 @@ def route(query: Column) -> Column:
     )
 
 
+# What adds to an arm's weight of 1, by how much; candidates for each wanted result and at least; words of a long query.
+LEXICAL_WEIGHTS = {"lexical": 0.25, "comparative": 0.1, "negation": 0.2, "own_route": 0.35}
+DENSE_WEIGHTS = {"semantic": 0.2, "comparative": 0.1, "negation": 0.05, "own_route": 0.35}
+FULL_BUDGET, HALF_BUDGET = (4, 12), (2, 6)
+LONG_QUERY = 12
+
+
 def arm_weights(chosen: Column, f: Column) -> Column:
     """A struct of the lexical and the dense list's weight."""
     add = lambda test, x: F.when(test, F.lit(x)).otherwise(F.lit(0.0))
-    lexical = f["has_numbers"] | f["has_quotes"] | f["has_code_tokens"] | f["has_capitalized_tokens"]
-    bm25 = 1.0 + add(lexical, 0.25) + add(f["is_comparative"], 0.1) + add(f["has_negation"], 0.2) + add(chosen == "bm25", 0.35)
-    dense = 1.0 + add(f["is_semantic"], 0.2) + add(f["is_comparative"], 0.1) + add(f["has_negation"], 0.05) + add(chosen == "dense", 0.35)
-    return F.struct(bm25.alias("bm25"), dense.alias("dense"))
+    exact = f["has_numbers"] | f["has_quotes"] | f["has_code_tokens"] | f["has_capitalized_tokens"]
+    signs = {"lexical": exact, "semantic": f["is_semantic"], "comparative": f["is_comparative"], "negation": f["has_negation"]}
+    weight = lambda arm, table: sum((add(chosen == arm if name == "own_route" else signs[name], x) for name, x in table.items()), F.lit(1.0))
+    return F.struct(weight("bm25", LEXICAL_WEIGHTS).alias("bm25"), weight("dense", DENSE_WEIGHTS).alias("dense"))
 
 
 def budgets(chosen: Column, k: int) -> Column:
     """How many candidates the lexical and the dense list may give; for dense the larger number stays with the first, as it is known to."""
-    one_sided = F.struct(F.lit(max(4 * k, 12)).alias("bm25"), F.lit(max(2 * k, 6)).alias("dense"))
-    return F.when(chosen.isin("bm25", "dense"), one_sided).otherwise(F.struct(F.lit(max(4 * k, 12)).alias("bm25"), F.lit(max(4 * k, 12)).alias("dense")))
+    full, half = (F.lit(max(times * k, least)) for times, least in (FULL_BUDGET, HALF_BUDGET))
+    return F.when(chosen.isin("bm25", "dense"), F.struct(full.alias("bm25"), half.alias("dense"))).otherwise(F.struct(full.alias("bm25"), full.alias("dense")))
 
 
 def wants_summaries(chosen: Column, f: Column, how: Column, opted_in: bool = True) -> Column:
     """Whether summary nodes join the retrieval of a query."""
     if not opted_in:
         return F.lit(False)
-    long = f["word_count"] >= 12
+    long = f["word_count"] >= LONG_QUERY
     hop = ~((chosen == "bm25") & ~(f["has_negation"] | f["is_comparative"])) & (long | f["is_comparative"] | (f["has_negation"] & ~f["is_semantic"]))
     return F.when(how == "global", True).when(how == "multi_hop", hop).when(how == "simple", (chosen != "bm25") & (long | f["is_comparative"])).otherwise(False)
 
