@@ -75,13 +75,15 @@ class _Grams:
 
 
 def packed(x: np.ndarray) -> bytes:
-    """Counts or ranks by as many bytes as the largest needs, bytes of equal weight side by side: the high ones are mostly zeros, which compression takes out."""
+    """Counts or ranks by as many bytes as the largest needs, bytes of equal weight side by side and compressed: the high ones are mostly zeros."""
     width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
-    return bytes([width]) + b"".join(((x >> (8 * i)) & 255).astype(np.uint8).tobytes() for i in range(width))
+    planes = b"".join(((x >> (8 * i)) & 255).astype(np.uint8).tobytes() for i in range(width))
+    return bytes([width]) + len(planes).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
 
 
-def unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
+def unpacked(data: memoryview) -> np.ndarray:
+    planes = pa.decompress(pa.py_buffer(data[9:]), int.from_bytes(data[1:9], "little"), "zstd")
+    planes = np.frombuffer(planes, np.uint8).reshape(data[0], -1)
     out = planes[0].astype(np.int64)
     for i in range(1, len(planes)):
         out |= planes[i].astype(np.int64) << (8 * i)
@@ -173,7 +175,7 @@ def _count_part(rows: pa.Table) -> pa.Table:
     return pa.table(
         {
             "part": pa.array(np.full(n + 1, asked.column("part")[0].as_py())), "block": pa.array([*asked.column("block").to_pylist(), None], pa.int64()),
-            "counts": pa.array([*(packed(totals[number[a:b]]) for a, b in cuts), None], pa.binary()), "owned": pa.array([*(np.packbits(owned[a:b]).tobytes() for a, b in cuts), None], pa.binary()),
+            "counts": pa.array([*(packed(totals[number[a:b]]) for a, b in cuts), None], pa.binary()), "owned": pa.array([*(packed(np.packbits(owned[a:b])) for a, b in cuts), None], pa.binary()),
             "figures": pa.array([None] * n + [figures], pa.list_(pa.float64())), "asked": lists(new, np.array([0] * (n + 1) + [len(new)])),
         }
     )
@@ -202,7 +204,7 @@ class _Counted:
             rows = np.flatnonzero(k_of == k)
             rows = rows[np.argsort(part[rows])]
             counts = [_row(answers, "counts", i) for i in rows.tolist()]
-            owned = [np.unpackbits(np.frombuffer(answers.column("owned")[i].as_buffer(), np.uint8), count=len(c)) for i, c in zip(rows.tolist(), counts, strict=True)]
+            owned = [np.unpackbits(_row(answers, "owned", i).astype(np.uint8), count=len(c)) for i, c in zip(rows.tolist(), counts, strict=True)]
             for held, out, kind in ((counts, self.count, np.int64), (owned, self.owned, bool)):
                 out[k] = np.empty(sum(map(len, held)), dtype=kind)
                 out[k][np.argsort(self.grams.keys[1]) if k == 1 else slice(None)] = np.concatenate([np.zeros(0, kind), *held])
