@@ -36,8 +36,8 @@ def merge_first(lists: DataFrame) -> DataFrame:
 
 
 def reserve_summaries(fused: DataFrame, summaries: DataFrame, k: int, most: int = MOST_FUSED) -> DataFrame:
-    """The best max(3, k // 2) summaries (level, then score, both descending) before the fused list, ``most`` rows in all."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("level"), F.desc("score"), "chunk_id")
+    """The best max(3, k // 2) summaries (level, then score to 9 places, both descending) before the fused list, ``most`` rows in all. Ties: the smaller chunk_id."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("level"), F.desc(F.round("score", 9)), "chunk_id")
     head = summaries.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(3, k // 2))
     both = head.select("query_id", F.lit(0).alias("list_id"), "chunk_id", "score", "rank").unionByName(fused.select("query_id", F.lit(1).alias("list_id"), "chunk_id", "score", "rank"))
     return merge_first(both).where(F.col("rank") <= most).select("query_id", "chunk_id", "score", "rank")
