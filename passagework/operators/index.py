@@ -23,18 +23,34 @@ def corpus_stats(lengths: DataFrame) -> DataFrame:
     return lengths.agg(F.count("*").alias("n_chunks"), F.avg("length").alias("mean_length"))
 
 
+def _counted_terms(held: DataFrame) -> DataFrame:
+    """(term, df, length); see statistics()."""
+    rows = held.select(F.explode(F.concat(F.array_distinct("words"), F.array(F.lit(None).cast("string")))).alias("term"), "length")
+    return rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("length").alias("length"))
+
+
 def statistics(held: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((term, df), one row of n_chunks and mean_length) of (words, length), in one pass.
 
     A chunk counts once for each distinct word, and once for no word, which carries its length. A task sums its chunks before
     the shuffle, which then has a row for each task and term.
     """
-    rows = held.select(F.explode(F.concat(F.array_distinct("words"), F.array(F.lit(None).cast("string")))).alias("term"), "length")
-    counted = rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("length").alias("length"))
+    counted = _counted_terms(held)
     world = counted.where("term is null").agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n_chunks"), (F.sum("length") / F.sum("df")).alias("mean_length"))
     return counted.where("term is not null").select("term", "df"), world
 
 
+def kept_term_stats(held: DataFrame, folder: str) -> tuple[DataFrame, float | None]:
+    """(term_stats() of (words, length), the mean length): the counts are written under ``folder``, so that the texts are read once for them."""
+    spark = held.sparkSession
+    counted = _counted_terms(held)
+    counted.write.parquet(folder)
+    counted = spark.read.schema(counted.schema).parquet(folder)
+    world = counted.where("term is null").first()
+    n, mean = (world["df"], world["length"] / world["df"]) if world else (0, None)
+    return term_stats(counted.where("term is not null").select("term", "df"), spark.range(1).select(F.lit(n).cast("long").alias("n_chunks"))), mean
+
+
 def term_stats(posting_rows: DataFrame, world: DataFrame, epsilon: float = 0.25) -> DataFrame:
     """(term, df, idf) from postings, or from (term, df); ``world`` is corpus_stats().
 

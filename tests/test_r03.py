@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+import random
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from passagework.functions import queries as Q
-from passagework.operators import rank
+from passagework.operators import corpus_index, index, rank, search
 
 
 def test_variants_cut_words_at_ascii_bounds(spark):
@@ -21,3 +25,45 @@ def test_summaries_of_equal_score_stand_by_id(spark):
     found = spark.createDataFrame([(0, 7, 0, 244.90554603680287), (0, 3, 0, 244.9055460368028), (0, 5, 0, 245.0)], "query_id long, chunk_id long, level int, score double")
     got = rank.reserve_summaries(fused, found, 5).orderBy("rank").collect()
     assert [r.chunk_id for r in got] == [5, 3, 7]
+
+
+def _score(docs, q, d, k1=1.5, b=0.75):
+    n, mean = len(docs), sum(map(len, docs)) / len(docs)
+    df = Counter(w for x in docs for w in set(x))
+    idf = {w: math.log(n - c + 0.5) - math.log(c + 0.5) for w, c in df.items()}
+    floor = 0.25 * sum(idf.values()) / len(idf)
+    return sum((idf[w] if idf[w] >= 0 else floor) * d.count(w) * (k1 + 1) / (d.count(w) + k1 * (1 - b + b * len(d) / mean)) for w in q if w in idf)
+
+
+def test_bm25_makes_no_row_for_a_pair_of_chunk_and_query(spark, monkeypatch):
+    """Sums of many blocks, cut within a block, and in parts of the queries, are those of the formula; the lists are written."""
+    monkeypatch.setattr("passagework.operators.search.PAIRS", 7)
+    monkeypatch.setattr("passagework.operators.search.CELLS", 40)
+    monkeypatch.setattr("passagework.operators.search.MOST_QUERIES", 5)
+    rng = random.Random(3)
+    docs = [rng.choices("abcdefghijklmnopq", weights=range(17, 0, -1), k=rng.randint(0, 12)) for _ in range(120)] + [["a", "b"]] * 9
+    asked = [rng.choices("abcdefghijklz", k=rng.randint(0, 5)) for _ in range(12)]
+    chunks = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "chunk_id long, text string")
+    queries = spark.createDataFrame([(i, " ".join(q)) for i, q in enumerate(asked)], "query_id long, query string")
+    hits = search.bm25_topk(chunks, queries, 6)
+    assert "Exchange" not in hits._jdf.queryExecution().executedPlan().toString()
+    got = {(r.query_id, r["rank"]): (r.chunk_id, round(r.score, 6)) for r in hits.collect()}
+    want = {}
+    for i, q in enumerate(asked):
+        best = sorted(((-round(_score(docs, q, d), 9), c) for c, d in enumerate(docs)))[:6]
+        want |= {(i, n + 1): (c, round(-s, 6)) for n, (s, c) in enumerate(best) if s < 0}
+    assert got == want
+
+
+def test_blocks_and_saved_postings_score_by_chunk(spark, tmp_path):
+    """Both give bm25_topk()'s rows, written, from postings that come together by chunk."""
+    rng = random.Random(4)
+    docs = [" ".join(rng.choices("abcdefghijklmnopq", k=rng.randint(1, 12))) for _ in range(700)]
+    chunks = spark.createDataFrame([(i, "d", None, "raw", 0, d) for i, d in enumerate(docs)], "chunk_id long, document_id string, parent_id string, node_type string, level int, text string").repartition(3)
+    queries = spark.createDataFrame([(i, " ".join(rng.choices("abcdefghij", k=3))) for i in range(8)], "query_id long, query string")
+    want = sorted((r.query_id, r["rank"], r.chunk_id, round(r.score, 6)) for r in search.bm25_topk(chunks, queries, 5).collect())
+    index.save_index(f"{tmp_path}/plain", chunks)
+    saved = corpus_index.insert(corpus_index.open_index(spark, f"{tmp_path}/saved"), chunks)
+    for hits in (search.bm25_topk_indexed(index.load_index(spark, f"{tmp_path}/plain"), queries, 5), search.bm25_topk_blocks(saved, queries, 5)):
+        assert "Exchange" not in hits._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r.query_id, r["rank"], r.chunk_id, round(r.score, 6)) for r in hits.collect()) == want
