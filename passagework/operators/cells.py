@@ -13,6 +13,8 @@ from passagework.operators.search import in_parts, ranked
 
 #: Vectors that pivots are chosen from, pivots, and rows that are compared at once.
 SAMPLE, PIVOTS, STEP = 4096, 64, 2048
+#: Pairs of a query and a row that a task compares at once.
+PAIRS = 1 << 16
 
 
 def chosen_pivots(rows: DataFrame) -> DataFrame:
@@ -60,10 +62,16 @@ def assigned_cells(rows: DataFrame, pivots: DataFrame) -> DataFrame:
 def _near_batches(ids: np.ndarray, vectors: np.ndarray, to_pivots: np.ndarray, wanted: dict[int, np.ndarray], reach: np.ndarray, k: int) -> Callable:
     """(query_id, chunk_id, segment, row, score): a task's k nearest rows of each query, among the cells it wants and the rows whose distance to the pivot lets them be within its reach."""
 
+    names, norms = ["query", "chunk_id", "segment", "row", "score"], (vectors**2).sum(axis=1)
+
+    def beyond(d: np.ndarray) -> np.ndarray:
+        """A squared distance whose score is less than that of ``d`` to 9 places."""
+        return 1 / np.maximum(1 / (1 + d) - 2e-9, 1e-12) - 1
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["query", "chunk_id", "segment", "row", "score"]
         held = [np.zeros((0, 4), np.int64)]
         scores = [np.zeros(0)]
+        most, n = np.full(len(ids), np.inf), 0
 
         def best() -> None:
             rows, score = np.concatenate(held), np.concatenate(scores)
@@ -78,15 +86,26 @@ def _near_batches(ids: np.ndarray, vectors: np.ndarray, to_pivots: np.ndarray, w
                 batch = whole.slice(i, STEP)
                 cells, far = batch.column(3).to_numpy(), batch.column(4).to_numpy()
                 x, keys = _matrix(batch.column(5)), np.stack([batch.column(j).to_numpy() for j in range(3)], axis=1)
+                sizes = (x**2).sum(axis=1)
                 for cell in np.unique(cells):
                     at, asking = np.flatnonzero(cells == cell), wanted.get(int(cell), np.zeros(0, np.int64))
-                    for q in asking:
-                        near = at[np.abs(far[at] - to_pivots[q, cell]) <= reach[q]]
-                        d = ((x[near] - vectors[q]) ** 2).sum(axis=1)
-                        held.append(np.concatenate([np.full((len(near), 1), q), keys[near]], axis=1))
-                        scores.append(1 / (1 + d))
-                if sum(map(len, scores)) > 200_000 + 4 * k * len(ids):
-                    best()
+                    step = max(1, PAIRS // len(at))
+                    for some in (asking[j : j + step] for j in range(0, len(asking), step)):
+                        open_ = np.abs(far[at] - to_pivots[some, cell][:, None]) <= reach[some][:, None]
+                        # one product bounds the squared distances from both sides; only rows that may be among the k best are measured themselves
+                        total = norms[some][:, None] + sizes[at]
+                        near = total - 2 * vectors[some] @ x[at].T
+                        if len(at) >= k:
+                            upper = np.partition(np.where(open_, near + 1e-9 * total, np.inf), k - 1, axis=1)[:, k - 1]
+                            most[some] = np.fmin(most[some], np.where(np.isfinite(upper), beyond(np.maximum(upper, 0)), np.inf))
+                        query, place = np.nonzero(open_ & ~(near - 1e-9 * total > most[some][:, None]))
+                        query, place = some[query], at[place]
+                        held.append(np.concatenate([query[:, None], keys[place]], axis=1))
+                        scores.append(1 / (1 + ((x[place] - vectors[query]) ** 2).sum(axis=1)))
+                        n += len(query)
+                        if n > 200_000 + 2 * k * len(ids) or len(held) > 4096:
+                            best()
+                            n = len(scores[0])
         best()
         rows, score = held[0], scores[0]
         columns = [pa.array(ids[rows[:, 0]]), *(pa.array(np.ascontiguousarray(rows[:, j])) for j in (1, 2, 3)), pa.array(score)]

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import math
 import random
+import tracemalloc
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from passagework.functions import queries as Q
-from passagework.operators import corpus_index, index, rank, search
+from passagework.operators import cells, corpus_index, index, rank, search
 
 
 def test_variants_cut_words_at_ascii_bounds(spark):
@@ -67,3 +70,24 @@ def test_blocks_and_saved_postings_score_by_chunk(spark, tmp_path):
     for hits in (search.bm25_topk_indexed(index.load_index(spark, f"{tmp_path}/plain"), queries, 5), search.bm25_topk_blocks(saved, queries, 5)):
         assert "Exchange" not in hits._jdf.queryExecution().executedPlan().toString()
         assert sorted((r.query_id, r["rank"], r.chunk_id, round(r.score, 6)) for r in hits.collect()) == want
+
+
+def test_a_task_of_near_rows_holds_few_of_them():
+    """What a task keeps follows queries and k, not queries times rows; the lists are brute force's."""
+    rng = np.random.default_rng(8)
+    x, asked, k = rng.normal(size=(6000, 8)), rng.normal(size=(600, 8)), 3
+    x[10:40] = x[50]
+    ids, far = np.arange(600), np.sqrt((x**2).sum(axis=1))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(6000)), pa.array(np.zeros(6000, np.int64)), pa.array(np.arange(6000)), pa.array(np.zeros(6000, np.int32)), pa.array(far), pa.array(list(x))], names=["chunk_id", "segment", "row", "cell", "to_pivot", "vector"])
+    run = cells._near_batches(ids, asked, np.sqrt((asked**2).sum(axis=1))[:, None], {0: np.arange(600)}, np.full(600, np.inf), k)
+    tracemalloc.start()
+    out = pa.Table.from_batches(list(run(iter([batch])))).to_pydict()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    got = {q: [] for q in range(600)}
+    for q, c, score in sorted(zip(out["query_id"], out["chunk_id"], out["score"], strict=True), key=lambda r: (r[0], -round(r[2], 9), r[1])):
+        got[q].append(c)
+    for q in range(600):
+        score = np.round(1 / (1 + ((x - asked[q]) ** 2).sum(axis=1)), 9)
+        assert got[q] == np.lexsort((np.arange(6000), -score))[:k].tolist()
+    assert peak < 60_000_000
