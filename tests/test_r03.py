@@ -91,3 +91,11 @@ def test_a_task_of_near_rows_holds_few_of_them():
         score = np.round(1 / (1 + ((x - asked[q]) ** 2).sum(axis=1)), 9)
         assert got[q] == np.lexsort((np.arange(6000), -score))[:k].tolist()
     assert peak < 60_000_000
+
+
+def test_no_question_or_none_known_gives_no_hits(spark):
+    chunks = spark.createDataFrame([(1, "a b"), (2, None)], "chunk_id long, text string")
+    for rows in ([], [(0, "zzz"), (1, None)]):
+        queries = spark.createDataFrame(rows, "query_id long, query string")
+        assert search.bm25_topk(chunks, queries, 3).count() == 0
+    assert search.bm25_topk(chunks.limit(0), spark.createDataFrame([(0, "a")], "query_id long, query string"), 3).count() == 0
