@@ -4,17 +4,21 @@ Under a folder lie ``segments/<name>/`` with tables, and ``manifests/<generation
 generation consists of. A change writes one segment with what it adds, marks what it takes away, and then its manifest,
 which comes to be in one step. Whoever opened an earlier generation keeps reading that one.
 
-Tables of a segment: chunks (with ``row``), lengths, postings (sorted by term), bounds (of blocks of postings), df (what it
-adds to and takes from each term's number of chunks), gone (rows of earlier segments that no longer count), vectors (by
-kind and cell) and cells.
+Tables of a segment: chunks (with ``row``), lengths, postings (a chunk's words and counts, in the chunks' order, so that none
+is shuffled), bounds (of each word in a block of chunks, blocks together), df (what it adds to and takes from each term's
+number of chunks), gone (rows of earlier segments that no longer count), vectors (by kind and cell) and cells.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from passagework.functions.text import tokens
@@ -81,6 +85,10 @@ class CorpusIndex:
         rows, gone = self.table(name), self.table("gone")
         return rows if gone is None else rows.join(gone.select(F.col("of").alias("segment"), "row"), KEY, "left_anti")
 
+    @property
+    def block_rows(self) -> int:
+        return BLOCK_ROWS
+
     @property
     def chunks(self) -> DataFrame:
         return self.live("chunks").drop(*KEY)
@@ -111,16 +119,33 @@ def _save(df: DataFrame, path: str, by: list[str] | None = None) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def _counted_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column, a chunk's words, as its distinct words and how often it has each."""
+    for whole in batches:
+        for start in range(0, whole.num_rows, 1024):
+            batch = whole.slice(start, 1024)
+            lists = batch.column(batch.num_columns - 1)
+            words = pc.dictionary_encode(lists.flatten())
+            n = max(1, len(words.dictionary))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            key, tf = np.unique(row * n + words.indices.to_numpy(), return_counts=True)
+            at = pa.array(np.append(0, np.cumsum(np.bincount(key // n, minlength=batch.num_rows))).astype(np.int32))
+            terms = pa.ListArray.from_arrays(at, words.dictionary.take(pa.array(key % n)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], terms, pa.ListArray.from_arrays(at, pa.array(tf))], names=[*batch.schema.names[:-1], "terms", "counts"])
+
+
 def _text_tables(path: str, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Writes chunks, lengths, postings and bounds; returns the postings and the lengths."""
+    """Writes chunks, postings, lengths and bounds; returns (term, df) and the lengths. Texts are read once; only a block's bounds are shuffled."""
     held = _save(chunks.drop(*KEY).withColumn("row", F.monotonically_increasing_id()), f"{path}/chunks")
-    words = held.select("row", "chunk_id", "node_type", tokens(F.col("text")).alias("words")).withColumn("length", F.size("words").cast("long"))
-    lengths = _save(words.drop("words", "node_type"), f"{path}/lengths")
-    counted = words.select("row", "chunk_id", "node_type", "length", F.explode("words").alias("term")).groupBy("term", "row", "chunk_id", "node_type", "length").agg(F.count("*").alias("tf"))
-    counted = counted.withColumn("block", F.expr(f"row div {BLOCK_ROWS}"))
-    postings = _save(counted.repartitionByRange("term", "row").sortWithinPartitions("term", "row"), f"{path}/postings")
-    _save(postings.groupBy("term", "block").agg(F.max("tf").alias("most"), F.min("length").alias("shortest")).sortWithinPartitions("term"), f"{path}/bounds")
-    return postings, lengths
+    words = held.select("row", "chunk_id", "node_type", tokens(F.col("text")).alias("words"))
+    words = words.select("row", "chunk_id", "node_type", F.size("words").cast("long").alias("length"), "words")
+    schema = f"row long, chunk_id {dict(held.dtypes)['chunk_id']}, node_type string, length long, terms array<string>, counts array<long>"
+    postings = _save(words.mapInArrow(_counted_batches, schema).withColumn("block", F.expr(f"row div {BLOCK_ROWS}")), f"{path}/postings")
+    lengths = _save(postings.select("row", "chunk_id", "length"), f"{path}/lengths")
+    each = postings.select("block", "length", F.explode(F.arrays_zip("terms", "counts")).alias("p")).select("block", "length", F.col("p.terms").alias("term"), F.col("p.counts").alias("tf"))
+    bounds = each.groupBy("term", "block").agg(F.max("tf").alias("most"), F.min("length").alias("shortest"), F.count("*").alias("n"))
+    bounds = _save(bounds.repartition("block").sortWithinPartitions("block", "term"), f"{path}/bounds")
+    return bounds.groupBy("term").agg(F.sum("n").alias("df")), lengths
 
 
 def _changed(index: CorpusIndex, added: DataFrame | None, vectors: DataFrame | None = None, dead: DataFrame | None = None, replace: bool = False) -> CorpusIndex:
@@ -133,11 +158,10 @@ def _changed(index: CorpusIndex, added: DataFrame | None, vectors: DataFrame | N
     path, pivots = f"{index.folder}/segments/{segment['name']}", index.pivots
     df = None
     if added is not None:
-        postings, lengths = _text_tables(path, added)
+        df, lengths = _text_tables(path, added)
         segment["tables"] += ["chunks", "lengths", "postings", "bounds"]
         sums = lengths.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("words")).first()
         segment["chunks"], segment["words"] = sums["n"], sums["words"]
-        df = postings.groupBy("term").agg(F.count("*").alias("df"))
         if vectors is not None:
             rows = spark.read.parquet(f"{path}/chunks").select("row", "chunk_id", "node_type")
             rows = rows.join(vectors.select("chunk_id", "vector").where("vector is not null"), "chunk_id")
@@ -154,7 +178,7 @@ def _changed(index: CorpusIndex, added: DataFrame | None, vectors: DataFrame | N
         marked = gone.withColumnRenamed("of", "segment")
         sums = index.table("lengths").join(marked, KEY).agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("words")).first()
         segment["chunks"], segment["words"] = segment["chunks"] - sums["n"], segment["words"] - sums["words"]
-        taken = index.table("postings").join(marked, KEY).groupBy("term").agg((-F.count("*")).alias("df"))
+        taken = index.table("postings").join(marked, KEY).select(F.explode("terms").alias("term")).groupBy("term").agg((-F.count("*")).alias("df"))
         df = taken if df is None else df.unionByName(taken)
     if df is not None:
         _save(df.groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0"), f"{path}/df")

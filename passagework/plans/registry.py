@@ -10,7 +10,7 @@ from passagework.functions import answers, detectors as D, display, evidence, qu
 from passagework.operators import cells, chunk, conversation, corpus_index, evaluate, index, numbering, pack, pair_scorer, providers, rank, search, telemetry, text_classifier, tree
 from passagework.plans import retrieval, search_loop
 from passagework.plans.shared import shared_folder
-from passagework.plans.tables import chunks, executions, questions, routing, table, texts, turns
+from passagework.plans.tables import as_chunks, chunks, executions, questions, routing, table, texts, turns
 from passagework.sources import readers
 from passagework.streaming import live, load
 
@@ -206,9 +206,8 @@ _CHANGED = """changed AS MATERIALIZED (SELECT doc_id, CASE WHEN lang = 'de' THEN
 @register(f"WITH {_CHANGED}, {BM25_BASE.replace('FROM documents', 'FROM changed')}, {bm25_cte('hits', 10)} SELECT query_id, chunk_id, round(score, 6) AS score, rank::INT AS rank FROM hits")
 def bm25_topk_segments(spark, sf_dir):
     """bm25_topk() from a saved index that grew in steps: the English documents, all that were missing, German ones anew, and one source deleted."""
-    held = chunks(spark, sf_dir)
-    by_lang = texts(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "lang")
-    of = lambda lang: held.join(by_lang.where(F.col("lang") == lang), "chunk_id", "left_semi")
+    held, docs = chunks(spark, sf_dir), texts(spark, sf_dir, "documents")
+    of = lambda lang: as_chunks(docs.where(F.col("lang") == lang))
     saved = corpus_index.insert(corpus_index.open_index(spark, shared_folder(spark, "segments")), of("en"))
     saved = corpus_index.insert(saved, held)
     saved = corpus_index.upsert(saved, of("de").withColumn("text", F.concat("text", F.lit(" "), "document_id")))

@@ -22,7 +22,10 @@ def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as chunks: the source is the document, source and language the parent; a third of them are parents, a third summaries."""
-    docs = texts(spark, sf_dir, "documents")
+    return as_chunks(texts(spark, sf_dir, "documents"))
+
+
+def as_chunks(docs: DataFrame) -> DataFrame:
     kind = F.when(F.col("doc_id") % 3 == 0, "raw").when(F.col("doc_id") % 3 == 1, "parent").otherwise("summary")
     return docs.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_id"), F.concat("source", F.lit("/"), "lang").alias("parent_id"), kind.alias("node_type"), (F.col("doc_id") % 2).cast("int").alias("level"), "text")
 

@@ -99,3 +99,18 @@ def test_no_question_or_none_known_gives_no_hits(spark):
         queries = spark.createDataFrame(rows, "query_id long, query string")
         assert search.bm25_topk(chunks, queries, 3).count() == 0
     assert search.bm25_topk(chunks.limit(0), spark.createDataFrame([(0, "a")], "query_id long, query string"), 3).count() == 0
+
+
+def test_an_index_shuffles_no_postings(spark, tmp_path):
+    """A chunk's words stay where it is read: the index's postings are written without an exchange, and give the lists of bm25_topk()."""
+    rng = random.Random(6)
+    rows = [(i, f"d{i % 3}", None, "raw", 0, " ".join(rng.choices("abcdefghijklmnopq", k=rng.randint(0, 12))) if i % 50 else None) for i in range(600)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, document_id string, parent_id string, node_type string, level int, text string").repartition(3)
+    queries = spark.createDataFrame([(i, " ".join(rng.choices("abcdefghijz", k=3))) for i in range(8)], "query_id long, query string")
+    saved = corpus_index.delete_document(corpus_index.insert(corpus_index.open_index(spark, f"{tmp_path}/saved"), chunks), "d1")
+    held = {r.chunk_id: r for r in saved.table("postings").collect()}
+    assert len(held) == 600
+    for i, _, _, _, _, text in rows:
+        assert dict(zip(held[i].terms, held[i].counts, strict=True)) == Counter((text or "").split())
+    listed = lambda hits: sorted((r.query_id, r["rank"], r.chunk_id, round(r.score, 6)) for r in hits.collect())
+    assert listed(search.bm25_topk_blocks(saved, queries, 5)) == listed(search.bm25_topk(chunks.where("document_id <> 'd1'"), queries, 5))
