@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -62,53 +61,93 @@ def _fits(x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, float
     return [fit_mixture(x, k) for k in range(1, most + 1)]
 
 
-_MODEL = "weights array<double>, means array<array<double>>, variances array<double>"
+#: A document's models as one array: the vectors' width, then for each model k, a value, k weights, k variances and k means.
+_STATE = "document_id string, active array<double>, best array<double>"
+Model = tuple[int, float, np.ndarray, np.ndarray, np.ndarray]
 
 
-def _points(held: np.ndarray) -> np.ndarray:
-    return np.stack([np.asarray(x["vector"], dtype=float) for x in held])
+def _packed(width: int, models: list[Model]) -> np.ndarray:
+    """``models`` as (k, value, weights, variances, means); none: empty."""
+    return np.concatenate([[width], *(np.concatenate([[k, value], weights, variances, np.ravel(means)]) for k, value, weights, variances, means in models)]) if models else np.zeros(0)
 
 
-def _model_rows(frames: Iterator[pd.DataFrame], best_only: bool) -> Iterator[pd.DataFrame]:
-    """Of each block the mixture of least BIC, or those of all numbers of clusters."""
-    for frame in frames:
-        rows = []
-        for document, held in zip(frame["document_id"], frame["held"], strict=True):
-            fits = _fits(_points(held))
-            rows += [(document, len(m[0]), m[0].tolist(), m[1].tolist(), m[2].tolist()) for m in ([min(fits, key=lambda m: m[3])] if best_only else fits)]
-        yield pd.DataFrame(rows, columns=["document_id", "k", "weights", "means", "variances"])
+def _unpacked(flat: np.ndarray) -> list[Model]:
+    out, at = [], 1
+    while at < len(flat):
+        width, k = int(flat[0]), int(flat[at])
+        end = at + 2 + 2 * k
+        out.append((k, float(flat[at + 1]), flat[at + 2 : at + 2 + k], flat[at + 2 + k : end], flat[end : end + k * width].reshape(k, width)))
+        at = end + k * width
+    return out
 
 
-def _sum_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A block's sums for a model: rows, log-likelihood, and each cluster's shares, shares * |x|^2 and shares * x."""
-    for frame in frames:
-        rows = []
-        for r in frame.itertuples(index=False):
-            x = _points(r.held)
-            logs = _densities(x, np.asarray(r.weights), np.stack(r.means), np.asarray(r.variances))
+def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows (document_id, ids, vectors of a block, other arrays), one at a time, without an object for each number."""
+    for batch in batches:
+        documents, ids, flat, *others = batch.columns
+        for i in range(batch.num_rows):
+            names = ids[i].values
+            x = flat[i].values.to_numpy(zero_copy_only=False).reshape(len(names), -1)
+            yield documents[i].as_py(), names, x, *(c[i].values.to_numpy(zero_copy_only=False) for c in others)
+
+
+def _states(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    lists = [pa.array([r[i] for r in rows], pa.list_(pa.float64())) for i in (1, 2)]
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), *lists], names=["document_id", "active", "best"])
+
+
+def _first_models(best_only: bool) -> Callable:
+    """Of each block the mixture of least BIC as the best, or those of all numbers of clusters to go on with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for document, _, x in _rows_of(batches):
+            fits = [(len(w), bic, w, v, m) for w, m, v, bic in _fits(x)]
+            best = _packed(x.shape[1], [min(fits, key=lambda m: m[1])])
+            active = _packed(x.shape[1], [(k, -np.inf, w, v, m) for k, _, w, v, m in fits])
+            yield _states([(document, np.zeros(0), best) if best_only else (document, active, np.zeros(0))])
+
+    return run
+
+
+def _sum_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's sums of each document for its models: rows, log-likelihood, and each cluster's shares, shares * |x|^2 and shares * x."""
+    held: dict[str, np.ndarray] = {}
+    flush = lambda: pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.list_(pa.float64()))], names=["document_id", "sums"])
+    for document, _, x, active in _rows_of(batches):
+        parts, square = [], (x**2).sum(axis=1)
+        for _, _, weights, variances, means in _unpacked(active):
+            logs = _densities(x, weights, means, variances)
             total = _log_sum(logs)
             share = np.exp(logs - total[:, None])
-            rows.append((r.document_id, r.k, np.concatenate([[len(x), total.sum()], share.sum(axis=0), share.T @ (x**2).sum(axis=1), (share.T @ x).ravel()])))
-        yield pd.DataFrame(rows, columns=["document_id", "k", "sums"])
-
-
-def _next_rows(last: bool, tolerance: float) -> Callable:
-    """The models after a step, from the models before it and the sums over all blocks; ``done`` ones stay what they were and have their BIC."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for r in frame.itertuples(index=False):
-                v, k = np.array([x["value"] for x in r.sums]), r.k
-                n_rows, likelihood, n, square, first = v[0], v[1], v[2 : 2 + k] + 1e-9, v[2 + k : 2 + 2 * k], v[2 + 2 * k :].reshape(k, -1)
-                done, bic = last or likelihood / n_rows - r.before < tolerance, (k * first.shape[1] + 2 * k - 1) * np.log(n_rows) - 2 * likelihood
-                weights, means, variances = r.weights, [list(m) for m in r.means], r.variances
-                if not done:
-                    centres = first / n[:, None]
-                    spread = np.maximum(square - 2 * (centres * first).sum(axis=1) + (centres**2).sum(axis=1) * n, 0)
-                    weights, means, variances = (n / n.sum()).tolist(), centres.tolist(), (spread / (n * first.shape[1]) + 1e-6).tolist()
-                rows.append((r.document_id, k, list(weights), means, list(variances), likelihood / n_rows, bool(done), float(bic)))
-            yield pd.DataFrame(rows, columns=["document_id", "k", "weights", "means", "variances", "before", "done", "bic"])
+            parts.append(np.concatenate([[len(x), total.sum()], share.sum(axis=0), share.T @ square, (share.T @ x).ravel()]))
+        sums = np.concatenate(parts)
+        held[document] = held[document] + sums if document in held else sums
+        if len(held) >= 256:
+            yield flush()
+            held.clear()
+    if held:
+        yield flush()
+
+
+def _next_models(last: bool, tolerance: float) -> Callable:
+    """A document's models after a step, from the tasks' sums and the models before; those that are done stay what they were, and the best of them is kept."""
+
+    def run(parts: pa.Table, state: pa.Table) -> pa.Table:
+        before, best = (state.column(name)[0].values.to_numpy(zero_copy_only=False) for name in ("active", "best"))
+        sums = np.sum([x.values.to_numpy(zero_copy_only=False) for x in parts.column("sums")], axis=0)
+        width, active, ended, at = int(before[0]), [], _unpacked(best), 0
+        for k, likely, weights, variances, means in _unpacked(before):
+            v = sums[at : at + 2 + 2 * k + k * width]
+            at += len(v)
+            n_rows, likelihood, n, square, first = v[0], v[1], v[2 : 2 + k] + 1e-9, v[2 + k : 2 + 2 * k], v[2 + 2 * k :].reshape(k, width)
+            if last or likelihood / n_rows - likely < tolerance:
+                ended.append((k, (k * width + 2 * k - 1) * np.log(n_rows) - 2 * likelihood, weights, variances, means))
+                continue
+            centres = first / n[:, None]
+            spread = np.maximum(square - 2 * (centres * first).sum(axis=1) + (centres**2).sum(axis=1) * n, 0)
+            active.append((k, likelihood / n_rows, n / n.sum(), spread / (n * width) + 1e-6, centres))
+        least = [min(ended, key=lambda m: (m[1], m[0]))] if ended else []
+        return pa.Table.from_batches([_states([(state.column("document_id")[0].as_py(), _packed(width, active), _packed(width, least))])])
 
     return run
 
@@ -116,57 +155,57 @@ def _next_rows(last: bool, tolerance: float) -> Callable:
 def _fit_large(blocks: DataFrame, folder: str, steps: int = 100, tolerance: float = 1e-3) -> DataFrame:
     """The mixtures of least BIC of large documents, by EM over all of their rows: a round over the blocks for each step.
 
-    All numbers of clusters go through a round together. The first round starts from a fit on a document's first block;
-    likelihood, parameters and BIC are those of all rows. The models are tables as well, joined to the blocks by document,
-    so that the driver holds none of them.
+    All numbers of clusters go through a round together, so that a block is read once a round. The first round starts from a
+    fit on a document's first block; likelihood, parameters and BIC are those of all rows. The models are tables as well,
+    joined to the blocks by document, so that the driver holds none of them.
     """
+    spark = blocks.sparkSession
     first = blocks.join(blocks.groupBy("document_id").agg(F.min("block").alias("block")), ["document_id", "block"])
-    models = first.select("document_id", "held").mapInPandas(lambda frames: _model_rows(frames, False), f"document_id string, k int, {_MODEL}")
-    active, done = _written(models.withColumn("before", F.lit(float("-inf"))), f"{folder}/models-0"), None
+    active, paths = _written(first.select("document_id", "ids", "flat").mapInArrow(_first_models(False), _STATE), f"{folder}/models-0"), []
     for step in range(steps + 1):
-        parts = blocks.select("document_id", "held").join(active.drop("before"), "document_id").mapInPandas(_sum_rows, "document_id string, k int, sums array<double>")
-        added = parts.select("document_id", "k", F.posexplode("sums").alias("at", "value")).groupBy("document_id", "k", "at").agg(F.sum("value").alias("value"))
-        sums = added.groupBy("document_id", "k").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("sums"))
-        schema = f"document_id string, k int, {_MODEL}, before double, done boolean, bic double"
-        now = _written(active.join(sums, ["document_id", "k"]).mapInPandas(_next_rows(step == steps, tolerance), schema), f"{folder}/models-{step + 1}")
-        ended, active = now.where("done"), now.where("not done").drop("done", "bic")
-        done = ended if done is None else done.unionByName(ended)
+        joined = blocks.select("document_id", "ids", "flat").join(active.select("document_id", "active"), "document_id")
+        parts = joined.mapInArrow(_sum_batches, "document_id string, sums array<double>")
+        after = parts.groupBy("document_id").cogroup(active.groupBy("document_id")).applyInArrow(_next_models(step == steps, tolerance), _STATE)
+        paths.append(f"{folder}/models-{step + 1}")
+        active = _written(after, paths[-1]).where("size(active) > 0")
         if active.isEmpty():
             break
-    best = done.groupBy("document_id").agg(F.min_by(F.struct("weights", "means", "variances"), F.struct("bic", "k")).alias("m"))
-    return best.select("document_id", "m.*")
+    return spark.read.schema(_STATE).parquet(*paths).where("size(active) = 0").select("document_id", "best")
 
 
-def _assign_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The clusters of a block's rows, all at once."""
-    for frame in frames:
-        rows = []
-        for r in frame.itertuples(index=False):
-            logs = _densities(_points(r.held), np.asarray(r.weights), np.stack(r.means), np.asarray(r.variances))
-            share = np.exp(logs - _log_sum(logs)[:, None])
-            has = share >= SHARE
-            none = ~has.any(axis=1)
-            has[none, share[none].argmax(axis=1)] = True
-            node, cluster = np.nonzero(has)
-            rows.append(pd.DataFrame({"document_id": r.document_id, "chunk_id": [r.held[i]["chunk_id"] for i in node], "cluster": cluster.astype(np.int32)}))
-        yield pd.concat(rows) if rows else pd.DataFrame({"document_id": [], "chunk_id": [], "cluster": []})
+    for document, ids, x, best in _rows_of(batches):
+        _, _, weights, variances, means = _unpacked(best)[0]
+        logs = _densities(x, weights, means, variances)
+        share = np.exp(logs - _log_sum(logs)[:, None])
+        has = share >= SHARE
+        none = ~has.any(axis=1)
+        has[none, share[none].argmax(axis=1)] = True
+        node, cluster = np.nonzero(has)
+        columns = [pa.array([document] * len(node), pa.string()), ids.take(pa.array(node)), pa.array(cluster.astype(np.int32))]
+        yield pa.RecordBatch.from_arrays(columns, names=["document_id", "chunk_id", "cluster"])
 
 
 def soft_clusters(nodes: DataFrame) -> DataFrame:
     """(document_id, chunk_id, cluster) of nodes (document_id, chunk_id, vector): every cluster that a node has a share of.
 
     A document's rows lie in blocks of about FIT_ROWS. The number of clusters has the least BIC. Mixtures are fitted on all
-    rows: those of documents of one block in one task, others in rounds over their blocks (see _fit_large).
+    rows: those of documents of one block in one task, others in rounds over their blocks (see _fit_large). The vectors are
+    written first, as they may be costly to make.
     """
     folder = shared_folder(nodes.sparkSession, "mixtures")
-    counts = nodes.groupBy("document_id").agg(F.expr(f"(count(*) + {FIT_ROWS - 1}) div {FIT_ROWS}").alias("blocks"))
-    placed = nodes.join(counts, "document_id").withColumn("block", F.pmod(F.xxhash64("chunk_id"), "blocks"))
-    blocks = _written(placed.groupBy("document_id", "blocks", "block").agg(F.collect_list(F.struct("chunk_id", "vector")).alias("held")), f"{folder}/blocks")
+    points = _written(nodes.select("document_id", "chunk_id", "vector"), f"{folder}/points")
+    counts = points.groupBy("document_id").agg(F.expr(f"(count(*) + {FIT_ROWS - 1}) div {FIT_ROWS}").alias("blocks"))
+    placed = points.join(counts, "document_id").withColumn("block", F.pmod(F.xxhash64("chunk_id"), "blocks"))
+    held = placed.groupBy("document_id", "blocks", "block").agg(F.array_sort(F.collect_list(F.struct("chunk_id", "vector"))).alias("held"))
+    flat = held.select("document_id", "blocks", "block", F.col("held.chunk_id").alias("ids"), F.flatten("held.vector").alias("flat"))
+    blocks = _written(flat, f"{folder}/blocks")
     small, large = blocks.where("blocks = 1"), blocks.where("blocks > 1").drop("blocks")
-    models = small.select("document_id", "held").mapInPandas(lambda frames: _model_rows(frames, True), f"document_id string, k int, {_MODEL}").drop("k")
+    models = small.select("document_id", "ids", "flat").mapInArrow(_first_models(True), _STATE).select("document_id", "best")
     if not large.isEmpty():
         models = models.unionByName(_fit_large(large, folder))
-    return blocks.select("document_id", "held").join(_written(models, f"{folder}/models"), "document_id").mapInPandas(_assign_rows, "document_id string, chunk_id string, cluster int")
+    return blocks.select("document_id", "ids", "flat").join(_written(models, f"{folder}/models"), "document_id").mapInArrow(_assigned, "document_id string, chunk_id string, cluster int")
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import time
 import tracemalloc
 from collections import Counter
 
@@ -12,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from passagework.functions import queries as Q
-from passagework.operators import cells, corpus_index, index, rank, search
+from passagework.functions import display
+from passagework.operators import cells, corpus_index, index, rank, search, tree
 
 
 def test_variants_cut_words_at_ascii_bounds(spark):
@@ -114,3 +116,34 @@ def test_an_index_shuffles_no_postings(spark, tmp_path):
         assert dict(zip(held[i].terms, held[i].counts, strict=True)) == Counter((text or "").split())
     listed = lambda hits: sorted((r.query_id, r["rank"], r.chunk_id, round(r.score, 6)) for r in hits.collect())
     assert listed(search.bm25_topk_blocks(saved, queries, 5)) == listed(search.bm25_topk(chunks.where("document_id <> 'd1'"), queries, 5))
+
+
+def test_a_round_reads_a_block_once_for_all_models():
+    """A task gives one row of sums a document, for all of its models, however many blocks it has."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(40, 3))
+    state = tree._packed(3, [(len(w), -np.inf, w, v, m) for w, m, v, _ in tree._fits(x[:20])])
+    batch = pa.RecordBatch.from_arrays([pa.array(["d", "d"]), pa.array([[str(i) for i in range(20)]] * 2), pa.array([x[:20].ravel(), x[20:].ravel()], pa.list_(pa.float64())), pa.array([state] * 2, pa.list_(pa.float64()))], names=["document_id", "ids", "flat", "active"])
+    (out,) = tree._sum_batches(iter([batch]))
+    sums, at = np.array(out.column("sums")[0].as_py()), 0
+    assert out.num_rows == 1
+    for k, _, weights, variances, means in tree._unpacked(state):
+        logs = tree._densities(x, weights, means, variances)
+        share = np.exp(logs - tree._log_sum(logs)[:, None])
+        want = np.concatenate([[40, tree._log_sum(logs).sum()], share.sum(axis=0), share.T @ (x**2).sum(axis=1), (share.T @ x).ravel()])
+        assert np.allclose(sums[at : at + len(want)], want)
+        at += len(want)
+    assert at == len(sums)
+
+
+def test_a_long_answer_is_compared_in_one_pass(spark):
+    """The compared words are made once, not once a sentence: a text of 6,000 sentences, whose first words need a pass over all of it."""
+    from passagework.functions.text import tokens
+
+    text = " ".join(f"Alpha beats Beta in round {i} by far and wide." for i in range(6000))
+    entities = F.slice(tokens(F.col("t")), 1, 2)
+    rows = spark.createDataFrame([(text,)], "t string").select(display.comparison_rows(F.col("t"), entities).alias("r"))
+    began = time.monotonic()
+    (got,) = rows.collect()
+    assert len(got.r) == display.MOST_ROWS and got.r[0].cells[0].startswith("Alpha beats") and got.r[0].cells[1] == got.r[0].cells[0]
+    assert time.monotonic() - began < 60
