@@ -12,7 +12,7 @@ from passagework.operators import rank
 from passagework.operators.cells import dense_topk_cells
 from passagework.operators.corpus_index import CorpusIndex
 from passagework.operators.providers import Embedder, PairScorer, hash_embedder
-from passagework.operators.search import bm25_topk, bm25_topk_blocks, dense_topk
+from passagework.operators.search import CountedChunks, bm25_topk, bm25_topk_blocks, counted_chunks, dense_topk
 from passagework.plans.shared import shared_folder
 from passagework.plans.watched import Watch
 
@@ -23,8 +23,8 @@ PARENT_FLOOR = 0.0063
 class Corpus:
     """chunks: chunk_id (long), document_id, parent_id, node_type, level, text; vectors: chunk_id, vector.
 
-    score: a pair scorer of (query, text) for reranking; None: the share of common words. index: a saved generation that
-    the searches read instead of chunks and vectors. watch: runs each arm and the reranking as jobs of their own; an arm
+    score: a pair scorer of (query, text) for reranking; None: the share of common words. words: see once(). index: a saved
+    generation that the searches read instead of chunks and vectors. watch: runs each arm and the reranking as jobs of their own; an arm
     that fails or is late gives an empty list, a failing reranking leaves the order of before, and the watch tells.
     """
 
@@ -34,6 +34,14 @@ class Corpus:
     score: PairScorer | None = None
     index: CorpusIndex | None = None
     watch: Watch | None = None
+    words: CountedChunks | None = None
+
+    def once(self) -> Corpus:
+        """The same corpus with its words and vectors written, so that a batch's searches neither cut nor embed the texts again."""
+        if self.index or self.watch:
+            return self
+        folder = shared_folder(self.chunks.sparkSession, "corpus")
+        return replace(self, vectors=_kept(self.vectors, folder, "vectors"), words=counted_chunks(self.chunks, write=True))
 
     @staticmethod
     def saved(index: CorpusIndex, embed: Embedder = hash_embedder, score: PairScorer | None = None, watch: Watch | None = None) -> Corpus:
@@ -42,10 +50,10 @@ class Corpus:
 
     def of(self, kinds: list[str]) -> Corpus:
         kept = self.chunks.where(F.col("node_type").isin(kinds))
-        return replace(self, chunks=kept, vectors=self.vectors.join(kept.select("chunk_id"), "chunk_id", "left_semi"))
+        return replace(self, chunks=kept, words=None, vectors=self.vectors.join(kept.select("chunk_id"), "chunk_id", "left_semi"))
 
     def lexical(self, asked: DataFrame, k: int, kinds: list[str] | None) -> DataFrame:
-        return bm25_topk_blocks(self.index, asked, k, kinds=kinds) if self.index else bm25_topk(self.chunks, asked, k, kinds=kinds)
+        return bm25_topk_blocks(self.index, asked, k, kinds=kinds) if self.index else bm25_topk(self.words or self.chunks, asked, k, kinds=kinds)
 
     def dense(self, asked: DataFrame, k: int, kinds: list[str] | None) -> DataFrame:
         vectors = self.embed(asked.select("query_id", "query"), "query").select("query_id", "vector")
@@ -183,7 +191,7 @@ def retrieve(corpus: Corpus, asked: DataFrame, k: int = 5) -> DataFrame:
 
     Simple questions of legal or negative wording take the standard path.
     """
-    how = Q.complexity(F.col("query"))
+    corpus, how = corpus.once(), Q.complexity(F.col("query"))
     how = asked.withColumn("how", F.when((how == "simple") & Q.needs_standard(F.col("query")), "multi_hop").otherwise(how))
     paths = (("simple", retrieve_simple), ("global", retrieve_global), ("multi_hop", retrieve_standard))
     out = [path(corpus, how.where(F.col("how") == name).drop("how"), k).select("query_id", "chunk_id", "rank", "score", "document_id", "context_text", F.lit(name).alias("path")) for name, path in paths]

@@ -147,3 +147,22 @@ def test_a_long_answer_is_compared_in_one_pass(spark):
     (got,) = rows.collect()
     assert len(got.r) == display.MOST_ROWS and got.r[0].cells[0].startswith("Alpha beats") and got.r[0].cells[1] == got.r[0].cells[0]
     assert time.monotonic() - began < 60
+
+
+def test_a_batch_cuts_and_embeds_its_texts_once(spark):
+    """Three paths and their searches by kind read words and vectors that are written once; the embedder sees the chunks' texts once, and each search only its questions."""
+    from passagework.operators import providers
+    from passagework.plans import retrieval
+
+    rows = [(i, "d", None if i % 3 else 100 + i, "raw", 0, f"topic{i} alpha beta word{i}") for i in range(30)] + [(100, "d", None, "summary", 2, "topic3 overall view"), (101, "d", None, "parent", 1, "topic3 details")]
+    chunks = spark.createDataFrame(rows, "chunk_id long, document_id string, parent_id long, node_type string, level int, text string")
+    corpus = retrieval.Corpus(chunks, providers.hash_embedder(chunks.select("chunk_id", "text"), "text").select("chunk_id", "vector"))
+    once = corpus.once()
+    assert "MapInArrow" not in once.vectors._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" not in once.words.held._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" in corpus.chunks.select(search.tokens(F.col("text")))._jdf.queryExecution().executedPlan().toString()
+    asked = spark.createDataFrame([(0, "topic7 word7"), (1, "topic3 view")], "query_id long, query string")
+    for kinds in (None, ["summary"], ["raw", "parent"]):
+        for arm in ("lexical", "dense"):
+            one, two = (sorted((r.query_id, r["rank"], r.chunk_id, round(r.score, 9)) for r in getattr(c, arm)(asked, 4, kinds).collect()) for c in (corpus, once))
+            assert one == two
