@@ -228,7 +228,7 @@ def bm25_topk_raw(spark, sf_dir):
 def trace_summaries(spark, sf_dir):
     """What a trace shows of each question's first five hits."""
     held = chunks(spark, sf_dir)
-    hits = search.bm25_topk(held, questions(spark, sf_dir), 10).join(held.select("chunk_id", "text"), "chunk_id")
+    hits = search.with_chunks(search.bm25_topk(held, questions(spark, sf_dir), 10), held.select("chunk_id", "text"))
     return answers.trace_summary(hits, 5).withColumn("score", F.round("score", 6))
 
 
@@ -317,7 +317,7 @@ diverse AS (SELECT query_id, chunk_id, np <= 1 AND nd <= 2 AS picked, row_number
 
 @register(f"WITH {DIVERSE} SELECT query_id, chunk_id, picked, rank::INT AS rank FROM diverse WHERE rank <= 5")
 def diversified(spark, sf_dir):
-    hits = rank.weighted_rrf(two_lists(spark, sf_dir)).join(chunks(spark, sf_dir).select("chunk_id", "document_id", "parent_id"), "chunk_id")
+    hits = search.with_chunks(rank.weighted_rrf(two_lists(spark, sf_dir)), chunks(spark, sf_dir).select("chunk_id", "document_id", "parent_id"))
     return rank.diversify(hits, 5, per_document=2, per_parent=1).select("query_id", "chunk_id", "picked", "rank")
 
 
@@ -356,7 +356,7 @@ def rerank_triggers(spark, sf_dir):
 )
 def reranked(spark, sf_dir):
     held, asked = chunks(spark, sf_dir), questions(spark, sf_dir)
-    hits = search.bm25_topk(held, asked, 16).join(asked, "query_id").join(held.select("chunk_id", "text"), "chunk_id")
+    hits = search.with_chunks(search.bm25_topk(held, asked, 16), held.select("chunk_id", "text")).join(asked, "query_id")
     return rank.rerank(hits, 5).select("query_id", "chunk_id", F.round("rerank_score", 6).alias("rerank_score"), "rank")
 
 
@@ -385,7 +385,7 @@ def _packed_sql() -> str:
 def packed_context(spark, sf_dir):
     """Contexts of all questions from their fused hits."""
     held, asked = chunks(spark, sf_dir), questions(spark, sf_dir)
-    hits = rank.weighted_rrf(two_lists(spark, sf_dir)).join(held, "chunk_id").join(asked, "query_id").withColumn("doc_shape", T.text_shape(F.col("text")))
+    hits = search.with_chunks(rank.weighted_rrf(two_lists(spark, sf_dir)), held).join(asked, "query_id").withColumn("doc_shape", T.text_shape(F.col("text")))
     return pack.pack_context(hits).withColumn("score", F.round("score", 6))
 
 
@@ -816,7 +816,7 @@ def report_gaps(spark, sf_dir):
 def prompt_contexts(spark, sf_dir):
     """Contexts and sources for prompts, of all questions."""
     held = chunks(spark, sf_dir).select(F.col("chunk_id").cast("string").alias("chunk_id"), (F.col("chunk_id") % 40).alias("page"), F.col("document_id").alias("source"), "text")
-    out = answers.prompt_contexts(packed_context(spark, sf_dir).join(held, "chunk_id"))
+    out = answers.prompt_contexts(search.with_chunks(packed_context(spark, sf_dir), held))
     return out.select("query_id", F.length("context").alias("n_chars"), F.array_join("sources", ",").alias("sources"))
 
 

@@ -166,3 +166,21 @@ def test_a_batch_cuts_and_embeds_its_texts_once(spark):
         for arm in ("lexical", "dense"):
             one, two = (sorted((r.query_id, r["rank"], r.chunk_id, round(r.score, 9)) for r in getattr(c, arm)(asked, 4, kinds).collect()) for c in (corpus, once))
             assert one == two
+
+
+def test_hits_go_to_their_chunks(spark, monkeypatch):
+    """Texts are fetched where they lie; more hits than go to all tasks give the same."""
+    chunks = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "chunk_id long, text string")
+    hits = spark.createDataFrame([(q, q * 3 + i, i + 1) for q in range(5) for i in range(4)], "query_id long, chunk_id long, rank int").groupBy("query_id", "chunk_id").agg(F.min("rank").alias("rank"))
+    monkeypatch.setattr("passagework.operators.search.MOST_HITS", 20)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = search.with_chunks(hits, chunks)
+        assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+        rows = sorted((r.query_id, r["rank"], r.chunk_id, r.text) for r in got.collect())
+        assert rows == [(q, i + 1, q * 3 + i, f"text {q * 3 + i}") for q in range(5) for i in range(4)]
+        monkeypatch.setattr("passagework.operators.search.MOST_HITS", 19)
+        more = search.with_chunks(hits, chunks)
+        assert sorted((r.query_id, r["rank"], r.chunk_id, r.text) for r in more.collect()) == rows
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
