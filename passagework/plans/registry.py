@@ -997,13 +997,13 @@ def routing_baseline(spark, sf_dir):
 def trained_rerank(spark, sf_dir):
     """Questions kept out by a hash, their twenty best chunks ranked anew by a scorer that learnt from the other questions."""
     held, asked = chunks(spark, sf_dir), questions(spark, sf_dir)
-    hits = search.bm25_topk(held, asked, 20).select("query_id", "chunk_id", "rank").join(held.select("chunk_id", "document_id", "text"), "chunk_id").join(asked, "query_id")
+    counted = search.counted_chunks(held)
+    hits = search.with_chunks(search.bm25_topk(counted, asked, 20).select("query_id", "chunk_id", "rank"), held.select("chunk_id", "document_id", "text")).join(asked, "query_id")
     folder = shared_folder(spark, "shortlists")
     hits.withColumn("relevant", F.coalesce(F.col("text").contains(F.col("query")), F.lit(False))).write.parquet(folder)
     hits = spark.read.parquet(folder)
     learns = F.pmod(F.xxhash64("query_id"), F.lit(2)) == 0
-    df, _ = index.statistics(held.select(T.tokens(F.col("text")).alias("words")).withColumn("length", F.size("words")))
-    model = pair_scorer.fit_pair_scorer(hits.where(learns), held, df)
+    model = pair_scorer.fit_pair_scorer(hits.where(learns), held, counted.terms)
     return rank.rerank(hits.where(~learns), 20, model(F.col("query"), F.col("text")), 20).select("query_id", "chunk_id", "rank", "relevant")
 
 
