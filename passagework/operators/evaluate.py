@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from passagework.functions.text import tokens
 from passagework.operators.numbering import numbered
+from passagework.operators.search import in_parts
 
 
 def _share(n: Column, of: Column, empty: float) -> Column:
@@ -98,20 +99,26 @@ def route_match_rate(rows: DataFrame, actual: str, expected: str) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.coalesce(F.col(actual) == F.col(expected), F.lit(False)).cast("double")), F.lit(0.0)).alias("match_rate"))
 
 
-def verbatim_gold(docs: DataFrame, asked: DataFrame) -> DataFrame:
+def verbatim_gold(docs: DataFrame, asked: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id) of ``docs`` (doc_id, text) that hold a query of ``asked`` (query_id, query) word for word.
 
     A text that holds a query holds its inner words whole. So texts meet the queries by the rarest inner word, and only these
-    pairs are compared. Queries without inner words, of two words or less, are compared with all texts.
+    pairs are compared. Queries without inner words, of two words or less, are compared with all texts. The queries go to the
+    texts, about MOST_QUERIES at once, so that no text is shuffled. ``terms``: (term, df) of ``docs``, where it is known.
     """
-    words = asked.select("query_id", "query", tokens(F.col("query")).alias("w")).withColumn("inner", F.expr("if(size(w) > 2, slice(w, 2, size(w) - 2), cast(array() AS array<string>))"))
-    held = docs.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    inner = words.select("query_id", F.explode(F.array_distinct("inner")).alias("term"))
-    frequency = held.join(inner.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    rarest = inner.join(frequency, "term", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("r")).select("query_id", "r.term")
-    met = held.join(rarest, "term").select("doc_id", "query_id").join(docs.select("doc_id", "text"), "doc_id").join(asked, "query_id")
-    short = words.where("size(inner) = 0 and query is not null").select("query_id", "query")
-    return met.unionByName(docs.select("doc_id", "text").join(short, F.col("text").contains(F.col("query")))).where(F.col("text").contains(F.col("query"))).select("query_id", "doc_id")
+    by_word = docs.select("doc_id", "text", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+
+    def search(part: DataFrame) -> DataFrame:
+        words = part.select("query_id", "query", tokens(F.col("query")).alias("w")).withColumn("inner", F.expr("if(size(w) > 2, slice(w, 2, size(w) - 2), cast(array() AS array<string>))"))
+        inner = words.select("query_id", F.explode(F.array_distinct("inner")).alias("term"))
+        met = F.broadcast(inner.select("term").distinct())
+        frequency = by_word.select("term").join(met, "term").groupBy("term").agg(F.count("*").alias("df")) if terms is None else terms.join(met, "term").select("term", "df")
+        rarest = inner.join(frequency, "term", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("r")).select("query_id", "r.term")
+        long = by_word.join(F.broadcast(rarest.join(part.select("query_id", "query"), "query_id")), "term")
+        short = docs.select("doc_id", "text").crossJoin(F.broadcast(words.where("size(inner) = 0 and query is not null").select("query_id", "query")))
+        return long.select("doc_id", "text", "query_id", "query").unionByName(short).where(F.col("text").contains(F.col("query"))).select("query_id", "doc_id")
+
+    return in_parts(asked, ["query_id"], search)
 
 
 def fit_platt(rows: DataFrame, score: str, truth: str, epochs: int = 2000, rate: float = 0.1, l2: float = 1e-4) -> tuple[float, float]:

@@ -733,8 +733,9 @@ def sliding_load(spark, sf_dir):
 def retrieval_metrics(spark, sf_dir):
     """BM25's ten best chunks of each question against the documents that hold it word for word."""
     asked, docs = questions(spark, sf_dir), texts(spark, sf_dir, "documents")
-    got = search.bm25_topk(chunks(spark, sf_dir), asked, 10).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))).alias("l")).select("query_id", F.transform("l", lambda x: x["chunk_id"].cast("string")).alias("retrieved"))
-    gold = evaluate.verbatim_gold(docs, asked).groupBy("query_id").agg(F.collect_set(F.col("doc_id").cast("string")).alias("relevant"))
+    counted = search.counted_chunks(chunks(spark, sf_dir))
+    got = search.bm25_topk(counted, asked, 10).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))).alias("l")).select("query_id", F.transform("l", lambda x: x["chunk_id"].cast("string")).alias("retrieved"))
+    gold = evaluate.verbatim_gold(docs, asked, counted.terms).groupBy("query_id").agg(F.collect_set(F.col("doc_id").cast("string")).alias("relevant"))
     out = evaluate.retrieval_metrics(got.join(gold, "query_id", "left"))
     return out.select("query_id", "hit", *(F.round(c, 6).alias(c) for c in ("reciprocal_rank", "precision_at_k", "precision_at_r", "recall")))
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from passagework.functions import queries as Q
 from passagework.functions import display
-from passagework.operators import cells, corpus_index, index, rank, search, tree
+from passagework.operators import cells, corpus_index, evaluate, index, rank, search, tree
 
 
 def test_variants_cut_words_at_ascii_bounds(spark):
@@ -184,3 +184,22 @@ def test_hits_go_to_their_chunks(spark, monkeypatch):
         assert sorted((r.query_id, r["rank"], r.chunk_id, r.text) for r in more.collect()) == rows
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_verbatim_gold_shuffles_no_text(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"so the {w} brown fox number {i % 7} runs") for i, w in enumerate(["quick", "slow", "Quick"] * 9)], "doc_id long, text string")
+    asked = [(0, "the quick brown fox"), (1, "fox number 3 runs"), (2, "brown"), (3, "no words such as these"), (4, "slow brown fox number 1")]
+    queries = spark.createDataFrame(asked, "query_id long, query string")
+    want = {(q, r.doc_id) for r in docs.collect() for q, a in asked if a in r.text}
+    terms = index.statistics(docs.select(F.split("text", " ").alias("words")).withColumn("length", F.size("words")))[0].withColumn("term", F.lower("term")).groupBy("term").agg(F.sum("df").alias("df"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for most in (20_000, 2):
+            monkeypatch.setattr("passagework.operators.search.MOST_QUERIES", most)
+            for known in (None, terms):
+                got = evaluate.verbatim_gold(docs, queries, known)
+                plan = got._jdf.queryExecution().executedPlan().toString()
+                assert "hashpartitioning(doc_id" not in plan
+                assert sorted((r.query_id, r.doc_id) for r in got.collect()) == sorted(want)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
