@@ -989,9 +989,12 @@ def routing_baseline(spark, sf_dir):
     """The text classifier on the labels' quality: fitted on half of the labelled documents by a hash, and its word on the others."""
     docs, labels = texts(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality is not null")
     told = docs.join(labels.select("doc_id", F.col("quality").cast("string").alias("label")), "doc_id").select("doc_id", "text", "label", (F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0).alias("fits"))
+    folder = shared_folder(spark, "labelled")
+    told.write.parquet(folder)
+    told = spark.read.schema(told.schema).parquet(folder)
     model = text_classifier.fit_text_classifier(told.where("fits"), vocabulary=1 << 14, steps=25)
-    said = text_classifier.classified(told.where("not fits"), model, "doc_id")
-    return said.join(told.select(F.col("doc_id").alias("id"), "label"), "id").select(F.col("id").alias("doc_id"), "label", "predicted", F.round("probability", 4).alias("probability"))
+    said = text_classifier.classified(told.where("not fits"), model, "doc_id", kept=("label",))
+    return said.select(F.col("id").alias("doc_id"), "label", "predicted", F.round("probability", 4).alias("probability"))
 
 
 @register()
